@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 RANGES = 64
 _BEFORE = (W.unboundedPreceding, -1)
 
@@ -20,10 +22,6 @@ def _window(keys: Sequence[str]):
     return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
 
 
-def _range_of(value: Column, splits: Column) -> Column:
-    return F.size(F.filter(splits, lambda s: s < value))
-
-
 def value_prefix(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,15 +32,18 @@ def value_prefix(
     """Per distinct ``value``: each measure, its sum below (``<m>_before``) and in all (``<m>_total``).
 
     ``measures`` are sum-like aggregates (``F.count``, ``F.sum``).  The result keeps the range
-    number ``_range`` for further steps along the same order.
+    number ``_range`` for further steps along the same order.  The distinct values are used three
+    times (range bounds, range totals, rows), so they are written once and ``df`` runs once.
     """
     keys = list(keys)
     names = list(measures)
     known = df.where(F.col(value).isNotNull())
     distinct = known.groupBy(*keys, value).agg(*[m.alias(n) for n, m in measures.items()])
+    distinct = cut_lineage(distinct)
     probs = F.lit([i / ranges for i in range(1, ranges)])
     splits = distinct.select(F.percentile_approx(value, probs, 20 * ranges)).scalar()
-    distinct = distinct.withColumn("_range", _range_of(F.col(value), splits))
+    distinct = distinct.withColumn("_splits", splits)
+    distinct = distinct.withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
 
     totals = distinct.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in names])
     group = _window(keys)

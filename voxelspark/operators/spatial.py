@@ -95,11 +95,11 @@ def surface_area(mask: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
     keys = list(keys)
     own = mask.select(*keys, *AXES, F.lit(True).alias("_in"), F.lit("").alias("_ax"))
     faces = [(i, j, k) for i, j, k in offsets(6)]
-    near = shifted(mask.select(*keys, *AXES), faces, extra="_o").select(
+    near = shifted(mask.select(*keys, *AXES), faces, extra="_off").select(
         *keys,
         *AXES,
         F.lit(False).alias("_in"),
-        F.when(F.col("_o.dx") != 0, "x").when(F.col("_o.dy") != 0, "y").otherwise("z").alias("_ax"),
+        F.when(F.col("_off.dx") != 0, "x").when(F.col("_off.dy") != 0, "y").otherwise("z").alias("_ax"),
     )
     seen = own.unionByName(near).groupBy(*keys, *AXES).agg(
         F.bool_or("_in").alias("_in"), *[F.count_if(F.col("_ax") == a).alias(f"_f{a}") for a in AXES]
