@@ -76,3 +76,21 @@ def varying_columns(df: DataFrame, cols: Sequence[str], threshold: float = 1e-8)
     """Columns whose population variance exceeds ``threshold`` (one small action)."""
     row = df.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
     return [c for c in cols if row[c] is not None and row[c] > threshold]
+
+
+def suppress_outside(probs: Column, outside: Column, classes: Sequence[int], factor: float = 0.05) -> Column:
+    """Scale the given class probabilities of voxels outside a region and renormalise the row."""
+    scaled = F.transform(probs, lambda p, i: F.when(i.isin(list(classes)), p * factor).otherwise(p))
+    total = F.aggregate(scaled, F.lit(0.0), lambda s, p: s + p)
+    return F.when(outside, F.transform(scaled, lambda p: p / (total + 1e-8))).otherwise(probs)
+
+
+def argmax_label(probs: Column) -> Column:
+    """1-based position of the first largest entry."""
+    return F.array_position(probs, F.array_max(probs)).cast("int")
+
+
+def joint_probability(channels: Sequence[str]) -> Column:
+    """Mean of the channels that are present."""
+    values = F.filter(F.array(*channels), lambda v: v.isNotNull())
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values))

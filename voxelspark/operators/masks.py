@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .columns import with_stats
 from .grid import AXES
 from .ranking import exact_percentiles
-from .spatial import l1_within
+from .spatial import box_dilate, box_erode, l1_within
 
 # Parcellation label ids per tissue.
 GM_LABELS = [3, 8, 10, 11, 12, 13, 17, 18, 26, 28, 42, 47, 49, 50, 51, 52, 53, 54, 58, 60]
@@ -251,3 +251,23 @@ def csf_mask(given: Column | None, pve: Column | None, threshold: float = 0.7) -
 
 def restrict_map(value: Column, mask: Column) -> Column:
     return F.when(mask, value).otherwise(F.lit(0.0))
+
+
+def healthy_and_csf(df: DataFrame, keys: Sequence[str], seg: str, csf_pve: str, threshold: float = 0.7) -> DataFrame:
+    """Healthy brain without segmented voxels, and CSF opened with a 3x3x3 cube inside it."""
+    keys = list(keys)
+    df = df.withColumn("healthy", F.col("brain") & ~is_true(F.col(seg) >= 0.5))
+    bright = df.where(F.col(csf_pve) > threshold).select(*keys, *AXES)
+    opened = box_dilate(box_erode(bright, keys), keys).withColumn("_csf", F.lit(True))
+    df = df.join(opened, [*keys, *AXES], "left")
+    return df.withColumn("csf", is_true(F.col("_csf")) & F.col("healthy")).drop("_csf")
+
+
+def tissue_table(df: DataFrame) -> DataFrame:
+    """Precomputed tissue maps: clipped partial volumes, parenchyma, healthy brain and CSF."""
+    gm, wm = (F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c))) for c in ("gm_pve", "wm_pve"))
+    df = df.withColumns({"gm_pve": gm, "wm_pve": wm})
+    parenchyma = F.col("gm_pve") + F.col("wm_pve") >= 0.3
+    df = df.withColumn("parenchyma", parenchyma)
+    df = df.withColumn("brain_healthy", F.coalesce("brain_healthy", "parenchyma"))
+    return df.withColumn("csf", F.coalesce(F.col("csf_given"), F.col("csf_pve") >= 0.5))
