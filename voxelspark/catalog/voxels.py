@@ -341,7 +341,7 @@ def voxel_size(spark, sf):
     return df.withColumn("ml", G.Grid(1, 1, 1, "vx", "vy", "vz").voxel_volume() / 1000)
 
 
-_PV = "[p_nec/5.0, p_enh/4.0, p_mix/3.0, p_nec*p_enh, p_enh*p_mix]"
+_PV = "[p_nec/7.0, p_enh/11.0, p_mix/3.0, p_nec*p_enh/13.0, p_enh*p_mix/17.0]"
 
 
 @_vq(
