@@ -605,7 +605,7 @@ def cubes(spark, sf):
     f"(x//4)*100000000+(y//4)*10000+z//4 AS cell, {TUMOUR} AS y1 FROM vm) GROUP BY 1,2 HAVING n_pos>0 AND n_neg>0",
 )
 def common_cells(spark, sf):
-    df = _vm(spark, sf).select("patient", G.cell_key([4, 4, 4]).alias("cell"), F.expr(f"CAST({TUMOUR} AS INT)").alias("y"))
+    df = _vm(spark, sf).select("patient", G.cell_key([4, 4, 4]).alias("cell"), F.expr(f"CAST({TUMOUR} AS INT)").alias("target"))
     return G.common_cells(df, KEYS)
 
 

@@ -208,7 +208,7 @@ def union_masks(parts: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFram
     return tagged.groupBy(*keys, *AXES).agg(*flags).withColumn("any", F.lit(True))
 
 
-def common_cells(cells: DataFrame, keys: Sequence[str], cell: str = "cell", klass: str = "y") -> DataFrame:
+def common_cells(cells: DataFrame, keys: Sequence[str], cell: str = "cell", klass: str = "target") -> DataFrame:
     """Cells holding voxels of both classes, with the class counts."""
     counts = cells.groupBy(*keys, cell).agg(
         F.count_if(F.col(klass) == 1).alias("n_pos"), F.count_if(F.col(klass) == 0).alias("n_neg")
