@@ -1 +1,304 @@
-"""Registered queries (area to fill)."""
+"""Registered queries: classifiers, forests, proximities, clustering."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..functions import series as TS
+from ..operators import columns as C, evaluation as E, learning as L, quality as Q
+from ..operators.grid import Grid
+from ..operators.ranking import choose
+from ..plans import clustering as PC, experiment as PX
+from ..session import cut_lineage
+from .hotspots import MIN_DIST, MIN_VOXELS
+from .morphology import GRID, KEYS, SPACING
+from .registry import query
+from .splits import pools
+from .timeseries import auto_labels
+from .voxels import masks_table
+
+SGRID = Grid(5, 5, 5, fx.VX, fx.VY, fx.VZ)
+TREES, DEPTH = 10, 6
+
+
+def samples(spark, sf):
+    """Normalised series as features, half of the labels as target, every fourth voxel for validation."""
+    df = fx.series(spark, sf)
+    return cut_lineage(
+        df.select(
+            "patient", "flat_idx", F.expr("CAST(label < 5 AS INT)").alias("target"), F.expr("flat_idx % 4 = 0").alias("val"), array_to_vector(TS.ts_normalized(F.col("ts"))).alias("features")
+        )
+    )
+
+
+def _scored(spark, sf, name, **options):
+    df = samples(spark, sf)
+    return L.train(name, df.where("NOT val"), **options).predict(df)
+
+
+P_COLS = "patient:i flat_idx:i target:i p:d4"
+
+
+@query("l2_random_forest", P_COLS)
+def forest(spark, sf):
+    return _scored(spark, sf, "Random_Forest", trees=TREES, depth=DEPTH)
+
+
+@query("l3_positive_probability", "val:b target:i n:i in_range:i")
+def probability(spark, sf):
+    p = _scored(spark, sf, "rf", trees=TREES, depth=DEPTH)
+    in_range = F.count_if(F.col("p").between(0, 1)).alias("in_range")
+    return p.groupBy("val", "target").agg(F.count(F.lit(1)).alias("n"), in_range)
+
+
+@query("l4_feature_importance", "feature:i importance:d6")
+def importance(spark, sf):
+    df = samples(spark, sf)
+    fitted = L.train_forest(df.where("NOT val"), 42, TREES, DEPTH)
+    values = [float(v) for v in fitted.models[0].featureImportances.toArray()]
+    return df.limit(1).select(F.posexplode(F.lit(values)).alias("feature", "importance"))
+
+
+@query("l5_calibrated_svm", P_COLS)
+def svm(spark, sf):
+    return _scored(spark, sf, "linear_svm", folds=2, max_iter=30)
+
+
+@query("l6_logistic_regression", P_COLS)
+def logistic(spark, sf):
+    return _scored(spark, sf, "logistic", max_iter=100)
+
+
+@query("l8_perceptron", P_COLS)
+def perceptron(spark, sf):
+    names = [f"t{i}" for i in range(64)]
+    df = fx.series(spark, sf).select(
+        "patient", "flat_idx", F.expr("CAST(label < 5 AS INT)").alias("target"), F.expr("flat_idx % 4 = 0").alias("val"), *[F.col("ts")[i].alias(n) for i, n in enumerate(names)]
+    )
+    df = cut_lineage(L.assemble(C.standardise(df, [], names, fit=~F.col("val")), names))
+    return L.train("mlp", df.where("NOT val"), n_features=64, max_iter=30).predict(df)
+
+
+@query("l9_three_classifiers", "clf val_auc:d4 val_ap:d4 val_brier:d4 val_bal_acc:d4")
+def three_classifiers(spark, sf):
+    """Three classifiers on one sample, scored on the same validation voxels."""
+    df = samples(spark, sf)
+    p = L.compare_classifiers(df.where("NOT val"), df.where("val"), 42, TREES, DEPTH, max_iter=20)
+    long = E.unpivot(p, ["patient", "flat_idx", "target"], {"rf": "p_rf", "svm": "p_svm", "lr": "p_lr"})
+    return E.validation_metrics(cut_lineage(long), ["clf"], "target", "score")
+
+
+@query("x2_classifier_registry", "clf n:i")
+def classifier_registry(spark, sf):
+    """Every accepted name of the logistic classifier gives the same number of scores."""
+    df = samples(spark, sf)
+    out = None
+    for name in L.CLASSIFIER_NAMES["logreg"]:
+        part = L.train(name, df.where("NOT val"), max_iter=20).predict(df)
+        part = part.groupBy(F.lit(name).alias("clf")).agg(F.count("p").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("l10_leave_one_out_forest", "patient:i n:i auc:d4 accuracy:d4")
+def leave_one_out(spark, sf):
+    """Quality forest of each held-out patient, judged on its labelled voxels."""
+    df = L.assemble(auto_labels(spark, sf), Q.VOXEL_FEATURES)
+    scored = cut_lineage(L.leave_one_out_forest(df, "patient", "quality", 42, TREES, DEPTH))
+    labelled = scored.where("quality <> -1").withColumn("target", F.col("quality"))
+    ranked = E.ranked_metrics(E.score_table(labelled, KEYS, "target", "p"), KEYS, "p")
+    cut = E.threshold_metrics(labelled, KEYS, "target", "p")
+    counts = scored.groupBy("patient").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(ranked, "patient", "left").join(cut, "patient", "left").withColumnRenamed("val_auc", "auc")
+
+
+# ---- proximity -----------------------------------------------------------------------------
+
+_LEAF_SQL = {
+    "lf": "SELECT flat_idx+patient*1000 AS id, label%2 AS k, [floor(ts[1]/2), floor(ts[9]/3), floor(ts[17]/4), floor(ts[33]/5)] AS lv FROM series",
+    "pp": "SELECT a.id, b.id AS other, b.k, (CAST(a.lv[1]=b.lv[1] AS INT)+CAST(a.lv[2]=b.lv[2] AS INT)+CAST(a.lv[3]=b.lv[3] AS INT)+CAST(a.lv[4]=b.lv[4] AS INT))/4.0 AS pr FROM lf a, lf b",
+}
+
+
+def _leaves(spark, sf):
+    pick = [F.floor(F.col("ts")[i] / d) for i, d in ((0, 2), (8, 3), (16, 4), (32, 5))]
+    return fx.series(spark, sf).select((F.col("flat_idx") + F.col("patient") * 1000).alias("id"), (F.col("label") % 2).alias("k"), F.array(*pick).alias("leaves"))
+
+
+@query(
+    "j10_class_proximity",
+    "id:i k:i proximity:d6",
+    fx.with_views("SELECT id, k, AVG(pr) AS proximity FROM pp GROUP BY 1,2 HAVING SUM(pr)>0", "series", extra=_LEAF_SQL),
+)
+def class_proximity(spark, sf):
+    """Mean proximity to each class on a given leaf table, without pairs."""
+    return L.class_proximity(_leaves(spark, sf), "id", "k")
+
+
+@query(
+    "j10_anchor_proximity",
+    "id:i ws:d6",
+    fx.with_views(
+        "SELECT p.id, SUM(pr*(pos*7%11+1)) AS ws FROM pp p JOIN (SELECT id, ROW_NUMBER() OVER (ORDER BY id) AS pos FROM (SELECT id, ROW_NUMBER() OVER (ORDER BY md5('42:'||id), id) AS r FROM lf) WHERE r<=50) a ON a.id=p.other GROUP BY 1",
+        "series",
+        extra=_LEAF_SQL,
+    ),
+)
+def anchor_proximity(spark, sf):
+    """Proximity rows against a seeded sample of 50 anchors."""
+    leaves = cut_lineage(_leaves(spark, sf))
+    near = L.anchor_proximity(leaves, choose(leaves, [], "id", 50), "id")
+    weighted = F.transform("proximity", lambda v, i: v * (((i + 1) * 7) % 11 + 1))
+    return near.withColumn("ws", F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v))
+
+
+@query("j10_forest_proximity", "id:i target:i proximity:d4")
+def forest_proximity(spark, sf):
+    """Class proximity from the leaves of a trained forest."""
+    df = samples(spark, sf).withColumn("id", F.col("flat_idx") + F.col("patient") * 1000)
+    fitted = L.train_forest(df.where("NOT val"), 42, TREES, DEPTH)
+    return L.class_proximity(cut_lineage(L.leaf_table(fitted, df).select("id", "target", "leaves")), "id", "target")
+
+
+# ---- clustering ----------------------------------------------------------------------------
+
+DIMS = ["a", "b", "c"]
+
+
+def _points(spark, sf):
+    df = fx.series(spark, sf)
+    return df.select((F.col("flat_idx") + F.col("patient") * 1000).alias("id"), "label", *[F.col("ts")[i].alias(n) for i, n in ((0, "a"), (20, "b"), (40, "c"))])
+
+
+_PTS = {"pt": "SELECT flat_idx+patient*1000 AS id, label, ts[1] AS a, ts[21] AS b, ts[41] AS c FROM series"}
+
+
+@query(
+    "l11_variance_threshold",
+    "column_name",
+    fx.with_views(
+        " UNION ALL ".join(f"SELECT '{c}' AS column_name FROM pt2 HAVING var_pop({c})>1e-8" for c in ("a", "b", "c", "k", "tiny")),
+        "series",
+        extra={**_PTS, "pt2": "SELECT *, 3.0::DOUBLE AS k, a*1e-6::DOUBLE AS tiny FROM pt"},
+    ),
+)
+def variance_threshold(spark, sf):
+    """Columns kept out of five, two of them nearly constant."""
+    df = _points(spark, sf).withColumns({"k": F.lit(3.0), "tiny": F.col("a") * 1e-6})
+    kept = C.varying_columns(df, ["a", "b", "c", "k", "tiny"])
+    return df.limit(1).select(F.explode(F.lit(kept)).alias("column_name"))
+
+
+@query("l12_principal_components", "component:i variance_share:d6 spread:d4")
+def principal_components(spark, sf):
+    df, names, shares = L.principal_components(cut_lineage(_points(spark, sf)), DIMS)
+    spread = df.agg(F.array(*[F.var_samp(n) for n in names]).alias("s"))
+    return spread.select(F.posexplode(F.arrays_zip(F.lit(shares).alias("v"), "s")).alias("component", "e")).select(
+        "component", F.col("e.v").alias("variance_share"), F.col("e.s").alias("spread")
+    )
+
+
+@query(
+    "l15_cluster_indices",
+    "calinski_harabasz:d6 davies_bouldin:d6",
+    fx.with_views(
+        "SELECT (SELECT SUM(n*(pow(ca-ga,2)+pow(cb-gb,2)+pow(cc-gc,2)))/(COUNT(*)-1) FROM ce, (SELECT AVG(a) AS ga, AVG(b) AS gb, AVG(c) AS gc FROM pt)) / "
+        "(SELECT SUM(d*d)/(COUNT(*)-(SELECT COUNT(*) FROM ce)) FROM di) AS calinski_harabasz, (SELECT AVG(w) FROM (SELECT p.label, MAX((p.s+q.s)/sqrt(pow(p.ca-q.ca,2)+pow(p.cb-q.cb,2)+pow(p.cc-q.cc,2))) AS w "
+        "FROM sp p JOIN sp q ON p.label<>q.label GROUP BY 1)) AS davies_bouldin",
+        "series",
+        extra={
+            **_PTS,
+            "ce": "SELECT label, COUNT(*) AS n, AVG(a) AS ca, AVG(b) AS cb, AVG(c) AS cc FROM pt GROUP BY 1",
+            "di": "SELECT pt.label, sqrt(pow(a-ca,2)+pow(b-cb,2)+pow(c-cc,2)) AS d FROM pt JOIN ce ON ce.label=pt.label",
+            "sp": "SELECT ce.*, (SELECT AVG(d) FROM di WHERE di.label=ce.label) AS s FROM ce",
+        },
+    ),
+)
+def cluster_indices(spark, sf):
+    df = cut_lineage(_points(spark, sf))
+    v = L.cluster_indices(df, DIMS, "label")
+    return df.limit(1).select(*[F.lit(v[n]).alias(n) for n in ("calinski_harabasz", "davies_bouldin")])
+
+
+@query(
+    "l15_silhouette",
+    "id:i label:i silhouette:d6",
+    fx.with_views(
+        "SELECT id, label, CASE WHEN MAX(CASE WHEN l2=label THEN n END)<=1 THEN 0 ELSE (MIN(CASE WHEN l2<>label THEN s/n END)-MAX(CASE WHEN l2=label THEN s/(n-1) END))"
+        "/GREATEST(MIN(CASE WHEN l2<>label THEN s/n END), MAX(CASE WHEN l2=label THEN s/(n-1) END)) END AS silhouette FROM "
+        "(SELECT p.id, p.label, q.label AS l2, SUM(sqrt(pow(p.a-q.a,2)+pow(p.b-q.b,2)+pow(p.c-q.c,2))) AS s, COUNT(*) AS n FROM pt p, pt q GROUP BY 1,2,3) GROUP BY 1,2",
+        "series",
+        extra=_PTS,
+    ),
+)
+def silhouette(spark, sf):
+    return L.silhouette(_points(spark, sf), DIMS, "label", "id")
+
+
+@query("l13_kmeans", "cluster:i n:i")
+def kmeans(spark, sf):
+    return L.fit_clusters(_points(spark, sf), DIMS, 3, "kmeans").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l13_gaussian_mixture", "cluster:i n:i")
+def mixture(spark, sf):
+    return L.fit_clusters(_points(spark, sf), DIMS, 3, "gmm").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l14_restart_selection", "cluster:i n:i")
+def restarts(spark, sf):
+    return L.fit_clusters(_points(spark, sf), DIMS, 4, "kmeans", restarts=3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+_R2 = "((x-2)*(x-2)+(y-2)*(y-2)+(z-2)*(z-2))"
+
+
+def _clinical(spark, sf):
+    """Series with a small tumour, partial volumes and two structural maps."""
+    from ..operators import masks as M
+
+    df = fx.series(spark, sf)
+    df = df.withColumns(
+        {
+            "brain": F.lit(True),
+            "seg": F.expr(f"CASE WHEN {_R2}<=1 THEN 1 WHEN {_R2}<=2 THEN 3 WHEN {_R2}<=4 THEN 2 ELSE 0 END"),
+            "gm_pve": F.expr("CASE WHEN x<2 THEN 0.9D ELSE 0.1D END"),
+            "wm_pve": F.expr("CASE WHEN x>2 THEN 0.9D ELSE 0.1D END"),
+            "t1": F.get("ts", F.lit(3)),
+            "t2": F.get("ts", F.lit(7)),
+        }
+    )
+    return cut_lineage(M.region_flags(df.drop("label", "wm"), "seg"))
+
+
+@query("l16_bold_clustering", "cluster:i n:i")
+def bold_clustering(spark, sf):
+    out = PC.cluster("bold", fx.series(spark, sf).drop("label", "wm"), KEYS, SGRID, k=3, algo="kmeans", pca_cap=4)
+    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l17_multimodal_clustering", "cluster:i n:i")
+def multimodal_clustering(spark, sf):
+    out = PC.cluster("multi", _clinical(spark, sf), KEYS, SGRID, ["t1", "t2"], k=3, algo="kmeans", pca_cap=4)
+    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l18_guided_clustering", "patient:i class_label:i n:i p_healthy:d3")
+def guided_clustering(spark, sf):
+    out = PC.cluster("guided", _clinical(spark, sf), KEYS, SGRID, maps=["t1", "t2"], pca_cap=6)
+    return out.groupBy("patient", "class_label").agg(F.count(F.lit(1)).alias("n"), F.avg("p_healthy").alias("p_healthy"))
+
+
+@query("x3_detector_dispatch", "patient:i pct:i rank_:i size_voxels:i p_bin:i")
+def full_experiment(spark, sf):
+    """The whole supervised analysis: folds, three classifiers, ensemble and ranked hotspots."""
+    masks = cut_lineage(masks_table(spark, sf))
+    voxels = masks.where("brain").select("patient", *"xyz", "flat_idx", "p_nec", "p_enh", "p_mix", F.col("n").cast("double").alias("n"))
+    maps, _ = PX.fold_probabilities(
+        voxels, ["p_nec", "p_enh", "p_mix", "n"], pools(spark, sf), KEYS, GRID, SPACING, folds=1, n_per_class=60, trees=TREES, depth=DEPTH, block_mm=8.0, buffer_mm=2.0, max_iter=20
+    )
+    ensemble = E.ensemble(maps, ["patient", "clf", "flat_idx"])
+    ranked = PX.hotspots_of_ensemble(ensemble, masks, KEYS, GRID, SPACING, min_voxels=MIN_VOXELS, min_dist_mm=MIN_DIST)
+    return ranked.select("patient", "pct", F.col("rank").alias("rank_"), "size_voxels", F.floor(F.col("mean_prob") * 10).alias("p_bin"))

@@ -16,6 +16,10 @@ def with_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Column], of:
     size allows and otherwise splits a skewed key.
     """
     source = df if of is None else of
+    if not keys:
+        named = source.agg(*stats)
+        one = named.select(F.struct(*named.columns)).scalar()
+        return df.withColumn("_all", one).select(*df.columns, "_all.*")
     return df.join(source.groupBy(*keys).agg(*stats), list(keys), "left")
 
 
