@@ -259,7 +259,7 @@ _PROG_BODY = (
 
 
 def _progression(spark, sf):
-    enh = cut_lineage(M.enhancement(followup_table(spark, sf), ["patient", "visit"], "v", wm="wm"))
+    enh = cut_lineage(M.enhancement(cut_lineage(followup_table(spark, sf)), ["patient", "visit"], "v", wm="wm"))
     return FU.progression(enh, fx.vox_mask(spark, sf).where(SUPRA), KEYS, 1995)
 
 
@@ -285,5 +285,5 @@ def followup_record(spark, sf):
     ),
 )
 def new_enhancement(spark, sf):
-    enh = cut_lineage(M.enhancement(followup_table(spark, sf), ["patient", "visit"], "v", wm="wm"))
+    enh = cut_lineage(M.enhancement(cut_lineage(followup_table(spark, sf)), ["patient", "visit"], "v", wm="wm"))
     return FU.new_enhancement(enh, KEYS, 1995).where("is_new")

@@ -105,8 +105,8 @@ def recursive(text: str) -> str:
     recursive(fx.with_views("SELECT patient, flat_idx, cid FROM comp", "vm", extra=_components_sql(2))),
 )
 def components_18(spark, sf):
-    """Components of the suprathreshold voxels, merged across blocks of eight."""
-    return S.connected_components(fx.vox_mask(spark, sf).where(SUPRA), KEYS, GRID, 18, block=8)
+    """Components of the suprathreshold voxels, merged across blocks of 16."""
+    return S.connected_components(fx.vox_mask(spark, sf).where(SUPRA), KEYS, GRID, 18, block=16)
 
 
 @query(

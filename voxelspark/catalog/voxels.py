@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import columns as C, grid as G, masks as M, spatial as S
 from ..operators.ranking import seeded_key
+from ..session import cut_lineage
 from .morphology import CORE, GRID, KEYS, SPACING, TUMOUR
 from .registry import query
 
@@ -90,7 +91,7 @@ def _masks_sql(margin: int, band: int, controlled: int | None) -> dict[str, str]
 
 
 def masks_table(spark, sf, **kw):
-    df = _vm(spark, sf).withColumns({"necro": F.expr("seg_a=1"), "enh": F.expr("seg_a=3"), "edema": F.expr("seg_a=2")})
+    df = cut_lineage(_vm(spark, sf)).withColumns({"necro": F.expr("seg_a=1"), "enh": F.expr("seg_a=3"), "edema": F.expr("seg_a=2")})
     options = dict(positive="enhancing_plus_necrosis", band_steps=7, parc="parc")
     return M.train_masks(df, KEYS, **{**options, **kw})
 
@@ -179,7 +180,7 @@ _CONS = {
     **_CONS,
 )
 def consensus(spark, sf):
-    return M.consensus(_vm(spark, sf), KEYS, ["seg_a", "seg_b"], "parc").withColumnRenamed("between", "between_")
+    return M.consensus(cut_lineage(_vm(spark, sf)), KEYS, ["seg_a", "seg_b"], "parc").withColumnRenamed("between", "between_")
 
 
 @_vq(
@@ -194,7 +195,7 @@ def consensus(spark, sf):
 )
 def consensus_counts(spark, sf):
     segs = ["seg_a", "seg_b"]
-    masks = M.consensus(_vm(spark, sf), KEYS, segs, "parc")
+    masks = M.consensus(cut_lineage(_vm(spark, sf)), KEYS, segs, "parc")
     return M.consensus_counts(masks, KEYS, segs).withColumnRenamed("between", "between_")
 
 
@@ -493,7 +494,7 @@ _FALL = "CASE WHEN bool_or(s_{c}) OVER (PARTITION BY patient) THEN s_{c} ELSE r_
 )
 def guided_seeds(spark, sf):
     """Eroded seeds per class with the fallback for empty tumour seeds."""
-    df = _vm(spark, sf).withColumns({c: F.expr(e) for c, e in _SEED_FLAGS.items()})
+    df = cut_lineage(_vm(spark, sf).withColumns({c: F.expr(e) for c, e in _SEED_FLAGS.items()}))
     eroded = {c: S.erode(df.where(c), KEYS, 1) for c in _SEED_FLAGS}
     return M.guided_seeds(df, KEYS, eroded, list(_SEED_FLAGS))
 
@@ -518,7 +519,7 @@ def followup_table(spark, sf):
 )
 def enhancement(spark, sf):
     """Voxels at or above 1.5 times the white-matter median of each visit."""
-    return M.enhancement(followup_table(spark, sf), ["patient", "visit"], "v", wm="wm")
+    return M.enhancement(cut_lineage(followup_table(spark, sf)), ["patient", "visit"], "v", wm="wm")
 
 
 # ---- joins ---------------------------------------------------------------------------------

@@ -23,6 +23,14 @@ def with_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Column], of:
     return df.join(source.groupBy(*keys).agg(*stats), list(keys), "left")
 
 
+def attach(df: DataFrame, row: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join one row per key; without keys the single row is added as constants."""
+    if keys:
+        return df.join(row, list(keys))
+    one = row.select(F.struct(*row.columns)).scalar()
+    return df.withColumn("_all", one).select(*df.columns, "_all.*")
+
+
 def zmap(df: DataFrame, keys: Sequence[str], value: str, mask: Column, out: str) -> DataFrame:
     """(v - mean) / (sd + 1e-6) with mean and sd over the masked rows, applied to every row."""
     inside = F.when(mask, F.col(value))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tails
 from ..session import cut_lineage
-from .columns import with_stats
+from .columns import attach, with_stats
 from .ranking import bh_adjusted, exact_percentiles, mid_ranks, value_prefix
 
 # Compared metrics, classifier pairs and effect-size limits.
@@ -293,7 +293,7 @@ def fold_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def map_agreement(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Pearson and Spearman correlation, mean absolute and root mean square difference."""
     keys = list(keys)
-    ranked = df.select(*keys, a, b)
+    ranked = df = cut_lineage(df.select(*keys, a, b))
     for c in (a, b):
         ranks = mid_ranks(df, keys, c, f"_r_{c}").drop("n")
         ranked = ranked.join(ranks, [*keys, c])
@@ -316,6 +316,7 @@ def map_agreement(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFra
 def hotspot_dice(df: DataFrame, keys: Sequence[str], a: str, b: str, percentiles: Sequence[int] = (90, 95)) -> DataFrame:
     """Overlap of the voxels above each map's own percentile, one row per key and percentile."""
     keys = list(keys)
+    df = cut_lineage(df.select(*keys, a, b))
     cuts = None
     for c, tag in ((a, "a"), (b, "b")):
         part = exact_percentiles(df, keys, c, {f"{tag}{p}": p / 100 for p in percentiles}).drop("n")
@@ -327,7 +328,7 @@ def hotspot_dice(df: DataFrame, keys: Sequence[str], a: str, b: str, percentiles
         ]
     )
     cuts = cuts.select(*keys, rows.alias("_cuts"))
-    rows_in = df.select(*keys, a, b).join(cuts, keys).select(*keys, a, b, F.inline("_cuts"))
+    rows_in = attach(df, cuts, keys).select(*keys, a, b, F.inline("_cuts"))
     above_a, above_b = F.col(a) >= F.col("threshold_a"), F.col(b) >= F.col("threshold_b")
     out = rows_in.groupBy(*keys, "pct").agg(
         F.max("threshold_a").alias("threshold_a"),
@@ -353,7 +354,7 @@ def calibration_bins(
         edges = F.array_distinct(F.array(*[f"q{i}" for i in range(n_bins + 1)]))
         cuts = cuts.select(*keys, edges.alias("_e"))
         inner = F.slice("_e", F.lit(2), F.greatest(F.size("_e") - 2, F.lit(0)))
-        df = df.join(cuts, keys).withColumn("_inner", inner)
+        df = attach(df, cuts, keys).withColumn("_inner", inner)
     else:
         df = df.withColumn("_inner", F.lit([i / n_bins for i in range(1, n_bins)]))
     bin_no = F.size(F.filter("_inner", lambda e: e <= F.col(score)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as A, series as TS, tails
 from ..session import cut_lineage
+from .columns import attach
 from .evaluation import adjust_p
 from .grid import AXES, Grid
 from .ranking import exact_percentiles, top_k, value_prefix
@@ -32,7 +33,7 @@ def thresholded(region: DataFrame, keys: Sequence[str], p: str, percentiles: Seq
     cuts = exact_percentiles(region, keys, p, {f"t{q}": q / 100 for q in percentiles})
     rows = F.array(*[F.struct(F.lit(q).alias("pct"), F.col(f"t{q}").alias("threshold")) for q in percentiles])
     cuts = cuts.select(*keys, rows.alias("_cuts"))
-    out = region.join(cuts, list(keys)).select(*region.columns, F.inline("_cuts"))
+    out = attach(region, cuts, keys).select(*region.columns, F.inline("_cuts"))
     return out.withColumn("hot", F.col(p) >= F.col("threshold"))
 
 

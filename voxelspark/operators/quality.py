@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import arrays as A, series as TS, spectrum
 from ..session import cut_lineage
-from .columns import with_stats
+from .columns import attach, with_stats
 from .ranking import exact_percentiles, top_k
 
 # Limits of the automatic voxel labels.
@@ -175,7 +175,7 @@ def auto_labels(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     t = exact_percentiles(features, keys, "tsnr", {"_t_bad": TSNR_BAD, "_t_good": TSNR_GOOD}).drop("n")
     d = exact_percentiles(features, keys, "dvars_rms", {"_d_bad": DVARS_BAD, "_d_good": DVARS_GOOD}).drop("n")
-    df = features.join(t, keys).join(d, keys) if keys else features.join(F.broadcast(t)).join(F.broadcast(d))
+    df = attach(attach(features, t, keys), d, keys)
     drift_abs, spikes = F.abs("drift_pct_per_min"), F.col("n_spikes_z3")
     noisy = (F.col("dvars_rms") >= F.col("_d_bad")) | (spikes >= SPIKES_BAD) | (drift_abs > DRIFT_BAD)
     bad = (F.col("tsnr") <= F.col("_t_bad")) & noisy

@@ -8,13 +8,15 @@ quantiles, and only the small per-range totals are accumulated per group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 
-RANGES = 64
+ROWS_PER_RANGE = 2_000_000
+MIN_RANGES, MAX_RANGES = 8, 4096
 _BEFORE = (W.unboundedPreceding, -1)
 
 
@@ -22,28 +24,42 @@ def _window(keys: Sequence[str]):
     return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
 
 
+def _range_number(value: str, bounds: Sequence[float]) -> Column:
+    """How many sorted bounds lie below the value, by a coarse and a fine look-up."""
+    width = max(1, int(len(bounds) ** 0.5))
+    blocks = [list(bounds[i : i + width]) for i in range(0, len(bounds), width)]
+    below = lambda b: b < F.col(value)
+    coarse = F.size(F.filter(F.lit([b[0] for b in blocks]), below))
+    fine = F.size(F.filter(F.element_at(F.array(*[F.lit(b) for b in blocks]), coarse), below))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + fine)
+
+
 def value_prefix(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     measures: Mapping[str, Column],
-    ranges: int = RANGES,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Per distinct ``value``: each measure, its sum below (``<m>_before``) and in all (``<m>_total``).
 
     ``measures`` are sum-like aggregates (``F.count``, ``F.sum``).  The result keeps the range
     number ``_range`` for further steps along the same order.  The distinct values are used three
     times (range bounds, range totals, rows), so they are written once and ``df`` runs once.
+    The number of ranges follows the number of distinct values; only the bounds (at most 4095
+    numbers) reach the driver.
     """
     keys = list(keys)
     names = list(measures)
     known = df.where(F.col(value).isNotNull())
-    distinct = known.groupBy(*keys, value).agg(*[m.alias(n) for n, m in measures.items()])
-    distinct = cut_lineage(distinct)
-    probs = F.lit([i / ranges for i in range(1, ranges)])
-    splits = distinct.select(F.percentile_approx(value, probs, 20 * ranges)).scalar()
-    distinct = distinct.withColumn("_splits", splits)
-    distinct = distinct.withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
+    distinct = cut_lineage(known.groupBy(*keys, value).agg(*[m.alias(n) for n, m in measures.items()]))
+    n_rows = distinct.count()
+    ranges = min(MAX_RANGES, max(MIN_RANGES, math.ceil(n_rows / rows_per_range)))
+    probs = [i / ranges for i in range(1, ranges)]
+    bounds = distinct.select(F.percentile_approx(value, F.lit(probs), 10 * ranges)).first()[0] or []
+    bounds = sorted({float(b) for b in bounds})
+    number = _range_number(value, bounds) if bounds else F.lit(0)
+    distinct = distinct.withColumn("_range", number)
 
     totals = distinct.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in names])
     group = _window(keys)
@@ -126,34 +142,33 @@ def seeded_key(seed: Column | int | str, ident: Column) -> Column:
     return F.md5(F.concat(seed.cast("string"), F.lit(":"), ident.cast("string")))
 
 
-def choose(
-    df: DataFrame,
-    groups: Sequence[str],
-    ident: str,
-    n: Column | int,
-    seed: Column | int = 42,
-    digits: int = 2,
-) -> DataFrame:
+def _slice_offsets(rows: DataFrame, by: Sequence[str], piece: str) -> DataFrame:
+    """Rows before each slice of a group, and in it."""
+    counts = rows.groupBy(*by, piece).agg(F.count(F.lit(1)).alias("_ch_c"))
+    before = _window(by).orderBy(piece).rowsBetween(*_BEFORE)
+    return counts.select(*by, piece, "_ch_c", F.coalesce(F.sum("_ch_c").over(before), F.lit(0)).alias("_ch_o"))
+
+
+def choose(df: DataFrame, groups: Sequence[str], ident: str, n: Column | int, seed: Column | int = 42) -> DataFrame:
     """Exactly ``n`` rows per group in the order of a seeded hash of ``ident``.
 
-    The hash is uniform, so its leading hex digits cut each group into even slices.
-    Slice counts decide which slices are taken whole and which one is cut, so no group is
-    ever sorted in one task.  ``n`` may be a column that is constant within a group.
+    The hash is uniform, so its hex digits cut each group into even slices.  Slice counts
+    decide which of 256 slices are taken whole; the one that is cut is divided by two more
+    digits, so a group of any size is ordered in pieces of 1/65536.  ``n`` may be a column
+    that is constant within a group.
     """
     groups = list(groups)
-    n = n if isinstance(n, Column) else F.lit(n)
-    hashed = df.withColumn("_h", seeded_key(seed, F.col(ident))).withColumn("_s", F.substring("_h", 1, digits))
-    counts = hashed.groupBy(*groups, "_s").agg(F.count(F.lit(1)).alias("_c"))
-    before = _window(groups).orderBy("_s").rowsBetween(*_BEFORE)
-    offsets = counts.select(*groups, "_s", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(*groups, "_s").orderBy("_h", ident)
-    return (
-        hashed.join(offsets, [*groups, "_s"])
-        .where(F.col("_off") < n)
-        .withColumn("_r", F.col("_off") + F.row_number().over(inside))
-        .where(F.col("_r") <= n)
-        .drop("_h", "_s", "_off", "_r")
-    )
+    rows = df.withColumn("_ch_n", (n if isinstance(n, Column) else F.lit(n)).cast("long"))
+    rows = rows.withColumn("_ch_h", seeded_key(seed, F.col(ident)))
+    rows = rows.withColumns({"_ch_s": F.substring("_ch_h", 1, 2), "_ch_s2": F.substring("_ch_h", 3, 2)})
+    first = _slice_offsets(rows, groups, "_ch_s")
+    rows = rows.join(first, [*groups, "_ch_s"]).where(F.col("_ch_o") < F.col("_ch_n"))
+    rows = rows.withColumn("_ch_left", F.col("_ch_n") - F.col("_ch_o")).withColumn("_ch_cut", F.col("_ch_c") > F.col("_ch_left")).drop("_ch_c", "_ch_o")
+    second = _slice_offsets(rows.where("_ch_cut"), [*groups, "_ch_s"], "_ch_s2").drop("_ch_c")
+    rows = rows.join(second, [*groups, "_ch_s", "_ch_s2"], "left").where("NOT _ch_cut OR _ch_o < _ch_left")
+    inside = W.partitionBy(*groups, "_ch_s", "_ch_s2").orderBy("_ch_h", ident)
+    rows = rows.withColumn("_ch_r", F.coalesce("_ch_o", F.lit(0)) + F.row_number().over(inside))
+    return rows.where("NOT _ch_cut OR _ch_r <= _ch_left").select(*df.columns)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
