@@ -22,7 +22,7 @@ def total(a: Column) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return total(a) / F.size(a)
+    return F.try_divide(total(a), F.size(a))
 
 
 def squares(a: Column, centre: Column) -> Column:
@@ -30,7 +30,7 @@ def squares(a: Column, centre: Column) -> Column:
 
 
 def variance(a: Column, ddof: int = 0) -> Column:
-    return let(mean(a), lambda m: squares(a, m) / (F.size(a) - ddof))
+    return let(mean(a), lambda m: F.try_divide(squares(a, m), F.size(a) - ddof))
 
 
 def std(a: Column, ddof: int = 0) -> Column:

@@ -65,7 +65,7 @@ def trend_slope(ts: Column, step: float) -> Column:
     n = F.size(ts)
     centre = (n - 1) / 2.0
     spread = n * (n * n - 1) / 12.0
-    return A.let(centre, lambda c: A.total(F.transform(ts, lambda v, i: v * (i - c)))) / (spread * step)
+    return F.try_divide(A.let(centre, lambda c: A.total(F.transform(ts, lambda v, i: v * (i - c)))), spread * step)
 
 
 def _weights(sigma: float, radius: int) -> list[float]:

@@ -97,8 +97,8 @@ def delong(df: DataFrame, keys: Sequence[str], scores: dict[str, str], pairs: Se
     df = samples = df.select(*keys, y, *scores.values())
     for name, col in scores.items():
         table = score_table(samples, keys, y, col)
-        below = (F.col("neg_before") + F.col("neg") / 2) / F.col("neg_total")
-        above = 1 - (F.col("pos_before") + F.col("pos") / 2) / F.col("pos_total")
+        below = F.try_divide(F.col("neg_before") + F.col("neg") / 2, F.col("neg_total"))
+        above = 1 - F.try_divide(F.col("pos_before") + F.col("pos") / 2, F.col("pos_total"))
         table = table.select(*keys, col, below.alias("_v1"), above.alias("_v0"))
         df = df.join(table, [*keys, col]).withColumn(f"_{name}", F.when(F.col(y) == 1, F.col("_v1")).otherwise(F.col("_v0")))
         df = df.drop("_v1", "_v0")
@@ -116,7 +116,7 @@ def delong(df: DataFrame, keys: Sequence[str], scores: dict[str, str], pairs: Se
     wide = df.groupBy(*keys).agg(*stats)
 
     def joint(a: str, b: str) -> Column:
-        return F.col(f"p_{a}_{b}") / F.col("m") + F.col(f"n_{a}_{b}") / F.col("n")
+        return F.try_divide(F.col(f"p_{a}_{b}"), F.col("m")) + F.try_divide(F.col(f"n_{a}_{b}"), F.col("n"))
 
     rows = F.array(
         *[

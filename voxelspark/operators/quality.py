@@ -83,7 +83,7 @@ def drift(signal: DataFrame, keys: Sequence[str], tr: float = 1.8) -> DataFrame:
     )
     base = F.when(F.col("_a") != 0, F.col("_a")).otherwise(F.col("_m"))
     ok = (F.col("n_volumes") >= 3) & (F.col("_s") > 0)
-    return out.select(*keys, "n_volumes", F.when(ok, 100.0 * F.col("_b") / base * 60.0).alias("drift_pct_per_min"))
+    return out.select(*keys, "n_volumes", F.when(ok, F.try_divide(100.0 * F.col("_b"), base) * 60.0).alias("drift_pct_per_min"))
 
 
 def displacement(motion: DataFrame, keys: Sequence[str], t: str = "t", radius: float = HEAD_RADIUS_MM) -> DataFrame:
