@@ -58,7 +58,7 @@ def importance(spark, sf):
     df = samples(spark, sf)
     fitted = L.train_forest(df.where("NOT val"), 42, TREES, DEPTH)
     values = [float(v) for v in fitted.models[0].featureImportances.toArray()]
-    return df.limit(1).select(F.posexplode(F.lit(values)).alias("feature", "importance"))
+    return spark.createDataFrame(list(enumerate(values)), "feature int, importance double")
 
 
 @query("l5_calibrated_svm", P_COLS)
@@ -188,7 +188,7 @@ def variance_threshold(spark, sf):
     """Columns kept out of five, two of them nearly constant."""
     df = _points(spark, sf).withColumns({"k": F.lit(3.0), "tiny": F.col("a") * 1e-6})
     kept = C.varying_columns(df, ["a", "b", "c", "k", "tiny"])
-    return df.limit(1).select(F.explode(F.lit(kept)).alias("column_name"))
+    return spark.createDataFrame([(c,) for c in kept], "column_name string")
 
 
 @query("l12_principal_components", "component:i variance_share:d6 spread:d4")
@@ -219,7 +219,7 @@ def principal_components(spark, sf):
 def cluster_indices(spark, sf):
     df = cut_lineage(_points(spark, sf))
     v = L.cluster_indices(df, DIMS, "label")
-    return df.limit(1).select(*[F.lit(v[n]).alias(n) for n in ("calinski_harabasz", "davies_bouldin")])
+    return spark.createDataFrame([v])
 
 
 @query(

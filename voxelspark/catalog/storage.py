@@ -266,7 +266,7 @@ def split_cache(spark, sf):
     path = _folder(spark, "splits")
     df = pools(spark, sf)
     first = sinks.cached_split(spark, path, "k1", lambda: P.balanced(df, KEYS, 30, 42))
-    again = sinks.cached_split(spark, path, "k1", lambda: df.limit(0))
+    again = sinks.cached_split(spark, path, "k1", lambda: df.where("false"))
     both = first.withColumn("source", F.lit("fresh")).unionByName(again.withColumn("source", F.lit("cached")))
     return both.groupBy("patient", "target", "source").agg(F.count(F.lit(1)).alias("n"))
 

@@ -179,7 +179,7 @@ def leave_one_out_forest(df: DataFrame, group: str, label: str, seed: int = 42,
             continue
         scored = train_forest(rows, seed, trees, depth).predict(df.where(F.col(group) == F.lit(held)))
         result = scored if result is None else result.unionByName(scored)
-    return df.limit(0).withColumn("p", F.lit(None).cast("double")) if result is None else result
+    return df.where(F.lit(False)).withColumn("p", F.lit(None).cast("double")) if result is None else result
 
 
 # ---- forest proximity ----------------------------------------------------------------------
@@ -201,7 +201,7 @@ def class_proximity(df: DataFrame, ident: str, klass: str, leaves: str = "leaves
     long = df.select(ident, F.size(leaves).alias("_t"), F.posexplode(leaves).alias("tree", "leaf"))
     counts = df.select(klass, F.posexplode(leaves).alias("tree", "leaf")).groupBy("tree", "leaf", klass).agg(F.count(F.lit(1)).alias("_n"))
     sizes = df.groupBy(klass).agg(F.count(F.lit(1)).alias("_size"))
-    shares = counts.join(F.broadcast(sizes), klass).groupBy("tree", "leaf")
+    shares = counts.join(sizes, klass).groupBy("tree", "leaf")
     shares = shares.agg(F.collect_list(F.struct(klass, (F.col("_n") / F.col("_size")).alias("share"))).alias("_s"))
     hits = long.join(shares, ["tree", "leaf"]).select(ident, "_t", F.inline("_s"))
     return hits.groupBy(ident, klass).agg((F.sum("share") / F.max("_t")).alias("proximity"))
