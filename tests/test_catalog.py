@@ -52,3 +52,29 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("name", SPREAD)
 def test_matches_sql(spark, name):
     assert compare(entry.queries()[name](spark, SF), duck(SF), entry.oracle_sql()[name]) is None
+
+
+def test_whole_experiment(spark):
+    """Masks, splits, three classifiers, report and hotspots in one chain."""
+    from voxelspark import fixtures as fx
+    from voxelspark.operators.grid import Grid
+    from voxelspark.plans import experiment as X
+    from voxelspark.session import cut_lineage
+
+    keys, spacing = ["patient"], (fx.VX, fx.VY, fx.VZ)
+    grid = Grid(fx.NX, fx.NY, fx.NZ, *spacing)
+    voxels = fx.vox_mask(spark, SF).withColumnRenamed("seg_a", "seg")
+    masks = cut_lineage(X.analysis_masks(voxels, keys, band_steps=7, parc="parc"))
+    table = masks.where("brain").select("patient", "x", "y", "z", "flat_idx", "p_nec", "p_enh", "p_mix")
+    maps, scores = X.fold_probabilities(
+        table, ["p_nec", "p_enh", "p_mix"], X.training_pools(masks, keys), keys, grid, spacing,
+        folds=2, n_per_class=40, trees=5, depth=4, block_mm=8.0, buffer_mm=2.0, max_iter=10,
+    )
+    report = X.comparison_report(maps, scores, keys)
+    assert report["metrics"].count() == 6
+    assert report["tests"].count() == 12
+    assert report["delong"].count() == 3
+    assert report["decision_curve"].count() == 3 * 98
+    assert report["ensemble"].agg({"n_folds": "max"}).first()[0] == 2
+    ranked = X.hotspots_of_ensemble(report["ensemble"], masks, keys, grid, spacing, min_voxels=3, min_dist_mm=2.0)
+    assert set(ranked.columns) >= {"patient", "pct", "rank", "score", "p_bh_adj"}

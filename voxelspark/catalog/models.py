@@ -90,7 +90,11 @@ def three_classifiers(spark, sf):
     return E.validation_metrics(cut_lineage(long), ["clf"], "target", "score")
 
 
-@query("x2_classifier_registry", "clf n:i")
+@query(
+    "x2_classifier_registry",
+    "clf n:i",
+    "SELECT clf, n FROM (SELECT COUNT(*) AS n FROM embeddings), (SELECT unnest(['" + "','".join(L.CLASSIFIER_NAMES["logreg"]) + "']) AS clf)",
+)
 def classifier_registry(spark, sf):
     """Every accepted name of the logistic classifier gives the same number of scores."""
     df = samples(spark, sf)

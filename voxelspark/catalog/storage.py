@@ -10,12 +10,12 @@ from .. import fixtures as fx
 from ..operators import masks as M, sampling as P
 from ..session import checkpoint_dir, cut_lineage
 from ..sources import sinks, tables as T
-from .hotspots import _clusters
 from ..operators import hotspot as H
+from .hotspots import _clusters, _hq
 from .morphology import KEYS, TUMOUR
 from .registry import query
 from .scoring import _METRICS, _metric_rows
-from .splits import pools
+from .splits import _POOL, pools
 from .voxels import _SEG4, _vm, _vq, masks_table
 
 V = "patient:i flat_idx:i"
@@ -185,7 +185,7 @@ def file_chunks(spark, sf):
     return T.file_chunks(files.unionByName(files), 50)
 
 
-@query("s11_map_sink", "patient:i fold:i n:i total:d4")
+@_vq("s11_map_sink", "patient:i fold:i n:i total:d4", "SELECT patient, 0 AS fold, COUNT(*) AS n, SUM(p) AS total FROM vm GROUP BY 1")
 def map_sink(spark, sf):
     """Probability, mask and label maps written by patient and fold and read back."""
     path = _folder(spark, "maps")
@@ -215,7 +215,11 @@ def run_summary(spark, sf):
     return back.select("trial", "patient", "fold_id", "val_auc", F.col("run_dir").alias("notes"), F.lit(len(back.columns)).alias("n_cols"))
 
 
-@query("s13_cluster_outputs", "patient:i label:i n:i")
+@_vq(
+    "s13_cluster_outputs",
+    "patient:i label:i n:i",
+    f"SELECT patient, CASE WHEN {TUMOUR} THEN flat_idx%4+1 ELSE 0 END AS label, COUNT(*) AS n FROM vm GROUP BY 1,2",
+)
 def cluster_outputs(spark, sf):
     """Label map written beside a one-row settings table that is appended to."""
     path = _folder(spark, "clusters")
@@ -226,7 +230,7 @@ def cluster_outputs(spark, sf):
     return spark.read.parquet(f"{path}/labels").groupBy("patient", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s14_ranking_files", "patient:i pct:i rank_:i size_voxels:i")
+@_hq("s14_ranking_files", "patient:i pct:i rank_:i size_voxels:i", f"SELECT * FROM rk WHERE rank_<={H.MAX_CLUSTERS}")
 def ranking_files(spark, sf):
     """Rankings as CSV and counts as JSON per percentile, read back."""
     path = _folder(spark, "ranking")
@@ -260,7 +264,16 @@ def split_cache_keys(spark, sf):
     return sinks.missing_splits(wanted, spec.where("c_custkey % 4 = 0"))
 
 
-@query("s15_split_cache", "patient:i target:i n:i source")
+@query(
+    "s15_split_cache",
+    "patient:i target:i n:i source",
+    fx.with_views(
+        "SELECT p.patient, target, LEAST(30, np, nn) AS n, source FROM (SELECT DISTINCT patient, target FROM pool) p JOIN (SELECT patient, COUNT(CASE WHEN target=1 THEN 1 END) AS np, "
+        "COUNT(CASE WHEN target=0 THEN 1 END) AS nn FROM pool GROUP BY 1) c ON c.patient=p.patient, (SELECT unnest(['fresh','cached']) AS source)",
+        "vm",
+        extra=_POOL,
+    ),
+)
 def split_cache(spark, sf):
     """A split computed once and loaded the second time."""
     path = _folder(spark, "splits")
