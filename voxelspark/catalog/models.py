@@ -46,7 +46,11 @@ def forest(spark, sf):
     return _scored(spark, sf, "Random_Forest", trees=TREES, depth=DEPTH)
 
 
-@query("l3_positive_probability", "val:b target:i n:i in_range:i")
+@query(
+    "l3_positive_probability",
+    "val:b target:i n:i in_range:i",
+    fx.with_views("SELECT flat_idx%4=0 AS val, CAST(label<5 AS INT) AS target, COUNT(*) AS n, COUNT(*) AS in_range FROM series GROUP BY 1,2", "series"),
+)
 def probability(spark, sf):
     p = _scored(spark, sf, "rf", trees=TREES, depth=DEPTH)
     in_range = F.count_if(F.col("p").between(0, 1)).alias("in_range")
@@ -204,6 +208,18 @@ def principal_components(spark, sf):
     )
 
 
+@query(
+    "l12_total_variance",
+    "total:d4 share:d6",
+    fx.with_views("SELECT var_samp(a)+var_samp(b)+var_samp(c) AS total, 1.0 AS share FROM pt", "series", extra=_PTS),
+)
+def total_variance(spark, sf):
+    """All components together keep the whole variance."""
+    df, names, shares = L.principal_components(cut_lineage(_points(spark, sf)), DIMS)
+    total = sum((F.var_samp(n) for n in names), F.lit(0.0))
+    return df.agg(total.alias("total")).withColumn("share", F.lit(sum(shares)))
+
+
 @query(
     "l15_cluster_indices",
     "calinski_harabasz:d6 davies_bouldin:d6",
