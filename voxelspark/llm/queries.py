@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hilbert, line_frequency, url_rules
+from . import decontaminate, hilbert, line_frequency, packing, simhash, url_rules
 from .common import load
 
 
@@ -16,6 +16,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(load(spark, sf_dir, "documents")))
+
+
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.assign(load(spark, sf_dir, "documents"))
 
@@ -24,5 +28,9 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in [op3_line_frequency, op5_decontamination, op7_hilbert_sharding, op8_url_rules]}
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in [op3_line_frequency, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op10_simhash_components]}
 ORACLES: dict[str, str] = {}
