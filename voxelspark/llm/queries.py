@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hilbert, line_frequency, packing, simhash, url_rules
+from . import decontaminate, hilbert, line_frequency, packing, simhash, template_removal, url_rules, warc
 from .common import load
 
 
+def op1_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_removal.extract(load(spark, sf_dir, "pages"))
+
+
+def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.score(load(spark, sf_dir, "documents"))
 
@@ -32,5 +40,5 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op3_line_frequency, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op10_simhash_components]}
+QUERIES = {f.__name__: f for f in [op1_template_removal, op2_seekable_warc, op3_line_frequency, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op10_simhash_components]}
 ORACLES: dict[str, str] = {}
