@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hilbert, line_frequency, packing, simhash, template_removal, url_rules, warc
+from . import crf, decontaminate, hilbert, line_frequency, packing, simhash, template_removal, url_rules, warc
 from .common import load
 
 
@@ -20,6 +20,12 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.score(load(spark, sf_dir, "documents"))
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = crf.fit(docs, labels, train_rows=~crf.held_out(F.col("doc_id")))
+    return crf.score(docs, model)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -40,5 +46,5 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op1_template_removal, op2_seekable_warc, op3_line_frequency, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op10_simhash_components]}
+QUERIES = {f.__name__: f for f in [op1_template_removal, op2_seekable_warc, op3_line_frequency, op4_line_crf, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op10_simhash_components]}
 ORACLES: dict[str, str] = {}
