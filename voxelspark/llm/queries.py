@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf, decontaminate, hilbert, line_frequency, packing, simhash, template_removal, url_rules, warc
+from . import crf, decontaminate, hilbert, line_frequency, packing, simhash, suffix_dedup, template_removal, url_rules, warc
 from .common import load
 
 
@@ -42,9 +42,19 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.score(load(spark, sf_dir, "documents"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op1_template_removal, op2_seekable_warc, op3_line_frequency, op4_line_crf, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op10_simhash_components]}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in [op1_template_removal, op2_seekable_warc, op3_line_frequency, op4_line_crf, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op9_suffix_dedup, op10_simhash_components, pipeline]}
 ORACLES: dict[str, str] = {}
