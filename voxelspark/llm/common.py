@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxelspark.session import checkpoint_dir
@@ -48,3 +50,29 @@ def ascii_lower(text: Column) -> Column:
 def text_key(text: Column) -> list[Column]:
     """Two hashes (96 bits) that stand for a text in joins; equal texts have equal keys, also null."""
     return [F.xxhash64(text).alias("_t1"), F.hash(text).alias("_t2")]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` is called so."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def map_texts(df: DataFrame, key: Column, text: Column, make: Callable[[list[str]], tuple[np.ndarray | None, Sequence]], schema: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """Rows (key, extra columns, made columns) by Arrow batches; ids of any type pass untouched, also null.
+
+    ``make`` gets the texts of a batch (null as '') and returns the input row of each output row (None: one
+    each) and the made columns. ``schema`` names the made columns.
+    """
+    flat = df.select(key.alias("key"), *extra, text.cast("string").alias("text"))
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields[:-1]]
+    names = [*flat.columns[:-1], *[x.split()[0] for x in schema.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, made = make([t or "" for t in batch.column("text").to_pylist()])
+            held = batch.columns[:-1] if rows is None else [c.take(pa.array(rows)) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*held, *[pa.array(m) for m in made]], names)
+
+    return flat.mapInArrow(run, ", ".join([*kept, schema]))

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import map_texts, stored
 
 MAX_DOCS = 4000
 MAX_CHARS = 100_000
@@ -197,17 +197,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     may = docs.where(train_rows) if train_rows is not None else docs
     fitting = may.select(F.col(id_col).alias("_id")).where(F.length(F.coalesce(may[text], F.lit(""))) <= max_chars).distinct()
     chosen = stored(known.join(fitting, "_id").orderBy(F.xxhash64("_id"), "_id").limit(max_docs), "chosen")  # at most max_docs rows
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).where(F.length(F.coalesce(docs[text], F.lit(""))) <= max_chars)
+    bare = docs.select(F.col(id_col), F.col(text)).where(F.length(F.coalesce(F.col(text), F.lit(""))) <= max_chars)
+    rows = bare.join(F.broadcast(chosen), bare[id_col] == chosen["_id"]).select("_id", "_y", F.col(text).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            features, _, counts = line_features(texts)
-            parts = np.split(features, np.cumsum(counts)[:-1])
-            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "n": counts, "x": [p.tobytes() for p in parts]})
+    def make(texts: list[str]) -> tuple[None, list]:
+        features, _, counts = line_features(texts)
+        return None, [counts, [p.tobytes() for p in np.split(features, np.cumsum(counts)[:-1])]]
 
-    made = rows.select(F.col("_id").cast("string").alias("id"), F.col("_y").alias("y"), F.col(text).alias("text"))
-    got = made.mapInPandas(run, "id string, y int, n long, x binary").toPandas().sort_values(["id", "x"], kind="stable")
+    got = map_texts(rows, F.col("_id").cast("string"), F.col("_text"), make, "n long, x binary", [F.col("_y").alias("y")]).toPandas().sort_values(["key", "x"], kind="stable")
     y = got["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(2), float(y.mean()) if len(y) else 0.5)
@@ -218,15 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, score (probability of good, 0 to 1) and predicted (1 from 0.5) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = text_scores(model, [t if isinstance(t, str) else "" for t in batch["text"]])
-            yield batch[["key", "held_out"]].assign(score=values)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    flat = docs.select(F.col(id_col).alias("key"), held_out(F.col(id_col)).alias("held_out"), F.col(text).alias("text"))
-    out = flat.mapInPandas(run, f"key {kind}, held_out boolean, score double").withColumnRenamed("key", id_col)
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    made = map_texts(docs, F.col(id_col), F.col(text), lambda texts: (None, [text_scores(model, texts)]), "score double", [held_out(F.col(id_col)).alias("held_out")])
+    return made.withColumnRenamed("key", id_col).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", floor: float = 0.5) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, broadcast_if_small, let, stored, text_key
+from .common import ascii_lower, broadcast_if_small, fresh, let, stored, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
@@ -71,13 +71,13 @@ def score(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_id: st
 def remove(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = 10, mode: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents, or (``mode="spans"``) with the hit words cut out of the text."""
     grams = stored(item_windows(items, item_id, text, width), "grams")
-    found = stored(hits(docs, grams, text), "hits")
-    keyed = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.hash(text)})
-    same = (F.col("_k1") == found["_t1"]) & (F.col("_k2") == found["_t2"])
+    cov, k1, k2 = (fresh(docs, c) for c in ("_covered", "_k1", "_k2"))
+    found = stored(hits(docs, grams, text), "hits").select(F.col("_t1").alias(k1), F.col("_t2").alias(k2), F.col("covered").alias(cov))
+    found = broadcast_if_small(found)
+    same = (F.xxhash64(docs[text]) == found[k1]) & (F.hash(docs[text]) == found[k2])
     if mode == "documents":
-        return keyed.join(broadcast_if_small(found), same, "left_anti").select(*docs.columns)
-    rows = keyed.join(broadcast_if_small(found), same, "left")
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"({OTHER}(?:[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|$))"), F.lit(1))
-    left = lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "covered"), lambda i: F.get(p, i)), "")
-    clean = F.when(F.col("covered").isNull(), F.col(text)).otherwise(let(pieces, left))
-    return rows.select(*[clean.alias(c) if c == text else docs[c] for c in docs.columns])
+        return docs.join(found, same, "left_anti")
+    pieces = F.regexp_extract_all(docs[text], F.lit(f"({OTHER}(?:[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|$))"), F.lit(1))
+    left = lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), found[cov]), lambda i: F.get(p, i)), "")
+    clean = F.when(found[cov].isNull(), docs[text]).otherwise(let(pieces, left))
+    return docs.join(found, same, "left").select(*[clean.alias(c) if c == text else docs[c] for c in docs.columns])

@@ -110,8 +110,8 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str =
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text: str = "text", dims: Sequence[str] = ("source", "lang", "n_chars")) -> None:
-    """Write whole rows as one folder per shard, each in curve order; ids must be unique."""
+    """Write whole rows as one folder per shard, each in curve order; ids must be unique, columns shard and slot are replaced."""
     places = assign(docs, shards, id_col, text, dims).select(id_col, "shard", "slot")
     files = max(1, -(-docs.count() // RUN_ROWS))
-    rows = docs.join(places, id_col).repartitionByRange(max(shards, files), "shard", "slot").sortWithinPartitions("shard", "slot")
+    rows = docs.drop("shard", "slot").join(places, id_col).repartitionByRange(max(shards, files), "shard", "slot").sortWithinPartitions("shard", "slot")
     rows.write.partitionBy("shard").parquet(path)

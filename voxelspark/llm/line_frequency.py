@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let, stored, text_key
+from .common import fresh, let, stored, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -106,9 +106,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
 def strip(docs: DataFrame, text: str = "text", host: str = "source", share: float = 0.1, least: int = 10) -> DataFrame:
     """``docs`` with the frequent lines cut out of ``text``; other columns stay."""
     lines = stored(line_table(docs, text, host), "lines")
-    common = stored(lines.join(frequent_lines(lines, share, least), ["host", "line"]).groupBy("host", "_t1", "_t2").agg(F.collect_set("line").alias("_cut")), "cut")
-    keyed = docs.withColumns({"_host": F.coalesce(F.col(host), F.lit("")), "_k1": F.xxhash64(text), "_k2": F.hash(text)})
-    rows = keyed.join(common, (F.col("_host") == common["host"]) & (F.col("_k1") == common["_t1"]) & (F.col("_k2") == common["_t2"]), "left")
+    h, k1, k2, cut = (fresh(docs, c) for c in ("_host", "_k1", "_k2", "_cut"))
+    common = lines.join(frequent_lines(lines, share, least), ["host", "line"]).groupBy("host", "_t1", "_t2").agg(F.collect_set("line").alias("_lines"))
+    common = stored(common, "cut").toDF(h, k1, k2, cut)
+    same = (F.coalesce(docs[host], F.lit("")) == common[h]) & (F.xxhash64(docs[text]) == common[k1]) & (F.hash(docs[text]) == common[k2])
     norm = lambda x: F.xxhash64(F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09\x0B-\x0D]+", " ")))
-    cut = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("_cut"), norm(x))), "\n")
-    return rows.select(*[F.when(F.col("_cut").isNull(), F.col(text)).otherwise(cut).alias(c) if c == text else docs[c] for c in docs.columns])
+    left = F.array_join(F.filter(F.split(docs[text], "\n"), lambda x: ~F.array_contains(common[cut], norm(x))), "\n")
+    clean = F.when(common[cut].isNull(), docs[text]).otherwise(left)
+    return docs.join(common, same, "left").select(*[clean.alias(c) if c == text else docs[c] for c in docs.columns])

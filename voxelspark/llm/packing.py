@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import map_texts, stored
 
 LIMIT = 2048
 END = 0
@@ -45,9 +44,9 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def token_ids(text: str | None, path: str, pattern: str) -> np.ndarray:
+def token_ids(text: str, path: str, pattern: str) -> np.ndarray:
     """Ids of ``text`` and the end id, as unsigned 32-bit numbers."""
-    ids = encoder(path, pattern).encode_to_numpy(text or "", allowed_special="all", disallowed_special=())
+    ids = encoder(path, pattern).encode_to_numpy(text, allowed_special="all", disallowed_special=())
     return np.append(ids, END).astype("<u4")
 
 
@@ -60,26 +59,25 @@ def cuts(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = LIMIT, vocabulary: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
-    """id, piece, start, length, ids_crc32, a row number of the task (``salt``), and with ``keep_ids`` the ids as bytes."""
+    """id, piece, start, length, ids_crc32, a row number of the batch (``salt``), and with ``keep_ids`` the ids as bytes."""
     path, pattern = vocabulary or default_vocabulary()
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        salt = 0
-        for batch in batches:
-            rows = []
-            for key, value in zip(batch["key"], batch["text"]):
-                ids = token_ids(value if isinstance(value, str) else None, path, pattern)
-                raw = ids.tobytes()
-                for k, (start, n) in enumerate(cuts(len(ids), limit)):
-                    part = raw[4 * start : 4 * (start + n)]
-                    rows.append((key, k, start, n, zlib.crc32(part), salt, part if keep_ids else None))
-                    salt += 1
-            yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids_crc32", "salt", "ids"]).astype({"key": batch["key"].dtype})
-
-    flat = docs.select(F.col(id_col).alias("key"), F.col(text).alias("text"))
-    out = flat.mapInPandas(run, f"key {kind}, piece int, start long, length long, ids_crc32 long, salt long, ids binary")
-    return out.withColumnRenamed("key", id_col) if keep_ids else out.drop("ids").withColumnRenamed("key", id_col)
+
+    def make(texts: list[str]) -> tuple[np.ndarray, list]:
+        rows, spans, sums, parts = [], [], [], []
+        for i, value in enumerate(texts):
+            ids = token_ids(value, path, pattern)
+            raw = ids.tobytes()
+            for k, (start, n) in enumerate(cuts(len(ids), limit)):
+                part = raw[4 * start : 4 * (start + n)]
+                rows.append(i)
+                spans.append((k, start, n))
+                sums.append(zlib.crc32(part))
+                parts.append(part if keep_ids else b"")
+        piece, start, length = np.array(spans, np.int64).reshape(-1, 3).T
+        return np.array(rows, np.int64), [piece.astype(np.int32), start, length, np.array(sums, np.int64), np.arange(len(rows)), parts]
+
+    out = map_texts(docs, F.col(id_col), F.col(text), make, "piece int, start long, length long, ids_crc32 long, salt long, ids binary")
+    return (out if keep_ids else out.drop("ids")).withColumnRenamed("key", id_col)
 
 
 def place(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
@@ -115,12 +113,13 @@ def pack(parts: DataFrame, id_col: str = "doc_id", limit: int = LIMIT, group_row
     dealt = parts.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece", "salt"), F.lit(groups)))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([id_col, "piece", "salt"], kind="stable")
-        bins, offsets = place(rows["length"].to_numpy(), limit)
-        return rows.assign(sequence_id=rows["_group"].to_numpy() * 2**32 + bins, offset=offsets)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(id_col, "ascending"), ("piece", "ascending"), ("salt", "ascending")])
+        bins, offsets = place(rows.column("length").to_numpy(), limit)
+        ids = rows.column("_group").to_numpy() * 2**32 + bins
+        return rows.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("_group").applyInPandas(run, f"{fields}, sequence_id long, offset long").drop("_group", "salt")
+    return dealt.groupBy("_group").applyInArrow(run, f"{fields}, sequence_id long, offset long").drop("_group", "salt")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf, decontaminate, hilbert, line_frequency, packing, simhash, suffix_dedup, template_removal, url_rules, warc
+from . import crf, decontaminate, hilbert, line_frequency, packing, simhash, sql, suffix_dedup, template_removal, url_rules, warc
 from .common import load
 
 
@@ -57,4 +57,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [op1_template_removal, op2_seekable_warc, op3_line_frequency, op4_line_crf, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op9_suffix_dedup, op10_simhash_components, pipeline]}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_seekable_warc": sql.WARC, "op3_line_frequency": sql.LINE_FREQUENCY, "op5_decontamination": sql.DECONTAMINATION}

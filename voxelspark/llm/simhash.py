@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxelspark.operators.spatial import merge_graph
 
-from .common import stored
+from .common import fresh, map_texts, stored
 
 BITS = 64
 SHINGLE = 4
@@ -33,9 +33,9 @@ SEED = 42
 SLICE_VARIANTS = 4_000_000  # a slice is split by further bits beyond this
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """Majority of the bits of the shingle hashes, as an unsigned 64-bit number."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
+    words = text.encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
     if not words:
         return 0
     joined = b" ".join(words)
@@ -53,14 +53,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """id, _h (a hash of the text) and fp (the fingerprint as a signed long) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in batch["text"]], np.uint64)
-            yield batch[["key", "_h"]].assign(fp=fps.view(np.int64))
+    def make(texts: list[str]) -> tuple[None, list]:
+        return None, [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    flat = docs.select(F.col(id_col).alias("key"), F.xxhash64(text).alias("_h"), F.col(text).alias("text"))
-    return flat.mapInPandas(run, f"key {kind}, _h long, fp long").withColumnRenamed("key", id_col)
+    return map_texts(docs, F.col(id_col), F.col(text), make, "fp long", [F.xxhash64(text).alias("_h")]).withColumnRenamed("key", id_col)
 
 
 def flips(bits: int, most: int) -> list[int]:
@@ -187,4 +183,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rad
     same = docs[id_col].eqNullSafe(kept["_id"]) & (F.xxhash64(docs[text]) == kept["_h"])
     out = docs.join(kept, same, "left_semi")
     repeated = rows.join(kept, rows["_id"].eqNullSafe(kept["_id"]) & (rows["_h"] == kept["_h"]), "left_semi").count() > kept.count()
-    return out.withColumn("_h", F.xxhash64(text)).dropDuplicates([id_col, "_h"]).drop("_h") if repeated else out
+    h = fresh(docs, "_h")
+    return out.withColumn(h, F.xxhash64(text)).dropDuplicates([id_col, h]).drop(h) if repeated else out

@@ -73,7 +73,9 @@ def write_blocks(docs: DataFrame, folder: str, text: str) -> DataFrame:
                     out.write(data)
                     rows.append((f"{name}-{len(rows)}", name, at, len(data), int(sizes[a:b].sum())))
                     at += len(data)
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["block", "file", "at", "size", "bytes"]).astype({"block": str, "file": str, "at": "int64", "size": "int64", "bytes": "int64"}), preserve_index=False)
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        columns = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "file", "at", "size", "bytes"])
 
     return stored(docs.mapInArrow(run, "block string, file string, at long, size long, bytes long"), "blocks")
 

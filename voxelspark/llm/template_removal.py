@@ -1,6 +1,6 @@
 """Main text of web pages with per-host removal of recurring element subtrees.
 
-Every element subtree with text is hashed (tag, text and child subtrees). Spark counts the pages per host
+Every block element's subtree with text is hashed (tag, text and child subtrees). Spark counts the pages per host
 that hold a hash; subtrees on more than ``share`` of a host's pages (and on more than ``least``) are its
 template and are deleted, as are elements whose tag, role or class names mark them as page furniture.
 As each template is on a fixed share of its host's pages, a host has at most (elements per page / share)
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import broadcast_if_small, stored
@@ -131,7 +132,7 @@ def mark(root: Node) -> list[int]:
         text = "\x00".join(p for p in parts if p)
         if text:
             node.hash = int.from_bytes(hashlib.blake2b(f"{node.tag}\x01{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-            if node.tag not in ("", "html", "body"):
+            if node.tag in BLOCK and node.tag not in ("html", "body"):
                 found.add(node.hash)
     return sorted(found)
 
@@ -165,7 +166,7 @@ def main_text(html: str | None, templates: set[int]) -> str:
             if node.tag in BLOCK:
                 end()
             continue
-        if node.hash is not None and node.hash in templates and not node.main:
+        if node.tag in BLOCK and node.hash in templates and not node.main:
             end()
             continue
         if not node.main and node.tag not in ("", "html", "body") and furniture(node) and not (is_main(node) and not furniture_name(node)):
@@ -203,11 +204,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     rows = pages.select(F.col(id_col).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_path(F.col(url))[0].alias("host"))
     rows = rows.join(broadcast_if_small(templates), "host", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h if isinstance(h, str) else None, set() if t is None else set(t)) for h, t in zip(batch["html"], batch["templates"])]
-            yield pd.DataFrame({"key": batch["key"], "url": batch["url"], "text": texts})
+            pairs = zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist())
+            texts = pa.array([main_text(h, set(t or ())) for h, t in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), texts], ["key", "url", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    out = rows.select("key", "url", "html", "templates").mapInPandas(run, f"key {kind}, url string, text string")
+    out = rows.select("key", "url", "html", "templates").mapInArrow(run, f"key {kind}, url string, text string")
     return out.select(F.col("key").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -55,7 +55,7 @@ def mine(labelled: DataFrame, support: float = 0.005, least: int = 10, confidenc
     if n == 0 or bad == 0:
         return labelled.sparkSession.createDataFrame([], schema)
     baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    sets = stored(FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n))).fit(baskets).freqItemsets, "itemsets")
+    sets = stored(FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (least - 0.5) / n))).fit(baskets).freqItemsets, "itemsets")
     plain = sets.where(~F.array_contains("items", BAD) & (F.size("items") <= most_tokens)).select(F.sort_array("items").alias("rule"), F.col("freq").alias("pages"))
     with_bad = sets.where(F.array_contains("items", BAD)).select(F.sort_array(F.array_remove("items", BAD)).alias("rule"), F.col("freq").alias("_bad"))
     sure = F.col("_bad") / F.col("pages")

@@ -119,8 +119,8 @@ class Reader:
         self.file.close()
 
 
-def name_of(key) -> str:
-    return f"urn:page:{uuid.uuid4()}" if pd.isna(key) else f"urn:page:{int(key)}"
+def name_of(key: str | None) -> str:
+    return f"urn:page:{key if isinstance(key, str) else uuid.uuid4()}"
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, frame_bytes: int = FRAME_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -142,13 +142,13 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
                         bundle.close()
                     bundle = Bundle(folder, frame_bytes)
                 name = name_of(key)
-                data = record(name, address if isinstance(address, str) else None, body.encode(), None if pd.isna(refers) else name_of(refers), date)
+                data = record(name, address if isinstance(address, str) else None, body.encode(), name_of(refers) if isinstance(refers, str) else None, date)
                 out.append((name, *bundle.add(data)))
             yield pd.DataFrame(out, columns=["record_id", "archive", "frame", "offset", "length"])
         if bundle is not None:
             bundle.close()
 
-    return stored(tagged.select("key", "url", "payload", target.alias("target")).mapInPandas(run, INDEX), "index")
+    return stored(tagged.select(F.col("key").cast("string"), "url", "payload", target.cast("string").alias("target")).mapInPandas(run, INDEX), "index")
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
