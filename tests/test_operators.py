@@ -181,12 +181,20 @@ def test_signed_rank_without_differences(spark):
     assert E.cohen_dz(df, ["g"]).first()["magnitude"] == "zero-variance"
 
 
-def test_tails_against_tables():
-    assert tails._normal_sf(1.959964) == pytest.approx(0.025, abs=1e-7)
-    assert tails.t_two_sided(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
-    assert tails.t_critical(10) == pytest.approx(2.228139, abs=1e-5)
-    assert tails.wilcoxon_two_sided(8, 10, 0, 0) == pytest.approx(0.048828125)
-    assert math.isnan(tails.t_two_sided(math.nan, 3))
+def test_tails_against_tables(spark):
+    lit = lambda v: F.lit(v).cast("double")
+    row = spark.range(1).select(
+        tails.normal_sf(lit(1.959964)).alias("z"), tails.normal_sf(lit(-1.0)).alias("low"), tails.normal_sf(lit(9.0)).alias("far"),
+        tails.student_p(lit(2.228139), F.lit(10)).alias("t10"), tails.student_p(lit(12.706205), F.lit(1)).alias("t1"),
+        tails.student_p(lit(2.093024), F.lit(19)).alias("t19"), tails.student_p(lit(1.961), F.lit(5000)).alias("many"),
+        tails.student_critical(F.lit(10)).alias("c10"), tails.student_p(lit(float("nan")), F.lit(3)).alias("nan"),
+        tails.wilcoxon_p(lit(8), F.lit(10), F.lit(0), F.lit(0)).alias("w"), tails.wilcoxon_p(lit(0), F.lit(0), F.lit(0), F.lit(0)).alias("w0"),
+        tails.wilcoxon_p(lit(8), F.lit(10), F.lit(6), F.lit(0)).alias("tied"),
+    ).first()
+    assert row["z"] == pytest.approx(0.025, rel=1e-6) and row["low"] == pytest.approx(0.8413447, abs=1e-6) and row["far"] == pytest.approx(1.128588e-19, rel=1e-5)
+    assert [row[c] for c in ("t10", "t1", "t19")] == pytest.approx([0.05] * 3, abs=1e-6) and row["many"] == pytest.approx(0.04993, abs=1e-5)
+    assert row["c10"] == pytest.approx(2.228139, abs=1e-5) and row["nan"] is None
+    assert row["w"] == pytest.approx(0.048828125) and row["w0"] == 1.0 and row["tied"] == pytest.approx(0.0468, abs=5e-3)
 
 
 def test_dice_is_symmetric(spark):

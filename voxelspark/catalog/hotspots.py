@@ -11,6 +11,7 @@ from ..operators import followup as FU, hotspot as H, masks as M, spatial as S
 from ..session import cut_lineage
 from .morphology import CORE, GRID, KEYS, SPACING, SUPRA, _components_sql, recursive
 from .registry import query
+from .scoring import adjusted_sql, normal_p_sql
 from .voxels import FOLLOWUP_SQL, _TM, followup_table, masks_table
 
 BY = "patient:i pct:i"
@@ -102,7 +103,12 @@ def detect_clusters(spark, sf):
     return _clusters(spark, sf).withColumnRenamed("pct_rank_in_test", "pct_rank")
 
 
-@query("e18_detect_clusters_p_values", f"{BY} cid:i p_raw:d6 p_bh_adj:d6 sig_fdr:b")
+@_hq(
+    "e18_detect_clusters_p_values",
+    f"{BY} cid:i p_raw:d6 p_bh_adj:d6 sig_fdr:b",
+    "SELECT *, p_bh AS p_bh_adj, p_bh<=0.05 AS sig_fdr FROM (" + adjusted_sql("pz", "p_raw", "patient, pct") + ")",
+    pz=f"SELECT *, CASE WHEN z>=0 THEN {normal_p_sql('z')}/2 ELSE 1-{normal_p_sql('z')}/2 END AS p_raw FROM ok",
+)
 def detect_clusters_p(spark, sf):
     return _clusters(spark, sf)
 

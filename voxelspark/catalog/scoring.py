@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..functions import tails
 from ..operators import evaluation as E, ranking as R
 from ..session import cut_lineage
+from .morphology import recursive
 from .registry import query
 
 SCORES = {"rf": "s_rf", "svm": "s_svm", "lr": "s_lr"}
@@ -149,6 +151,49 @@ def _placement(c: str) -> str:
     )
 
 
+def normal_p_sql(z: str) -> str:
+    """Two-sided normal p in SQL, by the same published fit."""
+    t = f"(1.0::DOUBLE/(1.0+abs({z})/sqrt(2.0)/2.0))"
+    poly = f"{tails.ERFC[-1]!r}::DOUBLE"
+    for c in reversed(tails.ERFC[:-1]):
+        poly = f"({poly}*{t}+({c!r}))"
+    return f"({t}*exp({poly}-({z})*({z})/2.0))"
+
+
+def student_p_sql(t: str, df: str) -> str:
+    """Two-sided t p in SQL: closed coefficients of the cosine series, normal beyond the exact range."""
+    th, c2 = f"atan(abs({t})/sqrt({df}))", f"({df}/({df}+({t})*({t})))"
+    even = f"sin({th})*list_sum(list_transform(range(0, CAST({df} AS BIGINT)//2), lambda j: exp(lgamma(j+0.5)-lgamma(j+1))/sqrt(pi())*pow({c2}, j)))"
+    odd = f"2/pi()*({th}+sin({th})*cos({th})*COALESCE(list_sum(list_transform(range(0, (CAST({df} AS BIGINT)-1)//2), lambda j: exp(lgamma(j+1)-lgamma(j+1.5))*sqrt(pi())/2*pow({c2}, j))), 0))"
+    z = f"((8.0*{df}+1)/(8.0*{df}+3)*sqrt({df}*ln(1+({t})*({t})/{df})))"
+    return f"CASE WHEN {df}<={tails.EXACT_T_DF} THEN GREATEST(0.0, 1-CASE WHEN CAST({df} AS BIGINT)%2=0 THEN {even} ELSE {odd} END) ELSE {normal_p_sql(z)} END"
+
+
+_WAYS = (
+    "SELECT 0 AS r, list_transform(range(0, 1276), lambda s: CASE WHEN s=0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c UNION ALL "
+    "SELECT r+1, list_transform(range(1, 1277), lambda i: c[i]+CASE WHEN i>r+1 THEN c[i-r-1] ELSE 0 END) FROM ways WHERE r<50"
+)
+
+
+def wilcoxon_p_sql(table: str, cols: str) -> str:
+    """``table`` has w, n_used, ties and zeros; adds p_w. Needs the recursive table ``ways``."""
+    var = "(n_used*(n_used+1.0)*(2.0*n_used+1)/24.0-ties/48.0)"
+    rough = f"CASE WHEN {var}<=0 THEN 1.0 ELSE LEAST(1.0, {normal_p_sql(f'((w-n_used*(n_used+1.0)/4.0)/sqrt({var}))')}) END"
+    return (
+        f"SELECT {cols}, w, CASE WHEN n_used=0 THEN 1.0 WHEN n_used<=50 AND ties=0 AND zeros=0 THEN LEAST(1.0, 2*list_sum(c[1:CAST(floor(w) AS BIGINT)+1])/pow(2.0, n_used)) ELSE {rough} END AS p_w "
+        f"FROM {table} LEFT JOIN ways ON r=LEAST(n_used, 50)"
+    )
+
+
+def adjusted_sql(table: str, p: str, by: str = "") -> str:
+    """Bonferroni and step-up adjusted p of each row of ``table``."""
+    part = f"PARTITION BY {by} " if by else ""
+    return (
+        f"SELECT *, LEAST(1.0, {p}*m) AS p_bonferroni, LEAST(1.0, MIN(q) OVER ({part}ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_bh FROM "
+        f"(SELECT *, {p}*m/rk AS q FROM (SELECT *, COUNT(*) OVER ({part}) AS m, ROW_NUMBER() OVER ({part}ORDER BY {p}) AS rk FROM {table}))"
+    )
+
+
 def _delong_sql() -> str:
     parts = []
     for a, b in E.CLASSIFIER_PAIRS:
@@ -179,7 +224,10 @@ def delong(spark, sf):
     return E.delong(fx.scored(spark, sf), [], SCORES, E.CLASSIFIER_PAIRS)
 
 
-@query("e6_delong_p_values", "pair z:d4 p_two_sided:d6")
+_PD = {"pl": _PL, "dl": _delong_sql(), "dp": f"SELECT *, {normal_p_sql('z')} AS p_two_sided FROM dl"}
+
+
+@query("e6_delong_p_values", "pair z:d4 p_two_sided:d6", fx.with_views("SELECT * FROM dp", "scored", extra=_PD))
 def delong_p(spark, sf):
     return E.with_normal_p(E.delong(fx.scored(spark, sf), [], SCORES, E.CLASSIFIER_PAIRS))
 
@@ -187,6 +235,7 @@ def delong_p(spark, sf):
 @query(
     "e12_pooled_delong_corrected",
     "pair z:d4 p_two_sided:d6 p_bonferroni:d6 p_bh:d6",
+    fx.with_views(adjusted_sql("dp", "p_two_sided"), "scored", extra=_PD),
 )
 def pooled_delong(spark, sf):
     """Comparison over all folds together with corrected p values."""
@@ -194,15 +243,6 @@ def pooled_delong(spark, sf):
     return E.adjust_p(cut_lineage(tests), [], "p_two_sided")
 
 
-@query(
-    "e12_pooled_delong",
-    "pair z:d4 auc_diff:d6",
-    fx.with_views(_delong_sql(), "scored", extra={"pl": _PL}),
-)
-def pooled_delong_z(spark, sf):
-    return E.delong(fx.scored(spark, sf), [], SCORES, E.CLASSIFIER_PAIRS)
-
-
 _PAIR_KEY = "(unit % 3)"
 
 
@@ -226,9 +266,19 @@ def paired_t(spark, sf):
     return E.paired_t(_pairs(spark, sf), ["grp"])
 
 
-@query("e7_paired_t_interval", "grp:i p_two_sided:d6 ci95_low:d4 ci95_high:d4")
+_T = "SELECT grp, COUNT(*)-1 AS df, AVG(d) AS mid, AVG(d)/(stddev_samp(d)/sqrt(COUNT(*))) AS t FROM d GROUP BY 1"
+
+
+@query(
+    "e7_paired_t_interval",
+    "grp:i p_two_sided:d6 mid:d4 p_at_low:d6 p_at_high:d6",
+    fx.with_views(f"SELECT grp, {student_p_sql('t', 'df')} AS p_two_sided, mid, 0.05 AS p_at_low, 0.05 AS p_at_high FROM tt", "pairs", extra={**_D, "tt": _T}),
+)
 def paired_t_interval(spark, sf):
-    return E.with_t_interval(E.paired_t(_pairs(spark, sf), ["grp"]))
+    """p of the mean difference; the interval is judged by the p values at its ends, which must be 5 %."""
+    df = E.with_t_interval(E.paired_t(_pairs(spark, sf), ["grp"]))
+    end = lambda c: tails.student_p((F.col("mean_diff") - F.col(c)) / (F.col("sd_diff") / F.sqrt("n")), F.col("df"))
+    return df.withColumns({"mid": (F.col("ci95_low") + F.col("ci95_high")) / 2, "p_at_low": end("ci95_low"), "p_at_high": end("ci95_high")})
 
 
 @query(
@@ -246,7 +296,15 @@ def wilcoxon(spark, sf):
     return E.wilcoxon(_pairs(spark, sf), ["grp"])
 
 
-@query("e8_wilcoxon_p", "grp:i w:d4 p_two_sided:d6")
+_W = {
+    "wr": "SELECT *, rank() OVER (PARTITION BY grp ORDER BY abs(d)) + (COUNT(*) OVER (PARTITION BY grp, abs(d))-1)/2.0 AS r, COUNT(*) OVER (PARTITION BY grp, abs(d)) AS k FROM d WHERE d<>0",
+    "wz": "SELECT grp, COUNT(CASE WHEN d=0 THEN 1 END) AS zeros FROM d GROUP BY 1",
+    "ws": "SELECT grp, COUNT(*) AS n_used, LEAST(SUM(CASE WHEN d>0 THEN r ELSE 0 END), SUM(CASE WHEN d<0 THEN r ELSE 0 END)) AS w, SUM(k*k-1) AS ties, MAX(zeros) AS zeros FROM wr JOIN wz USING (grp) GROUP BY 1",
+    "ways": _WAYS,
+}
+
+
+@query("e8_wilcoxon_p", "grp:i w:d4 p_two_sided:d6", recursive(fx.with_views(f"SELECT grp, w, p_w AS p_two_sided FROM ({wilcoxon_p_sql('ws', 'grp')})", "pairs", extra={**_D, **_W})))
 def wilcoxon_p(spark, sf):
     return E.with_wilcoxon_p(E.wilcoxon(_pairs(spark, sf), ["grp"]))
 
@@ -342,7 +400,28 @@ def metric_tests(spark, sf):
     return E.metric_tests(E.metric_pairs(_metric_rows(spark, sf), []))
 
 
-@query("e11_metric_test_p_values", "pair metric p_t:d6 p_wilcoxon:d6 p_bonferroni:d6 p_bh:d6 dz_magnitude delta_magnitude")
+def _size_sql(v: str, limits) -> str:
+    return f"CASE WHEN {v} IS NULL THEN 'undefined' " + " ".join(f"WHEN abs({v})<{x} THEN '{n}'" for x, n in limits) + " ELSE 'large' END"
+
+
+_TESTS = {
+    **_METRICS,
+    "mr": "SELECT *, rank() OVER (PARTITION BY pair, metric ORDER BY abs(diff)) + (COUNT(*) OVER (PARTITION BY pair, metric, abs(diff))-1)/2.0 AS r, COUNT(*) OVER (PARTITION BY pair, metric, abs(diff)) AS k FROM mp WHERE diff<>0",
+    "mz": "SELECT pair, metric, COUNT(CASE WHEN diff=0 THEN 1 END) AS zeros, COUNT(*)-1 AS df, AVG(diff)/(stddev_samp(diff)/sqrt(COUNT(*))) AS t, AVG(diff)/stddev_samp(diff) AS dz FROM mp GROUP BY 1,2",
+    "ms": "SELECT pair, metric, COUNT(*) AS n_used, LEAST(SUM(CASE WHEN diff>0 THEN r ELSE 0 END), SUM(CASE WHEN diff<0 THEN r ELSE 0 END)) AS w, SUM(k*k-1) AS ties, MAX(zeros) AS zeros FROM mr JOIN mz USING (pair, metric) GROUP BY 1,2",
+    "md": "SELECT p.pair, p.metric, AVG(CASE WHEN p.a>q.b THEN 1.0 WHEN p.a<q.b THEN -1.0 ELSE 0.0 END) AS delta FROM mp p JOIN mp q ON p.pair=q.pair AND p.metric=q.metric GROUP BY 1,2",
+    "ways": _WAYS,
+    "mw": wilcoxon_p_sql("ms", "pair, metric"),
+    "mt": f"SELECT pair, metric, p_w AS p_wilcoxon, {student_p_sql('t', 'df')} AS p_t, {_size_sql('dz', E.COHEN_LIMITS)} AS dz_magnitude, {_size_sql('delta', E.CLIFF_LIMITS)} AS delta_magnitude "
+    "FROM mz JOIN mw USING (pair, metric) JOIN md USING (pair, metric)",
+}
+
+
+@query(
+    "e11_metric_test_p_values",
+    "pair metric p_t:d6 p_wilcoxon:d6 p_bonferroni:d6 p_bh:d6 dz_magnitude delta_magnitude",
+    recursive(fx.with_views(adjusted_sql("mt", "p_wilcoxon"), "scored", extra=_TESTS)),
+)
 def metric_test_p(spark, sf):
     return E.metric_tests(E.metric_pairs(_metric_rows(spark, sf), []))
 
