@@ -230,7 +230,22 @@ def ladder(spark, sf):
     return P.grid_ladder(pools(spark, sf), KEYS, SPACING, 30.0, 6.0)
 
 
-@query("t7_adaptive_split", "patient:i mode block_mm:d3 buffer_mm:d3 role target:i n:i")
+_T7 = {
+    **_ladder_sql([30.0, *P.BLOCK_MM], [6.0, *P.BUFFER_MM]),
+    "best": "SELECT patient, b, u, block_mm, buffer_mm FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY patient ORDER BY b, u) AS r FROM lf) WHERE r=1",
+    "rl": "SELECT lc.*, CASE WHEN lvc.cell IS NULL THEN 'train' WHEN inn THEN 'val' END AS role FROM lc JOIN best USING (patient, b, u) "
+    "LEFT JOIN lvc ON lvc.patient=lc.patient AND lvc.b=lc.b AND lvc.u=lc.u AND lvc.cell=lc.cell",
+    **_finish_sql("rl", "patient", 40, "'42'"),
+}
+
+
+@_sq(
+    "t7_adaptive_split",
+    "patient:i mode block_mm:d3 buffer_mm:d3 role target:i n:i",
+    "SELECT patient, 'grid_block' AS mode, block_mm, buffer_mm, role, target, COUNT(*) AS n FROM sp GROUP BY ALL "
+    "UNION ALL SELECT patient, CASE WHEN COUNT(DISTINCT target)<2 THEN 'empty_class' ELSE 'infeasible' END, NULL, NULL, NULL, NULL, 1 FROM pool WHERE patient NOT IN (SELECT patient FROM best) GROUP BY 1",
+    **_T7,
+)
 def adaptive_split(spark, sf):
     """The split that follows from the ladder."""
     split = P.adaptive_split(pools(spark, sf), KEYS, GRID, SPACING, 30.0, 6.0, n_per_class=40)
@@ -256,14 +271,12 @@ def leave_one_out(spark, sf):
 
 @query(
     "j13_leave_one_out_rows",
-    "patient:i flat_idx:i quality:i",
-    _loo("SELECT * FROM al WHERE patient<>(SELECT MAX(patient) FROM al) AND quality<>-1"),
+    "held:i patient:i flat_idx:i quality:i",
+    _loo("SELECT h.held, al.patient, flat_idx, quality FROM al, (SELECT DISTINCT patient AS held FROM al) h WHERE patient<>held AND quality<>-1"),
 )
 def leave_one_out_rows(spark, sf):
-    """Training rows when the last patient is held out."""
-    labels = cut_lineage(auto_labels(spark, sf))
-    held = labels.agg(F.max("patient")).first()[0]
-    return P.leave_one_out_training(labels, "patient", "quality", held)
+    """Training rows of every held-out patient."""
+    return P.leave_one_out_training(cut_lineage(auto_labels(spark, sf)), "patient", "quality")
 
 
 _SPEC = (

@@ -493,11 +493,39 @@ def top_bands(spark, sf):
     return Q.top_bands(bands, K, 1).withColumnRenamed("rank", "rank_")
 
 
-@query(
-    "e22_ghost_report",
-    "patient:i profile_mean:d6 profile_std:d6 threshold:d6 n_bands:i first_band:i",
-    _recursive("SELECT ps.*, COALESCE(n, 0) AS n_bands, first_band FROM ps LEFT JOIN (SELECT patient, COUNT(*) AS n, MIN(band) AS first_band FROM band GROUP BY 1) USING (patient)"),
-)
+_PROF3 = {
+    **_PROF,
+    "pk": _PROF["pk"].replace("2 PRECEDING AND 2 FOLLOWING", "1 PRECEDING AND 1 FOLLOWING"),
+    "hit": _PROF["hit"].replace("i>=2 AND i<ny-2", "i>=1 AND i<ny-1"),
+    "scan": _PROF["scan"].replace("s.i+4", "s.i+2"),
+    "bo": "SELECT *, COUNT(*) OVER (PARTITION BY patient) AS n, ROW_NUMBER() OVER (PARTITION BY patient ORDER BY peak_ratio DESC, band DESC) AS strong FROM band",
+    "bl": "SELECT patient, COUNT(*) AS n_bands, string_agg(CAST(band AS VARCHAR), ',' ORDER BY CASE WHEN n>{n} THEN strong ELSE band END) AS bands, "
+    "string_agg(CAST(CAST(round(peak_ratio*10000) AS BIGINT) AS VARCHAR), ',' ORDER BY CASE WHEN n>{n} THEN strong ELSE band END) AS ratios FROM bo WHERE n<={n} OR strong<={n} GROUP BY 1",
+}
+
+
+def _ghost(n: int) -> str:
+    extra = {k: v.replace("{n}", str(n)) for k, v in _PROF3.items()}
+    body = "SELECT ps.*, COALESCE(n_bands, 0) AS n_bands, bands, ratios FROM ps LEFT JOIN bl USING (patient)"
+    return fx.with_views(body, "vm", extra=extra).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_GHOST = "patient:i profile_mean:d6 profile_std:d6 threshold:d6 n_bands:i bands ratios"
+
+
+def _ghost_rows(spark, sf, n):
+    report = Q.ghost_report(fx.vox_mask(spark, sf), K, "y", "p", half_width=1, n_top=n)
+    whole = F.transform("band_peak_ratios", lambda r: F.round(r * 10000).cast("long").cast("string"))
+    return report.withColumns({"bands": F.array_join("band_indices", ","), "ratios": F.array_join(whole, ",")})
+
+
+@query("e22_ghost_report", _GHOST, _ghost(5))
 def ghost_report(spark, sf):
-    report = Q.ghost_report(fx.vox_mask(spark, sf), K, "y", "p")
-    return report.withColumn("first_band", F.get("band_indices", F.lit(0)))
+    """Bands in scan order with their peak ratios."""
+    return _ghost_rows(spark, sf, 5)
+
+
+@query("e22_ghost_report_strongest", _GHOST, _ghost(1))
+def ghost_report_strongest(spark, sf):
+    """More bands than wanted: the strongest, by falling ratio."""
+    return _ghost_rows(spark, sf, 1)

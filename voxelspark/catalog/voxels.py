@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import columns as C, grid as G, masks as M, spatial as S
-from ..operators.ranking import seeded_key
 from ..session import cut_lineage
 from .morphology import CORE, GRID, KEYS, SPACING, TUMOUR
 from .registry import query
+from .scoring import student_p_sql
 
 V = "patient:i flat_idx:i"
 GM, WM, CSF = (", ".join(map(str, v)) for v in (M.GM_LABELS, M.WM_LABELS, M.CSF_LABELS))
@@ -623,13 +623,15 @@ def cell_core(spark, sf):
 @_vq(
     "m12_grid_thinning",
     V,
-    "SELECT patient, flat_idx FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY patient, x//3, y//3, z//3 ORDER BY md5('7:'||flat_idx), flat_idx) AS r FROM vm WHERE brain) WHERE r=1",
+    "SELECT patient, flat_idx FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY patient ORDER BY md5('7:'||flat_idx), flat_idx) AS k FROM "
+    "(SELECT *, ROW_NUMBER() OVER (PARTITION BY patient, x//3, y//3, z//3 ORDER BY md5('7:'||flat_idx), flat_idx) AS r FROM vm WHERE brain) WHERE r=1) WHERE k<=40",
 )
 def thinning(spark, sf):
-    """One seeded voxel per cell, as a plain aggregate."""
-    df = _vm(spark, sf).where("brain").withColumn("cell", G.cell_key([3, 3, 3]))
-    first = F.min(F.struct(seeded_key(7, F.col("flat_idx")).alias("h"), F.col("flat_idx")))
-    return df.groupBy("patient", "cell").agg(first["flat_idx"].alias("flat_idx"))
+    """One seeded voxel per cell of three voxels, at most 40 of them per patient."""
+    from ..operators.sampling import thin
+
+    pool = _vm(spark, sf).where("brain").select("patient", F.lit(1).alias("target"), "flat_idx", *G.AXES)
+    return thin(pool, KEYS, 3, 7, max_keep=40)
 
 
 # ---- sets and counts -----------------------------------------------------------------------
@@ -711,13 +713,14 @@ def region_means(spark, sf):
 
 @_vq(
     "e13_map_agreement",
-    "patient:i n_voxels:i pearson_r:d6 spearman_rho:d6 mean_abs_diff:d6 rms_diff:d6",
+    "patient:i n_voxels:i pearson_r:d6 pearson_p:d6 spearman_rho:d6 spearman_p:d6 mean_abs_diff:d6 rms_diff:d6",
+    "SELECT *, " + ", ".join(student_p_sql(f"(abs({r})*sqrt((n_voxels-2)/(1-{r}*{r})))", "(n_voxels-2)") + f" AS {p}" for r, p in (("pearson_r", "pearson_p"), ("spearman_rho", "spearman_p"))) + " FROM ("
     "SELECT patient, COUNT(*) AS n_voxels, corr(p_nec, p_enh) AS pearson_r, corr(ra, rb) AS spearman_rho, AVG(abs(p_nec-p_enh)) AS mean_abs_diff, "
     "sqrt(AVG((p_nec-p_enh)*(p_nec-p_enh))) AS rms_diff FROM (SELECT *, "
     + ", ".join(
         f"rank() OVER (PARTITION BY patient ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY patient, {c})-1)/2.0 AS {r}" for c, r in (("p_nec", "ra"), ("p_enh", "rb"))
     )
-    + " FROM tm WHERE test_region) GROUP BY 1",
+    + " FROM tm WHERE test_region) GROUP BY 1)",
     **_TM,
 )
 def map_agreement(spark, sf):

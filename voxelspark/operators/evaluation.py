@@ -290,8 +290,15 @@ def fold_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 # ---- agreement of two maps -----------------------------------------------------------------
 
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of ``n`` pairs by its t; a perfect one has p 0."""
+    df = n - 2
+    t = F.abs(r) * F.sqrt(df / (1.0 - r * r))
+    return F.when(F.abs(r) >= 1.0, 0.0).otherwise(tails.student_p(t, df))
+
+
 def map_agreement(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Pearson and Spearman correlation, mean absolute and root mean square difference."""
+    """Pearson and Spearman correlation with their p values, mean absolute and root mean square difference."""
     keys = list(keys)
     ranked = df = cut_lineage(df.select(*keys, a, b))
     for c in (a, b):
@@ -310,6 +317,7 @@ def map_agreement(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFra
     enough = F.col("n_voxels") >= 3
     spread = enough & (F.col("_sa") >= 1e-12) & (F.col("_sb") >= 1e-12)
     out = out.withColumns({c: F.when(spread, F.col(c)) for c in ("pearson_r", "spearman_rho")})
+    out = out.withColumns({p: correlation_p(F.col(c), F.col("n_voxels")) for c, p in (("pearson_r", "pearson_p"), ("spearman_rho", "spearman_p"))})
     return out.withColumns({c: F.when(enough, F.col(c)) for c in ("mean_abs_diff", "rms_diff")}).drop("_sa", "_sb")
 
 

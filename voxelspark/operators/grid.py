@@ -229,7 +229,7 @@ def restrict(df: DataFrame, mask: DataFrame, keys: Sequence[str], idx: str = "fl
 def parse_sampling(text: str | Column) -> list[Column]:
     """``mode:key=value:...`` as a lower-case mode and a map of doubles."""
     c = F.lower(F.trim(_col(text)))
-    pieces = F.filter(F.slice(F.split(c, ":"), 2, 1000), lambda p: p.contains("="))
+    pieces = F.filter(F.split(c, ":"), lambda p, i: (i > 0) & p.contains("="))
     entries = F.transform(
         pieces,
         lambda p: F.struct(

@@ -235,15 +235,20 @@ def top_bands(bands: DataFrame, keys: Sequence[str], n: int = 3) -> DataFrame:
     return top_k(bands, keys, [F.desc("peak_ratio"), F.desc("band")], n)
 
 
-def ghost_report(df: DataFrame, keys: Sequence[str], axis: str, value: str, half_width: int = 2, n_top: int = 10) -> DataFrame:
-    """Per key: profile statistics, the strongest bands in rank order and their number."""
+def ghost_report(df: DataFrame, keys: Sequence[str], axis: str, value: str, half_width: int = 3, n_top: int = 5) -> DataFrame:
+    """Per key: profile statistics, and the bands with their peak ratios.
+
+    Bands stand in scan order; only when more than ``n_top`` were found are they cut to the strongest, by
+    falling ratio.
+    """
     keys = list(keys)
     profile = cut_lineage(axis_profile(df, keys, axis, value))
     stats = profile.groupBy(*keys).agg(
         F.max("profile_mean").alias("profile_mean"), F.max("profile_std").alias("profile_std"), F.max("threshold").alias("threshold")
     )
-    bands = top_bands(scan_bands(profile, keys, axis, half_width), keys, n_top)
-    lists = bands.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_bands"), F.array_sort(F.collect_list("band")).alias("band_indices")
-    )
-    return stats.join(lists, keys, "left").withColumn("n_bands", F.coalesce("n_bands", F.lit(0)))
+    found = scan_bands(profile, keys, axis, half_width).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("band", "peak_ratio"))).alias("_b"))
+    falling = F.reverse(F.array_sort(F.transform("_b", lambda b: F.struct(b["peak_ratio"].alias("peak_ratio"), b["band"].alias("band")))))
+    cut = F.transform(F.slice(falling, 1, n_top), lambda b: F.struct(b["band"].alias("band"), b["peak_ratio"].alias("peak_ratio")))
+    found = found.withColumn("_b", F.when(F.size("_b") > n_top, cut).otherwise(F.col("_b")))
+    lists = found.select(*keys, F.size("_b").cast("long").alias("n_bands"), F.col("_b.band").alias("band_indices"), F.col("_b.peak_ratio").alias("band_peak_ratios"))
+    return stats.join(lists, keys, "left").withColumn("n_bands", F.coalesce("n_bands", F.lit(0).cast("long")))

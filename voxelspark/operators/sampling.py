@@ -28,12 +28,13 @@ def _seed_text(seed: int | Column) -> Column:
     return seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
 
 
-def thin(pools: DataFrame, keys: Sequence[str], step: int, seed: int | Column) -> DataFrame:
-    """One seeded voxel per class and cell of ``step`` voxels."""
+def thin(pools: DataFrame, keys: Sequence[str], step: int, seed: int | Column, max_keep: int | None = None) -> DataFrame:
+    """One seeded voxel per class and cell of ``step`` voxels, of which ``max_keep`` per key and class stay."""
     rest = [c for c in pools.columns if c not in (*keys, "target")]
     pick = F.min(F.struct(seeded_key(seed, F.col(IDX)).alias("_h"), *rest))
     out = pools.withColumn("_cell", cell_key([step] * 3)).groupBy(*keys, "target", "_cell").agg(pick.alias("_p"))
-    return out.select(*keys, "target", *[F.col(f"_p.{c}").alias(c) for c in rest])
+    out = out.select(*keys, "target", *[F.col(f"_p.{c}").alias(c) for c in rest])
+    return out if max_keep is None else choose(out, [*keys, "target"], IDX, max_keep, seed)
 
 
 def _class_counts() -> list[Column]:
@@ -138,11 +139,11 @@ def grid_block(
 
 
 def patch_roles(
-    pools: DataFrame, keys: Sequence[str], grid: Grid, fraction: float, half_width: int, seed: int | Column, max_centres: int = 5000
+    pools: DataFrame, keys: Sequence[str], grid: Grid, fraction: float, half_width: int, seed: int | Column
 ) -> DataFrame:
     """Voxels inside seeded cubes are held out."""
     rows = with_stats(pools, keys, _class_counts())
-    n_pos = F.least(F.greatest(F.lit(1), F.bround(F.col("_n_pos") * F.lit(fraction)).cast("long")), F.lit(max_centres), F.col("_n_pos"))
+    n_pos = F.least(F.greatest(F.lit(1), F.bround(F.col("_n_pos") * F.lit(fraction)).cast("long")), F.col("_n_pos"))
     quota = F.when(F.col("target") == 1, n_pos).otherwise(F.least(n_pos, F.col("_n_neg")))
     centres = choose(rows.withColumn("_q", quota), [*keys, "target"], IDX, F.col("_q"), seed)
     held = expand_cubes(centres, keys, half_width, grid).withColumn("_held", F.lit(True))
@@ -235,16 +236,32 @@ def adaptive_split(
     fraction: float = 0.10,
     half_width: int = 2,
     n_per_class: int | None = 20000,
+    gm_fraction: float | None = None,
+    min_step_vox: int = 0,
 ) -> DataFrame:
     """Blocked split with the first feasible rung per key, else cube holdout by its own ladder.
 
-    Adds ``mode``, ``block_mm`` and ``buffer_mm``.  Keys with an empty class give no rows.
+    Adds ``mode``, ``block_mm`` and ``buffer_mm``.  A key that cannot be split keeps one row without role
+    or voxel whose mode says why: ``empty_class`` or ``infeasible``.  ``min_step_vox`` thins the pools first.
     """
     keys = list(keys)
-    pools = with_stats(pools, keys, _class_counts()).where("_n_pos > 0 AND _n_neg > 0").drop("_n_pos", "_n_neg")
-    pools = cut_lineage(pools)
+    if min_step_vox > 1:
+        pools = thin(pools, keys, min_step_vox, seed)
+    whole = cut_lineage(with_stats(pools, keys, _class_counts()))
+    split = _adaptive_rows(whole.where("_n_pos > 0 AND _n_neg > 0").drop("_n_pos", "_n_neg"), keys, grid, spacing, block_mm, buffer_mm, seed, fraction, half_width, n_per_class, gm_fraction)
+    split = cut_lineage(split)
+    reason = F.when(F.max(F.least("_n_pos", "_n_neg")) > 0, "infeasible").otherwise("empty_class")
+    failed = whole.groupBy(*keys).agg(reason.alias("mode")).join(split.select(*keys).distinct(), keys, "left_anti")
+    return split.unionByName(failed, allowMissingColumns=True)
+
+
+def _adaptive_rows(
+    pools: DataFrame, keys: list[str], grid: Grid, spacing: Sequence[float], block_mm: float, buffer_mm: float, seed: int | Column, fraction: float, half_width: int,
+    n_per_class: int | None, gm_fraction: float | None,
+) -> DataFrame:
+    """Rows of the keys that some rung can split."""
     rungs = cut_lineage(grid_ladder(pools, keys, spacing, block_mm, buffer_mm, seed, fraction))
-    blocked = grid_block(pools.join(rungs, keys), keys, spacing, "block_mm", "buffer_mm", seed, fraction, n_per_class)
+    blocked = grid_block(pools.join(rungs, keys), keys, spacing, "block_mm", "buffer_mm", seed, fraction, n_per_class, gm_fraction)
     result = blocked.withColumn("mode", F.lit("grid_block"))
     open_ = pools.join(rungs, keys, "left_anti")
     if open_.isEmpty():
@@ -252,7 +269,7 @@ def adaptive_split(
     empty = F.lit(None).cast("double")
     for share in _candidates(fraction, HOLDOUT_FRACTIONS):
         for width in _candidates(half_width, HALF_WIDTHS):
-            split = patch_holdout(open_, keys, grid, share, int(width), seed, n_per_class).drop("attempt")
+            split = patch_holdout(open_, keys, grid, share, int(width), seed, n_per_class, gm_fraction=gm_fraction).drop("attempt")
             split = split.withColumns({"block_mm": empty, "buffer_mm": empty, "mode": F.lit("patch_holdout")})
             result = result.unionByName(split)
             open_ = cut_lineage(open_.join(split.select(*keys).distinct(), keys, "left_anti"))
@@ -283,6 +300,13 @@ def leave_one_out_counts(df: DataFrame, group: str, label: str) -> DataFrame:
     return out.withColumn("n_train", F.col("n_train_good") + F.col("n_train_bad")).drop("_t")
 
 
-def leave_one_out_training(df: DataFrame, group: str, label: str, held: object) -> DataFrame:
-    """Labelled rows of all other groups."""
-    return df.where((F.col(group) != F.lit(held)) & (F.col(label) != -1))
+def leave_one_out_training(df: DataFrame, group: str, label: str, held: object | None = None) -> DataFrame:
+    """Labelled rows of all other groups; without ``held`` one copy per held-out group, in column ``held``.
+
+    The copies are the result itself: groups times labelled rows.
+    """
+    labelled = df.where(F.col(label) != -1)
+    if held is not None:
+        return labelled.where(F.col(group) != F.lit(held))
+    groups = df.select(F.col(group).alias("held")).distinct()
+    return labelled.join(groups, F.col(group) != F.col("held"))
