@@ -35,7 +35,7 @@ from .warc import file_system
 LENGTH = 50
 GRAM = 20
 BLOCK_BYTES = 4_000_000
-RANGE_NAMES = 600_000
+RANGE_NAMES = 300_000
 NAMES_PER_BYTE = 2 / (LENGTH - GRAM + 2)
 NO_ID = np.iinfo(np.int64).max
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
