@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxelspark.session import checkpoint_dir
 
+PART_BYTES = 4_000_000
 BROADCAST_ROWS = 100_000  # counted before a hint is given; larger sides are shuffled
 
 
@@ -59,6 +61,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def parts_of(batch: pa.RecordBatch, column: str = "text", size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``size`` bytes of text each, so that a task's memory follows them, not the batch."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else []
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
 def map_texts(df: DataFrame, key: Column, text: Column, make: Callable[[list[str]], tuple[np.ndarray | None, Sequence]], schema: str, extra: Sequence[Column] = ()) -> DataFrame:
     """Rows (key, extra columns, made columns) by Arrow batches; ids of any type pass untouched, also null.
 
@@ -70,7 +81,7 @@ def map_texts(df: DataFrame, key: Column, text: Column, make: Callable[[list[str
     names = [*flat.columns[:-1], *[x.split()[0] for x in schema.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             rows, made = make([t or "" for t in batch.column("text").to_pylist()])
             held = batch.columns[:-1] if rows is None else [c.take(pa.array(rows)) for c in batch.columns[:-1]]
             yield pa.RecordBatch.from_arrays([*held, *[pa.array(m) for m in made]], names)

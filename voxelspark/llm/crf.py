@@ -49,7 +49,7 @@ OWN = len(CLASSES) + 6
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of all lines, bytes of each line, lines of each text); a line has its own features and its neighbours'."""
+    """(features of all lines, bytes of each line, lines of each text)."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     lines = [b.split(b"\n") for b in raw]
     counts = np.array([len(x) for x in lines], np.int64)
@@ -57,7 +57,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     ends = np.flatnonzero(buffer == 10)
     starts = np.concatenate(([0], ends[:-1] + 1))
     size = ends - starts
-    own = np.zeros((len(ends), OWN))
+    own = np.zeros((len(ends), OWN), np.float32)
     for k in range(len(CLASSES)):
         own[:, k] = np.add.reduceat(LOOKUP[k][buffer], starts, dtype=np.int64) / np.maximum(size, 1)
     at = 0
@@ -76,19 +76,24 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
                 seen.add(line)
             at += 1
     own[:, 14] = np.log1p(size) / 10
-    first = np.zeros(len(ends), bool)
+    return own, size, counts
+
+
+def beside(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first line of its text, last line, the values of the line before, of the line after); zero where there is none."""
+    first = np.zeros(len(values), bool)
     first[np.concatenate(([0], np.cumsum(counts)[:-1]))] = True
     last = np.roll(first, -1)
-    before = np.where(first[:, None], 0, np.roll(own, 1, axis=0))
-    after = np.where(last[:, None], 0, np.roll(own, -1, axis=0))
-    return np.hstack((own, before, after, first[:, None], last[:, None])).astype(np.float32), size, counts
+    before, after = np.roll(values, 1, axis=0), np.roll(values, -1, axis=0)
+    before[first], after[last] = 0, 0
+    return first, last, before, after
 
 
 @dataclass
 class Model:
     mean: np.ndarray
     scale: np.ndarray
-    weights: np.ndarray  # one per feature, then the bias
+    weights: np.ndarray  # of the own features, the line before's, the line after's, first, last and the bias
     stay: np.ndarray  # weight of remaining bad, of remaining good
     prior: float | None = None  # the score of every text if nothing could be fitted
 
@@ -124,10 +129,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def train(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Model:
     """Maximise the mean conditional log likelihood per text by Adam steps on its gradient."""
-    x = features.astype(np.float64)
-    mean, scale = x.mean(0), x.std(0)
+    own = features.astype(np.float64)
+    mean, scale = own.mean(0), own.std(0)
     scale[scale == 0] = 1
-    x = np.hstack(((x - mean) / scale, np.ones((len(x), 1))))
+    own = (own - mean) / scale
+    start, end, before, after = beside(own, counts)
+    x = np.hstack((own, before, after, start[:, None], end[:, None], np.ones((len(own), 1))))
     y = np.repeat(labels, counts).astype(float)
     share = 1 / np.repeat(counts, counts)  # every text weighs the same, however many lines it has
     chains = Chains(counts)
@@ -156,21 +163,24 @@ def train(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds:
 
 
 def line_marginals(model: Model, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Probability that each line is good."""
-    e = ((features - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1]
+    """Probability that each line is good; neighbours add their own weighted sums, so no wider table is made."""
+    parts = ((features - model.mean.astype(np.float32)) / model.scale.astype(np.float32)) @ model.weights[: 3 * OWN].reshape(3, OWN).T
+    start, end, before, after = beside(parts, counts)
+    e = parts[:, 0] + before[:, 1] + after[:, 2] + start * model.weights[-3] + end * model.weights[-2] + model.weights[-1]
     m, b = Chains(counts).messages(e, model.stay)
     return sigmoid(m + b)
 
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of whole texts of about ``CHUNK_BYTES`` characters."""
+    """Runs of whole texts of about ``CHUNK_BYTES``, a line counting as a hundred at least."""
     run, size = [], 0
     for t in texts:
-        if run and size + len(t) > CHUNK_BYTES:
+        cost = len(t) + 100 * t.count("\n")
+        if run and size + cost > CHUNK_BYTES:
             yield run
             run, size = [], 0
         run.append(t)
-        size += len(t)
+        size += cost
     if run:
         yield run
 
@@ -208,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     y = got["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(2), float(y.mean()) if len(y) else 0.5)
-    features = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, 3 * OWN + 2)
+    features = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, OWN)
     return train(features, got["n"].to_numpy(), y)
 
 

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxelspark.operators.spatial import merge_graph
 
-from .common import fresh, map_texts, stored
+from .common import broadcast_if_small, fresh, map_texts, stored
 
 BITS = 64
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-SLICE_VARIANTS = 4_000_000  # a slice is split by further bits beyond this
+SLICE_VARIANTS = 1_000_000  # a slice is split by further bits beyond this
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -180,8 +180,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rad
     rows = stored(_rooted(docs, id_col, text, radius, shingle).select("root", F.col(id_col).alias("_id"), "_h"), "rooted")
     first = F.min_by(F.struct("_id", "_h"), F.struct(F.col("_id").isNull(), "_id", "_h"))
     kept = stored(rows.groupBy("root").agg(first.alias("_k")).select("_k.*"), "kept")
-    same = docs[id_col].eqNullSafe(kept["_id"]) & (F.xxhash64(docs[text]) == kept["_h"])
-    out = docs.join(kept, same, "left_semi")
-    repeated = rows.join(kept, rows["_id"].eqNullSafe(kept["_id"]) & (rows["_h"] == kept["_h"]), "left_semi").count() > kept.count()
+    both = rows["_id"].eqNullSafe(kept["_id"]) & (rows["_h"] == kept["_h"])
+    gone = broadcast_if_small(stored(rows.join(kept, both, "left_anti").select("_id", "_h").distinct(), "gone"))
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text]) == gone["_h"]), "left_anti")
+    repeated = rows.join(kept, both, "left_semi").count() > kept.count()
     h = fresh(docs, "_h")
     return out.withColumn(h, F.xxhash64(text)).dropDuplicates([id_col, h]).drop(h) if repeated else out
