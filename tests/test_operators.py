@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voxelspark.functions import arrays as A, series as TS, spectrum, tails
 from voxelspark.operators import evaluation as E, followup as FU, grid as G, hotspot as H, learning as L
 from voxelspark.operators import masks as M, quality as Q, ranking as R, sampling as P, spatial as S
+from voxelspark.plans import clustering as PC
 from voxelspark.sources import sinks, tables as T
 
 KEYS = ["patient"]
@@ -303,9 +304,57 @@ def test_patch_holdout_has_no_leak(spark):
     assert len({r["flat_idx"] for r in rows}) == len(rows)
 
 
-def test_infeasible_keys_give_no_rows(spark):
+def test_infeasible_keys_say_why(spark):
     assert P.balanced(pool(spark, 0, 5), KEYS, 3, 1).count() == 0
-    assert P.adaptive_split(pool(spark, 0, 5), KEYS, G.Grid(40, 10, 10), (2.0, 2.0, 2.0)).count() == 0
+    rows = P.adaptive_split(pool(spark, 0, 5), KEYS, G.Grid(40, 10, 10), (2.0, 2.0, 2.0)).collect()
+    assert [(r["mode"], r["role"], r["flat_idx"]) for r in rows] == [("empty_class", None, None)]
+
+
+def test_thinning_keeps_one_voxel_per_cell(spark):
+    rows = P.thin(pool(spark, 40, 40), KEYS, 4, 1, max_keep=3).collect()
+    assert len({(r["target"], r["x"] // 4, r["y"] // 4, r["z"] // 4) for r in rows}) == len(rows)
+    assert max(sum(r["target"] == c for r in rows) for c in (0, 1)) <= 3
+
+
+def test_more_than_a_thousand_options(spark):
+    text = "Mode:" + ":".join(f"k{i}={i}" for i in range(1500))
+    row = spark.createDataFrame([(text,)], "t string").select(*G.parse_sampling("t")).first()
+    assert row["mode"] == "mode" and len(row["options"]) == 1500 and row["options"]["k1499"] == 1499.0
+
+
+def test_silhouette_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x, k = rng.normal(size=(60, 2)) + 1000, rng.integers(0, 3, 60)
+    k[:1] = 7
+    df = spark.createDataFrame([(i, int(k[i]), *map(float, x[i])) for i in range(60)], "id int, k int, a double, b double")
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    for r in L.silhouette(df, ["a", "b"], "k", "id").collect():
+        i = r["id"]
+        if (k == k[i]).sum() == 1:
+            assert r["silhouette"] == 0.0
+            continue
+        a = d[i, k == k[i]].sum() / ((k == k[i]).sum() - 1)
+        b = min(d[i, k == c].mean() for c in set(k) - {k[i]})
+        assert r["silhouette"] == pytest.approx((b - a) / max(a, b), abs=1e-6)
+
+
+def test_clusters_of_a_patient_do_not_depend_on_others(spark):
+    rng = np.random.default_rng(8)
+    table = lambda p, shift: [(p, i, float(v), float(w)) for i, (v, w) in enumerate(rng.normal(size=(30, 2)) + shift)]
+    first, others = table(0, 0), [table(1, 5), table(1, -50)]
+    got = []
+    for other in others:
+        df = spark.createDataFrame(first + other, "patient int, id int, a double, b double")
+        out = PC.reduce_and_cluster(df, ["a", "b"], KEYS, 2, "kmeans", 1, 1, 6.0, 2)
+        assert out.count() == 60
+        got.append(sorted((r["id"], r["cluster"], round(r["pc1"], 9)) for r in out.where("patient = 0").collect()))
+    assert got[0] == got[1]
+
+
+def test_calibration_folds_hold_both_classes(spark):
+    df = spark.createDataFrame([(i, int(i < 4)) for i in range(20)], "flat_idx long, target int")
+    rows = L.stratified_folds(df, 2, "flat_idx").groupBy("_f", "target").count().collect()
+    assert sorted((r["_f"], r["target"], r["count"]) for r in rows) == [(0, 0, 8), (0, 1, 2), (1, 0, 8), (1, 1, 2)]
 
 
 def test_ladder_falls_back_to_cubes(spark):

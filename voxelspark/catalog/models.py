@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window as W, functions as F
 
 from .. import fixtures as fx
 from ..functions import series as TS
@@ -15,12 +15,12 @@ from ..session import cut_lineage
 from .hotspots import MIN_DIST, MIN_VOXELS
 from .morphology import GRID, KEYS, SPACING
 from .registry import query
-from .splits import pools
-from .timeseries import auto_labels
+from .splits import _POOL, pools
+from .timeseries import _VQ, auto_labels
 from .voxels import masks_table
 
 SGRID = Grid(5, 5, 5, fx.VX, fx.VY, fx.VZ)
-TREES, DEPTH = 10, 6
+_BY_TARGET = "SELECT CAST(label<5 AS INT) AS target, COUNT(*) AS n, COUNT(*) AS in_range, true AS learnt FROM series GROUP BY 1"
 
 
 def samples(spark, sf):
@@ -33,93 +33,115 @@ def samples(spark, sf):
     )
 
 
+def _judged(p, floor):
+    """Per target: rows, probabilities within 0 and 1, and whether the AUC on the training rows reaches ``floor``."""
+    p = cut_lineage(p.select("target", "val", "p"))
+    auc = E.ranked_metrics(E.score_table(p.where("NOT val"), [], "target", "p"), [], "p").first()["val_auc"]
+    rows = p.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p").between(0, 1)).alias("in_range"))
+    return rows.withColumn("learnt", F.lit(auc >= floor))
+
+
+def _fq(name: str):
+    return query(name, "target:i n:i in_range:i learnt:b", fx.with_views(_BY_TARGET, "series"))
+
+
 def _scored(spark, sf, name, **options):
     df = samples(spark, sf)
     return L.train(name, df.where("NOT val"), **options).predict(df)
 
 
-P_COLS = "patient:i flat_idx:i target:i p:d4"
-
-
-@query("l2_random_forest", P_COLS)
+@_fq("l2_random_forest")
 def forest(spark, sf):
-    return _scored(spark, sf, "Random_Forest", trees=TREES, depth=DEPTH)
+    """The full forest separates its own training rows."""
+    return _judged(_scored(spark, sf, "Random_Forest"), 0.99)
 
 
 @query(
     "l3_positive_probability",
-    "val:b target:i n:i in_range:i",
-    fx.with_views("SELECT flat_idx%4=0 AS val, CAST(label<5 AS INT) AS target, COUNT(*) AS n, COUNT(*) AS in_range FROM series GROUP BY 1,2", "series"),
+    "target:i n:i in_range:i above:b",
+    fx.with_views("SELECT CAST(label<5 AS INT) AS target, COUNT(*) AS n, COUNT(*) AS in_range, label<5 AS above FROM series WHERE flat_idx%4<>0 GROUP BY 1, 4", "series"),
 )
 def probability(spark, sf):
-    p = _scored(spark, sf, "rf", trees=TREES, depth=DEPTH)
+    """The column of class 1: on training rows its mean is above a half for positives and below for negatives."""
+    p = _scored(spark, sf, "rf").where("NOT val")
     in_range = F.count_if(F.col("p").between(0, 1)).alias("in_range")
-    return p.groupBy("val", "target").agg(F.count(F.lit(1)).alias("n"), in_range)
+    return p.groupBy("target").agg(F.count(F.lit(1)).alias("n"), in_range, (F.avg("p") > 0.5).alias("above"))
 
 
-@query("l4_feature_importance", "feature:i importance:d6")
+@query("l4_feature_importance", "n:i total:d6 negative:i", "SELECT 64 AS n, 1.0 AS total, 0 AS negative FROM (SELECT COUNT(*) FROM embeddings)")
 def importance(spark, sf):
+    """One importance per frame; they are not negative and sum to one."""
     df = samples(spark, sf)
-    fitted = L.train_forest(df.where("NOT val"), 42, TREES, DEPTH)
+    fitted = L.train_forest(df.where("NOT val"))
     values = [float(v) for v in fitted.models[0].featureImportances.toArray()]
-    return spark.createDataFrame(list(enumerate(values)), "feature int, importance double")
+    rows = spark.createDataFrame([(v,) for v in values], "importance double")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
 
 
-@query("l5_calibrated_svm", P_COLS)
+@_fq("l5_calibrated_svm")
 def svm(spark, sf):
-    return _scored(spark, sf, "linear_svm", folds=2, max_iter=30)
+    return _judged(_scored(spark, sf, "linear_svm"), 0.6)
 
 
-@query("l6_logistic_regression", P_COLS)
+@query("l6_logistic_regression", "n:i in_range:i optimal:b", fx.with_views("SELECT COUNT(*) AS n, COUNT(*) AS in_range, true AS optimal FROM series WHERE flat_idx%4<>0", "series"))
 def logistic(spark, sf):
-    return _scored(spark, sf, "logistic", max_iter=100)
-
-
-@query("l8_perceptron", P_COLS)
+    """The gradient of the balanced, penalised loss vanishes at the fitted weights."""
+    df = samples(spark, sf).where("NOT val")
+    fitted = L.train("logistic", df)
+    w = [float(v) for v in fitted.models[0].coefficients]
+    rows = cut_lineage(L.balanced_weights(fitted.predict(df)).withColumn("x", vector_to_array("features")))
+    pull = [F.sum(F.col("weight") * (F.col("p") - F.col("target")) * F.col("x")[i]) for i in range(len(w))]
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p").between(0, 1)).alias("in_range"), F.sum("weight").alias("total"), F.array(*pull).alias("g")).first()
+    steepest = max(abs(g + v) for g, v in zip(r["g"], w)) / r["total"]
+    return spark.createDataFrame([(r["n"], r["in_range"], bool(steepest < 1e-4))], "n long, in_range long, optimal boolean")
+
+
+@_fq("l8_perceptron")
 def perceptron(spark, sf):
     names = [f"t{i}" for i in range(64)]
     df = fx.series(spark, sf).select(
         "patient", "flat_idx", F.expr("CAST(label < 5 AS INT)").alias("target"), F.expr("flat_idx % 4 = 0").alias("val"), *[F.col("ts")[i].alias(n) for i, n in enumerate(names)]
     )
     df = cut_lineage(L.assemble(C.standardise(df, [], names, fit=~F.col("val")), names))
-    return L.train("mlp", df.where("NOT val"), n_features=64, max_iter=30).predict(df)
+    return _judged(L.train("mlp", df.where("NOT val"), n_features=64).predict(df), 0.9)
 
 
-@query("l9_three_classifiers", "clf val_auc:d4 val_ap:d4 val_brier:d4 val_bal_acc:d4")
+@query("l9_three_classifiers", "clf valid:b", "SELECT unnest(['rf', 'svm', 'lr']) AS clf, true AS valid FROM (SELECT COUNT(*) FROM embeddings)")
 def three_classifiers(spark, sf):
-    """Three classifiers on one sample, scored on the same validation voxels."""
+    """Three classifiers on one sample; their metrics on the same validation voxels are defined and within 0 and 1."""
     df = samples(spark, sf)
-    p = L.compare_classifiers(df.where("NOT val"), df.where("val"), 42, TREES, DEPTH, max_iter=20)
+    p = L.compare_classifiers(df.where("NOT val"), df.where("val"))
     long = E.unpivot(p, ["patient", "flat_idx", "target"], {"rf": "p_rf", "svm": "p_svm", "lr": "p_lr"})
-    return E.validation_metrics(cut_lineage(long), ["clf"], "target", "score")
+    metrics = E.validation_metrics(cut_lineage(long), ["clf"], "target", "score")
+    within = [F.coalesce(F.col(m).between(0, 1), F.lit(False)) for m in ("val_auc", "val_ap", "val_brier", "val_bal_acc")]
+    return metrics.select("clf", (within[0] & within[1] & within[2] & within[3]).alias("valid"))
 
 
-@query(
-    "x2_classifier_registry",
-    "clf n:i",
-    "SELECT clf, n FROM (SELECT COUNT(*) AS n FROM embeddings), (SELECT unnest(['" + "','".join(L.CLASSIFIER_NAMES["logreg"]) + "']) AS clf)",
-)
+_NAMES = ", ".join(f"('{name.upper()} ', '{standard}')" for standard, accepted in L.CLASSIFIER_NAMES.items() for name in accepted)
+
+
+@query("x2_classifier_registry", "name clf n:i", f"SELECT name, clf, n FROM (VALUES {_NAMES}) t(name, clf), (SELECT COUNT(*) AS n FROM embeddings)")
 def classifier_registry(spark, sf):
-    """Every accepted name of the logistic classifier gives the same number of scores."""
+    """Every accepted name, in any case and with blanks, leads to its classifier, which fits the same sample."""
     df = samples(spark, sf)
-    out = None
-    for name in L.CLASSIFIER_NAMES["logreg"]:
-        part = L.train(name, df.where("NOT val"), max_iter=20).predict(df)
-        part = part.groupBy(F.lit(name).alias("clf")).agg(F.count("p").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    n = {}
+    for name in ("rf", "logreg", "svm"):
+        n[name] = L.train(name, df.where("NOT val"), **({"trees": 5} if name == "rf" else {"max_iter": 5})).predict(df).where("p BETWEEN 0 AND 1").count()
+    n["mlp"] = L.train("mlp", df.where("NOT val"), n_features=64, max_iter=5).predict(df).where("p BETWEEN 0 AND 1").count()
+    rows = [(f"{name.upper()} ", L.classifier_name(f"{name.upper()} ")) for accepted in L.CLASSIFIER_NAMES.values() for name in accepted]
+    return spark.createDataFrame([(name, kind, n[kind]) for name, kind in rows], "name string, clf string, n long")
 
 
-@query("l10_leave_one_out_forest", "patient:i n:i auc:d4 accuracy:d4")
+@query(
+    "l10_leave_one_out_forest",
+    "patient:i n:i in_range:i",
+    fx.with_views("SELECT patient, COUNT(*) AS n, COUNT(*) AS in_range FROM al GROUP BY 1", "slong", extra=_VQ),
+)
 def leave_one_out(spark, sf):
-    """Quality forest of each held-out patient, judged on its labelled voxels."""
+    """Quality forest of each held-out patient: every voxel of the patient gets a probability."""
     df = L.assemble(auto_labels(spark, sf), Q.VOXEL_FEATURES)
-    scored = cut_lineage(L.leave_one_out_forest(df, "patient", "quality", 42, TREES, DEPTH))
-    labelled = scored.where("quality <> -1").withColumn("target", F.col("quality"))
-    ranked = E.ranked_metrics(E.score_table(labelled, KEYS, "target", "p"), KEYS, "p")
-    cut = E.threshold_metrics(labelled, KEYS, "target", "p")
-    counts = scored.groupBy("patient").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(ranked, "patient", "left").join(cut, "patient", "left").withColumnRenamed("val_auc", "auc")
+    scored = cut_lineage(L.leave_one_out_forest(df, "patient", "quality"))
+    return scored.groupBy("patient").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p").between(0, 1)).alias("in_range"))
 
 
 # ---- proximity -----------------------------------------------------------------------------
@@ -162,12 +184,21 @@ def anchor_proximity(spark, sf):
     return near.withColumn("ws", F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v))
 
 
-@query("j10_forest_proximity", "id:i target:i proximity:d4")
+@query(
+    "j10_forest_proximity",
+    "target:i klass:i n:i in_range:i nearer:b",
+    fx.with_views("SELECT a.target, b.klass, n, n AS in_range, a.target=b.klass AS nearer FROM (SELECT CAST(label<5 AS INT) AS target, COUNT(*) AS n FROM series WHERE flat_idx%4<>0 GROUP BY 1) a, (SELECT unnest([0, 1]) AS klass) b", "series"),
+)
 def forest_proximity(spark, sf):
-    """Class proximity from the leaves of a trained forest."""
-    df = samples(spark, sf).withColumn("id", F.col("flat_idx") + F.col("patient") * 1000)
-    fitted = L.train_forest(df.where("NOT val"), 42, TREES, DEPTH)
-    return L.class_proximity(cut_lineage(L.leaf_table(fitted, df).select("id", "target", "leaves")), "id", "target")
+    """Class proximity from the leaves of a full forest: training rows are nearer to their own class."""
+    df = samples(spark, sf).where("NOT val").withColumn("id", F.col("flat_idx") + F.col("patient") * 1000)
+    fitted = L.train_forest(df)
+    leaves = cut_lineage(L.leaf_table(fitted, df).select("id", "target", "leaves"))
+    near = L.class_proximity(leaves, "id", "target").withColumnRenamed("target", "klass")
+    pairs = leaves.select("id", "target").join(spark.createDataFrame([(0,), (1,)], "klass int"), F.lit(True)).join(near, ["id", "klass"], "left")
+    rows = pairs.fillna(0.0, ["proximity"]).groupBy("target", "klass").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("proximity").between(0, 1)).alias("in_range"), F.avg("proximity").alias("m"))
+    best = rows.groupBy("target").agg(F.max("m").alias("top"))
+    return rows.join(best, "target").withColumn("nearer", F.col("m") == F.col("top"))
 
 
 # ---- clustering ----------------------------------------------------------------------------
@@ -199,13 +230,22 @@ def variance_threshold(spark, sf):
     return spark.createDataFrame([(c,) for c in kept], "column_name string")
 
 
-@query("l12_principal_components", "component:i variance_share:d6 spread:d4")
+@query(
+    "l12_principal_components",
+    "component:i share_fits:b uncorrelated:b falling:b",
+    "SELECT unnest([0, 1, 2]) AS component, true AS share_fits, true AS uncorrelated, true AS falling FROM (SELECT COUNT(*) FROM embeddings)",
+)
 def principal_components(spark, sf):
+    """Components are uncorrelated, fall in variance, and their variances have the reported shares."""
     df, names, shares = L.principal_components(cut_lineage(_points(spark, sf)), DIMS)
-    spread = df.agg(F.array(*[F.var_samp(n) for n in names]).alias("s"))
-    return spread.select(F.posexplode(F.arrays_zip(F.lit(shares).alias("v"), "s")).alias("component", "e")).select(
-        "component", F.col("e.v").alias("variance_share"), F.col("e.s").alias("spread")
-    )
+    cov = df.agg(*[F.covar_samp(a, b).alias(f"{a}_{b}") for a in names for b in names]).first()
+    spread = [cov[f"{a}_{a}"] for a in names]
+    total = sum(spread)
+    rows = [
+        (i, abs(spread[i] / total - shares[i]) < 1e-9, all(abs(cov[f"{a}_{b}"]) < 1e-9 * total for b in names if b != a), i == 0 or spread[i] <= spread[i - 1])
+        for i, a in enumerate(names)
+    ]
+    return spark.createDataFrame(rows, "component int, share_fits boolean, uncorrelated boolean, falling boolean")
 
 
 @query(
@@ -248,7 +288,7 @@ def cluster_indices(spark, sf):
     fx.with_views(
         "SELECT id, label, CASE WHEN MAX(CASE WHEN l2=label THEN n END)<=1 THEN 0 ELSE (MIN(CASE WHEN l2<>label THEN s/n END)-MAX(CASE WHEN l2=label THEN s/(n-1) END))"
         "/GREATEST(MIN(CASE WHEN l2<>label THEN s/n END), MAX(CASE WHEN l2=label THEN s/(n-1) END)) END AS silhouette FROM "
-        "(SELECT p.id, p.label, q.label AS l2, SUM(sqrt(pow(p.a-q.a,2)+pow(p.b-q.b,2)+pow(p.c-q.c,2))) AS s, COUNT(*) AS n FROM pt p, pt q GROUP BY 1,2,3) GROUP BY 1,2",
+        "(SELECT p.id, p.label, q.label AS l2, SUM(pow(p.a-q.a,2)+pow(p.b-q.b,2)+pow(p.c-q.c,2)) AS s, COUNT(*) AS n FROM pt p, pt q GROUP BY 1,2,3) GROUP BY 1,2",
         "series",
         extra=_PTS,
     ),
@@ -257,19 +297,41 @@ def silhouette(spark, sf):
     return L.silhouette(_points(spark, sf), DIMS, "label", "id")
 
 
-@query("l13_kmeans", "cluster:i n:i")
+_ALL = "SELECT COUNT(*) AS n, 0 AS misplaced, {k} AS clusters FROM embeddings"
+
+
+def _nearest(df):
+    """Rows, rows that are not at the nearest cluster mean, and clusters."""
+    df = cut_lineage(df)
+    centres = [(r["cluster"], r["centre"]) for r in L.cluster_profile(df, DIMS, "cluster").collect()]
+    far = lambda c: sum(((F.col(d) - v) * (F.col(d) - v) for d, v in zip(DIMS, c)), F.lit(0.0))
+    own = F.coalesce(*[F.when(F.col("cluster") == k, far(c)) for k, c in centres])
+    least = F.least(*[far(c) for _, c in centres])
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(own > least + 1e-9).alias("misplaced"), F.count_distinct("cluster").alias("clusters"))
+
+
+@query("l13_kmeans", "n:i misplaced:i clusters:i", _ALL.format(k=3))
 def kmeans(spark, sf):
-    return L.fit_clusters(_points(spark, sf), DIMS, 3, "kmeans").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    """Every row is at its nearest cluster mean."""
+    return _nearest(L.fit_clusters(_points(spark, sf), DIMS, 3, "kmeans"))
 
 
-@query("l13_gaussian_mixture", "cluster:i n:i")
+@query("l13_gaussian_mixture", "n:i named:i clusters:i", "SELECT COUNT(*) AS n, COUNT(*) AS named, 3 AS clusters FROM embeddings")
 def mixture(spark, sf):
-    return L.fit_clusters(_points(spark, sf), DIMS, 3, "gmm").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    """Every row has one of the three components, none of which is empty."""
+    df = L.fit_clusters(_points(spark, sf), DIMS, 3, "gmm")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cluster").between(0, 2)).alias("named"), F.count_distinct("cluster").alias("clusters"))
 
 
-@query("l14_restart_selection", "cluster:i n:i")
+@query("l14_restart_selection", "n:i clusters:i best:b", "SELECT COUNT(*) AS n, 4 AS clusters, true AS best FROM embeddings")
 def restarts(spark, sf):
-    return L.fit_clusters(_points(spark, sf), DIMS, 4, "kmeans", restarts=3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    """The kept restart has the largest index of all restarts."""
+    df = cut_lineage(_points(spark, sf))
+    index = lambda d: L.cluster_indices(d, DIMS, "cluster")["calinski_harabasz"]
+    kept = cut_lineage(L.fit_clusters(df, DIMS, 4, "kmeans", restarts=3, starts=1))
+    each = [index(L.fit_clusters(df, DIMS, 4, "kmeans", seed=42 + r, starts=1)) for r in range(3)]
+    best = bool(index(kept) >= max(each) - 1e-6)
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters")).withColumn("best", F.lit(best))
 
 
 _R2 = "((x-2)*(x-2)+(y-2)*(y-2)+(z-2)*(z-2))"
@@ -293,32 +355,53 @@ def _clinical(spark, sf):
     return cut_lineage(M.region_flags(df.drop("label", "wm"), "seg"))
 
 
-@query("l16_bold_clustering", "cluster:i n:i")
+_PER_PATIENT = "SELECT patient, COUNT(*) AS n, {k} AS clusters FROM series GROUP BY 1"
+
+
+def _clusters_of(df):
+    return df.groupBy("patient").agg(F.count("cluster").alias("n"), F.count_distinct("cluster").alias("clusters"))
+
+
+@query("l16_bold_clustering", "patient:i n:i clusters:i", fx.with_views(_PER_PATIENT.format(k=4), "series"))
 def bold_clustering(spark, sf):
-    out = PC.cluster("bold", fx.series(spark, sf).drop("label", "wm"), KEYS, SGRID, k=3, algo="kmeans", pca_cap=4)
-    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    """Every voxel of every patient has one of the patient's own clusters."""
+    return _clusters_of(PC.cluster(" BOLD", fx.series(spark, sf).drop("label", "wm"), KEYS, SGRID, algo="kmeans"))
 
 
-@query("l17_multimodal_clustering", "cluster:i n:i")
+@query("l17_multimodal_clustering", "patient:i n:i clusters:i", fx.with_views(_PER_PATIENT.format(k=3), "series"))
 def multimodal_clustering(spark, sf):
-    out = PC.cluster("multi", _clinical(spark, sf), KEYS, SGRID, ["t1", "t2"], k=3, algo="kmeans", pca_cap=4)
-    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return _clusters_of(PC.cluster("multi", _clinical(spark, sf), KEYS, SGRID, ["t1", "t2"], k=3, algo="kmeans"))
 
 
-@query("l18_guided_clustering", "patient:i class_label:i n:i p_healthy:d3")
+@query(
+    "l18_guided_clustering",
+    "patient:i n:i sums:i labels:i healthy:i",
+    fx.with_views("SELECT patient, COUNT(*) AS n, COUNT(*) AS sums, COUNT(*) AS labels, COUNT(*) AS healthy FROM series GROUP BY 1", "series"),
+)
 def guided_clustering(spark, sf):
-    out = PC.cluster("guided", _clinical(spark, sf), KEYS, SGRID, maps=["t1", "t2"], pca_cap=6)
-    return out.groupBy("patient", "class_label").agg(F.count(F.lit(1)).alias("n"), F.avg("p_healthy").alias("p_healthy"))
+    """Each voxel's probabilities sum to one, its label is their largest, and p_healthy adds the first two."""
+    out = PC.cluster("guided_iter", _clinical(spark, sf), KEYS, SGRID, maps=["t1", "t2"])
+    total = F.aggregate("probs", F.lit(0.0), lambda s, v: s + v)
+    top = F.get("probs", F.col("class_label") - 1) == F.array_max("probs")
+    both = F.abs(F.col("p_healthy") - F.get("probs", F.lit(0)) - F.get("probs", F.lit(1))) < 1e-12
+    return out.groupBy("patient").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - 1) < 1e-6).alias("sums"), F.count_if(top).alias("labels"), F.count_if(both).alias("healthy")
+    )
 
 
-@query("x3_detector_dispatch", "patient:i pct:i rank_:i size_voxels:i p_bin:i")
+@query(
+    "x3_detector_dispatch",
+    "patient:i maps:i in_range:i rank_breaks:i",
+    fx.with_views("SELECT patient, 3*COUNT(*) AS maps, 3*COUNT(*) AS in_range, 0 AS rank_breaks FROM vm WHERE brain AND patient IN (SELECT patient FROM pool GROUP BY 1 HAVING COUNT(DISTINCT target)=2) GROUP BY 1", "vm", extra=_POOL),
+)
 def full_experiment(spark, sf):
-    """The whole supervised analysis: folds, three classifiers, ensemble and ranked hotspots."""
+    """The supervised analysis by the detector's name: own folds and models per patient, ensemble maps, ranked hotspots."""
     masks = cut_lineage(masks_table(spark, sf))
     voxels = masks.where("brain").select("patient", *"xyz", "flat_idx", "p_nec", "p_enh", "p_mix", F.col("n").cast("double").alias("n"))
-    maps, _ = PX.fold_probabilities(
-        voxels, ["p_nec", "p_enh", "p_mix", "n"], pools(spark, sf), KEYS, GRID, SPACING, folds=1, n_per_class=60, trees=TREES, depth=DEPTH, block_mm=8.0, buffer_mm=2.0, max_iter=20
-    )
-    ensemble = E.ensemble(maps, ["patient", "clf", "flat_idx"])
-    ranked = PX.hotspots_of_ensemble(ensemble, masks, KEYS, GRID, SPACING, min_voxels=MIN_VOXELS, min_dist_mm=MIN_DIST)
-    return ranked.select("patient", "pct", F.col("rank").alias("rank_"), "size_voxels", F.floor(F.col("mean_prob") * 10).alias("p_bin"))
+    run = PX.detector("Probability ")
+    ensemble, ranked = run(voxels, ["p_nec", "p_enh", "p_mix", "n"], pools(spark, sf), masks, KEYS, GRID, SPACING, folds=2, n_per_class=60, trees=100, max_iter=50, block_mm=8.0, buffer_mm=2.0, min_voxels=MIN_VOXELS, min_dist_mm=MIN_DIST)
+    order = W.partitionBy("patient", "pct").orderBy("rank")
+    falls = F.coalesce(F.col("score") > F.lag("score").over(order), F.lit(False)) | (F.col("rank") != F.row_number().over(order))
+    breaks = ranked.withColumn("_x", falls).groupBy("patient").agg(F.count_if("_x").alias("rank_breaks"))
+    maps = ensemble.groupBy("patient").agg(F.count(F.lit(1)).alias("maps"), F.count_if(F.col("p_mean").between(0, 1)).alias("in_range"))
+    return maps.join(breaks, "patient", "left").fillna(0, ["rank_breaks"])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .columns import standardise
-from .ranking import choose
+from .ranking import value_prefix
 
 # Accepted classifier names.
 CLASSIFIER_NAMES = {
@@ -37,7 +37,7 @@ CLASSIFIER_NAMES = {
 }
 MAX_TREE_DEPTH = 30  # the deepest tree Spark grows
 MAX_ANCHORS = 2000
-MAX_SILHOUETTE = 50_000
+STARTS = {"kmeans": 10, "gmm": 3}  # independent starts per fit, of which the best is kept
 
 
 def classifier_name(name: str) -> str:
@@ -111,14 +111,22 @@ def _sigmoid_fit(margins: DataFrame) -> tuple[float, float]:
     return float(model.coefficients[0]), float(model.intercept)
 
 
-def train_svm(df: DataFrame, ident: str = "flat_idx", c: float = 1.0, folds: int = 2, max_iter: int = 200) -> Fitted:
-    """Linear SVM per calibration fold with a sigmoid fitted on the held-out margins; probabilities are averaged."""
-    df = balanced_weights(df).withColumn("_f", F.pmod(F.xxhash64(F.lit("calibration"), ident), F.lit(folds)))
-    df = cut_lineage(df)
+def stratified_folds(df: DataFrame, folds: int, ident: str, target: str = "target", out: str = "_f") -> DataFrame:
+    """Fold number by seeded order within each class, so every fold holds all classes that have as many rows."""
+    df = cut_lineage(df.withColumn("_h", F.xxhash64(F.lit("calibration"), ident)))
+    ranks = value_prefix(df, [target], "_h", {"n": F.count(F.lit(1))})
+    fold = (F.col("n_before") % folds).cast("int").alias(out)
+    return df.join(ranks.select(target, "_h", fold), [target, "_h"]).drop("_h")
+
+
+def train_svm(df: DataFrame, ident: str = "flat_idx", c: float = 1.0, folds: int = 2, max_iter: int = 5000) -> Fitted:
+    """Linear SVM per stratified calibration fold, classes balanced inside the fold, with a sigmoid fitted on the
+    held-out margins; probabilities are averaged."""
+    df = cut_lineage(stratified_folds(df, folds, ident))
     margin = vector_to_array("rawPrediction")[1]
     parts = []
     for k in range(folds):
-        rest = df.where(F.col("_f") != k)
+        rest = balanced_weights(df.where(F.col("_f") != k))
         svc = LinearSVC(labelCol="target", weightCol="weight", regParam=1.0 / (c * max(1, rest.count())), standardization=False, maxIter=max_iter)
         model = svc.fit(rest)
         held = model.transform(df.where(F.col("_f") == k)).select("target", margin.alias("margin"))
@@ -155,13 +163,14 @@ def train(name: str, df: DataFrame, seed: int = 42, **options) -> Fitted:
 
 def compare_classifiers(
     train_df: DataFrame, score_df: DataFrame, seed: int = 42, trees: int = 500, depth: int = MAX_TREE_DEPTH, svm_folds: int = 3,
-    ident: str = "flat_idx", max_iter: int = 500,
+    ident: str = "flat_idx", max_iter: int | None = None,
 ) -> DataFrame:
     """Forest, SVM and logistic regression on the same sample; ``score_df`` with p_rf, p_svm, p_lr."""
     train_df = cut_lineage(train_df)
     out = train_forest(train_df, seed, trees, depth).predict(score_df, "p_rf")
-    out = train_svm(train_df, ident, folds=svm_folds, max_iter=max_iter).predict(out, "p_svm")
-    return train_logistic(train_df, max_iter=max_iter).predict(out, "p_lr")
+    limit = {} if max_iter is None else {"max_iter": max_iter}
+    out = train_svm(train_df, ident, folds=svm_folds, **limit).predict(out, "p_svm")
+    return train_logistic(train_df, **limit).predict(out, "p_lr")
 
 
 def leave_one_out_forest(df: DataFrame, group: str, label: str, seed: int = 42, trees: int = 300, depth: int = MAX_TREE_DEPTH) -> DataFrame:
@@ -219,7 +228,11 @@ def anchor_proximity(df: DataFrame, anchors: DataFrame, ident: str, leaves: str
 
     @F.pandas_udf("array<double>")
     def compare(col: pd.Series) -> pd.Series:
-        return pd.Series([(table == np.asarray(v)[None, :]).mean(axis=1) for v in col])
+        own = np.stack(col.to_numpy())
+        near = np.zeros((len(own), len(table)))
+        for t in range(table.shape[1]):  # one tree at a time: rows x anchors, never rows x anchors x trees
+            near += own[:, t, None] == table[None, :, t]
+        return pd.Series(list(near / table.shape[1]))
 
     return df.withColumn(out, compare(leaves))
 
@@ -227,30 +240,49 @@ def anchor_proximity(df: DataFrame, anchors: DataFrame, ident: str, leaves: str
 # ---- clustering ----------------------------------------------------------------------------
 
 
-def principal_components(df: DataFrame, cols: Sequence[str], cap: int = 10) -> tuple[DataFrame, list[str], list[float]]:
-    """Centred projection on at most ``cap`` components; returns table, component columns, variance shares."""
-    n = df.count()
+def principal_components(df: DataFrame, cols: Sequence[str], cap: int = 10, fit: Column | None = None) -> tuple[DataFrame, list[str], list[float]]:
+    """Centred projection on at most ``cap`` components; returns table, component columns, variance shares.
+
+    Mean and components come from the ``fit`` rows only.
+    """
+    rows = df if fit is None else df.where(fit)
+    n = rows.count()
     k = max(1, min(cap, len(cols), n - 1))
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    centred = assemble(df.withColumns({f"_c{i}": F.col(c) - means[c] for i, c in enumerate(cols)}), [f"_c{i}" for i in range(len(cols))], "_v")
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(centred)
+    means = rows.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    centre = lambda d: assemble(d.withColumns({f"_c{i}": F.col(c) - means[c] for i, c in enumerate(cols)}), [f"_c{i}" for i in range(len(cols))], "_v")
+    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(centre(rows))
     names = [f"pc{i + 1}" for i in range(k)]
     arr = vector_to_array("_pc")
-    out = model.transform(centred).select(*df.columns, *[arr[i].alias(n) for i, n in enumerate(names)])
+    out = model.transform(centre(df)).select(*df.columns, *[arr[i].alias(n) for i, n in enumerate(names)])
     return out, names, [float(v) for v in model.explainedVariance]
 
 
-def fit_clusters(df: DataFrame, cols: Sequence[str], k: int, algo: str = "gmm", seed: int = 42, restarts: int = 1) -> DataFrame:
-    """Column ``cluster``; of several restarts the one with the highest Calinski-Harabasz index wins."""
-    df = cut_lineage(assemble(df, cols, "_cf"))
+def _best_start(df: DataFrame, k: int, algo: str, seed: int, starts: int):
+    """The model with the lowest cost (k-means) or the highest likelihood (mixture) of several starts."""
     best = None
-    for r in range(max(1, restarts)):
+    for i in range(starts):
         if algo == "kmeans":
-            model = KMeans(k=k, seed=seed + r, maxIter=300, featuresCol="_cf", predictionCol="cluster").fit(df)
-        elif algo == "gmm":
-            model = GaussianMixture(k=k, seed=seed + r, maxIter=500, featuresCol="_cf", predictionCol="cluster", probabilityCol="_cp").fit(df)
+            model = KMeans(k=k, seed=seed + 1000 * i, maxIter=300, featuresCol="_cf", predictionCol="cluster").fit(df)
+            value = -model.summary.trainingCost
         else:
-            raise ValueError(f"unsupported algorithm {algo!r}")
+            model = GaussianMixture(k=k, seed=seed + 1000 * i, maxIter=500, featuresCol="_cf", predictionCol="cluster", probabilityCol="_cp").fit(df)
+            value = model.summary.logLikelihood
+        if best is None or value > best[0]:
+            best = (value, model)
+    return best[1]
+
+
+def fit_clusters(df: DataFrame, cols: Sequence[str], k: int, algo: str = "gmm", seed: int = 42, restarts: int = 1, starts: int | None = None) -> DataFrame:
+    """Column ``cluster``; of several restarts the one with the highest Calinski-Harabasz index wins.
+
+    Each restart is the best of ``starts`` fits, 10 for k-means and 3 for mixtures unless given.
+    """
+    if algo not in STARTS:
+        raise ValueError(f"unsupported algorithm {algo!r}")
+    df = cut_lineage(assemble(df, cols, "_cf"))
+    best = None
+    for r in range(max(1, restarts)):
+        model = _best_start(df, k, algo, seed + r, starts or STARTS[algo])
         labelled = model.transform(df).drop("_cp")
         if restarts <= 1:
             return labelled.drop("_cf")
@@ -298,36 +330,27 @@ def cluster_indices(df: DataFrame, cols: Sequence[str], cluster: str) -> dict[st
     return {"calinski_harabasz": float(ch), "davies_bouldin": float(worst.mean())}
 
 
-def silhouette(df: DataFrame, cols: Sequence[str], cluster: str, ident: str, limit: int = MAX_SILHOUETTE, seed: int = 42) -> DataFrame:
-    """Euclidean silhouette of each row of a seeded sample of at most ``limit`` rows.
+def silhouette(df: DataFrame, cols: Sequence[str], cluster: str, ident: str) -> DataFrame:
+    """Silhouette of every row with squared Euclidean distances.
 
-    The sample bounds what travels to the tasks; every task compares its rows with the sample
-    and keeps one mean distance per cluster, so no pair is ever a row.
+    The mean squared distance to a cluster follows from its size, column means and mean squared norm, so each
+    row needs one comparison per cluster and no other row; one record per cluster reaches the driver.
     """
-    sample = cut_lineage(choose(df, [], ident, limit, seed).select(ident, cluster, *[F.col(c).cast("double") for c in cols]))
-    pdf = sample.toPandas()
-    points, labels = pdf[list(cols)].to_numpy(), pdf[cluster].to_numpy()
-    kinds, code = np.unique(labels, return_inverse=True)
-    size = np.bincount(code)
-
-    def score(batches):
-        for batch in batches:
-            out = np.full(len(batch), np.nan)
-            x = batch[list(cols)].to_numpy()
-            own = np.searchsorted(kinds, batch[cluster].to_numpy())
-            for i, (row, k) in enumerate(zip(x, own)):
-                far = np.sqrt(((points - row) ** 2).sum(axis=1))
-                total = np.bincount(code, weights=far, minlength=len(kinds))
-                if size[k] == 1 or len(kinds) < 2:
-                    out[i] = 0.0
-                    continue
-                a = total[k] / (size[k] - 1)
-                b = np.delete(total / size, k).min()
-                out[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-            yield pd.DataFrame({ident: batch[ident], cluster: batch[cluster], "silhouette": out})
-
-    kind = {f.name: f.dataType.simpleString() for f in sample.schema}
-    return sample.mapInPandas(score, f"{ident} {kind[ident]}, {cluster} {kind[cluster]}, silhouette double")
+    middle = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    shifted = df.select(ident, cluster, *[(F.col(c) - F.lit(middle[c])).alias(c) for c in cols])
+    norm = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
+    groups = shifted.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in cols]).alias("centre"), F.avg(norm).alias("norm")).collect()
+    own, n_own, other = F.lit(None).cast("double"), F.lit(None).cast("long"), []
+    for g in groups:
+        mean = norm + g["norm"] - 2.0 * sum((F.col(c) * v for c, v in zip(cols, g["centre"])), F.lit(0.0))
+        here = F.col(cluster).eqNullSafe(F.lit(g[cluster]))
+        own = F.when(here, mean * g["n"] / max(1, g["n"] - 1)).otherwise(own)
+        n_own = F.when(here, F.lit(g["n"])).otherwise(n_own)
+        other.append(F.when(~here, mean))
+    rows = shifted.withColumns({"_a": F.greatest(own, F.lit(0.0)), "_b": F.greatest(F.array_min(F.array(*other)), F.lit(0.0)), "_n": n_own})
+    wide = F.greatest("_a", "_b")
+    value = F.when((F.col("_n") <= 1) | F.lit(len(groups) < 2) | (wide == 0), 0.0).otherwise((F.col("_b") - F.col("_a")) / wide)
+    return rows.select(ident, cluster, value.alias("silhouette"))
 
 
 def multinomial(df: DataFrame, label: str, c: float = 1.0, max_iter: int = 500):

@@ -20,18 +20,36 @@ def feature_columns(df: DataFrame, tr: float = 1.8) -> DataFrame:
     return rows.select(*[c for c in df.columns if c != "ts"], *[F.col(f"_f.{c}").alias(f"f_{c}") for c in TS.FEATURES_B])
 
 
+def per_key(df: DataFrame, keys: Sequence[str], fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fit`` applied to the rows of each key on its own; only the list of keys reaches the driver."""
+    keys = list(keys)
+    if not keys:
+        return fit(df)
+    result = None
+    for row in df.select(*keys).distinct().orderBy(*keys).collect():
+        own = df
+        for k in keys:
+            own = own.where(F.col(k).eqNullSafe(F.lit(row[k])))
+        part = cut_lineage(fit(own))
+        result = part if result is None else result.unionByName(part, allowMissingColumns=True)
+    return df if result is None else result
+
+
 def reduce_and_cluster(
     df: DataFrame, cols: Sequence[str], keys: Sequence[str], k: int, algo: str, seed: int, restarts: int, clip: float, pca_cap: int
 ) -> DataFrame:
-    """Clip, drop constant columns, project and cluster."""
+    """Clip, then for each key drop its constant columns, project and cluster."""
     df = cut_lineage(C.robust_clip(df, keys, cols, clip) if clip > 0 else df)
-    kept = C.varying_columns(df, cols)
-    df, parts, _ = L.principal_components(df, kept, pca_cap)
-    return L.fit_clusters(df, parts, k, algo, seed, restarts)
+
+    def fit(own: DataFrame) -> DataFrame:
+        rows, parts, _ = L.principal_components(own, C.varying_columns(own, cols), pca_cap)
+        return L.fit_clusters(rows, parts, k, algo, seed, restarts)
+
+    return per_key(df, keys, fit)
 
 
 def bold_clustering(
-    df: DataFrame, keys: Sequence[str], grid: Grid, k: int = 3, algo: str = "gmm", seed: int = 42, restarts: int = 1,
+    df: DataFrame, keys: Sequence[str], grid: Grid, k: int = 4, algo: str = "gmm", seed: int = 42, restarts: int = 1,
     clip: float = 6.0, coord_weight: float = 0.2, pca_cap: int = 10,
 ) -> DataFrame:
     """Clusters from series features and weighted coordinates; adds ``cluster`` and ``pc*``."""
@@ -45,7 +63,7 @@ def bold_clustering(
 
 
 def multimodal_clustering(
-    df: DataFrame, keys: Sequence[str], grid: Grid, maps: Sequence[str], k: int = 3, algo: str = "gmm", seed: int = 42,
+    df: DataFrame, keys: Sequence[str], grid: Grid, maps: Sequence[str], k: int = 4, algo: str = "gmm", seed: int = 42,
     restarts: int = 1, clip: float = 6.0, coord_weight: float = 0.2, pca_cap: int = 10,
 ) -> DataFrame:
     """Like ``bold_clustering`` with normalised structural maps; needs a ``brain`` flag."""
@@ -68,18 +86,36 @@ def seed_table(df: DataFrame, keys: Sequence[str], erosion: int, threshold: floa
     return M.guided_seeds(df, keys, eroded, CLASSES)
 
 
+def guided_seeds(df: DataFrame, keys: list[str], erosion: int) -> DataFrame:
+    """``seed_table``; keys with fewer than two seed classes are tried again without erosion, then refused."""
+    rows = cut_lineage(seed_table(df, keys, erosion))
+
+    def poor(table: DataFrame) -> DataFrame:
+        return table.groupBy(*keys).agg(F.count_distinct("seed_class").alias("_c")).where("_c < 2").select(*keys)
+
+    again = cut_lineage(poor(rows))
+    if again.isEmpty():
+        return rows
+    if erosion > 0:
+        second = cut_lineage(seed_table(df.join(again, keys, "left_semi"), keys, 0))
+        rows = cut_lineage(rows.join(again, keys, "left_anti").unionByName(second))
+    left = poor(rows).limit(5).collect()
+    if left:
+        raise ValueError(f"fewer than two seed classes for {[tuple(r) for r in left]}")
+    return rows
+
+
 def guided_clustering(
     df: DataFrame, keys: Sequence[str], grid: Grid, maps: Sequence[str] = (), erosion: int = 1, clip: float = 6.0, pca_cap: int = 10,
     outside_steps: int = 2,
 ) -> DataFrame:
-    """Tissue class probabilities from eroded seeds by multinomial regression.
+    """Tissue class probabilities from eroded seeds by multinomial regression, one model per key.
 
-    ``df`` has series, region flags (``masks.region_flags``) and partial volumes.  Clipping is
-    fitted on the training voxels and applied to all.
+    ``df`` has series, region flags (``masks.region_flags``) and partial volumes. Clipping, the variance filter,
+    scaling and the projection are fitted on the seed voxels, in this order, and applied to all.
     """
     keys = list(keys)
-    rows = cut_lineage(seed_table(df, keys, erosion))
-    rows = feature_columns(rows)
+    rows = feature_columns(guided_seeds(df, keys, erosion))
     for m in maps:
         rows = C.zmap(rows, keys, m, F.col("brain"), f"z_{m}")
     dist = S.signed_distance(rows.where("brain"), rows.where("tumor"), keys, grid, 0.25)
@@ -87,16 +123,18 @@ def guided_clustering(
     cols = [*[f"f_{c}" for c in TS.FEATURES_B], *[f"z_{m}" for m in maps], "signed_dist"]
     rows = rows.fillna(0.0, ["signed_dist"])
     trained = F.col("seed_class").isNotNull()
-    if clip > 0:
-        rows = C.robust_clip(rows, keys, cols, clip, fit=trained)
-    rows = cut_lineage(C.standardise(cut_lineage(rows), keys, cols, fit=trained))
-    kept = C.varying_columns(rows.where(trained), cols)
-    rows, parts, _ = L.principal_components(rows, kept, pca_cap)
-    rows = cut_lineage(L.assemble(rows, parts))
-    model = L.multinomial(rows.where(trained), "seed_class")
-    scored = model.transform(rows).withColumn("probs", L.class_probabilities(rows)).drop("features", "probability", "rawPrediction", "prediction")
+    rows = cut_lineage(C.robust_clip(rows, keys, cols, clip, fit=trained) if clip > 0 else rows)
     near = S.dilate(rows.where("tumor"), keys, max(1, outside_steps)).withColumn("_near", F.lit(True))
-    scored = scored.join(near, [*keys, *AXES], "left")
+
+    def fit(own: DataFrame) -> DataFrame:
+        kept = C.varying_columns(own.where(trained), cols)
+        own = C.standardise(own, [], kept, fit=trained)
+        own, parts, _ = L.principal_components(own, kept, pca_cap, fit=trained)
+        own = cut_lineage(L.assemble(own, parts))
+        model = L.multinomial(own.where(trained), "seed_class")
+        return model.transform(own).withColumn("probs", L.class_probabilities(own)).drop("features", "probability", "rawPrediction", "prediction")
+
+    scored = per_key(rows, keys, fit).join(near, [*keys, *AXES], "left")
     probs = C.suppress_outside(F.col("probs"), F.col("_near").isNull(), [CLASSES.index(c) for c in ("necro", "enh", "edema")])
     scored = scored.withColumn("probs", probs).drop("_near")
     return scored.withColumns(
@@ -108,12 +146,14 @@ MODES: dict[str, Callable[..., DataFrame]] = {
     "bold": bold_clustering,
     "multi": multimodal_clustering,
     "guided": guided_clustering,
+    "guided_iter": guided_clustering,
     "guided_iterative": guided_clustering,
 }
 
 
-def cluster(mode: str, *args, **options) -> DataFrame:
-    """Clustering by mode name."""
-    if mode not in MODES:
+def cluster(mode: str | None, *args, **options) -> DataFrame:
+    """Clustering by mode name in any case; without one, by series."""
+    name = (mode or "bold").lower().strip()
+    if name not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {sorted(MODES)}")
-    return MODES[mode](*args, **options)
+    return MODES[name](*args, **options)

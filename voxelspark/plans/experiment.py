@@ -9,53 +9,60 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import columns as C, evaluation as E, hotspot as H, learning as L, masks as M, sampling as P
 from ..operators.grid import AXES, Grid
 from ..session import cut_lineage
+from .clustering import per_key
 
 
 def fold_probabilities(
     voxels: DataFrame, features: Sequence[str], pools: DataFrame, keys: Sequence[str], grid: Grid, spacing: Sequence[float],
     folds: int = 3, seed: int = 42, n_per_class: int | None = 20000, trees: int = 500, depth: int = L.MAX_TREE_DEPTH,
-    block_mm: float = 18.0, buffer_mm: float = 4.0, scale: bool = True, max_iter: int = 500,
+    block_mm: float = 18.0, buffer_mm: float = 4.0, scale: bool = True, max_iter: int | None = None, gm_fraction: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Probability maps and validation scores (long, one row per classifier) of every fold.
+    """Probability maps and validation scores (long, one row per classifier) of every key and fold.
 
-    Splits of all folds come from one pass; only model fitting runs fold by fold.
+    Splits of all keys and folds come from one pass; scaling and models are fitted for each key on its own, so a
+    patient's maps do not depend on the others. Keys that cannot be split have no maps.
     """
     keys = list(keys)
     by = [*keys, "fold"]
-    split = P.adaptive_split(P.with_folds(pools, folds, seed), by, grid, spacing, block_mm, buffer_mm, F.col("fold_seed"), n_per_class=n_per_class)
-    split = cut_lineage(split.select(*by, "flat_idx", "role", "target"))
-    maps = scores = None
+    split = P.adaptive_split(
+        P.with_folds(pools, folds, seed), by, grid, spacing, block_mm, buffer_mm, F.col("fold_seed"), n_per_class=n_per_class, gm_fraction=gm_fraction
+    )
+    split = cut_lineage(split.where("role IS NOT NULL").select(*by, "flat_idx", "role", "target"))
     scored_cols = {"rf": "p_rf", "svm": "p_svm", "lr": "p_lr"}
-    for f in range(folds):
-        own = split.where(F.col("fold") == f).drop("fold")
-        rows = cut_lineage(voxels.join(own, [*keys, "flat_idx"], "left"))
-        if scale:
-            rows = C.standardise(rows, [], features, fit=F.col("role") == "train")
-        rows = cut_lineage(L.assemble(rows, features))
-        probs = L.compare_classifiers(rows.where("role = 'train'"), rows, seed + f, trees, depth, max_iter=max_iter)
-        probs = cut_lineage(probs.select(*keys, *AXES, "flat_idx", "role", "target", F.lit(f).alias("fold"), *scored_cols.values()))
-        val = E.unpivot(probs.where("role = 'val'"), [*by, "flat_idx", "target"], scored_cols)
-        long = E.unpivot(probs, [*by, *AXES, "flat_idx"], scored_cols, value="p")
-        maps = long if maps is None else maps.unionByName(long)
-        scores = val if scores is None else scores.unionByName(val)
-    return cut_lineage(maps), cut_lineage(scores)
+
+    def fit(own: DataFrame) -> DataFrame:
+        first, result = own.limit(1).select(*keys), None
+        parts = split.join(F.broadcast(first), keys, "left_semi") if keys else split
+        for f in [r[0] for r in parts.select("fold").distinct().orderBy("fold").collect()]:
+            rows = cut_lineage(own.join(parts.where(F.col("fold") == f).drop("fold"), [*keys, "flat_idx"], "left"))
+            if scale:
+                rows = C.standardise(rows, [], features, fit=F.col("role") == "train")
+            rows = cut_lineage(L.assemble(rows, features))
+            probs = L.compare_classifiers(rows.where("role = 'train'"), rows, seed + f, trees, depth, max_iter=max_iter)
+            probs = cut_lineage(probs.select(*keys, *AXES, "flat_idx", "role", "target", F.lit(f).alias("fold"), *scored_cols.values()))
+            result = probs if result is None else result.unionByName(probs)
+        return result
+
+    usable = voxels.join(split.select(*keys).distinct(), keys, "left_semi") if keys else voxels
+    probs = per_key(usable, keys, fit)
+    val = E.unpivot(probs.where("role = 'val'"), [*by, "flat_idx", "target"], scored_cols)
+    return cut_lineage(E.unpivot(probs, [*by, *AXES, "flat_idx"], scored_cols, value="p")), cut_lineage(val)
 
 
 def comparison_report(maps: DataFrame, scores: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
-    """Fold metrics, tests, pooled curves and ensemble maps from the long tables."""
+    """Per key: fold metrics, tests, pooled curves and ensemble maps from the long tables."""
     keys = list(keys)
-    metrics = cut_lineage(E.validation_metrics(scores, ["clf", "fold"], "target", "score"))
+    metrics = cut_lineage(E.validation_metrics(scores, [*keys, "clf", "fold"], "target", "score"))
     wide = scores.groupBy(*keys, "fold", "flat_idx", "target").agg(
         *[F.max(F.when(F.col("clf") == c, F.col("score"))).alias(c) for c in ("rf", "svm", "lr")]
     )
-    pooled = E.delong(cut_lineage(wide), [], {c: c for c in ("rf", "svm", "lr")}, E.CLASSIFIER_PAIRS, "target")
-    bins = E.calibration_bins(scores, ["clf"], "target", "score")
+    pooled = E.delong(cut_lineage(wide), keys, {c: c for c in ("rf", "svm", "lr")}, E.CLASSIFIER_PAIRS, "target")
     return {
         "metrics": metrics,
-        "tests": E.metric_tests(E.metric_pairs(metrics, [])),
-        "delong": E.adjust_p(cut_lineage(E.with_normal_p(pooled)), [], "p_two_sided"),
-        "calibration": bins,
-        "decision_curve": E.decision_curve(scores, ["clf"], "target", "score"),
+        "tests": E.metric_tests(E.metric_pairs(metrics, keys), keys),
+        "delong": E.adjust_p(cut_lineage(E.with_normal_p(pooled)), keys, "p_two_sided"),
+        "calibration": E.calibration_bins(scores, [*keys, "clf"], "target", "score"),
+        "decision_curve": E.decision_curve(scores, [*keys, "clf"], "target", "score"),
         "ensemble": E.ensemble(maps, [*keys, "clf", *AXES, "flat_idx"]),
     }
 
@@ -82,3 +89,24 @@ def training_pools(masks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def analysis_masks(voxels: DataFrame, keys: Sequence[str], positive: str = "enhancing_plus_necrosis", **options) -> DataFrame:
     return M.train_masks(M.region_flags(voxels, "seg"), keys, positive, **options)
+
+
+def supervised_hotspots(
+    voxels: DataFrame, features: Sequence[str], pools: DataFrame, masks: DataFrame, keys: Sequence[str], grid: Grid, spacing: tuple[float, float, float],
+    clf: str = "rf", min_voxels: int = H.MIN_CLUSTER_VOXELS, min_dist_mm: float = H.MIN_CORE_DISTANCE_MM, **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Fold models, their ensemble maps, and the ranked hotspots of one classifier's map."""
+    maps, _ = fold_probabilities(voxels, features, pools, keys, grid, spacing, **options)
+    ensemble = cut_lineage(E.ensemble(maps, [*keys, "clf", "flat_idx"]))
+    return ensemble, hotspots_of_ensemble(ensemble, masks, keys, grid, spacing, clf, min_voxels=min_voxels, min_dist_mm=min_dist_mm)
+
+
+DETECTORS = {"probability": supervised_hotspots}
+
+
+def detector(name: str):
+    """Hotspot detector by name in any case."""
+    key = name.lower().strip()
+    if key not in DETECTORS:
+        raise ValueError(f"unknown detector {name!r}; known: {sorted(DETECTORS)}")
+    return DETECTORS[key]

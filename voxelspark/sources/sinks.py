@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Columns of the run summary, in order.
@@ -60,11 +61,12 @@ def missing_splits(wanted: DataFrame, stored: DataFrame, key: str = "split_key")
 
 def cached_split(spark: SparkSession, path: str, key: str, compute) -> DataFrame:
     """Load the stored split of ``key``, else compute and store it."""
-    folder = f"{path}/split_key={key}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jpath):
+    folder, done = f"{path}/split_key={key}", f"{path}_done/split_key={key}"
+    try:
+        spark.read.parquet(done)  # written last, so a broken attempt is computed again
+    except AnalysisException:
         compute().write.mode("overwrite").parquet(folder)
+        spark.range(1).write.mode("overwrite").parquet(done)
     return spark.read.parquet(folder)
 
 
