@@ -95,6 +95,7 @@ def test_repeated_bytes_against_brute_force(docs, empty, monkeypatch, block, nam
     """One block and shard, then many of both."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     monkeypatch.setattr(suffix_dedup, "RANGE_NAMES", names)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", min(block, 1_000_000) // 2)
     df = docs.where("length(text) < 5000 OR text IS NULL") if block < 1000 else docs
     first = {}
     rows = df.collect()

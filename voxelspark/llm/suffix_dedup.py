@@ -35,6 +35,7 @@ from .warc import file_system
 LENGTH = 50
 GRAM = 20
 BLOCK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000  # of a block, hashed at a time
 RANGE_NAMES = 300_000
 NAMES_PER_BYTE = 2 / (LENGTH - GRAM + 2)
 NO_ID = np.iinfo(np.int64).max
@@ -107,8 +108,8 @@ def names_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
     """(start, windows, name) of the segments of ``data``; ``ends`` are the ends of its texts."""
     starts, counts, names = [], [], []
     spread = length - GRAM + 1
-    for a in range(0, len(data), BLOCK_BYTES):
-        b = min(a + BLOCK_BYTES, len(data))
+    for a in range(0, len(data), CHUNK_BYTES):
+        b = min(a + CHUNK_BYTES, len(data))
         part = np.concatenate((data[a : b + length], np.zeros(16, np.uint8)))
         size = min(b + length, len(data)) - a
         word = np.zeros(size + 8, np.uint64)
@@ -191,23 +192,24 @@ def shard_hits(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     least: list[int] = []
     members = []
     for r in rows.itertuples():
-        ids, sizes, data = np.frombuffer(r.ids, np.int64), np.frombuffer(r.sizes, np.int32).astype(np.int64), unpack(r.data).tobytes()
+        docs, sizes, data = np.frombuffer(r.ids, np.int64), np.frombuffer(r.sizes, np.int32).astype(np.int64), unpack(r.data).tobytes()
         ends = np.cumsum(sizes)
-        own = np.empty(len(ids), np.int64)
-        for i, (a, b, d) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), ids.tolist())):
+        own = np.empty(len(docs), np.int64)
+        for i, (a, b, d) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), docs.tolist())):
             g = number.setdefault(data[a:b], len(least))
             if g == len(least):
                 least.append(d)
             elif d < least[g]:
                 least[g] = d
             own[i] = g
-        members.append((r.block, r.range, ids, own))
+        members.append((r.block, r.range, docs, own))
     sizes = np.array([len(x) for x in number], np.int64)
-    owner = np.repeat(np.array(least, np.int64), sizes + 1)
+    ids, rank = np.unique(np.array(least, np.int64), return_inverse=True)  # ids by rank: small numbers for every position
+    owner = np.repeat(rank.astype(np.int32), sizes + 1)
     body = np.frombuffer(b"".join(x + b"\x00" for x in number), np.uint8).astype(np.int16) + 2
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     body[starts + sizes] = 1
-    found = equal_windows(np.append(body, np.int16(0)), length, np.append(owner, NO_ID))
+    found = equal_windows(np.append(body, np.int16(0)), length, np.append(owner, np.int32(len(ids))))
     # Positions too near a segment's end hold no window: leave them out of the least and largest.
     inside = np.ones(len(body), bool)
     for k in range(length):
@@ -215,14 +217,14 @@ def shard_hits(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     at = np.flatnonzero(inside)
     first = np.searchsorted(at, starts)
     windows = found[at]
-    lowest, highest = np.minimum.reduceat(windows, first), np.maximum.reduceat(windows, first)
+    lowest, highest = ids[np.minimum.reduceat(windows, first)], ids[np.maximum.reduceat(windows, first)]
     edge = np.append(first, len(windows))
     out = []
-    for block, span, ids, own in members:
-        state = np.where(highest[own] < ids, 1, np.where(lowest[own] >= ids, 0, 2)).astype(np.uint8)
+    for block, span, docs, own in members:
+        state = np.where(highest[own] < docs, 1, np.where(lowest[own] >= docs, 0, 2)).astype(np.uint8)
         some = []
         for i in np.flatnonzero(state == 2):
-            hit = np.concatenate(([0], (windows[edge[own[i]] : edge[own[i] + 1]] < ids[i]).astype(np.int8), [0]))
+            hit = np.concatenate(([0], (ids[windows[edge[own[i]] : edge[own[i] + 1]]] < docs[i]).astype(np.int8), [0]))
             turns = np.flatnonzero(np.diff(hit))
             some += [(i, a, b) for a, b in zip(turns[::2], turns[1::2])]
         out.append((block, span, state.tobytes(), np.array(some, np.int32).tobytes()))
@@ -285,7 +287,7 @@ def _with_hits(docs: DataFrame, id_col: str, text: str, length: int, finish: Cal
     def cover(row) -> tuple[Block, np.ndarray]:
         block = opened(row)
         span, number, start, count, later = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.kept), np.int64).reshape(5, -1)
-        turn = np.zeros(len(block.data) + 1, np.int64)
+        turn = np.zeros(len(block.data) + 1, np.int32)
 
         def add(first: np.ndarray, windows: np.ndarray) -> None:
             np.add.at(turn, first, 1)
@@ -303,7 +305,7 @@ def _with_hits(docs: DataFrame, id_col: str, text: str, length: int, finish: Cal
                 for (_, a, b), x, y in zip(parts, low, high):
                     add(start[order[x:y]] + a, np.full(y - x, b - a))
         add(start[whole], count[whole])
-        return block, np.cumsum(turn[:-1]) > 0
+        return block, np.cumsum(turn[:-1], dtype=np.int32) > 0
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

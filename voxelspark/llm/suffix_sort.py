@@ -51,8 +51,8 @@ class TupleQueue:
             if self.disk[symbol]:
                 at, n = self.disk[symbol].pop(0)
                 self.file.seek(at)
-                data = self.file.read(9 * n)
-                yield np.frombuffer(data, np.int64, n), np.frombuffer(data, np.uint8, n, 8 * n)
+                data = self.file.read(5 * n)
+                yield np.frombuffer(data, np.int32, n), np.frombuffer(data, np.uint8, n, 4 * n)
             else:
                 blocks, self.ram[symbol] = self.ram[symbol], []
                 position, prefix = (np.concatenate(x) for x in zip(*blocks))
@@ -117,15 +117,6 @@ class Inducer:
             self.queue.push(int(symbol[a]), found[a:b], shared[a:b])
 
 
-def words_at(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position as one big-endian number; symbols are cut to bytes by ``text``'s type."""
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    out = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(text)]
-    return out
-
-
 def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of the suffixes at each pair of positions, at most ``cap``."""
     out, live = np.zeros(len(a), np.int64), np.arange(len(a))
@@ -141,18 +132,18 @@ def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> n
 
 def order_seeds(text: np.ndarray, seeds: np.ndarray, cap: int) -> np.ndarray:
     """``seeds`` ordered by their first ``cap`` symbols: four symbols at a time, only ties go on."""
-    padded = np.concatenate((text, np.zeros(cap + 4, text.dtype))).astype(np.uint64)
-    rank, live = np.zeros(len(seeds), np.int64), np.arange(len(seeds))
+    padded = np.concatenate((text, np.zeros(cap + 4, text.dtype)))
+    rank, live = np.zeros(len(seeds), np.int32), np.arange(len(seeds), dtype=np.int32)
     order = seeds.copy()
     for k in range(0, cap, 4):
         part = order[live]
         key = np.zeros(len(live), np.uint64)
         for j in range(4):
-            key = (key << np.uint64(16)) | padded[part + k + j]
+            key = (key << np.uint64(16)) | padded[part + k + j].astype(np.uint64)
         by = np.lexsort((key, rank[live]))
         order[live], key, group = part[by], key[by], rank[live][by]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
-        rank[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
+        rank[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live), dtype=np.int32), 0))]
         tied = ~new
         tied[:-1] |= ~new[1:]
         live = live[tied]
@@ -164,21 +155,21 @@ def order_seeds(text: np.ndarray, seeds: np.ndarray, cap: int) -> np.ndarray:
 def suffix_array(text: np.ndarray, cap: int, memory: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks (positions, common prefix with the position before) of the suffixes of ``text`` in descending order.
 
-    ``text`` holds symbols below ``SYMBOLS`` and ends with its only 0. Order is exact for the first ``cap`` symbols.
+    ``text`` holds symbols below ``SYMBOLS``, ends with its only 0 and is shorter than 2^31. Order is exact for the first ``cap`` symbols.
     """
     n = len(text)
     step = np.diff(text.astype(np.int16))
-    nearest = np.minimum.accumulate(np.where(step != 0, np.arange(n - 1), n)[::-1])[::-1]
+    nearest = np.minimum.accumulate(np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))[::-1])[::-1]
     s_type = np.ones(n, bool)
     s_type[:-1] = step[nearest] > 0  # the end differs from its left, so a step always follows
-    star = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    star = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(np.int32)
     star = order_seeds(text, star, cap)
     star_prefix = np.concatenate(([0], shared_prefix(text, star[:-1], star[1:], cap))).astype(np.uint8)
     star_from = np.searchsorted(text[star], np.arange(SYMBOLS + 1))
 
     low = Inducer(text, ~s_type, cap, memory)
     done = TupleQueue(memory)
-    last_of = np.full(SYMBOLS, -1)
+    last_of = np.full(SYMBOLS, -1, np.int32)
     for c in range(SYMBOLS):
         low.start_symbol()
         for position, prefix in low.queue.pop(c):
@@ -195,7 +186,7 @@ def suffix_array(text: np.ndarray, cap: int, memory: int = 1 << 22) -> Iterator[
     high = Inducer(text, s_type, cap, memory)
     for c in range(SYMBOLS - 1, -1, -1):
         high.start_symbol()
-        before = np.zeros(0, np.int64)
+        before = np.zeros(0, np.int32)
         for position, prefix in high.queue.pop(c):
             high.scan(position, prefix)
             yield position, prefix
