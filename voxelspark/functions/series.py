@@ -110,6 +110,7 @@ def gaussian_seconds(ts: Column, sigma_sec: float = 3.0, tr: float = 1.8) -> Col
 
 # ---- feature sets --------------------------------------------------------------------------
 
+# Output column names, in the order users expect.
 FEATURES_A = ["std", "dip_min", "t_min", "t_min_sec", "slope_down", "slope_up", "auc_neg", "auc_pos", "t_rise", "corr_tpl"]
 FEATURES_B = ["dip_min", "t_min", "slope_down", "slope_up", "auc_neg", "auc_pos", "t_rise", "std", "corr_tpl", "t_min_sec"]
 

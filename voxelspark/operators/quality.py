@@ -142,6 +142,7 @@ def quality_record(df: DataFrame, keys: Sequence[str], fd: DataFrame, tr: float
 
 # ---- per-voxel features and labels ---------------------------------------------------------
 
+# Output column names, in the order users expect.
 VOXEL_FEATURES = [
     "tsnr", "dvars_rms", "n_spikes_z3", "low_freq_power_ratio", "drift_pct_per_min", "mean_amplitude_norm", "variance_detrended",
 ]
