@@ -175,9 +175,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radi
     return rows.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component: smallest id (null last), then smallest text hash; of equal rows any one."""
-    rows = stored(_rooted(docs, id_col, text, radius, shingle).select("root", F.col(id_col).alias("_id"), "_h"), "rooted")
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``rows`` (root, _id, _h): smallest id (null last), then smallest text hash."""
+    rows = stored(rows, "rooted")
     first = F.min_by(F.struct("_id", "_h"), F.struct(F.col("_id").isNull(), "_id", "_h"))
     kept = stored(rows.groupBy("root").agg(first.alias("_k")).select("_k.*"), "kept")
     both = rows["_id"].eqNullSafe(kept["_id"]) & (rows["_h"] == kept["_h"])
@@ -186,3 +186,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rad
     repeated = rows.join(kept, both, "left_semi").count() > kept.count()
     h = fresh(docs, "_h")
     return out.withColumn(h, F.xxhash64(text)).dropDuplicates([id_col, h]).drop(h) if repeated else out
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component: smallest id (null last), then smallest text hash; of equal rows any one."""
+    return keep_first(docs, _rooted(docs, id_col, text, radius, shingle).select("root", F.col(id_col).alias("_id"), "_h"), id_col, text)
