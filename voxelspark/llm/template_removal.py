@@ -6,8 +6,8 @@ template and are deleted, as are elements whose tag, role or class names mark th
 As each template is on a fixed share of its host's pages, a host has at most (elements per page / share)
 of them, which bounds the list that travels with a page.
 
-Defined cases: null or empty html gives an empty text; a null url has the host ''; repeated rows count as
-pages each; pages without an article or main element use the body; unclosed and misnested tags are closed
+Defined cases: null or empty html gives an empty text; a null url has the host ''; copies of a page on
+a host count once; an article or main element is never a template, and templates that hold more than half of its text stay; pages without an article or main element use the body; unclosed and misnested tags are closed
 by their parents; extra columns are ignored.
 """
 
@@ -39,10 +39,10 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hash", "main")
+    __slots__ = ("tag", "attrs", "children", "hash", "main", "size")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children, self.hash, self.main = tag, attrs, [], None, False
+        self.tag, self.attrs, self.children, self.hash, self.main, self.size = tag, attrs, [], None, False, 0
 
 
 class Tree(HTMLParser):
@@ -126,13 +126,15 @@ def mark(root: Node) -> list[int]:
         for c in node.children:
             if isinstance(c, str):
                 parts.append(" ".join(c.split()))
+                node.size += len(parts[-1])
             else:
                 node.main |= c.main or (is_main(c) and not furniture_name(c))
                 parts.append("" if c.hash is None else str(c.hash))
+                node.size += c.size
         text = "\x00".join(p for p in parts if p)
         if text:
             node.hash = int.from_bytes(hashlib.blake2b(f"{node.tag}\x01{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-            if node.tag in BLOCK and node.tag not in ("html", "body"):
+            if node.tag in BLOCK and node.tag not in ("html", "body") and not is_main(node):
                 found.add(node.hash)
     return sorted(found)
 
@@ -141,6 +143,21 @@ def furniture_name(node: Node) -> bool:
     return bool(names(node) & FURNITURE)
 
 
+def bulky(root: Node, templates: set[int]) -> bool:
+    """Whether the templates hold more than half of the text of the main elements."""
+    total = gone = 0
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        if inside and node.tag in BLOCK and node.hash in templates and not node.main:
+            gone += node.size
+            continue
+        if not inside and is_main(node) and not furniture_name(node):
+            total, inside = total + node.size, True
+        stack += [(c, inside) for c in node.children if isinstance(c, Node)]
+    return 2 * gone > total
+
+
 def main_text(html: str | None, templates: set[int]) -> str:
     """Text of the main blocks, one line each."""
     root = tree(html)
@@ -155,6 +172,7 @@ def main_text(html: str | None, templates: set[int]) -> str:
             blocks.append(text)
 
     only_main = root.main
+    keep_all = only_main and bulky(root, templates)
     stack: list[tuple[Node | str, bool, bool]] = [(root, True, not only_main)]
     while stack:
         node, entered, inside = stack.pop()
@@ -166,7 +184,7 @@ def main_text(html: str | None, templates: set[int]) -> str:
             if node.tag in BLOCK:
                 end()
             continue
-        if node.tag in BLOCK and node.hash in templates and not node.main:
+        if node.tag in BLOCK and node.hash in templates and not node.main and not (keep_all and inside):
             end()
             continue
         if not node.main and node.tag not in ("", "html", "body") and furniture(node) and not (is_main(node) and not furniture_name(node)):
@@ -187,9 +205,10 @@ def template_table(pages: DataFrame, url: str = "url", html: str = "html", share
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"host": batch["host"], "hashes": [mark(tree(h if isinstance(h, str) else None)) for h in batch["html"]]})
+            yield pd.DataFrame({"host": batch["host"], "b1": batch["b1"], "b2": batch["b2"], "hashes": [mark(tree(h if isinstance(h, str) else None)) for h in batch["html"]]})
 
-    rows = pages.select(host_path(F.col(url))[0].alias("host"), F.col(html).alias("html")).mapInPandas(run, "host string, hashes array<long>")
+    rows = pages.select(host_path(F.col(url))[0].alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("b1"), F.hash(html).alias("b2")).mapInPandas(run, "host string, b1 long, b2 int, hashes array<long>")
+    rows = rows.groupBy("host", "b1", "b2").agg(F.first("hashes").alias("hashes"))  # copies of a page count once
     # A null hash stands for the page itself, so one aggregate counts both pages and hashes.
     counts = rows.select("host", F.explode(F.array_append("hashes", F.lit(None).cast("long"))).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts.where((F.col("n") > least) | F.col("hash").isNull()), "subtrees")
