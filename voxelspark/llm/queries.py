@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf, decontaminate, hilbert, line_frequency, packing, simhash, sql, suffix_dedup, template_removal, url_rules, warc
+from . import chunked_bpe, crf, decontaminate, filter_audit, hilbert, line_frequency, packing, product_codes, simhash, sql, suffix_dedup, template_removal, url_rules, warc
 from .common import load
 
 
@@ -50,11 +50,23 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(load(spark, sf_dir, "documents"))
 
 
+def op11_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.encode(load(spark, sf_dir, "embeddings"))
+
+
+def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_bpe.round_trip(load(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in [op1_template_removal, op2_seekable_warc, op3_line_frequency, op4_line_crf, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op9_suffix_dedup, op10_simhash_components, pipeline]}
-ORACLES = {"op2_seekable_warc": sql.WARC, "op3_line_frequency": sql.LINE_FREQUENCY, "op5_decontamination": sql.DECONTAMINATION}
+QUERIES = {f.__name__: f for f in [op1_template_removal, op2_seekable_warc, op3_line_frequency, op4_line_crf, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op9_suffix_dedup, op10_simhash_components, op11_gnat_codes, op12_chunked_bpe, op13_filter_audit, pipeline]}
+ORACLES = {"op2_seekable_warc": sql.WARC, "op3_line_frequency": sql.LINE_FREQUENCY, "op5_decontamination": sql.DECONTAMINATION, "op13_filter_audit": sql.FILTER_AUDIT}

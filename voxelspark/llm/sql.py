@@ -65,3 +65,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN span USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+FILTER_AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS f FROM d GROUP BY t),
+label AS (SELECT doc_id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > f THEN 'E' ELSE '' END AS fails,
+    CASE WHEN q = 1 THEN 1 ELSE 0 END AS good, CASE WHEN x = 1 THEN 1 ELSE 0 END AS toxic
+  FROM d JOIN first USING (t) LEFT JOIN label ON label.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS n_good, sum(toxic) AS n_toxic FROM m GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, left(filter_order, step - 1) AS earlier FROM o, range(1, 6) r(step)),
+z AS (
+  SELECT part, n, n_good, n_toxic, filter_order, step, f, contains(fails, f) AS failing, fails = f AS alone,
+    earlier <> '' AND translate(fails, earlier, '') <> fails AS before
+  FROM c, s),
+g AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, any_value(f) AS f,
+    sum(CASE WHEN NOT failing AND NOT before THEN n ELSE 0 END) AS kept, sum(CASE WHEN failing AND NOT before THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failing AND before THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failing AND NOT before THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN failing AND NOT before THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM z GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM g
+"""
