@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -13,7 +14,7 @@ from voxelspark.llm.common import stored
 
 @pytest.fixture(scope="module")
 def reference():
-    t = Tokenizer.from_file(cb.json_vocabulary())
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -29,7 +30,7 @@ def soup(rng, n):
 
 
 def test_any_cut_is_repaired(reference):
-    rng, coder = random.Random(8), cb.codec(None, None)
+    rng, coder = random.Random(8), cb.codec()
     for _ in range(400):
         text = soup(rng, rng.randrange(1, 60))
         raw, want = text.encode(), reference(text)
@@ -67,7 +68,7 @@ def test_round_trip_against_the_library(spark, docs, texts, reference):
     assert len(got) == df.count()
     assert {(r["doc_id"], *tuple(r)[1:]) for r in got} == {(i, *want[t]) for i, t in rows}
     marks = stored(cb.marked(df, "doc_id", "text"), "marks")
-    repeated, encoded = cb.shared_ids(df, stored(cb.occurrences(marks), "occ"), "text", None, None)
+    repeated, encoded = cb.shared_ids(df, stored(cb.occurrences(marks), "occ"), "text", None)
     assert encoded.count() == repeated.count() == encoded.select("chunk").distinct().count() > 5  # each shared chunk once
 
 

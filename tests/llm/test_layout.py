@@ -10,6 +10,17 @@ from voxelspark.llm import hilbert, packing, template_removal, url_rules, warc
 from voxelspark.llm.common import shared_folder
 
 
+def test_very_long_white_space_is_encoded():
+    """White space that the pattern engine refuses: blanks, tabs, line breaks and mixtures of 2 MB."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for run in (" " * 2_000_000, "\t" * 2_000_000, "\n" * 2_000_000, " \n\t\r" * 500_000):
+        text = f"start{run}word and end"
+        assert packing.token_ids(text, *packing.default_vocabulary()).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_token_ids_equal_the_tokenizer(texts):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -7,14 +7,14 @@ import corpus_pipeline
 from voxelspark.llm import crf, packing
 from voxelspark.llm.common import load
 
-from test_copies import least_in_component, plain_fingerprint
+from test_near_copies import near_groups, windows
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
@@ -23,8 +23,7 @@ def test_pipeline_against_brute_force(spark):
     model = crf.fit(docs, load(spark, SF, "labels"), train_rows=~crf.held_out(docs["doc_id"]))
     rows = {r["doc_id"]: (r["text"] or "") for r in docs.collect()}
     kept = sorted(r["doc_id"] for r in crf.score(docs, model).where("predicted = 1").collect())
-    least = least_in_component([plain_fingerprint(rows[d]) for d in kept], kept, 4)
-    kept = sorted(set(least))
+    kept = sorted(set(near_groups({d: windows(rows[d]) for d in kept}).values()))
     seen, left = {}, {}
     for d in kept:
         b = rows[d].encode()

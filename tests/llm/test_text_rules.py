@@ -35,7 +35,7 @@ def test_line_counts_against_brute_force(docs):
 
 
 def test_frequent_lines_reject_and_strip(spark, empty):
-    body = [(i, f"common footer of the site\nunique{i} words here and there for text {i} " + "more of it " * (0 if i % 2 else 3), "en", "s", 0) for i in range(40)]
+    body = [(i, f"common footer of the site\nunique{i} words here and there for text {i} " + " ".join(f"more{k}" for k in range(0 if i % 2 else 9)), "en", "s", 0) for i in range(40)]
     rows = [*body, *[(100 + i, "common footer of the site\nshort end with eight words in here now", "en", "s", 0) for i in range(1)]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r for r in line_frequency.score(df, share=0.3, least=5).collect()}

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import broadcast_if_small, parts_of, stored
-from .packing import SPECIAL, SPECIAL_ID, default_vocabulary, encoder
+from .packing import SPECIAL, SPECIAL_ID, default_vocabulary, encoder, plain_ids
 
 WINDOW = 32  # bytes under the rolling hash
 CUT_BITS = 9  # a cut every 512 bytes on average
@@ -43,37 +43,18 @@ GEAR = np.random.default_rng(1).integers(0, 2**32, 256, dtype=np.uint64).astype(
 PIECE = 1 << 22  # bytes hashed at a time
 
 
-def json_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-@lru_cache(maxsize=2)
-def _reference(path: str):
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.no_truncation()
-    made.no_padding()
-    return made
-
-
 class Codec:
     """Ids of a text and the bytes of ids."""
 
-    def __init__(self, vocabulary: tuple[str, str] | None = None, json_path: str | None = None):
-        self.ranks = encoder(*(vocabulary or default_vocabulary()))
-        self.json_path = json_path or json_vocabulary()
-        self.tokens = [self.ranks.decode_single_token_bytes(i) for i in range(SPECIAL_ID)] + [SPECIAL.encode()]
+    def __init__(self, vocabulary: tuple[str, str] | None = None):
+        self.vocabulary = vocabulary or default_vocabulary()
+        ranks = encoder(*self.vocabulary)
+        self.tokens = [ranks.decode_single_token_bytes(i) for i in range(SPECIAL_ID)] + [SPECIAL.encode()]
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.names = [str(i).encode() for i in range(len(self.tokens))]
 
     def encode(self, text: str) -> np.ndarray:
-        try:
-            return self.ranks.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(np.uint16)
-        except ValueError:  # the pattern engine's stack is exceeded
-            return np.array(_reference(self.json_path).encode(text, add_special_tokens=False).ids, np.uint16)
+        return plain_ids(text, *self.vocabulary).astype(np.uint16)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -83,8 +64,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(vocabulary: tuple[str, str] | None, json_path: str | None) -> Codec:
-    return Codec(vocabulary, json_path)
+def codec(vocabulary: tuple[str, str] | None = None) -> Codec:
+    return Codec(vocabulary)
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -263,7 +244,7 @@ def met(texts: DataFrame, pieces: DataFrame, make: Callable[[bytes, bytes, list[
     return dealt.mapInArrow(run, schema)
 
 
-def shared_ids(docs: DataFrame, occ: DataFrame, text: str, vocabulary: tuple[str, str] | None, json_path: str | None) -> tuple[DataFrame, DataFrame]:
+def shared_ids(docs: DataFrame, occ: DataFrame, text: str, vocabulary: tuple[str, str] | None) -> tuple[DataFrame, DataFrame]:
     """(repeated, encoded): the chunks that occur more than once with their owner, and the ids of each, made once."""
     first = F.min(F.struct("digest", "start", "n")).alias("_o")
     repeated = stored(occ.groupBy("chunk").agg(first, F.count(F.lit(1)).alias("_n")).where("_n > 1").select("chunk", "_o.*"), "shared-chunks")
@@ -271,22 +252,22 @@ def shared_ids(docs: DataFrame, occ: DataFrame, text: str, vocabulary: tuple[str
     texts = sent_texts(docs, text).join(owners, "digest", "left_semi")
 
     def make(_: bytes, raw: bytes, held: list[tuple[int, int, bytes]]) -> list[tuple]:
-        coder = codec(vocabulary, json_path)
+        coder = codec(vocabulary)
         return [(chunk, coder.encode(raw[a : a + n].decode()).tobytes()) for a, n, chunk in held]
 
     fields = [pa.field("chunk", pa.binary()), pa.field("ids", pa.binary())]
     return repeated, stored(met(texts, repeated.withColumnRenamed("chunk", "payload"), make, fields, "chunk binary, ids binary"), "chunk-ids")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: tuple[str, str] | None = None, json_path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: tuple[str, str] | None = None, keep_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 of every row, and with ``keep_ids`` the ids (unsigned 16-bit) and the decoded text."""
     marks = stored(marked(docs, id_col, text), "chunk-marks")
     occ = stored(occurrences(marks), "occurrences")
-    _, encoded = shared_ids(docs, occ, text, vocabulary, json_path)
+    _, encoded = shared_ids(docs, occ, text, vocabulary)
     pieces = occ.join(encoded, "chunk").select("digest", "start", "n", F.col("ids").alias("payload"))
 
     def make(d: bytes, raw: bytes, held: list[tuple[int, int, bytes]]) -> list[tuple]:
-        coder = codec(vocabulary, json_path)
+        coder = codec(vocabulary)
         ids = assembled(raw, [(a, n, np.frombuffer(x, np.uint16)) for a, n, x in held], coder)
         decoded = coder.decode(ids).decode("utf-8", "replace")
         row = (d, len(ids), coder.ids_sha256(ids), hashlib.sha256(decoded.encode()).hexdigest())

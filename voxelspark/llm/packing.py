@@ -44,10 +44,28 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@lru_cache(maxsize=2)
+def reference(path: str):
+    """The tokenizer file beside a rank file, by the library that defines the ids."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
+def plain_ids(text: str, path: str, pattern: str) -> np.ndarray:
+    """Ids of ``text``. Very long white space is more than the pattern engine takes; such texts go to ``reference``."""
+    try:
+        return encoder(path, pattern).encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        return np.array(reference(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def token_ids(text: str, path: str, pattern: str) -> np.ndarray:
     """Ids of ``text`` and the end id, as unsigned 32-bit numbers."""
-    ids = encoder(path, pattern).encode_to_numpy(text, allowed_special="all", disallowed_special=())
-    return np.append(ids, END).astype("<u4")
+    return np.append(plain_ids(text, path, pattern), END).astype("<u4")
 
 
 def cuts(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
