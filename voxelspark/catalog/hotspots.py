@@ -48,8 +48,13 @@ def _region(spark, sf):
 
 
 def _labelled(spark, sf):
-    vm = _region(spark, sf)
-    return H.labelled_hotspots(vm.where("test_region"), vm.where("core"), KEYS, GRID, SPACING, "p")
+    return _hot_voxels(_region(spark, sf))
+
+
+def _hot_voxels(vm):
+    region = vm.where("test_region")
+    cuts = cut_lineage(H.thresholds(H.value_order(region, KEYS, "p"), H.PERCENTILES))
+    return H.labelled_hotspots(region, vm.where("core"), cuts, KEYS, GRID, SPACING, "p")
 
 
 def _clusters(spark, sf):
@@ -63,23 +68,22 @@ def _clusters(spark, sf):
     "SELECT * FROM cl",
 )
 def cluster_statistics(spark, sf):
-    return H.cluster_statistics(_labelled(spark, sf)[1], KEYS, "p")
+    return H.cluster_statistics(_labelled(spark, sf), KEYS, "p")
 
 
 @_hq("a9_dominant_channel", f"{BY} cid:i mean_p_nec:d9 mean_p_enh:d9 mean_p_mix:d9 dominant_class", "SELECT * FROM dc")
 def dominant_channel(spark, sf):
-    return H.cluster_statistics(_labelled(spark, sf)[1], KEYS, "p")
+    return H.cluster_statistics(_labelled(spark, sf), KEYS, "p")
 
 
 @_hq("a10_background_statistics", f"{BY} bg_mean:d6 bg_std:d6", "SELECT * FROM bg")
 def background(spark, sf):
-    rows = H.thresholded(_region(spark, sf).where("test_region"), KEYS, "p", H.PERCENTILES)
-    return H.background(rows, KEYS, "p")
+    return H.thresholds(H.value_order(_region(spark, sf).where("test_region"), KEYS, "p"), H.PERCENTILES)
 
 
 @_hq("j8_cluster_core_distance", f"{BY} cid:i min_dist_mm:d6", "SELECT * FROM cl")
 def core_distance(spark, sf):
-    hot = _labelled(spark, sf)[1]
+    hot = _labelled(spark, sf)
     return hot.groupBy("patient", "pct", "cid").agg(F.min("dist").alias("min_dist_mm"))
 
 
@@ -141,7 +145,7 @@ def overlay(spark, sf):
     """Ranked hotspots over training voxels, one label per voxel."""
     vm = cut_lineage(masks_table(spark, sf))
     region, core = vm.where("test_region"), vm.where("core")
-    hot = H.labelled_hotspots(region, core, KEYS, GRID, SPACING, "p")[1]
+    hot = _hot_voxels(vm)
     clusters = H.detect_clusters(region, core, KEYS, GRID, SPACING, min_voxels=MIN_VOXELS, min_dist_mm=MIN_DIST)
     ranks = H.rank_clusters(clusters, KEYS).where("pct = 90").select("patient", "cid", "rank")
     marked = hot.where("pct = 90").join(ranks, ["patient", "cid"]).select("patient", "flat_idx", "rank")

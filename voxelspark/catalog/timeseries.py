@@ -201,9 +201,7 @@ FB_COLS = f"{IDS} " + " ".join(f"{c}:d6" for c in TS.FEATURES_B)
 
 
 def features_b_table(spark, sf):
-    df = _series(spark, sf)
-    template = TS.reference_series(df, K, wm=None).select("patient", TS.normalised_template(F.col("ref")).alias("tpl"))
-    return df.join(template, K).withColumn("f", TS.features_b(F.col("ts"), TR, F.col("tpl"))).select("patient", *"xyz", "flat_idx", "label", "f.*")
+    return TS.templated_feature_table(_series(spark, sf), K, TR).drop("wm")
 
 
 @_sq("f9_bold_features_b", FB_COLS, "SELECT * FROM fb", **_FB)

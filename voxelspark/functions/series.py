@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays as A
+from ..operators.columns import attach_wide
 
 
 # ---- row normalisation ---------------------------------------------------------------------
@@ -231,10 +232,17 @@ def bold_feature_table(df: DataFrame, keys: list[str], tr: float = 1.8, presmoot
     """The ten features of set A as columns, against each key's reference series."""
     ref = reference_series(df, keys, wm=wm)
     x = gaussian_samples(F.col("ts"), presmooth) if presmooth > 0 else F.col("ts")
-    rows = df.join(ref, keys).withColumn("f", A.let(x, lambda s: features_a(s, F.col("ref"), tr)))
+    rows = attach_wide(df, ref, keys).withColumn("f", A.let(x, lambda s: features_a(s, F.col("ref"), tr)))
     return rows.select(*[c for c in df.columns if c not in ("ts", "wm", "label")], "f.*")
 
 
+def templated_feature_table(df: DataFrame, keys: list[str], tr: float = 1.8) -> DataFrame:
+    """The ten features of set B as columns, against each key's normalised mean series."""
+    template = reference_series(df, keys, wm=None).select(*keys, normalised_template(F.col("ref")).alias("_tpl"))
+    rows = attach_wide(df, template, keys).withColumn("f", features_b(F.col("ts"), tr, F.col("_tpl")))
+    return rows.select(*[c for c in df.columns if c != "ts"], "f.*")
+
+
 def _array_representation(fn: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.withColumn("ts", fn(F.col("ts")))
 

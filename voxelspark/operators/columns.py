@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
+
+BROADCAST_BYTES = 64_000_000  # as text, an upper bound of what a task holds of a table of numbers
 FLOAT_MAX = 3.4028234663852886e38  # largest 32-bit float
 
 
@@ -31,6 +34,28 @@ def attach(df: DataFrame, row: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("_all", one).select(*df.columns, "_all.*")
 
 
+def attach_wide(df: DataFrame, row: DataFrame, keys: Sequence[str], limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join one row per key to ``df`` without moving the rows of ``df``, which may hold whole series.
+
+    ``row`` is written once and measured. Up to ``limit`` bytes it travels to the tasks as it is; a larger one goes in
+    several passes, each with a share of the keys that fits and the rows of ``df`` that belong to them.
+    """
+    keys = list(keys)
+    if not keys:
+        return attach(df, row, keys)
+    row = cut_lineage(row)
+    size = row.select(F.sum(F.length(F.to_json(F.struct(*row.columns))))).first()[0] or 0
+    parts = max(1, -(-int(size) // limit))
+    if parts == 1:
+        return df.join(F.broadcast(row), keys)
+    share = F.pmod(F.xxhash64(*keys), F.lit(parts))
+    out = None
+    for i in range(parts):
+        own = df.where(share == i).join(F.broadcast(row.where(share == i)), keys)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def zmap(df: DataFrame, keys: Sequence[str], value: str, mask: Column, out: str) -> DataFrame:
     """(v - mean) / (sd + 1e-6) with mean and sd over the masked rows, applied to every row."""
     inside = F.when(mask, F.col(value))

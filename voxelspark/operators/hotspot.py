@@ -11,7 +11,7 @@ from ..session import cut_lineage
 from .columns import attach
 from .evaluation import adjust_p
 from .grid import AXES, Grid
-from .ranking import exact_percentiles, top_k, value_prefix
+from .ranking import ValueTable, percentiles_of, running, top_k, value_table
 from .spatial import connected_components, euclidean_distance, surface_area
 
 # Default limits of the detector and of the phenotype rule.
@@ -28,21 +28,27 @@ COMPACT_SPHERICITY = 0.40
 CHANNELS = {"p_nec": "necrosis", "p_enh": "enhancing", "p_mix": "enhancing_plus_necrosis"}
 
 
-def thresholded(region: DataFrame, keys: Sequence[str], p: str, percentiles: Sequence[int]) -> DataFrame:
-    """Region voxels once per percentile with ``threshold`` and ``hot`` (at or above it)."""
-    cuts = exact_percentiles(region, keys, p, {f"t{q}": q / 100 for q in percentiles})
-    rows = F.array(*[F.struct(F.lit(q).alias("pct"), F.col(f"t{q}").alias("threshold")) for q in percentiles])
-    cuts = cuts.select(*keys, rows.alias("_cuts"))
-    out = attach(region, cuts, keys).select(*region.columns, F.inline("_cuts"))
-    return out.withColumn("hot", F.col(p) >= F.col("threshold"))
+def value_order(region: DataFrame, keys: Sequence[str], p: str) -> ValueTable:
+    """The one order of a region's values from which thresholds, backgrounds and ranks are read."""
+    v = F.col(p)
+    return value_table(region, keys, p, {"n": F.count(F.lit(1)), "s": F.sum(v), "q": F.sum(v * v)})
 
 
-def background(rows: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
-    """Mean and population sd (at least 1e-9) of the region voxels below the threshold."""
-    cold = F.when(~F.col("hot"), F.col(p))
-    return rows.groupBy(*keys, "pct").agg(
-        F.coalesce(F.avg(cold), F.lit(0.0)).alias("bg_mean"),
-        F.greatest(F.coalesce(F.stddev_pop(cold), F.lit(1.0)), F.lit(1e-9)).alias("bg_std"),
+def thresholds(order: ValueTable, percentiles: Sequence[int]) -> DataFrame:
+    """keys, pct, threshold and the background below it (``bg_mean``, ``bg_std`` of at least 1e-9)."""
+    keys, p = order.keys, order.value
+    table = cut_lineage(running(order))
+    cuts = percentiles_of(table, keys, p, {f"t{q}": q / 100 for q in percentiles})
+    rows = F.array(*[F.struct(F.lit(q).alias("pct"), F.col(f"t{q}").alias("threshold")) for q in percentiles])
+    cuts = cut_lineage(cuts.select(*keys, F.inline(rows)))
+    cold = attach(table.select(*keys, p, "n", "s"), cuts.groupBy(*keys).agg(F.collect_list(F.struct("pct", "threshold")).alias("_cuts")), keys)
+    # Two passes over the distinct values: the mean below each threshold, then the spread around it.
+    cold = cold.select(*keys, p, "n", "s", F.inline("_cuts")).where(F.col(p) < F.col("threshold"))
+    means = cold.groupBy(*keys, "pct").agg(F.sum("n").alias("_n"), (F.sum("s") / F.sum("n")).alias("bg_mean"))
+    spread = attach(cold, means.drop("_n"), [*keys, "pct"]).groupBy(*keys, "pct").agg(F.sqrt(F.sum(F.col("n") * (F.col(p) - F.col("bg_mean")) * (F.col(p) - F.col("bg_mean"))) / F.sum("n")).alias("_sd"))
+    out = cuts.join(means.drop("_n"), [*keys, "pct"], "left").join(spread, [*keys, "pct"], "left")
+    return out.select(
+        *keys, "pct", "threshold", F.coalesce("bg_mean", F.lit(0.0)).alias("bg_mean"), F.greatest(F.coalesce("_sd", F.lit(1.0)), F.lit(1e-9)).alias("bg_std")
     )
 
 
@@ -71,32 +77,32 @@ def cluster_statistics(rows: DataFrame, keys: Sequence[str], p: str, channels: d
     return out.withColumn("dominant_class", dominant_channel(means))
 
 
-def percentile_of_score(scores: DataFrame, queries: DataFrame, keys: Sequence[str], score: str, query: str) -> DataFrame:
-    """Mean of the strict and weak percentile rank of each queried value, from one merged order."""
-    keys = list(keys)
-    merged = scores.select(*keys, F.col(score).alias("_v"), F.lit(1).alias("_s"))
-    merged = merged.unionByName(queries.select(*keys, F.col(query).alias("_v"), F.lit(0).alias("_s")))
-    table = value_prefix(merged, keys, "_v", {"s": F.sum("_s"), "q": F.count_if(F.col("_s") == 0)}).where("q > 0")
-    both = F.when(F.col("s") > 0, 1).otherwise(0)
-    rank = 50.0 * (2 * F.col("s_before") + F.col("s") + both) / F.col("s_total")
-    table = table.select(*keys, F.col("_v").alias(query), rank.alias("pct_rank"))
+def percentile_of_score(order: ValueTable, queries: DataFrame, query: str) -> DataFrame:
+    """``queries`` with ``pct_rank``: mean of the strict and weak percentile rank of each queried value in the order."""
+    keys, p = order.keys, order.value
+    asked = queries.select(*keys, F.col(query).alias(p)).distinct()
+    zeros = {n: F.lit(0).cast(order.rows.schema[n].dataType) for n in order.names}
+    table = running(order, asked.withColumns({**zeros, "_asked": F.lit(True)})).where("_asked")
+    both = F.when(F.col("n") > 0, 1).otherwise(0)
+    rank = 50.0 * (2 * F.col("n_before") + F.col("n") + both) / F.col("n_total")
+    table = table.select(*keys, F.col(p).alias(query), rank.alias("pct_rank"))
     return queries.join(table, [*keys, query])
 
 
 def labelled_hotspots(
-    region: DataFrame, core: DataFrame | None, keys: Sequence[str], grid: Grid, spacing: tuple[float, float, float], p: str,
-    percentiles: Sequence[int] = PERCENTILES, connectivity: int = 18,
-) -> tuple[DataFrame, DataFrame]:
-    """All region voxels per percentile, and the hot ones with component and distance to the core."""
+    region: DataFrame, core: DataFrame | None, cuts: DataFrame, keys: Sequence[str], grid: Grid, spacing: tuple[float, float, float], p: str, connectivity: int = 18
+) -> DataFrame:
+    """The region voxels at or above each percentile's threshold, with component and distance to the core."""
     keys = list(keys)
-    rows = cut_lineage(thresholded(region, keys, p, percentiles))
-    hot = rows.where("hot")
+    levels = cuts.groupBy(*keys).agg(F.collect_list(F.struct("pct", "threshold")).alias("_cuts"))
+    above = F.filter("_cuts", lambda c: F.col(p) >= c["threshold"])
+    hot = cut_lineage(attach(region, levels, keys).select(*region.columns, F.inline(above)))
     parts = connected_components(hot, [*keys, "pct"], grid, connectivity).select(*keys, "pct", "flat_idx", "cid")
     hot = hot.join(parts, [*keys, "pct", "flat_idx"])
     if core is None:
-        return rows, hot.withColumn("dist", F.lit(None).cast("double"))
+        return hot.withColumn("dist", F.lit(None).cast("double"))
     dist = euclidean_distance(hot, core, keys, spacing)
-    return rows, hot.join(dist, [*keys, *AXES], "left")
+    return hot.join(dist, [*keys, *AXES], "left")
 
 
 def detect_clusters(
@@ -118,11 +124,12 @@ def detect_clusters(
     """
     keys = list(keys)
     by = [*keys, "pct"]
-    rows, hot = labelled_hotspots(region, core, keys, grid, spacing, p, percentiles)
-    clusters = cluster_statistics(hot, keys, p)
+    order = value_order(region, keys, p)
+    cuts = cut_lineage(thresholds(order, percentiles))
+    clusters = cluster_statistics(labelled_hotspots(region, core, cuts, keys, grid, spacing, p), keys, p)
     near = F.col("min_dist_mm") < min_dist_mm
     clusters = clusters.where((F.col("size_voxels") >= min_voxels) & ~F.coalesce(near, F.lit(False)))
-    clusters = clusters.join(background(rows, keys, p), by)
+    clusters = clusters.join(cuts.drop("threshold"), by)
     z = (F.col("mean_prob") - F.col("bg_mean")) / (F.col("bg_std") / F.sqrt("size_voxels"))
     clusters = clusters.withColumns(
         {
@@ -132,7 +139,7 @@ def detect_clusters(
         }
     )
     clusters = cut_lineage(clusters.withColumn("p_raw", tails.normal_sf(F.col("z"))))
-    clusters = percentile_of_score(rows, clusters, by, p, "mean_prob").withColumnRenamed("pct_rank", "pct_rank_in_test")
+    clusters = percentile_of_score(order, clusters, "mean_prob").withColumnRenamed("pct_rank", "pct_rank_in_test")
     return adjust_p(clusters, by, "p_raw", alpha).withColumnsRenamed({"p_bh": "p_bh_adj", "reject": "sig_fdr"})
 
 

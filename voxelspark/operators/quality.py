@@ -154,7 +154,6 @@ def voxel_features(df: DataFrame, keys: Sequence[str], ts: str = "ts", tr: float
     n = F.size(x)
     base = df.withColumns({"_m": A.mean(x), "_low": spectrum.low_power_ratio(x, tr, cut_hz)})
     base = base.withColumns({"_s": F.sqrt(A.squares(x, F.col("_m")) / n), "_b": TS.trend_slope(x, tr)})
-    base = with_stats(base, keys, [F.avg("_m").alias("_g")])
     m, s, b, g = (F.col(c) for c in ("_m", "_s", "_b", "_g"))
     safe = F.when(s > 1e-9, s).otherwise(1.0)
     spread = n * (n * n - 1) / 12.0 * tr * tr
@@ -164,11 +163,14 @@ def voxel_features(df: DataFrame, keys: Sequence[str], ts: str = "ts", tr: float
         "n_spikes_z3": F.size(F.filter(x, lambda v: F.abs((v - m) / safe) > 3.0)).cast("double"),
         "low_freq_power_ratio": F.col("_low"),
         "drift_pct_per_min": b / F.when(F.abs(m) < 1e-6, 1.0).otherwise(m) * 100.0 * 60.0,
-        "mean_amplitude_norm": (m - g) / F.greatest(F.abs(g), F.lit(1e-6)),
         "variance_detrended": s * s - b * b * spread / n,
     }
     keep = [c for c in df.columns if c != ts]
-    return base.select(*keep, *[F.when(n < 4, 0.0).otherwise(v).alias(c) for c, v in values.items()])
+    # The series are read for the last time here: only numbers meet the key's mean.
+    rows = base.select(*keep, m, (n < 4).alias("_short"), *[F.when(n < 4, 0.0).otherwise(v).alias(c) for c, v in values.items()])
+    level = F.when(F.col("_short"), 0.0).otherwise((m - g) / F.greatest(F.abs(g), F.lit(1e-6)))
+    rows = with_stats(rows, keys, [F.avg("_m").alias("_g")]).withColumn("mean_amplitude_norm", level)
+    return rows.select(*keep, *VOXEL_FEATURES)
 
 
 def auto_labels(features: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -17,6 +18,7 @@ from ..session import cut_lineage
 
 ROWS_PER_RANGE = 2_000_000
 MIN_RANGES, MAX_RANGES = 8, 4096
+SUBRANGES = 4096  # of each range, where a table needs more than MAX_RANGES
 _BEFORE = (W.unboundedPreceding, -1)
 
 
@@ -34,34 +36,65 @@ def _range_number(value: str, bounds: Sequence[float]) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + fine)
 
 
-def value_prefix(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    measures: Mapping[str, Column],
-    rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
-    """Per distinct ``value``: each measure, its sum below (``<m>_before``) and in all (``<m>_total``).
+@dataclass(frozen=True)
+class ValueTable:
+    """The distinct values of each group with their measures, once on disk, cut into ranges of near equal size.
 
-    ``measures`` are sum-like aggregates (``F.count``, ``F.sum``).  The result keeps the range
-    number ``_range`` for further steps along the same order.  The distinct values are used three
-    times (range bounds, range totals, rows), so they are written once and ``df`` runs once.
-    The number of ranges follows the number of distinct values; only the bounds (at most 4095
-    numbers) reach the driver.
+    Many questions about one order share it: percentiles, sums below a value, ranks of other values.
+    """
+
+    rows: DataFrame
+    keys: list[str]
+    value: str
+    names: list[str]
+    bounds: list[float]
+    finer: DataFrame | None  # bounds within each range, for tables of more than MAX_RANGES ranges
+
+    def numbered(self, df: DataFrame) -> DataFrame:
+        """``df`` (with a column called like the value) with the range of each row."""
+        return _numbered(df, self.value, self.bounds, self.finer)
+
+
+def _numbered(df: DataFrame, value: str, bounds: Sequence[float], finer: DataFrame | None) -> DataFrame:
+    df = df.withColumn("_range", _range_number(value, bounds) if bounds else F.lit(0))
+    if finer is None:
+        return df
+    # One row per range, at most MAX_RANGES of them.
+    inner = F.size(F.filter("_inner", lambda b: b < F.col(value)))
+    joined = df.join(F.broadcast(finer), "_range", "left")
+    return joined.withColumn("_range", F.col("_range").cast("long") * SUBRANGES + F.coalesce(inner, F.lit(0))).drop("_inner")
+
+
+def value_table(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str, Column], rows_per_range: int = ROWS_PER_RANGE) -> ValueTable:
+    """Count equal values first, then cut the distinct ones into ranges.
+
+    The number of ranges follows the number of distinct values. Up to MAX_RANGES bounds reach the driver; a table that
+    needs more ranges cuts each of them again, by bounds that stay in a table.
     """
     keys = list(keys)
-    names = list(measures)
     known = df.where(F.col(value).isNotNull())
     distinct = cut_lineage(known.groupBy(*keys, value).agg(*[m.alias(n) for n, m in measures.items()]))
-    n_rows = distinct.count()
-    ranges = min(MAX_RANGES, max(MIN_RANGES, math.ceil(n_rows / rows_per_range)))
+    wanted = max(MIN_RANGES, math.ceil(distinct.count() / rows_per_range))
+    ranges = min(MAX_RANGES, wanted)
     probs = [i / ranges for i in range(1, ranges)]
     bounds = distinct.select(F.percentile_approx(value, F.lit(probs), 10 * ranges)).first()[0] or []
     bounds = sorted({float(b) for b in bounds})
-    number = _range_number(value, bounds) if bounds else F.lit(0)
-    distinct = distinct.withColumn("_range", number)
+    finer = None
+    if wanted > ranges:
+        parts = min(SUBRANGES, math.ceil(wanted / ranges))
+        inner = F.percentile_approx(F.col(value).cast("double"), F.lit([i / parts for i in range(1, parts)]), 10 * parts)
+        finer = cut_lineage(_numbered(distinct, value, bounds, None).groupBy("_range").agg(F.array_distinct(inner).alias("_inner")))
+    return ValueTable(_numbered(distinct, value, bounds, finer), keys, value, list(measures), bounds, finer)
+
 
-    totals = distinct.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in names])
+def running(table: ValueTable, extra: DataFrame | None = None) -> DataFrame:
+    """Per value: each measure, its sum below (``<m>_before``) and in all (``<m>_total``).
+
+    ``extra`` has further values to be placed in the order, with the measures they add (usually zeros) and any marks.
+    """
+    keys, value, names = table.keys, table.value, table.names
+    rows = table.rows if extra is None else table.rows.unionByName(table.numbered(extra), allowMissingColumns=True)
+    totals = rows.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in names])
     group = _window(keys)
     below = group.orderBy("_range").rowsBetween(*_BEFORE)
     offsets = totals.select(
@@ -70,16 +103,38 @@ def value_prefix(
         *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"_{n}_off") for n in names],
         *[F.sum(n).over(group).alias(f"{n}_total") for n in names],
     )
-    inside = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(*_BEFORE)
-    joined = distinct.join(offsets, [*keys, "_range"])
+    order = W.partitionBy(*keys, "_range").orderBy(value)
+    inside = order.rowsBetween(*_BEFORE) if extra is None else order.rangeBetween(W.unboundedPreceding, 0)
+    joined = rows.join(offsets, [*keys, "_range"])
+    marks = [c for c in rows.columns if c not in {*keys, value, "_range", *names}]
+    before = {n: F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names}
+    if extra is not None:  # rows of one value share the sums: what is at the value itself isn't below it
+        same = W.partitionBy(*keys, "_range", value)
+        joined = joined.withColumns({f"_{n}_at": F.sum(n).over(same) for n in names})
+        before = {n: before[n] - F.col(f"_{n}_at") for n in names}
+        names_out = [F.col(f"_{n}_at").alias(n) for n in names]
+    else:
+        names_out = [F.col(n) for n in names]
     return joined.select(
-        *keys,
-        value,
-        "_range",
-        *names,
-        *[(F.col(f"_{n}_off") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in names],
+        *keys, value, "_range", *marks, *names_out,
+        *[(F.col(f"_{n}_off") + before[n]).alias(f"{n}_before") for n in names],
         *[f"{n}_total" for n in names],
-    )
+    )
+
+
+def value_prefix(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    measures: Mapping[str, Column],
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Per distinct ``value``: each measure, its sum below (``<m>_before``) and in all (``<m>_total``).
+
+    ``measures`` are sum-like aggregates (``F.count``, ``F.sum``).  The result keeps the range
+    number ``_range`` for further steps along the same order.
+    """
+    return running(value_table(df, keys, value, measures, rows_per_range))
 
 
 def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "mid_rank") -> DataFrame:
@@ -93,7 +148,11 @@ def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
     """Linear-interpolation percentiles, one column per entry of ``probs`` (fractions in [0, 1])."""
-    table = value_prefix(df, keys, value, {"n": F.count(F.lit(1))})
+    return percentiles_of(value_prefix(df, keys, value, {"n": F.count(F.lit(1))}), keys, value, probs)
+
+
+def percentiles_of(table: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """``exact_percentiles`` from a ``running`` table with the measure ``n``."""
     last = F.col("n_total") - 1
     start, end = F.col("n_before"), F.col("n_before") + F.col("n")
 

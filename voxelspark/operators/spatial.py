@@ -21,13 +21,17 @@ from .grid import AXES, Grid, offsets, shifted
 def l1_within(seeds: DataFrame, keys: Sequence[str], n: int | str) -> DataFrame:
     """Every position within city-block distance ``n`` of a seed, with its distance ``l1``.
 
-    One axis at a time, each seed spends part of its remaining budget; the best budget per
+    One axis at a time, each seed of the surface spends part of its remaining budget; the best budget per
     position survives a partial aggregate.  Only reached positions exist, so no dense box is
     built.  ``n`` is a number or an integer column that is constant within a key.
     """
     keys = list(keys)
-    budget = F.col(n) if isinstance(n, str) else F.lit(int(n))
-    state = seeds.select(*keys, *AXES, budget.cast("int").alias("_n"), budget.cast("int").alias("_left"))
+    budget = (F.col(n) if isinstance(n, str) else F.lit(int(n))).cast("int")
+    seeds = seeds.select(*keys, *AXES, budget.alias("_n"))
+    # A path from a seed to a position outside the set leaves through the surface, so seeds with six set neighbours
+    # keep their own distance of zero and spend nothing.
+    marked = _split_surface(seeds, keys).withColumn("_left", F.col("_n"))
+    state, core = marked.where("NOT _inner").drop("_inner"), marked.where("_inner").drop("_inner")
     for a in AXES:
         state = state.withColumn("_d", F.explode(F.sequence(-F.col("_left"), F.col("_left"))))
         state = state.select(
@@ -36,6 +40,7 @@ def l1_within(seeds: DataFrame, keys: Sequence[str], n: int | str) -> DataFrame:
             "_n",
             (F.col("_left") - F.abs("_d")).alias("_left"),
         )
+        state = state.unionByName(core) if a == AXES[-1] else state
         state = state.groupBy(*keys, *AXES).agg(F.max("_n").alias("_n"), F.max("_left").alias("_left"))
     return state.select(*keys, *AXES, (F.col("_n") - F.col("_left")).cast("int").alias("l1"))
 
@@ -68,6 +73,16 @@ def erode(mask: DataFrame, keys: Sequence[str], n: int = 1) -> DataFrame:
     return mask.select(*keys, *AXES).join(near.drop("l1"), [*keys, *AXES], "left_anti")
 
 
+def _split_surface(seeds: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct positions of ``seeds`` with their largest ``_n`` and whether all six face neighbours are in the set."""
+    off = F.col("_off")
+    side = F.when(off["dx"] == 1, 1).when(off["dx"] == -1, 2).when(off["dy"] == 1, 4).when(off["dy"] == -1, 8).when(off["dz"] == 1, 16).otherwise(32)
+    own = seeds.select(*keys, *AXES, "_n", F.lit(0).alias("_side"))
+    near = shifted(seeds.select(*keys, *AXES), offsets(6), extra="_off").select(*keys, *AXES, F.lit(None).cast("int").alias("_n"), side.alias("_side"))
+    seen = own.unionByName(near).groupBy(*keys, *AXES).agg(F.max("_n").alias("_n"), F.bit_or("_side").alias("_side"))
+    return seen.where("_n IS NOT NULL").select(*keys, *AXES, "_n", (F.col("_side") == 63).alias("_inner"))
+
+
 def neighbour_counts(mask: DataFrame, keys: Sequence[str], kind: int) -> DataFrame:
     """Number of set neighbours of each set voxel: one shuffle, no join."""
     keys = list(keys)
@@ -127,13 +142,52 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(k, df.schema[k].dataType) for k in keys]
 
 
-def _parabola_min(values: np.ndarray, at: np.ndarray, wanted: np.ndarray, scale: float) -> np.ndarray:
-    """min over i of values[i] + (scale * (wanted - at[i]))**2, for every wanted row."""
-    out = np.full((len(wanted), *values.shape[1:]), np.inf)
-    shape = (-1,) + (1,) * (values.ndim - 1)
-    for v, c in zip(values, at):
-        np.minimum(out, v[None] + ((scale * (wanted - c)) ** 2).reshape(shape), out=out)
-    return out
+def lower_envelope(values: np.ndarray, at: np.ndarray, wanted: np.ndarray, scale: float) -> np.ndarray:
+    """min over i of values[i] + (scale * (wanted - at[i]))**2 for every wanted row, for all columns side by side.
+
+    Each column keeps the stack of parabolas that are lowest somewhere, and where each begins; a parabola enters and
+    leaves the stack once, then one sweep reads it off. Work grows with sources plus wanted rows, not with their product.
+    """
+    order = np.argsort(at, kind="stable")
+    x, f = at[order].astype(float) * scale, values[order].reshape(len(at), -1)
+    keep = np.append(np.diff(x) > 0, True)  # of equal places only the lowest counts
+    if not keep.all():
+        group = np.concatenate(([0], np.cumsum(keep[:-1])))
+        least = np.full((group[-1] + 1, f.shape[1]), np.inf)
+        np.minimum.at(least, group, f)
+        x, f = x[keep], least
+    n, width = f.shape
+    stack, start = np.zeros((n, width), np.int64), np.full((n + 1, width), np.inf)
+    start[0], top, col = -np.inf, np.zeros(width, np.int64), np.arange(width)
+    for q in range(1, n):
+        todo = col
+        while len(todo):
+            v = stack[top[todo], todo]
+            cross = ((f[q, todo] + x[q] ** 2) - (f[v, todo] + x[v] ** 2)) / (2 * (x[q] - x[v]))
+            hidden = cross <= start[top[todo], todo]
+            done = todo[~hidden]
+            top[done] += 1
+            stack[top[done], done], start[top[done], done] = q, cross[~hidden]
+            todo = todo[hidden]
+            top[todo] -= 1
+    used = np.arange(n + 1)[:, None] <= top
+    start[~used] = np.inf
+    goal = np.argsort(wanted, kind="stable")
+    out, now = np.empty((len(wanted), width)), np.zeros(width, np.int64)
+    for i in goal:
+        p = wanted[i] * scale
+        while (step := (now < top) & (start[np.minimum(now + 1, n), col] <= p)).any():
+            now += step
+        v = stack[now, col]
+        out[i] = f[v, col] + (p - x[v]) ** 2
+    return out.reshape(len(wanted), *values.shape[1:])
+
+
+def nearest_on_line(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Distance of each wanted place to the nearest of ``places``."""
+    s = np.sort(places)
+    i = np.searchsorted(s, wanted)
+    return np.minimum(np.abs(wanted - s[np.maximum(i - 1, 0)]), np.abs(s[np.minimum(i, len(s) - 1)] - wanted))
 
 
 def euclidean_distance(
@@ -172,12 +226,10 @@ def euclidean_distance(
         first = pdf.iloc[0]
         cx, lo, hi = int(first["_cx"]), int(first["_loy"]) // CHUNK, int(first["_hiy"]) // CHUNK
         xs = np.arange(cx * CHUNK, (cx + 1) * CHUNK)
-        on_line = np.stack([((sx * (xs[:, None] - np.asarray(s)[None, :])) ** 2).min(axis=1) for s in pdf["xs"]])
-        rows = []
-        for cy in range(lo, hi + 1):
-            ys = np.arange(cy * CHUNK, (cy + 1) * CHUNK)
-            g = _parabola_min(on_line, pdf["y"].to_numpy(), ys, sy)
-            rows.append([first[k] for k in keys] + [cx, cy, int(first["z"]), g.ravel()])
+        on_line = np.stack([(sx * nearest_on_line(np.asarray(s), xs)) ** 2 for s in pdf["xs"]])
+        ys = np.arange(lo * CHUNK, (hi + 1) * CHUNK)
+        g = lower_envelope(on_line, pdf["y"].to_numpy(), ys, sy).reshape(hi - lo + 1, -1)
+        rows = [[first[k] for k in keys] + [cx, lo + i, int(first["z"]), part] for i, part in enumerate(g)]
         return pd.DataFrame(rows, columns=plane.fieldNames())
 
     planes = lines.groupBy(*keys, "_cx", "z").applyInPandas(along_y, plane)
@@ -195,10 +247,9 @@ def euclidean_distance(
         z0 = left["z"].to_numpy()
         cell = (right["y"].to_numpy() % CHUNK) * CHUNK + right["x"].to_numpy() % CHUNK
         z = right["z"].to_numpy()
-        best = np.full(len(right), np.inf)
-        for row, c in zip(g, z0):
-            np.minimum(best, row[cell] + (sz * (z - c)) ** 2, out=best)
-        res[out] = np.sqrt(best)
+        used, column = np.unique(cell, return_inverse=True)
+        levels, level = np.unique(z, return_inverse=True)
+        res[out] = np.sqrt(lower_envelope(g[:, used], z0, levels, sz)[level, column])
         return res
 
     by = [*keys, "_cx", "_cy"]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import series as TS
-from ..operators import columns as C, learning as L, masks as M, spatial as S
+from ..operators import columns as C, keyed as K, masks as M, spatial as S
 from ..operators.grid import AXES, Grid, scaled_coordinates
 from ..session import cut_lineage
 
@@ -38,14 +38,13 @@ def per_key(df: DataFrame, keys: Sequence[str], fit: Callable[[DataFrame], DataF
 def reduce_and_cluster(
     df: DataFrame, cols: Sequence[str], keys: Sequence[str], k: int, algo: str, seed: int, restarts: int, clip: float, pca_cap: int
 ) -> DataFrame:
-    """Clip, then for each key drop its constant columns, project and cluster."""
+    """Clip, drop the constant columns of each key, project and cluster; every step takes all keys at once."""
     df = cut_lineage(C.robust_clip(df, keys, cols, clip) if clip > 0 else df)
-
-    def fit(own: DataFrame) -> DataFrame:
-        rows, parts, _ = L.principal_components(own, C.varying_columns(own, cols), pca_cap)
-        return L.fit_clusters(rows, parts, k, algo, seed, restarts)
-
-    return per_key(df, keys, fit)
+    table = cut_lineage(K.projections(df, keys, cols, pca_cap))
+    rows = cut_lineage(K.projected(df, keys, cols, table, "_z"))
+    ident = [a for a in AXES if a in df.columns] or list(cols)
+    out = K.cluster_keys(rows, keys, "_z", ident, k, algo, seed, restarts)
+    return out.select(*df.columns, *[F.get("_z", F.lit(i)).alias(f"pc{i + 1}") for i in range(min(pca_cap, len(cols)))], "cluster")
 
 
 def bold_clustering(
@@ -126,15 +125,11 @@ def guided_clustering(
     rows = cut_lineage(C.robust_clip(rows, keys, cols, clip, fit=trained) if clip > 0 else rows)
     near = S.dilate(rows.where("tumor"), keys, max(1, outside_steps)).withColumn("_near", F.lit(True))
 
-    def fit(own: DataFrame) -> DataFrame:
-        kept = C.varying_columns(own.where(trained), cols)
-        own = C.standardise(own, [], kept, fit=trained)
-        own, parts, _ = L.principal_components(own, kept, pca_cap, fit=trained)
-        own = cut_lineage(L.assemble(own, parts))
-        model = L.multinomial(own.where(trained), "seed_class")
-        return model.transform(own).withColumn("probs", L.class_probabilities(own)).drop("features", "probability", "rawPrediction", "prediction")
-
-    scored = per_key(rows, keys, fit).join(near, [*keys, *AXES], "left")
+    seeds = cut_lineage(rows.where(trained))
+    table = cut_lineage(K.projections(seeds, keys, cols, pca_cap, scale=True))
+    seeds = K.projected(seeds, keys, cols, table, "_z")
+    scored = K.logistic_keys(seeds, K.projected(rows, keys, cols, table, "_z"), keys, "_z", AXES, "seed_class", len(CLASSES))
+    scored = cut_lineage(scored.drop("_z")).join(near, [*keys, *AXES], "left")
     probs = C.suppress_outside(F.col("probs"), F.col("_near").isNull(), [CLASSES.index(c) for c in ("necro", "enh", "edema")])
     scored = scored.withColumn("probs", probs).drop("_near")
     return scored.withColumns(
