@@ -86,6 +86,17 @@ def test_shards_are_equal_runs_of_the_curve(docs, empty, monkeypatch):
     assert hilbert.assign(empty).count() == 0
 
 
+def test_strings_are_cut_by_the_rank_of_whole_values(spark, monkeypatch):
+    """Values that share a long prefix, some of them hot: the cell is the share of rows below the value."""
+    monkeypatch.setattr(hilbert, "RUN_ROWS", 7)
+    values = [f"https://www.example.org/{i:03d}" for i in range(40) for _ in range(1 + 9 * (i % 5 == 0))] + ["", "Z", "é"]
+    df = spark.createDataFrame([(v, "x") for v in values] + [(None, "x")], "source string, _cell string")
+    got = {r["_v"]: r["_cell"] for r in hilbert.string_cells(df.select("source"), "source", 4).collect()}
+    assert got == {v: sum(w.encode() < v.encode() for w in values) * 16 // len(values) for v in values}
+    rows = hilbert.with_index(df.select("source"), ["source"], "c", 4).collect()
+    assert {r["source"]: r["c"] for r in rows} == {**{v: int(c) for v, c in got.items()}, None: 0}
+
+
 def test_shard_files_narrow_the_dimensions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     path = shared_folder(spark, "shards")
@@ -139,6 +150,39 @@ def test_archives_give_back_every_record(spark, pages):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_pages_above_a_frame_and_an_archive(spark, monkeypatch):
+    """Pages larger than a frame, an archive and what is passed on at once come back whole, with payloads or without."""
+    for name, size in (("ARCHIVE_BYTES", 20_000), ("RUN_FRAMES", 2), ("PASS_BYTES", 50_000)):
+        monkeypatch.setattr(warc, name, size)
+    bodies = {i: "".join(chr(97 + (i * k * k + k) % 26) for k in range(2_000 * (1 + 20 * (i % 4 == 0)))) for i in range(24)}
+    pages = spark.createDataFrame([(i, f"http://h/{i}", b) for i, b in bodies.items()], "page_id long, url string, html string").coalesce(1)
+    folder = shared_folder(spark, "warc")
+    index = warc.write(pages, folder, frame_bytes=5_000)
+    assert index.select("archive").distinct().count() > 1
+    got = {r["record_id"]: bytes(r["payload"]).decode() for r in warc.read(index, folder).collect()}
+    assert got == {f"urn:page:{i}": b for i, b in bodies.items()}
+    bare = warc.read(index, folder, payloads=False)
+    assert "payload" not in bare.columns and {r["payload_bytes"] for r in bare.collect()} == {len(b) for b in bodies.values()}
+
+
+def test_long_rules_unknown_labels_and_mostly_bad_tables(spark):
+    """A family told only by four tokens together, labels without a word, and a table with nine bad pages of ten."""
+    words = ["aa", "bb", "cc", "dd"]
+    rows = [(i, "http://h.net/" + "/".join(w for k, w in enumerate(words) if k != i % 5) + f"/u{'xyz'[i % 3]}") for i in range(500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    four = lambda i: i % 5 == 4
+    labels = spark.createDataFrame([(i, int(not four(i)), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_rules.judge(pages, labels).collect()}
+    assert all(got[i]["verdict"] == ("block" if four(i) else "allow") for i in range(500))
+    assert len(got[4]["mined_rule"].split()) >= 4
+    unknown = spark.createDataFrame([(i, None, None if i % 2 else 1) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert url_rules.judge(pages, unknown).where("mined_rule IS NOT NULL").count() == 0  # bad ones only, the rest unknown
+    mostly = [(i, f"http://{'spam' if i % 10 else 'fine'}.org/p/{i}") for i in range(300)]
+    bad = spark.createDataFrame([(i, int(i % 10 == 0), None) for i in range(300)], "doc_id long, quality int, toxic int")
+    found = url_rules.judge(spark.createDataFrame(mostly, "page_id long, url string"), bad, rules=[])
+    assert {(r["host"], r["verdict"]) for r in found.collect()} == {("spam.org", "block"), ("fine.org", "allow")}
+
+
 def test_given_rules_and_mined_rules(spark):
     urls = ["http://Example.ORG/es/1", "http://www.example.org/en/12?x#y", "http://example.org/en/2", "ftp://x.com/fr/", "http://a.com/de/z", "http://u@b.net", None, "no scheme", "http://com/fr/#/de/", "http://notexample.org/es/", "http://h.com?/fr/"]
     rows = [(i, u) for i, u in enumerate(urls)]

@@ -17,7 +17,7 @@ def lower(t):
 
 
 def test_line_counts_against_brute_force(docs):
-    rows = {(r["doc_id"], r["n_words"], r["word_chars"]): r for r in line_frequency.score(docs, share=0.05, least=3).collect()}
+    rows = {(r["doc_id"], r["n_words"], r["word_chars"]): r for r in line_frequency.score(docs, limit=3, share=0.05).collect()}
     for d in docs.collect():
         t = d["text"] or ""
         w = WORD.findall(t)
@@ -38,14 +38,24 @@ def test_frequent_lines_reject_and_strip(spark, empty):
     body = [(i, f"common footer of the site\nunique{i} words here and there for text {i} " + " ".join(f"more{k}" for k in range(0 if i % 2 else 9)), "en", "s", 0) for i in range(40)]
     rows = [*body, *[(100 + i, "common footer of the site\nshort end with eight words in here now", "en", "s", 0) for i in range(1)]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r["doc_id"]: r for r in line_frequency.score(df, share=0.3, least=5).collect()}
+    got = {r["doc_id"]: r for r in line_frequency.score(df, limit=8).collect()}
     assert all(got[i]["n_frequent_words"] == 5 and got[i]["kept"] for i in range(0, 40, 2))
     assert not got[100]["kept"] and not got[100]["base_failed"]
-    stripped = line_frequency.strip(df, share=0.3, least=5).collect()
+    stripped = line_frequency.strip(df, limit=8).collect()
     assert len(stripped) == len(rows) and not any("footer" in r["text"] for r in stripped)
     assert line_frequency.score(empty).count() == 0
 
 
+def test_line_limit_does_not_follow_the_size_of_a_host(spark):
+    """A line on 11 texts is frequent on a host of 11, 100 and 3,000 texts; one on 10 never is; small hosts have less."""
+    tail = "\n".join(f"own line {k} of this text with several words in it" for k in range(3))
+    for n, holders, frequent in [(3000, 11, True), (100, 11, True), (3000, 10, False), (20, 4, True), (20, 3, False)]:
+        rows = [(i, ("the very same line\n" if i < holders else "") + tail.replace("this", f"this{i}"), "s") for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = {r["doc_id"]: r["n_frequent_words"] for r in line_frequency.score(df).collect()}
+        assert all(v == (4 if frequent and i < holders else 0) for i, v in got.items()), (n, holders)
+
+
 def test_decontamination_against_brute_force(spark, docs, texts, empty):
     passage = texts[-10].split("\n")[1]
     items = [(1, passage), (2, "Not, in: any text at all " * 4), (10, texts[3].split("\n")[0]), (4, "a B c"), (5, None), (6, "--"), (None, passage)]

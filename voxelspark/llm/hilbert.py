@@ -1,7 +1,7 @@
 """Hilbert-curve sharding: quantise metadata dimensions, order rows along the curve, cut equal runs.
 
-Numbers are quantised at their approximate quantiles, strings at the quantiles of an order-keeping number
-made from their first bytes, so each shard covers narrow value ranges of every dimension and files can be
+Numbers are quantised at their approximate quantiles, strings by the rank of their whole values: the rows below
+a value, counted over ordered ranges of distinct values, give its cell. So each shard covers narrow value ranges of every dimension and files can be
 skipped by their minima and maxima. Only ids, hashes and curve indices move; texts don't.
 
 Defined cases: a null dimension value lies below all others; ties on the curve are ordered by id, then by
@@ -23,12 +23,19 @@ BITS = 6
 RUN_ROWS = 200_000
 
 
-def dimension(df: DataFrame, name: str) -> Column:
-    """A number that keeps the order of the column (of the first seven bytes for strings)."""
-    if dict(df.dtypes)[name] != "string":
-        return F.col(name).cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+def string_cells(df: DataFrame, name: str, bits: int) -> DataFrame:
+    """Every distinct value of a string column with its cell: the share of all rows below it, times the number of cells."""
+    counts = stored(df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "values")
+    parts = max(1, -(-counts.count() // RUN_ROWS))
+    runs = stored(counts.repartitionByRange(parts, "_v").withColumn("_run", F.spark_partition_id()), "value-runs")
+    shift, total = [], 0
+    for r in runs.groupBy("_run").agg(F.sum("_n").alias("_s")).orderBy("_run").collect():  # one row per range
+        shift.append((r["_run"], total))
+        total += r["_s"]
+    inside = W.partitionBy("_run").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    below = F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    ordered = runs.join(F.broadcast(df.sparkSession.createDataFrame(shift, "_run int, _start long")), "_run")
+    return ordered.select("_v", F.floor(below * F.lit(2**bits) / F.lit(max(total, 1))).cast("double").alias("_cell"))
 
 
 def curve_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -59,17 +66,31 @@ def curve_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def with_index(df: DataFrame, dims: Sequence[str], out: str = "curve", bits: int = BITS) -> DataFrame:
-    """``df`` with its curve index; the quantile cuts are one small aggregate per dimension."""
+    """``df`` with its curve index; the quantile cuts are one small aggregate, string cells one table per dimension."""
+    strings = {d for d, kind in df.dtypes if kind == "string" and d in dims}
+    numbers = [d for d in dims if d not in strings]
     steps = [i / 2**bits for i in range(1, 2**bits)]
-    cuts = df.agg(*[F.percentile_approx(dimension(df, d), steps, 10_000).alias(f"c{i}") for i, d in enumerate(dims)]).first()
-    edges = [np.unique(np.array(c if c is not None else [], float)) for c in cuts]
+    cuts = df.agg(F.count(F.lit(1)), *[F.percentile_approx(F.col(d).cast("double"), steps, 10_000) for d in numbers]).first()[1:]
+    edges = dict(zip(numbers, [np.unique(np.array(c if c is not None else [], float)) for c in cuts]))
+    rows = df
+    for i, d in enumerate(dims):
+        if d in strings:
+            cells = broadcast_if_small(stored(string_cells(df, d, bits), "cells")).withColumnRenamed("_cell", f"_d{i}")
+            rows = rows.join(cells, rows[d] == cells["_v"], "left").drop("_v")
+        else:
+            rows = rows.withColumn(f"_d{i}", F.col(d).cast("double"))
 
     @F.pandas_udf("long")
     def index(values: pd.DataFrame) -> pd.Series:
-        cells = [np.where(np.isnan(v), 0, np.searchsorted(e, v, "right") + (len(e) == 0)) for e, v in zip(edges, values.astype(float).to_numpy().T)]
+        cells = []
+        for d, v in zip(dims, values.astype(float).to_numpy().T):
+            e = edges.get(d)
+            cell = v if e is None else np.searchsorted(e, v, "right") + (len(e) == 0)
+            cells.append(np.where(np.isnan(v), 0, cell).astype(np.int64))
         return pd.Series(curve_index(np.minimum(np.stack(cells, 1), 2**bits - 1), bits))
 
-    return df.withColumn(out, index(F.struct(*[dimension(df, d).alias(f"d{i}") for i, d in enumerate(dims)])))
+    made = [f"_d{i}" for i in range(len(dims))]
+    return rows.withColumn(out, index(F.struct(*made))).drop(*made)
 
 
 def ranked(df: DataFrame, order: Sequence[str], rows: int | None = None) -> DataFrame:

@@ -18,6 +18,9 @@ from .common import fresh, let, stored, text_key
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
+LIMIT = 10  # distinct texts of a host that may hold a line
+SHARE = 0.1  # of a host's distinct texts, where that is fewer
+FEWEST = 3
 
 
 def words_of(text: Column) -> Column:
@@ -72,21 +75,22 @@ def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
     return rows.select("host", "_t1", "_t2", "_l.*").distinct()
 
 
-def frequent_lines(lines: DataFrame, share: float, least: int) -> DataFrame:
-    """host, line: held by more than ``share`` of the host's distinct texts and by more than ``least`` of them."""
+def frequent_lines(lines: DataFrame, limit: int, share: float = SHARE) -> DataFrame:
+    """host, line: held by more than ``limit`` distinct texts of the host, or on a small host by more than ``share`` of
+    them (and more than ``FEWEST``). The limit is never above ``limit``, whatever the size of a host."""
     totals = lines.select("host", "_t1", "_t2").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_all"))
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > least)
-    return counts.join(totals, "host").where(F.col("_docs") > F.col("_all") * share).select("host", "line")
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > FEWEST)
+    return counts.join(totals, "host").where(F.col("_docs") > F.least(F.lit(limit), F.greatest(F.lit(FEWEST), F.col("_all") * share))).select("host", "line")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", share: float = 0.1, least: int = 10, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
     """One row per input row: counts, ``base_failed``, words in frequent lines and the verdict ``kept``.
 
     A text is kept if it passes the base rules and, without its frequent lines, still has ``keep_words``
     words and ``keep_share`` of the words of its distinct lines.
     """
     lines = stored(line_table(docs, text, host), "lines")
-    common = frequent_lines(lines, share, least).withColumn("_hit", F.lit(True))
+    common = frequent_lines(lines, limit, share).withColumn("_hit", F.lit(True))
     lost = lines.join(common, ["host", "line"], "left").groupBy("host", "_t1", "_t2").agg(
         F.sum("words").alias("_line_words"), F.sum(F.when(F.col("_hit"), F.col("words")).otherwise(0)).alias("_lost")
     ).where("_lost > 0")
@@ -103,11 +107,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
     )
 
 
-def strip(docs: DataFrame, text: str = "text", host: str = "source", share: float = 0.1, least: int = 10) -> DataFrame:
+def strip(docs: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE) -> DataFrame:
     """``docs`` with the frequent lines cut out of ``text``; other columns stay."""
     lines = stored(line_table(docs, text, host), "lines")
     h, k1, k2, cut = (fresh(docs, c) for c in ("_host", "_k1", "_k2", "_cut"))
-    common = lines.join(frequent_lines(lines, share, least), ["host", "line"]).groupBy("host", "_t1", "_t2").agg(F.collect_set("line").alias("_lines"))
+    common = lines.join(frequent_lines(lines, limit, share), ["host", "line"]).groupBy("host", "_t1", "_t2").agg(F.collect_set("line").alias("_lines"))
     common = stored(common, "cut").toDF(h, k1, k2, cut)
     same = (F.coalesce(docs[host], F.lit("")) == common[h]) & (F.xxhash64(docs[text]) == common[k1]) & (F.hash(docs[text]) == common[k2])
     norm = lambda x: F.xxhash64(F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09\x0B-\x0D]+", " ")))

@@ -29,7 +29,7 @@ lines AS (
 total AS (SELECT host, count(DISTINCT t) AS n_all FROM lines GROUP BY host),
 freq AS (
   SELECT host, l FROM (SELECT host, l, count(*) AS c FROM lines GROUP BY host, l) JOIN total USING (host)
-  WHERE c > 10 AND c > n_all * 0.1),
+  WHERE c > least(10, greatest(3, n_all * 0.1))),
 lost AS (
   SELECT host, t, sum(len(string_split(lines.l, ' '))) AS line_words,
     sum(CASE WHEN freq.l IS NULL THEN 0 ELSE len(string_split(lines.l, ' ')) END) AS gone

@@ -2,12 +2,12 @@
 
 Given host/path rules decide first (the longest that fits); every other URL is judged by the mined rules.
 Each labelled page is one transaction of URL tokens plus an item for a bad label. Rules kept: token sets
-whose share of bad pages (confidence) and number of pages (support) are high enough and that beat the
-base rate. A rule is posted under its rarest token, so common tokens such as ``com`` have few postings.
+whose share of bad pages (confidence) and number of pages (support) are high enough and whose odds beat those of all
+labelled pages ``odds`` times; sets of any length count. A rule is posted under its rarest token, so common tokens such as ``com`` have few postings.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and no tokens (allow unless a
-rule fits); pages with repeated ids get one row each; null labels are unknown; without labelled pages no
-rule is mined.
+rule fits); pages with repeated ids get one row each; a label row without
+quality and toxic says nothing; without labelled pages, or with bad ones only, no rule is mined.
 """
 
 from __future__ import annotations
@@ -42,24 +42,25 @@ def given_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 def tokens(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens: host labels and their dashed parts, path words with digits folded, query names."""
     labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
-    parts = F.transform(F.split(host, r"[.-]"), lambda x: F.concat(F.lit("w:"), x))
+    parts = F.transform(F.flatten(F.transform(F.filter(F.split(host, r"\."), lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, "-"))), lambda x: F.concat(F.lit("w:"), x))
     words = F.transform(F.split(F.regexp_replace(ascii_lower(path), r"[0-9]+", "0"), r"[/._-]+"), lambda x: F.concat(F.lit("p:"), x))
     names = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("q:"), x))
     return F.array_distinct(F.filter(F.concat(labels, parts, words, names), lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, support: float = 0.005, least: int = 10, confidence: float = 0.6, lift: float = 1.5, most_tokens: int = 3) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.005, least: int = 10, confidence: float = 0.6, odds: float = 1.5) -> DataFrame:
     """rule (array of tokens), pages, confidence. ``labelled`` has tokens and bad (boolean)."""
     n, bad = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0))).first()
     schema = "rule array<string>, pages long, confidence double"
-    if n == 0 or bad == 0:
+    if bad in (0, n):
         return labelled.sparkSession.createDataFrame([], schema)
     baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     sets = stored(FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (least - 0.5) / n))).fit(baskets).freqItemsets, "itemsets")
-    plain = sets.where(~F.array_contains("items", BAD) & (F.size("items") <= most_tokens)).select(F.sort_array("items").alias("rule"), F.col("freq").alias("pages"))
+    plain = sets.where(~F.array_contains("items", BAD)).select(F.sort_array("items").alias("rule"), F.col("freq").alias("pages"))
     with_bad = sets.where(F.array_contains("items", BAD)).select(F.sort_array(F.array_remove("items", BAD)).alias("rule"), F.col("freq").alias("_bad"))
     sure = F.col("_bad") / F.col("pages")
-    kept = plain.join(with_bad, "rule").withColumn("confidence", sure).where((F.col("confidence") >= confidence) & (F.col("confidence") >= lift * bad / n))
+    least_sure = max(confidence, odds * bad / (n - bad + odds * bad))  # below 1 whatever the base rate
+    kept = plain.join(with_bad, "rule").withColumn("confidence", sure).where(F.col("confidence") >= least_sure)
     return kept.select("rule", "pages", "confidence")
 
 
@@ -76,7 +77,7 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", label_id
     urls = pages.select(F.col(id_col), "url", host.alias("host"), path.alias("path"))
     urls = urls.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))).withColumn("_given", given_rule(F.col("host"), F.col("path"), rules))
     urls = urls.withColumns({"_u1": F.xxhash64("url"), "_u2": F.hash("url")})
-    bad = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max(F.greatest(1 - F.col("quality"), F.coalesce("toxic", F.lit(0)))).alias("_bad"))
+    bad = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max(F.coalesce(F.greatest(1 - F.col("quality"), F.col("toxic")), 1 - F.col("quality"), F.col("toxic"))).alias("_bad"))
     labelled = urls.select(F.col(id_col).alias("_id"), "tokens").join(bad.where("_bad IS NOT NULL"), "_id").select("tokens", (F.col("_bad") > 0).alias("bad"))
     mined = stored(mine(stored(labelled, "labelled"), **mining), "rules")
     posted = broadcast_if_small(stored(inverted_index(mined, urls), "postings"))

@@ -31,6 +31,8 @@ SKIPPABLE = 0x184D2A5E  # fixed values of the seekable format
 SEEKABLE = 0x8F92EAB1
 FRAME_BYTES = 1 << 18
 ARCHIVE_BYTES = 1 << 28
+RUN_FRAMES = 64  # frames in a row that one task reads
+PASS_BYTES = 1 << 22
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "record_id string, archive string, frame int, offset long, length long"
 
@@ -151,31 +153,47 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
     return stored(tagged.select(F.col("key").cast("string"), "url", "payload", target.cast("string").alias("target")).mapInPandas(run, INDEX), "index")
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
+def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that ``index`` names: header fields, length and digest of the full payload, and the stored payload.
 
-    Filter ``index`` first to fetch single records; an archive's bounded part of it is read by one task.
+    Every stored payload is checked against its digest. Tasks take runs of frames, go through them in order and pass on
+    a few records at a time; without ``payloads`` the column is left out. Filter ``index`` first to fetch single records.
     """
-    schema = "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+    schema = "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
+    names = [c.split()[0] for c in schema.split(", ")] + ["payload"] * payloads
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        reader, out = Reader(folder, rows["archive"].iloc[0]), []
-        for r in rows.sort_values(["frame", "offset"]).itertuples():
-            f, size, body = parse(reader.record(r.frame, r.offset, r.length))
-            digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-            if body is not None and (len(body), hashlib.sha1(body).hexdigest()) != (size, digest):
-                raise ValueError(f"record {r.record_id} is damaged")
-            refers = f["WARC-Refers-To"][1:-1] if "WARC-Refers-To" in f else None
-            out.append((f["WARC-Record-ID"][1:-1], f.get("WARC-Target-URI"), f["WARC-Type"], refers, size, digest, body))
-        reader.close()
-        return pd.DataFrame(out, columns=["record_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
-
-    return index.groupBy("archive").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, archive = None, None
+        for batch in batches:
+            out, held = [], 0
+            for r in batch.itertuples():
+                if r.archive != archive:
+                    if reader is not None:
+                        reader.close()
+                    reader, archive = Reader(folder, r.archive), r.archive
+                f, size, body = parse(reader.record(r.frame, r.offset, r.length))
+                digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                if body is not None and (len(body), hashlib.sha1(body).hexdigest()) != (size, digest):
+                    raise ValueError(f"record {r.record_id} is damaged")
+                refers = f["WARC-Refers-To"][1:-1] if "WARC-Refers-To" in f else None
+                row = (f["WARC-Record-ID"][1:-1], f.get("WARC-Target-URI"), f["WARC-Type"], refers, size, digest)
+                out.append((*row, body) if payloads else row)
+                held += len(body or b"") * payloads
+                if held > PASS_BYTES:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if reader is not None:
+            reader.close()
+
+    runs = index.repartition("archive", F.floor(F.col("frame") / RUN_FRAMES)).sortWithinPartitions("archive", "frame", "offset")
+    return runs.mapInPandas(run, schema + ", payload binary" * payloads)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write ``pages``, read the archives back, and return what the records say, without payloads."""
     folder = shared_folder(pages.sparkSession, "warc")
-    records = read(write(pages, folder, **options), folder)
+    records = read(write(pages, folder, **options), folder, payloads=False)
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS bigint)")
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
