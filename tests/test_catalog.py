@@ -68,7 +68,7 @@ def test_whole_experiment(spark):
     table = masks.where("brain").select("patient", "x", "y", "z", "flat_idx", "p_nec", "p_enh", "p_mix")
     maps, scores = X.fold_probabilities(
         table, ["p_nec", "p_enh", "p_mix"], X.training_pools(masks, keys), keys, grid, spacing,
-        folds=2, n_per_class=40, trees=5, depth=4, block_mm=8.0, buffer_mm=2.0, max_iter=10,
+        folds=2, n_per_class=40, trees=5, depth=4, block_mm=8.0, buffer_mm=2.0,
     )
     report = X.comparison_report(maps, scores, keys)
     assert report["metrics"].count() == 6

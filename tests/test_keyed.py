@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from voxelspark.operators import keyed as K
+from voxelspark.operators import forests as FR, keyed as K, learning as L
 
 KEYS = ["patient"]
 
@@ -136,3 +137,146 @@ def test_waves_and_empty_tables(spark, monkeypatch):
     out = K.cluster_keys(table(spark, {f"p{i}": blobs(i, 70) for i in range(5)}), KEYS, "z", ["id"], 3, "kmeans")
     assert out.count() == 350 and out.where("cluster is null").count() == 0
     assert K.cluster_keys(table(spark, {}), KEYS, "z", ["id"], 3, "kmeans").count() == 0
+
+
+# ---- forests and perceptrons ---------------------------------------------------------------
+
+
+def noisy(seed, n=240, d=4, bad=0.5):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    y = ((x[:, 0] * x[:, 1] > 0) & (rng.random(n) < 2 * bad)).astype(int)
+    return x, y
+
+
+@pytest.mark.parametrize("block_rows", [20_000, 100])
+def test_forests_of_all_keys_learn_what_one_column_alone_does_not_tell(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(K, "BLOCK_ROWS", block_rows)
+    groups = {"a": noisy(1), "b": noisy(2), "c": (noisy(3)[0], 1 - noisy(3)[1])}
+    held = {p: noisy(10 + i) for i, p in enumerate(groups)}
+    held["c"] = (held["c"][0], 1 - held["c"][1])
+    df, test = table(spark, groups), table(spark, held)
+    packed = K.blocks(df, KEYS, "z", ["id"], "y")
+    models = FR.grow(packed, KEYS, trees=40, seed=3)
+    assert models.count() == 3
+    out = FR.scored(test, models, KEYS, "z", ["id"]).collect()
+    assert len(out) == 3 * 240 and out[0].asDict().keys() == {"patient", "id", "z", "y", "p"}
+    for p in groups:
+        got = np.array([(r["p"] > 0.5) == r["y"] for r in out if r["patient"] == p])
+        assert got.mean() > 0.8
+    share = {r["patient"]: np.array(r["importance"]) for r in FR.importances(models, KEYS).collect()}
+    assert all(v.sum() == pytest.approx(1.0) and v[:2].sum() > v[2:].sum() for v in share.values())
+    leaves = FR.scored(test, models, KEYS, "z", ["id"], "leaves", leaves=True)
+    assert {len(r["leaves"]) for r in leaves.collect()} == {40}
+
+
+def test_full_trees_separate_their_bootstrap_rows():
+    """One tree on distinct rows: every row that its sample holds ends in a pure leaf of its class."""
+    x, y = noisy(5, 150)
+    m = FR.Forest(trees=6, seed=1)
+    state = m.begin(x)
+    while not m.finished(state):
+        state = m.step(state, m.stats(state, x, y.astype(float), np.ones(150)))
+    node = FR.place(state["t"], x, np.arange(6))
+    for t in range(6):
+        held = m.drawn(t, x) > 0
+        wrong = (state["t"]["value"][node[t]] > 0.5) != (y == 1)
+        # bins may join a few neighbours; they separate nearly all rows
+        assert wrong[held].mean() < 0.03
+
+
+def test_best_split_equals_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        x, y = rng.integers(0, 6, (40, 1)).astype(float), rng.integers(0, 2, 40)
+        m = FR.Forest(trees=1, seed=int(rng.integers(1000)), depth=1)
+        state = m.begin(x)
+        while not m.finished(state):
+            state = m.step(state, m.stats(state, x, y.astype(float), np.ones(40)))
+        n = m.drawn(0, x)
+        total = np.array([n[y == c].sum() for c in (0, 1)])
+        if (total == 0).any() or len(np.unique(x[n > 0])) < 2:
+            continue
+        w = n * (total.sum() / (2 * total))[y]
+
+        def gini(keep):
+            h = np.array([w[keep & (y == c)].sum() for c in (0, 1)])
+            return (h * h).sum() / max(h.sum(), 1e-300)
+
+        cuts = [v for v in np.unique(x)[:-1] if n[x[:, 0] <= v].sum() and n[x[:, 0] > v].sum()]
+        best = max(gini(x[:, 0] <= v) + gini(x[:, 0] > v) for v in cuts)
+        got = state["t"]["threshold"][0]
+        assert state["t"]["feature"][0] == 0 and gini(x[:, 0] <= got) + gini(x[:, 0] > got) == pytest.approx(best)
+
+
+def test_classes_are_balanced_in_every_bootstrap_sample():
+    """With one row in ten positive, trees weigh both classes alike; the root's share is a half in each of them."""
+    x, y = np.random.default_rng(7).normal(size=(300, 3)), np.zeros(300, int)
+    y[:30] = 1
+    m = FR.Forest(trees=20, seed=2, depth=0)
+    state = m.begin(x)
+    while not m.finished(state):
+        state = m.step(state, m.stats(state, x, y.astype(float), np.ones(300)))
+    assert np.allclose(state["t"]["value"], 0.5)
+    assert len(np.unique(state["weights"][:, 1])) > 5  # weights follow the sample, not the table
+
+
+def test_leave_one_out_forests(spark):
+    rows = [(g, i, [float(v) for v in x], int(y)) for g in range(3) for i, (x, y) in enumerate(zip(*noisy(20 + g, 120)))]
+    df = spark.createDataFrame(rows, "g int, id int, z array<double>, quality int")
+    df = df.withColumn("features", array_to_vector("z"))
+    out = L.leave_one_out_forest(df, "g", "quality", trees=30).collect()
+    assert len(out) == 360 and np.mean([(r["p"] > 0.5) == r["quality"] for r in out]) > 0.75
+    one = df.withColumn("quality", F.when(F.col("g") == 0, F.col("quality")).otherwise(1))
+    assert {r["g"] for r in L.leave_one_out_forest(one, "g", "quality", trees=5).collect()} == {1, 2}
+
+
+def plain_perceptron(x, y, m):
+    """The same training in plain NumPy, on the whole table."""
+    state = m.begin(x)
+    p = [v.copy() for v in state["p"]]
+    first, second, t, best, idle = [np.zeros_like(v) for v in p], [np.zeros_like(v) for v in p], 0, (-1, None, 0), 0
+    aside = np.zeros(len(y), bool)
+    for c in (0, 1):
+        aside[np.flatnonzero(y == c)[9::10]] = True
+    for epoch in range(m.epochs):
+        order = np.random.default_rng([m.seed, epoch]).permutation(np.flatnonzero(~aside))
+        for rows in np.array_split(order, state["steps"]):
+            h1 = np.maximum(x[rows] @ p[0] + p[1], 0)
+            h2 = np.maximum(h1 @ p[2] + p[3], 0)
+            d = 1 / (1 + np.exp(-(h2 @ p[4] + p[5]))) - y[rows, None]
+            d2 = (d @ p[4].T) * (h2 > 0)
+            d1 = (d2 @ p[2].T) * (h1 > 0)
+            g = [x[rows].T @ d1, d1.sum(0), h1.T @ d2, d2.sum(0), h2.T @ d, d.sum(0)]
+            t += 1
+            for i in range(6):
+                gi = (g[i] + (m.alpha * p[i] if i % 2 == 0 else 0)) / len(rows)
+                first[i] = 0.9 * first[i] + 0.1 * gi
+                second[i] = 0.999 * second[i] + 0.001 * gi * gi
+                p[i] = p[i] - m.rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * first[i] / (np.sqrt(second[i]) + 1e-8)
+        z = np.maximum(np.maximum(x[aside] @ p[0] + p[1], 0) @ p[2] + p[3], 0) @ p[4] + p[5]
+        score = float(((z[:, 0] > 0) == (y[aside] == 1)).mean())
+        idle = 0 if score > best[0] + m.tol else idle + 1
+        if score > best[0]:
+            best = (score, [v.copy() for v in p], epoch + 1)
+        if idle > m.patience:
+            break
+    return best, epoch + 1
+
+
+def test_perceptron_equals_plain_training(spark, monkeypatch):
+    x, y = noisy(30, 400, 3)
+    df = table(spark, {"a": (x, y)})
+    packed = K.blocks(df, KEYS, "z", ["id"], "y")
+    m = K.Perceptron(seed=5, batch=40, epochs=40, rate=0.01)
+    row = K.fit(packed, KEYS, m).first()
+    held = packed.first()
+    (score, p, at), epochs = plain_perceptron(np.frombuffer(held["x"]).reshape(400, 3), np.frombuffer(held["y"]), m)
+    assert (row["score"], row["best_epoch"], row["epochs"]) == (pytest.approx(score), at, epochs)
+    assert np.allclose(np.array(row["weights"][0]).reshape(32, 3).T, p[0]) and np.allclose(row["biases"][2], p[5])
+    out = K.perceptron_scored(df, K.fit(packed, KEYS, m), KEYS, "z").collect()
+    z = np.maximum(np.maximum(x @ p[0] + p[1], 0) @ p[2] + p[3], 0) @ p[4] + p[5]
+    assert np.allclose([r["p"] for r in sorted(out, key=lambda r: r["id"])], 1 / (1 + np.exp(-z[:, 0])))
+    monkeypatch.setattr(K, "BLOCK_ROWS", 150)
+    several = K.fit(K.blocks(df, KEYS, "z", ["id"], "y"), KEYS, K.Perceptron(seed=5, batch=40, epochs=4, rate=0.01)).first()
+    assert several["epochs"] == 4 and several["score"] > 0.4

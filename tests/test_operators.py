@@ -338,6 +338,27 @@ def test_silhouette_of_all_rows(spark):
         assert r["silhouette"] == pytest.approx((b - a) / max(a, b), abs=1e-6)
 
 
+def test_euclidean_silhouette_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    k = rng.integers(0, 4, 150)
+    x = rng.normal(size=(150, 2)) + 6.0 * np.c_[k, k % 2]  # far clusters are skipped
+    k[:1] = 7
+    df = spark.createDataFrame([(i, None if k[i] == 3 else str(k[i]), *map(float, x[i])) for i in range(150)], "id int, k string, a double, b double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = L.euclidean_silhouette(df, ["a", "b"], "k", "id", block_rows=20).collect()
+    assert len(got) == 150
+    for r in got:
+        i = r["id"]
+        if k[i] == 7:
+            assert r["silhouette"] == 0.0
+            continue
+        a = d[i, k == k[i]].sum() / ((k == k[i]).sum() - 1)
+        b = min(d[i, k == c].mean() for c in set(k.tolist()) - {k[i]})
+        assert r["silhouette"] == pytest.approx((b - a) / max(a, b))
+    one = df.where("k = '0'")
+    assert {r["silhouette"] for r in L.euclidean_silhouette(one, ["a", "b"], "k", "id").collect()} == {0.0}
+
+
 def test_clusters_of_a_patient_do_not_depend_on_others(spark):
     rng = np.random.default_rng(8)
     table = lambda p, shift: [(p, i, float(v), float(w)) for i, (v, w) in enumerate(rng.normal(size=(30, 2)) + shift)]
@@ -367,10 +388,11 @@ def test_class_proximity_equals_pairs(spark):
     leaf, k = rng.integers(0, 3, (40, 5)), rng.integers(0, 2, 40)
     df = spark.createDataFrame([(i, int(k[i]), [int(v) for v in leaf[i]]) for i in range(40)], "id int, k int, leaves array<int>")
     prox = (leaf[:, None, :] == leaf[None, :, :]).mean(axis=2)
-    got = {(r["id"], r["k"]): r["proximity"] for r in L.class_proximity(df, "id", "k").collect()}
-    for i in range(40):
-        for c in (0, 1):
-            assert got.get((i, c), 0.0) == pytest.approx(prox[i, k == c].mean())
+    for limit in (1_000, 0):  # by look-up, and by a salted join
+        got = {(r["id"], r["k"]): r["proximity"] for r in L.class_proximity(df, "id", "k", limit=limit).collect()}
+        for i in range(40):
+            for c in (0, 1):
+                assert got.get((i, c), 0.0) == pytest.approx(prox[i, k == c].mean())
     with pytest.raises(ValueError, match="anchors"):
         big = spark.range(L.MAX_ANCHORS + 5).select("id", F.array(F.lit(1)).alias("leaves"))
         L.anchor_proximity(big, big, "id")
@@ -380,7 +402,7 @@ def test_separable_classes_are_learned(spark):
     rng = np.random.default_rng(13)
     rows = [(i, i % 2, float(rng.normal() + 4 * (i % 2)), float(rng.normal())) for i in range(120)]
     df = L.assemble(spark.createDataFrame(rows, "flat_idx long, target int, a double, b double"), ["a", "b"])
-    scored = L.compare_classifiers(df, df, trees=5, depth=4, max_iter=30)
+    scored = L.compare_classifiers(df, df, trees=5, depth=4)
     long = E.unpivot(scored, ["target"], {"rf": "p_rf", "svm": "p_svm", "lr": "p_lr"})
     for r in E.ranked_metrics(E.score_table(long, ["clf"], "target"), ["clf"]).collect():
         assert r["val_auc"] > 0.95

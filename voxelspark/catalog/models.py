@@ -73,7 +73,7 @@ def importance(spark, sf):
     """One importance per frame; they are not negative and sum to one."""
     df = samples(spark, sf)
     fitted = L.train_forest(df.where("NOT val"))
-    values = [float(v) for v in fitted.models[0].featureImportances.toArray()]
+    values = [float(v) for v in L.feature_importances(fitted)]
     rows = spark.createDataFrame([(v,) for v in values], "importance double")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
 
@@ -103,7 +103,7 @@ def perceptron(spark, sf):
         "patient", "flat_idx", F.expr("CAST(label < 5 AS INT)").alias("target"), F.expr("flat_idx % 4 = 0").alias("val"), *[F.col("ts")[i].alias(n) for i, n in enumerate(names)]
     )
     df = cut_lineage(L.assemble(C.standardise(df, [], names, fit=~F.col("val")), names))
-    return _judged(L.train("mlp", df.where("NOT val"), n_features=64).predict(df), 0.9)
+    return _judged(L.train("mlp", df.where("NOT val")).predict(df), 0.9)
 
 
 @query("l9_three_classifiers", "clf valid:b", "SELECT unnest(['rf', 'svm', 'lr']) AS clf, true AS valid FROM (SELECT COUNT(*) FROM embeddings)")
@@ -125,9 +125,8 @@ def classifier_registry(spark, sf):
     """Every accepted name, in any case and with blanks, leads to its classifier, which fits the same sample."""
     df = samples(spark, sf)
     n = {}
-    for name in ("rf", "logreg", "svm"):
-        n[name] = L.train(name, df.where("NOT val"), **({"trees": 5} if name == "rf" else {"max_iter": 5})).predict(df).where("p BETWEEN 0 AND 1").count()
-    n["mlp"] = L.train("mlp", df.where("NOT val"), n_features=64, max_iter=5).predict(df).where("p BETWEEN 0 AND 1").count()
+    for name in ("rf", "logreg", "svm", "mlp"):
+        n[name] = L.train(name, df.where("NOT val")).predict(df).where("p BETWEEN 0 AND 1").count()
     rows = [(f"{name.upper()} ", L.classifier_name(f"{name.upper()} ")) for accepted in L.CLASSIFIER_NAMES.values() for name in accepted]
     return spark.createDataFrame([(name, kind, n[kind]) for name, kind in rows], "name string, clf string, n long")
 
@@ -297,6 +296,21 @@ def silhouette(spark, sf):
     return L.silhouette(_points(spark, sf), DIMS, "label", "id")
 
 
+@query(
+    "l15_euclidean_silhouette",
+    "id:i label:i silhouette:d6",
+    fx.with_views(
+        "SELECT id, label, CASE WHEN MAX(CASE WHEN l2=label THEN n END)<=1 THEN 0 ELSE (MIN(CASE WHEN l2<>label THEN s/n END)-MAX(CASE WHEN l2=label THEN s/(n-1) END))"
+        "/GREATEST(MIN(CASE WHEN l2<>label THEN s/n END), MAX(CASE WHEN l2=label THEN s/(n-1) END)) END AS silhouette FROM "
+        "(SELECT p.id, p.label, q.label AS l2, SUM(sqrt(pow(p.a-q.a,2)+pow(p.b-q.b,2)+pow(p.c-q.c,2))) AS s, COUNT(*) AS n FROM pt p, pt q GROUP BY 1,2,3) GROUP BY 1,2",
+        "series",
+        extra=_PTS,
+    ),
+)
+def euclidean_silhouette(spark, sf):
+    return L.euclidean_silhouette(cut_lineage(_points(spark, sf)), DIMS, "label", "id")
+
+
 _ALL = "SELECT COUNT(*) AS n, 0 AS misplaced, {k} AS clusters FROM embeddings"
 
 
@@ -355,20 +369,32 @@ def _clinical(spark, sf):
     return cut_lineage(M.region_flags(df.drop("label", "wm"), "seg"))
 
 
-_PER_PATIENT = "SELECT patient, COUNT(*) AS n, {k} AS clusters FROM series GROUP BY 1"
+_PER_PATIENT = "SELECT patient, COUNT(*) AS n, {k} AS clusters, 0 AS misplaced FROM series GROUP BY 1"
 
 
 def _clusters_of(df):
-    return df.groupBy("patient").agg(F.count("cluster").alias("n"), F.count_distinct("cluster").alias("clusters"))
-
-
-@query("l16_bold_clustering", "patient:i n:i clusters:i", fx.with_views(_PER_PATIENT.format(k=4), "series"))
+    """Per patient: rows, clusters, and rows that are not at the nearest of the patient's own cluster means."""
+    df = cut_lineage(df)
+    parts = F.array(*[F.coalesce(c, F.lit(0.0)) for c in df.columns if c.startswith("pc")])
+    rows = df.select("patient", "cluster", parts.alias("z"))
+    size = len([c for c in df.columns if c.startswith("pc")])
+    means = rows.groupBy("patient", "cluster").agg(F.array(*[F.avg(F.col("z")[i]) for i in range(size)]).alias("m"))
+    means = means.groupBy("patient").agg(F.collect_list(F.struct("cluster", "m")).alias("_m"))
+    gap = lambda m: F.aggregate(F.zip_with("z", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    far = F.transform("_m", lambda e: F.struct(e["cluster"].alias("cluster"), gap(e["m"]).alias("d")))
+    rows = rows.join(means, "patient").select("patient", "cluster", far.alias("far"))
+    own = F.filter("far", lambda e: e["cluster"] == F.col("cluster"))[0]["d"]
+    off = own > F.array_min(F.transform("far", lambda e: e["d"])) + 1e-9
+    return rows.groupBy("patient").agg(F.count("cluster").alias("n"), F.count_distinct("cluster").alias("clusters"), F.count_if(off).alias("misplaced"))
+
+
+@query("l16_bold_clustering", "patient:i n:i clusters:i misplaced:i", fx.with_views(_PER_PATIENT.format(k=4), "series"))
 def bold_clustering(spark, sf):
     """Every voxel of every patient has one of the patient's own clusters."""
     return _clusters_of(PC.cluster(" BOLD", fx.series(spark, sf).drop("label", "wm"), KEYS, SGRID, algo="kmeans"))
 
 
-@query("l17_multimodal_clustering", "patient:i n:i clusters:i", fx.with_views(_PER_PATIENT.format(k=3), "series"))
+@query("l17_multimodal_clustering", "patient:i n:i clusters:i misplaced:i", fx.with_views(_PER_PATIENT.format(k=3), "series"))
 def multimodal_clustering(spark, sf):
     return _clusters_of(PC.cluster("multi", _clinical(spark, sf), KEYS, SGRID, ["t1", "t2"], k=3, algo="kmeans"))
 
@@ -399,7 +425,7 @@ def full_experiment(spark, sf):
     masks = cut_lineage(masks_table(spark, sf))
     voxels = masks.where("brain").select("patient", *"xyz", "flat_idx", "p_nec", "p_enh", "p_mix", F.col("n").cast("double").alias("n"))
     run = PX.detector("Probability ")
-    ensemble, ranked = run(voxels, ["p_nec", "p_enh", "p_mix", "n"], pools(spark, sf), masks, KEYS, GRID, SPACING, folds=1, n_per_class=60, trees=50, max_iter=10, block_mm=8.0, buffer_mm=2.0, min_voxels=MIN_VOXELS, min_dist_mm=MIN_DIST)
+    ensemble, ranked = run(voxels, ["p_nec", "p_enh", "p_mix", "n"], pools(spark, sf), masks, KEYS, GRID, SPACING, block_mm=8.0, buffer_mm=2.0, min_voxels=MIN_VOXELS, min_dist_mm=MIN_DIST)
     order = W.partitionBy("patient", "pct").orderBy("rank")
     falls = F.coalesce(F.col("score") > F.lag("score").over(order), F.lit(False)) | (F.col("rank") != F.row_number().over(order))
     breaks = ranked.withColumn("_x", falls).groupBy("patient").agg(F.count_if("_x").alias("rank_breaks"))

@@ -451,15 +451,7 @@ def classifier_summary(spark, sf):
 )
 def run_aggregate(spark, sf):
     """Mean and population sd of the fold metrics, undefined folds left out."""
-    m = _metric_rows(spark, sf)
-    ok = lambda c: F.when(~F.isnan(c), F.col(c))
-    return m.groupBy("clf").agg(
-        F.count(F.lit(1)).alias("n_folds"),
-        F.avg(ok("val_auc")).alias("auc_mean"),
-        F.stddev_pop(ok("val_auc")).alias("auc_std"),
-        F.avg(ok("val_brier")).alias("brier_mean"),
-        F.stddev_pop(ok("val_brier")).alias("brier_std"),
-    )
+    return E.run_summary(_metric_rows(spark, sf), ["clf"], {"val_auc": "auc", "val_brier": "brier"})
 
 
 _EDGES = {

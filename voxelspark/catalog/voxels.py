@@ -392,7 +392,7 @@ def mask_names(spark, sf):
 @_vq("p30_extended_brain", f"{V} brain:b", "SELECT patient, flat_idx, brain OR COALESCE(s,0)>0 AS brain FROM (SELECT *, CASE WHEN n%7=0 THEN 2 WHEN n%5=0 THEN NULL ELSE seg_a END AS s FROM vm)")
 def extended_brain(spark, sf):
     df = _vm(spark, sf).withColumn("s", F.expr("CASE WHEN n%7=0 THEN 2 WHEN n%5=0 THEN NULL ELSE seg_a END"))
-    return df.withColumn("brain", F.col("brain") | (F.coalesce("s", F.lit(0)) > 0))
+    return M.extended_brain(df, "s")
 
 
 @_vq("p33_flat_index", f"{V} x:i y:i z:i back:i marked:b", "SELECT patient, flat_idx, x, y, z, flat_idx AS back, flat_idx%7=0 AS marked FROM vm")
@@ -412,8 +412,7 @@ def flat_index(spark, sf):
 def roi_label_map(spark, sf):
     vm = _vm(spark, sf)
     clusters = vm.where(TUMOUR).select("patient", "flat_idx", (F.col("flat_idx") % 4).alias("cluster"))
-    df = vm.join(clusters, ["patient", "flat_idx"], "left")
-    return df.withColumn("label", F.coalesce(F.col("cluster") + 1, F.lit(0)))
+    return M.label_map(vm, clusters, KEYS)
 
 
 @_vq(
@@ -543,8 +542,7 @@ def mask_restriction(spark, sf):
 def membership(spark, sf):
     """Voxels whose label is in a derived set of labels."""
     vm = _vm(spark, sf)
-    labels = vm.where("parc % 2 = 0").select("parc").distinct()
-    return vm.join(labels, "parc", "left_semi")
+    return G.members(vm, vm.where("parc % 2 = 0"), "parc")
 
 
 _SHIFT = [0.9, 0.1, 0.0, 0.7, 0.0, 1.1, 0.0, -0.6, 0.0, 0.0, 1.0, 1.2]
@@ -654,7 +652,7 @@ def mask_union(spark, sf):
 )
 def cell_intersection(spark, sf):
     vm = _vm(spark, sf).withColumn("cell", G.cell_key([4, 4, 4]))
-    return vm.where(TUMOUR).select("patient", "cell").intersect(vm.where("p > 0.7").select("patient", "cell"))
+    return G.shared_cells(vm.where(TUMOUR), vm.where("p > 0.7"), KEYS)
 
 
 @_vq("u3_mask_difference", V, "SELECT patient, flat_idx FROM vm WHERE seg_b>0 EXCEPT SELECT patient, flat_idx FROM vm WHERE seg_a>0")
@@ -683,7 +681,7 @@ def fold_concat(spark, sf):
 )
 def mask_counts(spark, sf):
     names = {"brain": "n_brain", "core": "n_core", "edema": "n_edema", "test_region": "n_region", "healthy_train": "n_healthy"}
-    return masks_table(spark, sf).groupBy("patient").agg(*[F.count_if(F.col(c)).alias(n) for c, n in names.items()])
+    return M.flag_counts(masks_table(spark, sf), KEYS, names)
 
 
 @_vq(
@@ -708,7 +706,7 @@ def edema_statistics(spark, sf):
 )
 def region_means(spark, sf):
     names = {"core": "p_core", "edema": "p_edema", "test_region": "p_region", "healthy_train": "p_healthy"}
-    return masks_table(spark, sf).groupBy("patient").agg(*[F.avg(F.when(F.col(c), F.col("p"))).alias(n) for c, n in names.items()])
+    return M.flag_means(masks_table(spark, sf), KEYS, "p", names)
 
 
 @_vq(

@@ -6,7 +6,7 @@ Everything that needs an order works on the table of distinct values with class
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -435,3 +435,10 @@ def class_weights(df: DataFrame, keys: Sequence[str], y: str = "y", out: str = "
     df = with_stats(df, keys, [F.count_if(F.col(y) == 1).alias("_n1"), F.count(F.lit(1)).alias("_n")])
     own = F.when(F.col(y) == 1, F.col("_n1")).otherwise(F.col("_n") - F.col("_n1"))
     return df.withColumn(out, F.col("_n") / (2.0 * own)).drop("_n1", "_n")
+
+
+def run_summary(metrics: DataFrame, keys: Sequence[str], values: Mapping[str, str]) -> DataFrame:
+    """Folds, mean and population deviation of each metric per key, undefined folds left out; ``values`` names the outputs."""
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    aggregates = [f(known(c)).alias(f"{n}_{suffix}") for c, n in values.items() for f, suffix in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    return metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_folds"), *aggregates)

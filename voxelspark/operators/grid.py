@@ -252,3 +252,13 @@ def expand_lists(specs: DataFrame, fields: Sequence[str]) -> DataFrame:
     for f in fields:
         specs = specs.withColumn(f, F.explode(f))
     return specs
+
+
+def members(df: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Rows whose ``label`` is in the column of that name of ``labels``."""
+    return df.join(labels.select(label).distinct(), label, "left_semi")
+
+
+def shared_cells(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: str = "cell") -> DataFrame:
+    """Cells that both tables hold, once each."""
+    return a.select(*keys, cell).intersect(b.select(*keys, cell))

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -65,6 +66,21 @@ def blocks(df: DataFrame, keys: Sequence[str], vec: str, ident: Sequence[str], l
     return cut_lineage(dealt.groupBy(*by).applyInArrow(pack, schema))
 
 
+def row_blocks(df: DataFrame, keys: Sequence[str], vec: str, ident: Sequence[str], block_rows: int | None = None) -> DataFrame:
+    """_key, keys, _block, n, the matrix x as bytes and the whole rows of each block, for scoring by a model of the key."""
+    keys, size = list(keys), block_rows or BLOCK_ROWS
+    counts = df.groupBy(_key(keys).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.select(_key(keys).alias("_key"), *keys, F.struct(*df.columns).alias("_row"), F.col(vec).cast("array<double>").alias("_x"), F.xxhash64(F.xxhash64(*ident)).alias("_h"))
+    rows = rows.join(counts, F.col("_key") == F.col("_k")).withColumn("_block", F.pmod("_h", F.ceil(F.col("_n") / size)).cast("int"))
+    packed = rows.groupBy("_key", *keys, "_block").agg(F.collect_list(F.struct("_row", "_x")).alias("_all"))
+
+    @F.pandas_udf("binary")
+    def joined(x: pd.Series) -> pd.Series:
+        return pd.Series([np.concatenate([np.asarray(v, np.float64) for v in rows]).tobytes() for rows in x])
+
+    return packed.select("_key", *keys, "_block", F.size("_all").cast("long").alias("n"), joined(F.col("_all._x")).alias("x"), F.col("_all._row").alias("_rows"))
+
+
 def by_key(df: DataFrame, row: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join one row per key; a null key is a key like any other."""
     if not keys:
@@ -95,10 +111,11 @@ def fit(packed: DataFrame, keys: Sequence[str], method: "Method") -> DataFrame:
     def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             x, y, w = _unpacked(row)
-            state = method.begin(x)
-            while not method.finished(state):
-                state = method.step(state, method.stats(state, x, y, w))
-            model = method.model(state)
+            own = method.named(row["_key"])
+            state = own.begin(x)
+            while not own.finished(state):
+                state = own.step(state, own.stats(state, x, y, w))
+            model = own.model(state)
             yield pa.RecordBatch.from_pylist([{k: row[k] for k in keys} | model], schema=arrow).select(names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -124,7 +141,7 @@ def _rounds(large: DataFrame, keys: list[str], method: "Method", schema: str) ->
 
     def begin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            state = pickle.dumps(method.begin(_unpacked(row)[0]))
+            state = pickle.dumps(method.named(row["_key"]).begin(_unpacked(row)[0]))
             yield pa.RecordBatch.from_pydict({"_key": [row["_key"]], "state": pa.array([state], pa.binary())})
 
     started = large.where("_block = 0").mapInArrow(begin, "_key string, state binary").collect()
@@ -136,12 +153,12 @@ def _rounds(large: DataFrame, keys: list[str], method: "Method", schema: str) ->
         def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _each(batches):
                 if row["_key"] in sent.value:
-                    total = method.stats(sent.value[row["_key"]], *_unpacked(row))
+                    total = method.named(row["_key"]).stats(sent.value[row["_key"]], *_unpacked(row))
                     yield pa.RecordBatch.from_pydict({"_key": [row["_key"]], "stats": pa.array([total], pa.list_(pa.float64()))})
 
         sums = large.mapInArrow(add, "_key string, stats array<double>").groupBy("_key").agg(A.vector_sum(F.col("stats")).alias("s"))
         for r in sums.collect():
-            states[r["_key"]] = method.step(states[r["_key"]], np.array(r["s"]))
+            states[r["_key"]] = method.named(r["_key"]).step(states[r["_key"]], np.array(r["s"]))
         sent.unpersist()
     return cut_lineage(spark.createDataFrame([names[k] | method.model(s) for k, s in states.items()], schema))
 
@@ -151,6 +168,10 @@ class Method:
 
     schema: str
 
+    def named(self, key: str) -> "Method":
+        """The method for one key, where it depends on the key."""
+        return self
+
     def begin(self, x: np.ndarray) -> dict: ...
 
     def stats(self, state: dict, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray: ...
@@ -456,6 +477,118 @@ class SquaredHinge(Newton):
         return np.concatenate([[(w * short * short).sum()], grad, hess.ravel()])
 
 
+# ---- perceptron ----------------------------------------------------------------------------
+
+
+@dataclass
+class Perceptron(Method):
+    """Rectified hidden layers and one logistic unit, by Adam on mini-batches, with early stopping.
+
+    Each class of a block leaves every tenth row aside. An epoch takes the other rows in a seeded order, ``batch`` rows
+    of every block per step, then counts the hits on the rows aside; ``patience`` epochs without a gain of ``tol`` end
+    the training, and the weights of the best epoch stay. The penalty is alpha / 2 |w|^2 per row of a batch.
+    """
+
+    hidden: tuple[int, ...] = (32, 16)
+    seed: int = 42
+    batch: int = 256
+    epochs: int = 200
+    alpha: float = 1e-4
+    rate: float = 1e-3
+    patience: int = 10
+    tol: float = 1e-4
+
+    schema = "weights array<array<double>>, biases array<array<double>>, score double, epochs int, best_epoch int"
+    betas = (0.9, 0.999)
+
+    def begin(self, x: np.ndarray) -> dict:
+        rng, sizes = np.random.default_rng(self.seed), [x.shape[1], *self.hidden, 1]
+        p = []
+        for a, b, gain in zip(sizes, sizes[1:], [6.0] * len(self.hidden) + [2.0]):
+            bound = np.sqrt(gain / (a + b))
+            p += [rng.uniform(-bound, bound, (a, b)), rng.uniform(-bound, bound, b)]
+        zero = [np.zeros_like(v) for v in p]
+        steps = max(1, round(0.9 * len(x) / self.batch))
+        return {"p": p, "m": zero, "v": zero, "t": 0, "steps": steps, "now": 0, "epoch": 0, "best": -np.inf, "kept": p, "at": 0, "idle": 0, "done": False}
+
+    @staticmethod
+    def aside(y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(y), bool)
+        for c in (0, 1):
+            out[np.flatnonzero(y == c)[9::10]] = True
+        return out
+
+    @staticmethod
+    def forward(p: list[np.ndarray], x: np.ndarray) -> list[np.ndarray]:
+        layers = [x]
+        for i in range(0, len(p), 2):
+            z = layers[-1] @ p[i] + p[i + 1]
+            layers.append(np.maximum(z, 0.0) if i + 2 < len(p) else 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
+        return layers
+
+    def stats(self, state: dict, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        aside = self.aside(y)
+        if state["now"] == state["steps"]:
+            hit = (self.forward(state["p"], x[aside])[-1][:, 0] > 0.5) == (y[aside] == 1)
+            return np.array([float(hit.sum()), float(aside.sum())])
+        rows = np.flatnonzero(~aside)
+        rows = np.array_split(np.random.default_rng([self.seed, state["epoch"]]).permutation(rows), state["steps"])[state["now"]]
+        layers, grads = self.forward(state["p"], x[rows]), []
+        delta = layers[-1] - y[rows, None]
+        for i in range(len(state["p"]) - 2, -1, -2):
+            h = layers[i // 2]
+            grads = [h.T @ delta, delta.sum(0), *grads]
+            delta = (delta @ state["p"][i].T) * (h > 0)
+        return np.concatenate([[float(len(rows))], *[g.ravel() for g in grads]])
+
+    def step(self, state: dict, total: np.ndarray) -> dict:
+        if state["now"] == state["steps"]:
+            return self._judged(state, total)
+        n, at, t = max(total[0], 1.0), 1, state["t"] + 1
+        p, m, v = [], [], []
+        b1, b2 = self.betas
+        rate = self.rate * np.sqrt(1 - b2**t) / (1 - b1**t)
+        for i, old in enumerate(state["p"]):
+            g = (total[at : at + old.size].reshape(old.shape) + (self.alpha * old if i % 2 == 0 else 0.0)) / n
+            at += old.size
+            m.append(b1 * state["m"][i] + (1 - b1) * g)
+            v.append(b2 * state["v"][i] + (1 - b2) * g * g)
+            p.append(old - rate * m[-1] / (np.sqrt(v[-1]) + 1e-8))
+        return state | {"p": p, "m": m, "v": v, "t": t, "now": state["now"] + 1}
+
+    def _judged(self, state: dict, total: np.ndarray) -> dict:
+        score = total[0] / total[1] if total[1] else 0.0
+        epoch = state["epoch"] + 1
+        idle = 0 if score > state["best"] + self.tol else state["idle"] + 1
+        out = state | {"now": 0, "epoch": epoch, "idle": idle}
+        if score > state["best"]:
+            out |= {"best": score, "kept": state["p"], "at": epoch}
+        return out | {"done": epoch >= self.epochs or bool(total[1] and idle > self.patience)}
+
+    def model(self, state: dict) -> dict:
+        p = state["kept"]
+        return {"weights": [w.T.ravel().tolist() for w in p[::2]], "biases": [b.tolist() for b in p[1::2]], "score": float(state["best"]), "epochs": state["epoch"], "best_epoch": state["at"]}
+
+
+def rectified(x: Column) -> Column:
+    return F.transform(x, lambda v: F.greatest(v, F.lit(0.0)))
+
+
+def layer(h: Column, weights: Column, biases: Column) -> Column:
+    """Inputs of the units of a layer whose weights stand unit after unit."""
+    return A.let(h, lambda v: A.let(F.size(v), lambda d: F.transform(biases, lambda b, j: b + dot(F.slice(weights, j * d + 1, d), v))))
+
+
+def perceptron_scored(df: DataFrame, models: DataFrame, keys: Sequence[str], x: str, hidden: int = 2, out: str = "p") -> DataFrame:
+    """Column ``out``: probability of class 1 by each key's own perceptron of ``hidden`` hidden layers."""
+    own = by_key(df, models.select(*keys, F.struct("weights", "biases").alias("_m")), keys)
+    v = F.col(x)
+    for i in range(hidden):
+        v = rectified(layer(v, F.col("_m.weights")[i], F.col("_m.biases")[i]))
+    v = layer(v, F.col("_m.weights")[hidden], F.col("_m.biases")[hidden])[0]
+    return own.withColumn(out, 1.0 / (1.0 + F.exp(-v))).drop("_m")
+
+
 # ---- projections ---------------------------------------------------------------------------
 
 
@@ -566,11 +699,15 @@ def logistic_keys(train: DataFrame, df: DataFrame, keys: Sequence[str], x: str,
     return own.withColumn(out, probabilities(F.col(x), F.col("_m.coefficients"), F.col("_m.present"), binary)).drop("_m")
 
 
-def svm_keys(train: DataFrame, df: DataFrame, keys: Sequence[str], x: str, ident: Sequence[str], label: str = "target", folds: int = 3, c: float = 1.0, out: str = "p") -> DataFrame:
-    """Column ``out``: calibrated probability of class 1 by each key's own support vectors.
+def _margin(x: str, w: Column) -> Column:
+    return dot(F.concat(F.col(x), F.array(F.lit(1.0))), w)
+
+
+def svm_models(train: DataFrame, keys: Sequence[str], x: str, ident: Sequence[str], label: str = "target", folds: int = 3, c: float = 1.0) -> DataFrame:
+    """keys and _parts: a machine and its calibration for each fold.
 
     Rows are dealt into calibration folds within key and class. For every fold a machine is fitted on the others and a
-    sigmoid, with smoothed targets, on the fold's own margins; probabilities of the folds are averaged.
+    sigmoid, with smoothed targets, on the fold's own margins.
     """
     keys = list(keys)
     counts = train.withColumn("_h", F.xxhash64(F.lit("calibration"), *ident))
@@ -582,19 +719,27 @@ def svm_keys(train: DataFrame, df: DataFrame, keys: Sequence[str], x: str, ident
     rest = balanced_weight(each, by, label)
     machines = fit(blocks(rest, by, x, ident, label, "weight"), by, SquaredHinge(c))
     machines = machines.select(*by, F.element_at("coefficients", 1).alias("_w"))
-    margin = lambda w: dot(F.concat(F.col(x), F.array(F.lit(1.0))), w)
-    held = by_key(dealt.withColumnRenamed("_f", "_held"), machines, by).withColumn("_m", F.array(margin(F.col("_w"))))
+    held = by_key(dealt.withColumnRenamed("_f", "_held"), machines, by).withColumn("_m", F.array(_margin(x, F.col("_w"))))
     held = balanced_counts(held, by, label)
     goal = F.when(F.col(label) == 1, (F.col("_n1") + 1.0) / (F.col("_n1") + 2.0)).otherwise(1.0 / (F.col("_n0") + 2.0))
     sides = F.array(F.struct(F.lit(1).alias("_side"), goal.alias("_goal")), F.struct(F.lit(0).alias("_side"), (1.0 - goal).alias("_goal")))
     smooth = held.select(*by, *ident, "_m", F.inline(sides))
     sigmoids = fit(blocks(smooth, by, "_m", [*ident, "_side"], "_side", "_goal"), by, Logistic(2, 1e12, binary=True))
-    parts = machines.transform(lambda m: by_key(m, sigmoids.select(*by, F.element_at("coefficients", 1).alias("_s")), by)).groupBy(*keys).agg(F.collect_list(F.struct("_w", "_s")).alias("_parts"))
-    own = by_key(df, parts, keys)
-    shares = F.transform("_parts", lambda p: 1.0 / (1.0 + F.exp(-(margin(p["_w"]) * p["_s"][0] + p["_s"][1]))))
+    return machines.transform(lambda m: by_key(m, sigmoids.select(*by, F.element_at("coefficients", 1).alias("_s")), by)).groupBy(*keys).agg(F.collect_list(F.struct("_w", "_s")).alias("_parts"))
+
+
+def svm_scored(df: DataFrame, models: DataFrame, keys: Sequence[str], x: str, out: str = "p") -> DataFrame:
+    """Column ``out``: the calibrated probability of class 1, averaged over the folds."""
+    own = by_key(df, models, keys)
+    shares = F.transform("_parts", lambda p: 1.0 / (1.0 + F.exp(-(_margin(x, p["_w"]) * p["_s"][0] + p["_s"][1]))))
     return own.withColumn(out, A.total(shares) / F.size("_parts")).drop("_parts")
 
 
+def svm_keys(train: DataFrame, df: DataFrame, keys: Sequence[str], x: str, ident: Sequence[str], label: str = "target", folds: int = 3, c: float = 1.0, out: str = "p") -> DataFrame:
+    """Column ``out``: calibrated probability of class 1 by each key's own support vectors."""
+    return svm_scored(df, svm_models(train, keys, x, ident, label, folds, c), keys, x, out)
+
+
 def balanced_counts(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """Rows of class 0 and 1 of each key, as _n0 and _n1."""
     return by_key(df, df.groupBy(*keys).agg(F.count_if(F.col(label) == 0).alias("_n0"), F.count_if(F.col(label) == 1).alias("_n1")), keys)

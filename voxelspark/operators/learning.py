@@ -14,19 +14,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (
-    LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
-from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import arrays as A
 from ..session import cut_lineage
+from . import forests as FR, keyed as K
 from .columns import standardise
 from .ranking import value_prefix
+from .sampling import without_group
 
 # Accepted classifier names.
 CLASSIFIER_NAMES = {
@@ -35,9 +34,10 @@ CLASSIFIER_NAMES = {
     "svm": ["svm", "svc", "svm_linear", "linear_svm"],
     "mlp": ["mlp"],
 }
-MAX_TREE_DEPTH = 30  # the deepest tree Spark grows
 MAX_ANCHORS = 2000
-STARTS = {"kmeans": 10, "gmm": 3}  # independent starts per fit, of which the best is kept
+LOOKUP_ROWS = 2_000_000  # of (tree, leaf, class), 16 bytes each in a task
+TREE_STEP = 1 << 40
+SALTS = 16
 
 
 def classifier_name(name: str) -> str:
@@ -79,13 +79,19 @@ class Fitted:
         return self.score(df).withColumnRenamed("_p", out)
 
 
-def train_forest(df: DataFrame, seed: int = 42, trees: int = 500, depth: int = MAX_TREE_DEPTH, min_leaf: int = 1) -> Fitted:
-    rf = RandomForestClassifier(
-        labelCol="target", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt",
-        minInstancesPerNode=min_leaf, seed=seed, leafCol="",
-    )
-    model = rf.fit(balanced_weights(df))
-    return Fitted("rf", [model], lambda d: positive_probability(model.transform(d), "_p"))
+def with_array(df: DataFrame) -> DataFrame:
+    return df.withColumn("_x", vector_to_array("features"))
+
+
+def train_forest(df: DataFrame, seed: int = 42, trees: int = 500, depth: int | None = None, min_leaf: int = 1) -> Fitted:
+    """Random forest with classes balanced in every bootstrap sample; ``models`` holds the table of its trees."""
+    models = cut_lineage(FR.grow(K.blocks(with_array(df), [], "_x", ["_x"], "target"), [], trees, seed, depth, min_leaf))
+    return Fitted("rf", [models], lambda d: FR.scored(with_array(d), models, [], "_x", ["_x"], "_p").drop("_x"))
+
+
+def feature_importances(fitted: Fitted) -> list[float]:
+    """Mean share of the impurity that each feature took away in a forest."""
+    return FR.importances(fitted.models[0]).first()["importance"]
 
 
 def train_logistic(df: DataFrame, c: float = 1.0, max_iter: int = 2000) -> Fitted:
@@ -98,19 +104,6 @@ def train_logistic(df: DataFrame, c: float = 1.0, max_iter: int = 2000) -> Fitte
     return Fitted("logreg", [model], lambda d: positive_probability(model.transform(d), "_p"))
 
 
-def _sigmoid_fit(margins: DataFrame) -> tuple[float, float]:
-    """Sigmoid through the margins with smoothed targets, as two weighted rows per sample."""
-    n = {r["target"]: r["n"] for r in margins.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
-    up, down = (n.get(1, 0) + 1.0) / (n.get(1, 0) + 2.0), 1.0 / (n.get(0, 0) + 2.0)
-    goal = F.when(F.col("target") == 1, up).otherwise(down)
-    sides = F.array(
-        F.struct(F.lit(1.0).alias("side"), goal.alias("w")), F.struct(F.lit(0.0).alias("side"), (1 - goal).alias("w"))
-    )
-    rows = assemble(margins.select("margin", F.inline(sides)), ["margin"], "m")
-    model = LogisticRegression(featuresCol="m", labelCol="side", weightCol="w", maxIter=200).fit(rows)
-    return float(model.coefficients[0]), float(model.intercept)
-
-
 def stratified_folds(df: DataFrame, folds: int, ident: str, target: str = "target", out: str = "_f") -> DataFrame:
     """Fold number by seeded order within each class, so every fold holds all classes that have as many rows."""
     df = cut_lineage(df.withColumn("_h", F.xxhash64(F.lit("calibration"), ident)))
@@ -119,34 +112,21 @@ def stratified_folds(df: DataFrame, folds: int, ident: str, target: str = "targe
     return df.join(ranks.select(target, "_h", fold), [target, "_h"]).drop("_h")
 
 
-def train_svm(df: DataFrame, ident: str = "flat_idx", c: float = 1.0, folds: int = 2, max_iter: int = 5000) -> Fitted:
-    """Linear SVM per stratified calibration fold, classes balanced inside the fold, with a sigmoid fitted on the
-    held-out margins; probabilities are averaged."""
-    df = cut_lineage(stratified_folds(df, folds, ident))
-    margin = vector_to_array("rawPrediction")[1]
-    parts = []
-    for k in range(folds):
-        rest = balanced_weights(df.where(F.col("_f") != k))
-        svc = LinearSVC(labelCol="target", weightCol="weight", regParam=1.0 / (c * max(1, rest.count())), standardization=False, maxIter=max_iter)
-        model = svc.fit(rest)
-        held = model.transform(df.where(F.col("_f") == k)).select("target", margin.alias("margin"))
-        parts.append((model, *_sigmoid_fit(held)))
-
-    def score(d: DataFrame) -> DataFrame:
-        total = F.lit(0.0)
-        for k, (model, a, b) in enumerate(parts):
-            d = model.transform(d).withColumn(f"_m{k}", margin).drop("rawPrediction", "prediction")
-            total = total + 1.0 / (1.0 + F.exp(-(F.col(f"_m{k}") * a + b)))
-        return d.withColumn("_p", total / len(parts)).drop(*[f"_m{k}" for k in range(len(parts))])
+def train_svm(df: DataFrame, c: float = 1.0, folds: int = 2) -> Fitted:
+    """Linear support vectors (squared hinge) per stratified calibration fold, classes balanced inside the fold, with a
+    sigmoid fitted on the held-out margins; probabilities are averaged."""
+    models = cut_lineage(K.svm_models(with_array(df), [], "_x", ["_x"], "target", folds, c))
+    return Fitted("svm", [models], lambda d: K.svm_scored(with_array(d), models, [], "_x", "_p").drop("_x"))
 
-    return Fitted("svm", [p[0] for p in parts], score)
 
+def train_perceptron(df: DataFrame, seed: int = 42, **options) -> Fitted:
+    """Two hidden layers of 32 and 16 rectified units, Adam, early stopping; scale the features before.
 
-def train_perceptron(df: DataFrame, n_features: int, seed: int = 42, max_iter: int = 200) -> Fitted:
-    """Two hidden layers of 32 and 16 units; scale the features before."""
-    mlp = MultilayerPerceptronClassifier(labelCol="target", layers=[n_features, 32, 16, 2], maxIter=max_iter, seed=seed)
-    model = mlp.fit(df)
-    return Fitted("mlp", [model], lambda d: positive_probability(model.transform(d), "_p"))
+    ``models`` holds the weights with the number of epochs and the best one.
+    """
+    method = K.Perceptron(seed=seed, **options)
+    models = cut_lineage(K.fit(K.blocks(with_array(df), [], "_x", ["_x"], "target"), [], method))
+    return Fitted("mlp", [models], lambda d: K.perceptron_scored(with_array(d), models, [], "_x", len(method.hidden), "_p").drop("_x"))
 
 
 def train(name: str, df: DataFrame, seed: int = 42, **options) -> Fitted:
@@ -162,33 +142,26 @@ def train(name: str, df: DataFrame, seed: int = 42, **options) -> Fitted:
 
 
 def compare_classifiers(
-    train_df: DataFrame, score_df: DataFrame, seed: int = 42, trees: int = 500, depth: int = MAX_TREE_DEPTH, svm_folds: int = 3,
-    ident: str = "flat_idx", max_iter: int | None = None,
-) -> DataFrame:
+    train_df: DataFrame, score_df: DataFrame, seed: int = 42, trees: int = 500, depth: int | None = None, svm_folds: int = 3
+) -> DataFrame:
     """Forest, SVM and logistic regression on the same sample; ``score_df`` with p_rf, p_svm, p_lr."""
     train_df = cut_lineage(train_df)
     out = train_forest(train_df, seed, trees, depth).predict(score_df, "p_rf")
-    limit = {} if max_iter is None else {"max_iter": max_iter}
-    out = train_svm(train_df, ident, folds=svm_folds, **limit).predict(out, "p_svm")
-    return train_logistic(train_df, **limit).predict(out, "p_lr")
+    out = train_svm(train_df, folds=svm_folds).predict(out, "p_svm")
+    return train_logistic(train_df).predict(out, "p_lr")
 
 
-def leave_one_out_forest(df: DataFrame, group: str, label: str, seed: int = 42, trees: int = 300, depth: int = MAX_TREE_DEPTH) -> DataFrame:
-    """Probability of each row from the forest trained on all other groups.
+def leave_one_out_forest(df: DataFrame, group: str, label: str, seed: int = 42, trees: int = 300, depth: int | None = None) -> DataFrame:
+    """Probability of each row from the forest trained on all other groups; the forests of all groups grow together.
 
-    One fit per group, as the method asks; the list of groups is the only thing collected.
     Groups whose training rows hold a single class give no rows.
     """
-    df = cut_lineage(df)
-    groups = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
-    result = None
-    for held in groups:
-        rows = df.where((F.col(group) != F.lit(held)) & (F.col(label) != -1)).withColumn("target", F.col(label))
-        if rows.select("target").distinct().count() < 2:
-            continue
-        scored = train_forest(rows, seed, trees, depth).predict(df.where(F.col(group) == F.lit(held)))
-        result = scored if result is None else result.unionByName(scored)
-    return df.where(F.lit(False)).withColumn("p", F.lit(None).cast("double")) if result is None else result
+    df = cut_lineage(with_array(df))
+    rows = without_group(df.where(F.col(label) != -1), group, df, "_held")
+    fit_for = rows.groupBy("_held").agg(F.count_distinct(label).alias("_c")).where("_c > 1").select("_held")
+    packed = K.blocks(rows.join(fit_for, "_held", "left_semi"), ["_held"], "_x", [group, "_x"], label)
+    models = cut_lineage(FR.grow(packed, ["_held"], trees, seed, depth))
+    return FR.scored(df.withColumn("_held", F.col(group)), models, ["_held"], "_x", ["_x"], "p").drop("_held", "_x")
 
 
 # ---- forest proximity ----------------------------------------------------------------------
@@ -196,26 +169,55 @@ def leave_one_out_forest(df: DataFrame, group: str, label: str, seed: int = 42,
 
 def leaf_table(fitted: Fitted, df: DataFrame, out: str = "leaves") -> DataFrame:
     """Leaf number of each tree per row."""
-    model = fitted.models[0].copy()
-    model.setLeafCol("_leaf")
-    scored = model.transform(df).withColumn(out, vector_to_array("_leaf"))
-    return scored.drop("_leaf", "probability", "rawPrediction", "prediction")
+    return FR.scored(with_array(df), fitted.models[0], [], "_x", ["_x"], out, leaves=True).drop("_x")
 
 
-def class_proximity(df: DataFrame, ident: str, klass: str, leaves: str = "leaves") -> DataFrame:
-    """Mean proximity of each row to all rows of each class (itself included).
+def class_proximity(df: DataFrame, ident: str, klass: str, leaves: str = "leaves", limit: int = LOOKUP_ROWS) -> DataFrame:
+    """Mean proximity of each row to all rows of each class (itself included), where it isn't zero.
 
-    The mean needs only the class counts of the row's leaves, so no pair of rows is formed.
+    The mean needs only the class counts of the row's leaves, so no pair of rows is formed. Counts are added up per task
+    first. A table of at most ``limit`` (tree, leaf, class) entries then travels to the rows, which look their leaves up;
+    a larger one is met by the leaves in a salted join.
     """
-    long = df.select(ident, F.size(leaves).alias("_t"), F.posexplode(leaves).alias("tree", "leaf"))
-    counts = df.select(klass, F.posexplode(leaves).alias("tree", "leaf")).groupBy("tree", "leaf", klass).agg(F.count(F.lit(1)).alias("_n"))
     sizes = df.groupBy(klass).agg(F.count(F.lit(1)).alias("_size"))
-    shares = counts.join(sizes, klass).groupBy("tree", "leaf")
-    shares = shares.agg(F.collect_list(F.struct(klass, (F.col("_n") / F.col("_size")).alias("share"))).alias("_s"))
-    hits = long.join(shares, ["tree", "leaf"]).select(ident, "_t", F.inline("_s"))
+    counts = df.select(klass, F.posexplode(F.col(leaves).cast("array<long>")).alias("tree", "leaf")).groupBy("tree", "leaf", klass).agg(F.count(F.lit(1)).alias("_n"))
+    shares = cut_lineage(counts.join(sizes, klass).select("tree", "leaf", klass, (F.col("_n") / F.col("_size")).alias("share")))
+    if shares.count() <= limit:
+        return _looked_up(df, shares, ident, klass, leaves)
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    entries = shares.groupBy("tree", "leaf").agg(F.collect_list(F.struct(klass, "share")).alias("_s")).select("*", salt)
+    long = df.select(ident, F.size(leaves).alias("_t"), F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int").alias("_salt"), F.posexplode(F.col(leaves).cast("array<long>")).alias("tree", "leaf"))
+    hits = long.join(entries, ["tree", "leaf", "_salt"]).select(ident, "_t", F.inline("_s"))
     return hits.groupBy(ident, klass).agg((F.sum("share") / F.max("_t")).alias("proximity"))
 
 
+def _looked_up(df: DataFrame, shares: DataFrame, ident: str, klass: str, leaves: str) -> DataFrame:
+    table = shares.toPandas()
+    names = [r[0] for r in shares.select(klass).distinct().collect()]
+    place = {name: i for i, name in enumerate(names)}
+    keys = table["tree"].to_numpy(np.int64) * TREE_STEP + table["leaf"].to_numpy(np.int64)
+    known, at = np.unique(keys, return_inverse=True)
+    share = np.zeros((len(known) + 1, len(names)))  # the last row stands for a leaf without training rows
+    share[at, [place[k] for k in table[klass]]] = table["share"]
+
+    @F.pandas_udf("array<double>")
+    def means(col: pd.Series) -> pd.Series:
+        out = []
+        for a in range(0, len(col), 1000):
+            own = np.stack(col.iloc[a : a + 1000].to_numpy()).astype(np.int64)
+            own = own + np.arange(own.shape[1]) * TREE_STEP
+            i = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+            i = np.where(known[i] == own, i, len(known)) if len(known) else np.zeros_like(own)
+            out += list(share[i].mean(1))
+        return pd.Series(out)
+
+    kind = df.schema[klass].dataType
+    listed = F.array(*[F.lit(n).cast(kind) for n in names])
+    pairs = F.arrays_zip(listed.alias("k"), means(F.col(leaves).cast("array<long>")).alias("v"))
+    rows = df.select(ident, F.explode(pairs).alias("_p")).select(ident, F.col("_p.k").alias(klass), F.col("_p.v").alias("proximity"))
+    return rows.where("proximity > 0")
+
+
 def anchor_proximity(df: DataFrame, anchors: DataFrame, ident: str, leaves: str = "leaves", out: str = "proximity") -> DataFrame:
     """Proximity of each row to each anchor as one array, in the order of the anchors' ids.
 
@@ -257,41 +259,16 @@ def principal_components(df: DataFrame, cols: Sequence[str], cap: int = 10, fit:
     return out, names, [float(v) for v in model.explainedVariance]
 
 
-def _best_start(df: DataFrame, k: int, algo: str, seed: int, starts: int):
-    """The model with the lowest cost (k-means) or the highest likelihood (mixture) of several starts."""
-    best = None
-    for i in range(starts):
-        if algo == "kmeans":
-            model = KMeans(k=k, seed=seed + 1000 * i, maxIter=300, featuresCol="_cf", predictionCol="cluster").fit(df)
-            value = -model.summary.trainingCost
-        else:
-            model = GaussianMixture(k=k, seed=seed + 1000 * i, maxIter=500, featuresCol="_cf", predictionCol="cluster", probabilityCol="_cp").fit(df)
-            value = model.summary.logLikelihood
-        if best is None or value > best[0]:
-            best = (value, model)
-    return best[1]
-
-
 def fit_clusters(df: DataFrame, cols: Sequence[str], k: int, algo: str = "gmm", seed: int = 42, restarts: int = 1, starts: int | None = None) -> DataFrame:
     """Column ``cluster``; of several restarts the one with the highest Calinski-Harabasz index wins.
 
-    Each restart is the best of ``starts`` fits, 10 for k-means and 3 for mixtures unless given.
+    Each restart is the best of ``starts`` fits, 10 for k-means and 3 for mixtures unless given; all of them advance together.
     """
-    if algo not in STARTS:
-        raise ValueError(f"unsupported algorithm {algo!r}")
-    df = cut_lineage(assemble(df, cols, "_cf"))
-    best = None
-    for r in range(max(1, restarts)):
-        model = _best_start(df, k, algo, seed + r, starts or STARTS[algo])
-        labelled = model.transform(df).drop("_cp")
-        if restarts <= 1:
-            return labelled.drop("_cf")
-        index = cluster_indices(labelled, cols, "cluster")["calinski_harabasz"]
-        if math.isfinite(index) and (best is None or index > best[0]):
-            best = (index, labelled)
-    if best is None:
+    rows = cut_lineage(df.withColumn("_z", F.array(*[F.col(c).cast("double") for c in cols])))
+    out = cut_lineage(K.cluster_keys(rows, [], "_z", list(cols), k, algo, seed, restarts, starts))
+    if restarts > 1 and out.select("cluster").distinct().count() < 2:
         raise RuntimeError(f"{algo} gave no valid clustering")
-    return best[1].drop("_cf")
+    return out.drop("_z")
 
 
 def cluster_profile(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
@@ -353,6 +330,71 @@ def silhouette(df: DataFrame, cols: Sequence[str], cluster: str, ident: str) ->
     return rows.select(ident, cluster, value.alias("silhouette"))
 
 
+def euclidean_silhouette(df: DataFrame, cols: Sequence[str], cluster: str, ident: str, block_rows: int = 2_000) -> DataFrame:
+    """Silhouette of every row with Euclidean distances, from exact distance sums.
+
+    Rows are packed into blocks of one cluster each. The mean distance of a row to a cluster lies between the distance
+    to its centre and the root of the mean squared distance; a cluster whose lower bound is above the least upper bound
+    of every row of a block can't be the nearest one and is skipped. Every other pair of blocks is one small task.
+    """
+    kind = df.schema[cluster].dataType
+    rows = df.select(F.col(ident).alias("_id"), F.col(cluster).alias("_c"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
+    packed = cut_lineage(K.row_blocks(rows, ["_c"], "_v", ["_id"], block_rows).drop("_key"))
+    profile = cluster_profile(df, cols, cluster).collect()
+    names = [r[cluster] for r in profile]
+    size = np.array([r["n"] for r in profile], float)
+    centre = np.array([r["centre"] for r in profile]).reshape(len(profile), -1)
+    spread = np.array([r["variance"] for r in profile]).reshape(len(profile), -1).sum(1)
+
+    @F.pandas_udf("array<int>")
+    def wanted(x: pd.Series, own: pd.Series) -> pd.Series:
+        out = []
+        for raw, c in zip(x, own):
+            v = np.frombuffer(raw).reshape(-1, len(cols))
+            gap = ((v[:, None] - centre) ** 2).sum(2)
+            low, high = np.sqrt(gap) * (1 - 1e-9), np.sqrt(gap + spread) * (1 + 1e-9)
+            high[:, c] = np.inf
+            near = (low <= high.min(1, keepdims=True)).any(0)
+            near[c] = True
+            out.append(np.flatnonzero(near).astype(np.int32))
+        return pd.Series(out)
+
+    number = F.create_map(*[v for i, n in enumerate(names) if n is not None for v in (F.lit(n).cast(kind), F.lit(i))]) if any(n is not None for n in names) else None
+    nulls = F.lit(names.index(None) if None in names else None).cast("int")
+    index = F.when(F.col("_c").isNull(), nulls).otherwise(F.element_at(number, F.col("_c"))) if number is not None else nulls
+    packed = cut_lineage(packed.withColumn("_i", index.cast("int")))
+    asked = packed.select("_i", "_block", "x", F.explode(wanted("x", "_i")).alias("_j"))
+    other = packed.select(F.col("_i").alias("_j"), F.col("x").alias("_y"))
+
+    @F.pandas_udf("array<double>")
+    def sums(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y):
+            a, b = np.frombuffer(a).reshape(-1, len(cols)), np.frombuffer(b).reshape(-1, len(cols))
+            total = np.empty(len(a))
+            for i in range(0, len(a), 256):
+                total[i : i + 256] = np.sqrt(((a[i : i + 256, None] - b) ** 2).sum(2)).sum(1)
+            out.append(total)
+        return pd.Series(out)
+
+    pairs = asked.join(other, "_j").select("_i", "_block", "_j", sums("x", "_y").alias("_s"))
+    total = pairs.groupBy("_i", "_block", "_j").agg(A.vector_sum(F.col("_s")).alias("_s"))
+    count = F.element_at(F.array(*[F.lit(v) for v in size]), F.col("_j") + 1)
+    own = F.col("_i") == F.col("_j")
+    mean = F.transform("_s", lambda s: s / F.when(own, F.greatest(count - 1, F.lit(1.0))).otherwise(count))
+    far = total.select("_i", "_block", own.alias("_own"), mean.alias("_m")).groupBy("_i", "_block").agg(
+        F.max(F.when(F.col("_own"), F.col("_m"))).alias("_a"), F.collect_list(F.when(~F.col("_own"), F.col("_m"))).alias("_o")
+    )
+    joined = packed.select("_i", "_block", "_rows").join(far, ["_i", "_block"])
+    each = joined.select("_i", F.posexplode("_rows").alias("_k", "_r"), "_a", "_o")
+    a, b = F.get("_a", F.col("_k")), F.array_min(F.transform("_o", lambda o: F.get(o, F.col("_k"))))
+    alone = (F.element_at(F.array(*[F.lit(v) for v in size]), F.col("_i") + 1) <= 1) | F.lit(len(names) < 2)
+    each = each.select("_r._id", "_r._c", alone.alias("_alone"), a.alias("_a"), b.alias("_b"))
+    wide = F.greatest("_a", "_b")
+    value = F.when(F.col("_alone") | (wide == 0), 0.0).otherwise((F.col("_b") - F.col("_a")) / wide)
+    return each.select(F.col("_id").alias(ident), F.col("_c").alias(cluster), value.alias("silhouette"))
+
+
 def multinomial(df: DataFrame, label: str, c: float = 1.0, max_iter: int = 500):
     """Multinomial logistic regression with an L2 penalty of 1/C."""
     n = df.count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -271,3 +271,24 @@ def tissue_table(df: DataFrame) -> DataFrame:
     df = df.withColumn("parenchyma", parenchyma)
     df = df.withColumn("brain_healthy", F.coalesce("brain_healthy", "parenchyma"))
     return df.withColumn("csf", F.coalesce(F.col("csf_given"), F.col("csf_pve") >= 0.5))
+
+
+def extended_brain(df: DataFrame, seg: str, brain: str = "brain") -> DataFrame:
+    """The brain flag with every segmented voxel added."""
+    return df.withColumn(brain, F.col(brain) | (F.coalesce(seg, F.lit(0)) > 0))
+
+
+def label_map(df: DataFrame, clusters: DataFrame, keys: Sequence[str], cluster: str = "cluster", out: str = "label") -> DataFrame:
+    """Cluster numbers of a region from 1 on, 0 outside; ``clusters`` lists the region's voxels by ``flat_idx``."""
+    rows = df.join(clusters.select(*keys, "flat_idx", F.col(cluster).alias("_c")), [*keys, "flat_idx"], "left")
+    return rows.withColumn(out, F.coalesce(F.col("_c") + 1, F.lit(0))).drop("_c")
+
+
+def flag_counts(df: DataFrame, keys: Sequence[str], flags: Mapping[str, str]) -> DataFrame:
+    """Voxels of each flag per key; ``flags`` maps a flag to the name of its count."""
+    return df.groupBy(*keys).agg(*[F.count_if(F.col(c)).alias(n) for c, n in flags.items()])
+
+
+def flag_means(df: DataFrame, keys: Sequence[str], value: str, flags: Mapping[str, str]) -> DataFrame:
+    """Mean of ``value`` over the voxels of each flag per key, NULL where there are none."""
+    return df.groupBy(*keys).agg(*[F.avg(F.when(F.col(c), F.col(value))).alias(n) for c, n in flags.items()])

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .columns import with_stats
+from .columns import attach, with_stats
 from .grid import AXES, Grid, cell_key, common_cells, expand_cubes, in_cell_core, mm_to_steps
 from .ranking import choose, seeded_key
 
@@ -300,6 +300,14 @@ def leave_one_out_counts(df: DataFrame, group: str, label: str) -> DataFrame:
     return out.withColumn("n_train", F.col("n_train_good") + F.col("n_train_bad")).drop("_t")
 
 
+def without_group(rows: DataFrame, group: str, of: DataFrame | None = None, out: str = "held") -> DataFrame:
+    """Each row once for each other group (of ``of``), named in ``out``; the list of groups travels, no rows are compared."""
+    names = (rows if of is None else of).select(group).where(F.col(group).isNotNull())
+    listed = cut_lineage(names.agg(F.array_sort(F.collect_set(group)).alias("_names")))
+    others = F.filter("_names", lambda g: g != F.col(group))
+    return attach(rows, listed, []).withColumn(out, F.explode(others)).drop("_names")
+
+
 def leave_one_out_training(df: DataFrame, group: str, label: str, held: object | None = None) -> DataFrame:
     """Labelled rows of all other groups; without ``held`` one copy per held-out group, in column ``held``.
 
@@ -308,5 +316,4 @@ def leave_one_out_training(df: DataFrame, group: str, label: str, held: object |
     labelled = df.where(F.col(label) != -1)
     if held is not None:
         return labelled.where(F.col(group) != F.lit(held))
-    groups = df.select(F.col(group).alias("held")).distinct()
-    return labelled.join(groups, F.col(group) != F.col("held"))
+    return without_group(labelled, group, df)

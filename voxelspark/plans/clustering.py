@@ -20,21 +20,6 @@ def feature_columns(df: DataFrame, tr: float = 1.8) -> DataFrame:
     return rows.select(*[c for c in df.columns if c != "ts"], *[F.col(f"_f.{c}").alias(f"f_{c}") for c in TS.FEATURES_B])
 
 
-def per_key(df: DataFrame, keys: Sequence[str], fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``fit`` applied to the rows of each key on its own; only the list of keys reaches the driver."""
-    keys = list(keys)
-    if not keys:
-        return fit(df)
-    result = None
-    for row in df.select(*keys).distinct().orderBy(*keys).collect():
-        own = df
-        for k in keys:
-            own = own.where(F.col(k).eqNullSafe(F.lit(row[k])))
-        part = cut_lineage(fit(own))
-        result = part if result is None else result.unionByName(part, allowMissingColumns=True)
-    return df if result is None else result
-
-
 def reduce_and_cluster(
     df: DataFrame, cols: Sequence[str], keys: Sequence[str], k: int, algo: str, seed: int, restarts: int, clip: float, pca_cap: int
 ) -> DataFrame:

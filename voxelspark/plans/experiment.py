@@ -6,21 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import columns as C, evaluation as E, hotspot as H, learning as L, masks as M, sampling as P
+from ..operators import columns as C, evaluation as E, forests as FR, hotspot as H, keyed as K, masks as M, sampling as P
 from ..operators.grid import AXES, Grid
 from ..session import cut_lineage
-from .clustering import per_key
 
 
 def fold_probabilities(
     voxels: DataFrame, features: Sequence[str], pools: DataFrame, keys: Sequence[str], grid: Grid, spacing: Sequence[float],
-    folds: int = 3, seed: int = 42, n_per_class: int | None = 20000, trees: int = 500, depth: int = L.MAX_TREE_DEPTH,
-    block_mm: float = 18.0, buffer_mm: float = 4.0, scale: bool = True, max_iter: int | None = None, gm_fraction: float | None = None,
+    folds: int = 3, seed: int = 42, n_per_class: int | None = 20000, trees: int = 500, depth: int | None = None,
+    block_mm: float = 18.0, buffer_mm: float = 4.0, scale: bool = True, svm_folds: int = 3, gm_fraction: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Probability maps and validation scores (long, one row per classifier) of every key and fold.
 
-    Splits of all keys and folds come from one pass; scaling and models are fitted for each key on its own, so a
-    patient's maps do not depend on the others. Keys that cannot be split have no maps.
+    Every key and fold is a model of its own, so a patient's maps do not depend on the others; the splits, scalings and
+    models of all of them are made together. Keys that cannot be split have no maps.
     """
     keys = list(keys)
     by = [*keys, "fold"]
@@ -28,23 +27,18 @@ def fold_probabilities(
         P.with_folds(pools, folds, seed), by, grid, spacing, block_mm, buffer_mm, F.col("fold_seed"), n_per_class=n_per_class, gm_fraction=gm_fraction
     )
     split = cut_lineage(split.where("role IS NOT NULL").select(*by, "flat_idx", "role", "target"))
+    listed = split.select(*by).distinct()
+    rows = voxels.join(listed, keys) if keys else voxels.crossJoin(F.broadcast(listed))
+    rows = cut_lineage(rows.join(split, [*by, "flat_idx"], "left"))
+    if scale:
+        rows = C.standardise(rows, by, features, fit=F.col("role") == "train")
+    rows = cut_lineage(rows.select(*by, *AXES, "flat_idx", "role", "target", F.array(*[F.col(c).cast("double") for c in features]).alias("_x")))
+    train, ident = cut_lineage(rows.where("role = 'train'")), ["flat_idx"]
+    probs = FR.forest_keys(train, rows, by, "_x", ident, "target", trees, seed, depth, out="p_rf")
+    probs = cut_lineage(K.svm_keys(train, probs, by, "_x", ident, "target", svm_folds, out="p_svm"))
+    probs = K.logistic_keys(K.balanced_weight(train, by, "target"), probs, by, "_x", ident, "target", 2, weight="weight", binary=True)
+    probs = cut_lineage(probs.withColumn("p_lr", F.get("probs", F.lit(1))).drop("probs", "_x"))
     scored_cols = {"rf": "p_rf", "svm": "p_svm", "lr": "p_lr"}
-
-    def fit(own: DataFrame) -> DataFrame:
-        first, result = own.limit(1).select(*keys), None
-        parts = split.join(F.broadcast(first), keys, "left_semi") if keys else split
-        for f in [r[0] for r in parts.select("fold").distinct().orderBy("fold").collect()]:
-            rows = cut_lineage(own.join(parts.where(F.col("fold") == f).drop("fold"), [*keys, "flat_idx"], "left"))
-            if scale:
-                rows = C.standardise(rows, [], features, fit=F.col("role") == "train")
-            rows = cut_lineage(L.assemble(rows, features))
-            probs = L.compare_classifiers(rows.where("role = 'train'"), rows, seed + f, trees, depth, max_iter=max_iter)
-            probs = cut_lineage(probs.select(*keys, *AXES, "flat_idx", "role", "target", F.lit(f).alias("fold"), *scored_cols.values()))
-            result = probs if result is None else result.unionByName(probs)
-        return result
-
-    usable = voxels.join(split.select(*keys).distinct(), keys, "left_semi") if keys else voxels
-    probs = per_key(usable, keys, fit)
     val = E.unpivot(probs.where("role = 'val'"), [*by, "flat_idx", "target"], scored_cols)
     return cut_lineage(E.unpivot(probs, [*by, *AXES, "flat_idx"], scored_cols, value="p")), cut_lineage(val)
 
