@@ -196,7 +196,12 @@ def scored(df: DataFrame, models: DataFrame, keys: Sequence[str], x: str, ident:
     """
     keys = list(keys)
     held = cut_lineage(K.row_blocks(df, keys, x, ident))
-    pairs = K.by_key(held.drop("_rows"), models.select(*keys, "_shard", "_trees", "model"), keys)
+    each, models = held.drop("_rows"), models.select(*keys, "_shard", "_trees", "model")
+    if keys:
+        pairs = K.by_key(each, models, keys)
+    else:
+        shards = [r[0] for r in models.select("_shard").collect()]  # one number per SHARD_TREES trees
+        pairs = each.withColumn("_shard", F.explode(F.lit(shards).cast("array<int>"))).join(models, "_shard")
     kind = "array<int>" if leaves else "array<double>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
