@@ -69,4 +69,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [op1_template_removal, op2_seekable_warc, op3_line_frequency, op4_line_crf, op5_decontamination, op6_sum_of_squares_packing, op7_hilbert_sharding, op8_url_rules, op9_suffix_dedup, op10_simhash_components, op11_gnat_codes, op12_chunked_bpe, op13_filter_audit, pipeline]}
-ORACLES = {"op2_seekable_warc": sql.WARC, "op3_line_frequency": sql.LINE_FREQUENCY, "op5_decontamination": sql.DECONTAMINATION, "op13_filter_audit": sql.FILTER_AUDIT}
+ORACLES = {"op2_seekable_warc": sql.WARC, "op3_line_frequency": sql.LINE_FREQUENCY, "op5_decontamination": sql.DECONTAMINATION, "op11_gnat_codes": sql.PRODUCT_CODES, "op13_filter_audit": sql.FILTER_AUDIT}

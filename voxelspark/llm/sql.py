@@ -99,3 +99,33 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM g
 """
+
+_ASSIGN = """
+d{n} AS (
+  SELECT vec_id, part, min({{'d': list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), 'e': e}}) AS best
+  FROM parts JOIN book{n} USING (part) GROUP BY vec_id, part)"""
+_MOVE = """
+m{n} AS (
+  SELECT part, best.e AS e, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS v
+  FROM d{n} JOIN parts USING (vec_id, part), range(1, len(x) + 1) r(i) GROUP BY ALL),
+l{n} AS (SELECT part, e, list(v ORDER BY i) AS c FROM m{n} GROUP BY ALL),
+book{next} AS (SELECT part, e, coalesce(l{n}.c, book{n}.c) AS c FROM book{n} LEFT JOIN l{n} USING (part, e))"""
+PRODUCT_CODES = (
+    """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, part, q[part * len(q) // 16 + 1:(part + 1) * len(q) // 16] AS x FROM v, range(0, 16) r(part)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT 64),
+book0 AS (SELECT part, e, x AS c FROM first JOIN parts USING (vec_id)),"""
+    + ",".join(_ASSIGN.format(n=n) + "," + _MOVE.format(n=n, next=n + 1) for n in (0, 1))
+    + ","
+    + _ASSIGN.format(n=2)
+    + """,
+coded AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM d2 GROUP BY vec_id),
+flat AS (SELECT part, e, i, c[i] AS v FROM book2, range(1, len(c) + 1) r(i)),
+sha AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, e, i)) AS s FROM flat)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+FROM coded JOIN v USING (vec_id), sha
+"""
+)
