@@ -322,6 +322,24 @@ def test_more_than_a_thousand_options(spark):
     assert row["mode"] == "mode" and len(row["options"]) == 1500 and row["options"]["k1499"] == 1499.0
 
 
+def test_ranges_of_ranges_give_the_same_order(spark, monkeypatch):
+    """With few ranges allowed each is cut again; sums below, and the place of values that are not in the table, stay."""
+    monkeypatch.setattr(R, "MIN_RANGES", 2)
+    monkeypatch.setattr(R, "MAX_RANGES", 4)
+    rng = np.random.default_rng(6)
+    rows = [(int(p), float(v)) for p, v in zip(rng.integers(0, 2, 300), rng.integers(0, 90, 300))]
+    df = spark.createDataFrame(rows, "patient int, v double")
+    table = R.value_table(df, KEYS, "v", {"n": F.count(F.lit(1))}, rows_per_range=5)
+    assert table.finer is not None and table.rows.select("_range").distinct().count() > 8
+    for r in R.running(table).collect():
+        own = [v for p, v in rows if p == r["patient"]]
+        assert (r["n"], r["n_before"], r["n_total"]) == (own.count(r["v"]), sum(v < r["v"] for v in own), len(own))
+    asked = spark.createDataFrame([(p, q, 0, True) for p in (0, 1) for q in (-1.0, 10.0, 10.5, 500.0)], "patient int, v double, n long, asked boolean")
+    for r in R.running(table, asked).where("asked").collect():
+        own = [v for p, v in rows if p == r["patient"]]
+        assert (r["n"], r["n_before"]) == (own.count(r["v"]), sum(v < r["v"] for v in own))
+
+
 def test_silhouette_of_all_rows(spark):
     rng = np.random.default_rng(4)
     x, k = rng.normal(size=(60, 2)) + 1000, rng.integers(0, 3, 60)
