@@ -221,6 +221,48 @@ def test_classes_are_balanced_in_every_bootstrap_sample():
     assert len(np.unique(state["weights"][:, 1])) > 5  # weights follow the sample, not the table
 
 
+@pytest.mark.parametrize("local", [60, 100_000])
+def test_trees_of_several_blocks_grow_on_in_the_tasks_of_their_nodes(spark, monkeypatch, local):
+    """The driver's part ends at nodes of ``LOCAL_ROWS`` rows; whole trees still separate the rows, with leaves of one class."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(FR, "LOCAL_ROWS", local)
+    monkeypatch.setattr(FR, "SHARD_NODES", 240 * 16)
+    df = table(spark, {"a": noisy(1), None: noisy(2)})
+    tops = []
+    whole = FR._Tops.model
+    monkeypatch.setattr(FR._Tops, "model", lambda self, state: tops.append(len(state["t"]["feature"])) or whole(self, state))
+    models = FR.grow(K.blocks(df, KEYS, "z", ["id"], "y"), KEYS, trees=40, seed=3)
+    rows = models.collect()
+    assert len(rows) == 6 and len(tops) == 2
+    assert all(t < sum(r["nodes"] for r in rows) / 4 for t in tops) and (local > 60 or min(tops) > 40)
+    out = FR.scored(df, models, KEYS, "z", ["id"]).collect()
+    assert len(out) == 480 and np.mean([(r["p"] > 0.5) == r["y"] for r in out]) > 0.99
+    share = {r["patient"]: np.array(r["importance"]) for r in FR.importances(models, KEYS).collect()}
+    assert all(v.sum() == pytest.approx(1.0) and v[:2].sum() > v[2:].sum() for v in share.values())
+    leaves = FR.scored(df, models, KEYS, "z", ["id"], "leaves", leaves=True)
+    assert {len(r["leaves"]) for r in leaves.collect()} == {40}
+
+
+def test_a_tree_grown_in_a_task_splits_like_one_grown_from_histograms():
+    """With all features at every node, both ways give the same partition of the rows."""
+    x, y = noisy(5, 300)
+    x = x[:, :1]
+    m = FR.Forest(trees=4, seed=1, min_leaf=2)
+    state = m.begin(x)
+    while not m.finished(state):
+        state = m.step(state, m.stats(state, x, y.astype(float), np.ones(300)))
+    near = FR.Forest(trees=4, seed=1, min_leaf=2, local=10_000)
+    top = near.begin(x)
+    while not near.finished(top):
+        top = near.step(top, near.stats(top, x, y.astype(float), np.ones(300)))
+    assert len(top["t"]["feature"]) == 4
+    rest = {n: near.below(top, n, code, label, times) for n, code, label, times in near.pieces(top, x, y.astype(float))}
+    trees = FR._joined(top["t"], rest, top["edges"])
+    a, b = FR.place(state["t"], x, np.arange(4)), FR.place(trees, x, np.arange(4))
+    assert np.allclose(state["t"]["value"][a], trees["value"][b])
+    assert all(same_partition(p.tolist(), q.tolist()) for p, q in zip(a, b))
+
+
 def test_leave_one_out_forests(spark):
     rows = [(g, i, [float(v) for v in x], int(y)) for g in range(3) for i, (x, y) in enumerate(zip(*noisy(20 + g, 120)))]
     df = spark.createDataFrame(rows, "g int, id int, z array<double>, quality int")

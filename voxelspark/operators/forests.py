@@ -1,10 +1,12 @@
 """Forests of many keys at once, grown level by level from histograms.
 
-Trees grow on features cut into bins. A round takes open nodes of all trees of a key, adds up (feature, bin, class)
-histograms of the rows in them, and splits each node at its best bin; a key of one block does so inside its task, larger
-ones send a histogram per block (``keyed.fit``). Trees are dealt into shards that grow side by side. Every tree has its
-own bootstrap counts and class weights, those that balance the classes of its bootstrap sample. A node looks at a random
-subset of the features, and at the next ones if none of them splits it.
+Trees grow on features cut into bins. A round takes open nodes of all trees of a key of several blocks, adds up
+(feature, bin, class) histograms of the rows in them, one per block (``keyed.fit``), and splits each node at its best
+bin. Only nodes of more than ``LOCAL_ROWS`` rows are split that way, so the driver holds the tops of the trees alone; the
+rows of every smaller node meet in one task, as bytes of their bins, and that task grows the rest of the tree. A key of
+one block needs no rounds. Trees are dealt into shards of bounded size. Every tree has its own bootstrap counts and class
+weights, those that balance the classes of its bootstrap sample. A node looks at a random subset of the features, and at
+the next ones if none of them splits it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,6 +27,9 @@ from . import keyed as K
 
 BINS = 64
 SHARD_TREES = 64
+SHARD_NODES = 4_000_000  # about as many nodes as a shard's trees may have
+LOCAL_ROWS = 100_000  # of a node whose rest a single task grows
+TASKS = 2_000
 CELLS = 1_000_000  # numbers of one round's histograms
 ROW_TREES = 4_000_000  # rows times trees that are placed at a time
 
@@ -32,20 +38,123 @@ def place(trees: dict, x: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Node of every row in each of the trees ``which``: (trees, rows)."""
     out = np.empty((len(which), len(x)), np.int64)
     step = max(1, ROW_TREES // max(1, len(x)))
-    rows = np.arange(len(x))
+    feature, threshold, left = trees["feature"], trees["threshold"], trees["left"]
     for a in range(0, len(which), step):
-        node = np.repeat(trees["root"][which[a : a + step]][:, None], len(x), 1)
-        while True:
-            f = trees["feature"][node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            right = ~(x[rows[None, :], np.maximum(f, 0)] <= trees["threshold"][node])  # NaN goes right, as in its bin
-            node = np.where(inner, trees["left"][node] + right, node)
-        out[a : a + step] = node
+        node = np.repeat(np.asarray(trees["root"][which[a : a + step]], np.int64), len(x))
+        going = np.flatnonzero(feature[node] >= 0)
+        while len(going):
+            at = node[going]
+            right = ~(x[going % len(x), feature[at]] <= threshold[at])  # NaN goes right, as in its bin
+            at = left[at] + right
+            node[going] = at
+            going = going[feature[at] >= 0]
+        out[a : a + step] = node.reshape(-1, len(x))
     return out
 
 
+def binned(edges: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], 1).astype(np.uint8)
+
+
+def _sorted_by(slot: np.ndarray) -> np.ndarray:
+    """Stable order of rows by a small number."""
+    shift = max(1, int(len(slot)).bit_length())
+    return np.sort((slot.astype(np.int64) << shift) | np.arange(len(slot))) & ((1 << shift) - 1)
+
+
+def _best_splits(code: np.ndarray, slot: np.ndarray, n: int, features: np.ndarray, ones: np.ndarray, zeros: np.ndarray, weights: np.ndarray, min_leaf: int):
+    """Best gain of each of ``n`` nodes (rows sorted by ``slot``) over its features, with feature, bin and counts below."""
+    gain, f, b, below = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 2))
+    whole = np.stack([np.bincount(slot, weights=v, minlength=n) for v in (zeros, ones)], 1)
+    start = whole.cumsum(0) - whole
+    purity = lambda h: (h * h).sum(1) / np.maximum(h.sum(1), 1e-300)
+    base = purity(whole * weights)
+    for j in range(features.shape[1]):
+        key = slot * 256 + code[np.arange(len(slot)), features[slot, j]]
+        order = _sorted_by(key)
+        key = key[order]
+        at = np.flatnonzero((key[1:] != key[:-1]) & (key[1:] >> 8 == key[:-1] >> 8))  # between two bins of a node
+        if not len(at):
+            continue
+        own = key[at] >> 8
+        under = np.stack([zeros[order].cumsum()[at], ones[order].cumsum()[at]], 1) - start[own]
+        above = whole[own] - under
+        got = purity(under * weights) + purity(above * weights) - base[own]
+        got = np.where((under.sum(1) >= min_leaf) & (above.sum(1) >= min_leaf), got, -np.inf)
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        most = np.maximum.reduceat(got, first)
+        hit = np.flatnonzero(got == np.repeat(most, np.diff(np.r_[first, len(own)])))
+        nodes, i = np.unique(own[hit], return_index=True)
+        pick = hit[i][most > gain[nodes]]
+        node = own[pick]
+        gain[node], f[node], b[node], below[node] = got[pick], features[node, j], key[at[pick]] & 255, under[pick]
+    return gain, f, b, below, whole
+
+
+def grown(code: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarray, seed: Sequence[int], level: int = 0, depth: int | None = None, min_leaf: int = 1) -> dict:
+    """The tree below one node, node 0, from the bins of its rows; every level is split at once. Cuts are numbers of bins."""
+    d = code.shape[1]
+    m = max(1, int(np.sqrt(d)))
+    rng = np.random.default_rng(list(seed))
+    zeros, ones = times * (y == 0.0), times * (y == 1.0)
+    share = lambda h: (h * weights)[:, 1] / np.maximum((h * weights).sum(1), 1e-300)
+    root = np.array([[zeros.sum(), ones.sum()]], float)
+    levels = [{"feature": np.full(1, -1), "bin": np.zeros(1, np.int64), "left": np.zeros(1, np.int64), "value": share(root)}]
+    made, gains, deepest = 1, np.zeros(d), level
+    row, slot = np.arange(len(y)), np.zeros(len(y), np.int64)
+    place_of = np.zeros(1 if (root > 0).all() and (depth is None or level < depth) else 0, np.int64)  # open nodes in the last level
+    while len(place_of):
+        n, last = len(place_of), levels[-1]
+        order = rng.random((n, d)).argsort(1)
+        gain, f, b, below, whole = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 2)), np.zeros((n, 2))
+        asked = np.arange(n)
+        for a in range(0, d, m):
+            number = np.full(n, -1)
+            number[asked] = np.arange(len(asked))
+            inside = number[slot] >= 0
+            r, s = row[inside], number[slot[inside]]
+            gain[asked], f[asked], b[asked], below[asked], whole[asked] = _best_splits(code[r], s, len(asked), order[asked, a : a + m], ones[r], zeros[r], weights, min_leaf)
+            asked = np.flatnonzero(~(gain > -1e-9))  # no feature of the subset splits the node: the next ones are asked
+            if not len(asked):
+                break
+        split = np.flatnonzero(gain > -1e-9)
+        if not len(split):
+            break
+        np.add.at(gains, f[split], np.maximum(gain[split], 0.0))
+        at = place_of[split]
+        last["feature"][at], last["bin"][at] = f[split], b[split]
+        last["left"][at] = made + 2 * np.arange(len(split))
+        sides = np.stack([below[split], whole[split] - below[split]], 1).reshape(-1, 2)
+        levels.append({"feature": np.full(len(sides), -1), "bin": np.zeros(len(sides), np.int64), "left": np.zeros(len(sides), np.int64), "value": share(sides)})
+        made, level = made + len(sides), level + 1
+        deepest = level
+        place_of = np.flatnonzero((sides > 0).all(1)) if depth is None or level < depth else np.zeros(0, np.int64)
+        number, child = np.full(n, -1), np.full(len(sides), -1)
+        number[split], child[place_of] = np.arange(len(split)), np.arange(len(place_of))
+        inside = number[slot] >= 0
+        row, slot = row[inside], slot[inside]
+        slot = child[2 * number[slot] + (code[row, f[slot]] > b[slot])]
+        row, slot = row[slot >= 0], slot[slot >= 0]
+        again = _sorted_by(slot)
+        row, slot = row[again], slot[again]
+    return {k: np.concatenate([v[k] for v in levels]) for k in levels[0]} | {"gains": gains, "deepest": deepest}
+
+
+def _joined(top: dict, rest: dict[int, dict], edges: np.ndarray) -> dict:
+    """Trees whose nodes ``rest`` are replaced by the trees grown below them."""
+    t = {k: np.array(v) for k, v in top.items()}
+    size, added = len(t["feature"]), {k: [t[k]] for k in ("feature", "threshold", "left", "value")}
+    for node, sub in sorted(rest.items()):
+        cut = np.where(sub["feature"] >= 0, edges[sub["feature"], sub["bin"]], 0.0)
+        below = {"feature": sub["feature"], "threshold": cut, "left": sub["left"] + size - 1, "value": sub["value"]}
+        for k, v in below.items():  # its node 0 takes the place of the open node
+            t[k][node] = v[0]
+            added[k].append(v[1:])
+        size += len(cut) - 1
+    kinds = {"feature": np.int16, "threshold": np.float64, "left": np.int32, "value": np.float64}
+    return {"root": t["root"]} | {k: np.concatenate(v).astype(kinds[k]) for k, v in added.items()}
+
+
 @dataclass
 class Forest(K.Method):
     """Balanced random forest. A shard's trees lie in common arrays; children of a node are ``left`` and ``left + 1``."""
@@ -55,6 +164,8 @@ class Forest(K.Method):
     depth: int | None = None
     min_leaf: int = 1
     bins: int = BINS
+    first: int = 0  # number of its first tree
+    local: int = 0  # nodes of at most as many bootstrap rows are left to ``grown``
 
     schema = "model binary, importance array<double>, nodes long, deepest int, rounds int"
 
@@ -65,12 +176,12 @@ class Forest(K.Method):
             row[: len(e)] = e
         t = self.trees
         arrays = {"root": np.arange(t), "feature": np.full(t, -1), "threshold": np.zeros(t), "left": np.zeros(t, np.int64), "value": np.zeros(t), "tree": np.arange(t), "level": np.zeros(t, np.int64), "tried": np.zeros(t, np.int64)}
-        return {"edges": full, "t": arrays, "open": np.zeros(0, np.int64), "group": None, "weights": None, "gain": np.zeros((t, x.shape[1])), "rounds": 0, "done": False, "batch": 0}
+        return {"edges": full, "t": arrays, "open": np.zeros(0, np.int64), "group": None, "weights": None, "gain": np.zeros((t, x.shape[1])), "rounds": 0, "done": False, "batch": 0, "rest": np.zeros(0, np.int64)}
 
     def drawn(self, tree: int, x: np.ndarray) -> np.ndarray:
         """How often the tree's bootstrap sample holds each row of a block."""
         salt = zlib.crc32(np.ascontiguousarray(x[:64]).tobytes())
-        return np.random.default_rng([self.seed, int(tree), salt]).poisson(1.0, len(x))
+        return np.random.default_rng([self.seed, self.first + int(tree), salt]).poisson(1.0, len(x))
 
     def features_of(self, state: dict, nodes: np.ndarray) -> np.ndarray:
         """The features that each open node looks at now: (nodes, features)."""
@@ -88,7 +199,7 @@ class Forest(K.Method):
         if state["weights"] is None:
             return np.concatenate([np.bincount(label, weights=self.drawn(t, x), minlength=2) for t in range(self.trees)])
         group, chosen = state["group"], state["chosen"]
-        binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(state["edges"], x.T)], 1)
+        code = binned(state["edges"], x).astype(np.int64)
         slot = np.full(len(state["t"]["feature"]), -1)
         slot[group] = np.arange(len(group))
         m, width = chosen.shape[1], self.bins * 2
@@ -102,7 +213,7 @@ class Forest(K.Method):
             tree, row = np.nonzero((at >= 0) & (times > 0))
             s, n = at[tree, row], times[tree, row].astype(float)
             for j in range(m):
-                cell = ((s * m + j) * self.bins + binned[row, chosen[s, j]]) * 2 + label[row]
+                cell = ((s * m + j) * self.bins + code[row, chosen[s, j]]) * 2 + label[row]
                 out += np.bincount(cell, weights=n, minlength=len(out))
         return out
 
@@ -122,7 +233,8 @@ class Forest(K.Method):
             weights = counts.sum(1, keepdims=True) / (2 * np.maximum(counts, 1))
             share = (counts * weights)[:, 1] / np.maximum((counts * weights).sum(1), 1e-300)
             alive = np.flatnonzero((counts > 0).all(1)) if self.depth != 0 else np.zeros(0, np.int64)
-            return self._grouped(state | {"weights": weights, "t": t | {"value": share}, "open": alive})
+            small = counts[alive].sum(1) <= self.local
+            return self._grouped(state | {"weights": weights, "t": t | {"value": share}, "open": alive[~small], "rest": alive[small]})
         group, chosen = state["group"], state["chosen"]
         m = chosen.shape[1]
         raw = total.reshape(len(group), m, self.bins, 2)
@@ -153,40 +265,163 @@ class Forest(K.Method):
         again = again[t["tried"][again] < state["edges"].shape[0]]
         t = {k: np.concatenate([t[k], new[k]]) for k in t}
         impure = (sides > 0).all(1) & ((level < self.depth) if self.depth is not None else True)
-        fresh = first + np.flatnonzero(impure)
-        return self._grouped(state | {"t": t, "open": np.concatenate([state["open"], again, fresh]), "gain": gains, "rounds": state["rounds"] + 1})
+        size = np.stack([n_below[ok, j, b], n_above[ok, j, b]], 1).ravel()
+        fresh, small = first + np.flatnonzero(impure & (size > self.local)), first + np.flatnonzero(impure & (size <= self.local))
+        return self._grouped(state | {"t": t, "open": np.concatenate([state["open"], again, fresh]), "rest": np.concatenate([state["rest"], small]), "gain": gains, "rounds": state["rounds"] + 1})
 
     def model(self, state: dict) -> dict:
-        t = state["t"]
-        raw = pickle.dumps({k: t[k] for k in ("root", "feature", "threshold", "left", "value")})
-        total = state["gain"].sum(1, keepdims=True)
-        share = state["gain"] / np.where(total > 0, total, 1.0)
-        return {"model": raw, "importance": share.sum(0).tolist(), "nodes": len(t["feature"]), "deepest": int(t["level"].max()), "rounds": state["rounds"]}
+        return self.whole(state, {})
+
+    def whole(self, state: dict, rest: dict[int, dict]) -> dict:
+        """The model once the trees below the nodes ``rest`` are grown."""
+        t, gain = _joined(state["t"], rest, state["edges"]), state["gain"].copy()
+        for node, sub in rest.items():
+            gain[state["t"]["tree"][node]] += sub["gains"]
+        total = gain.sum(1, keepdims=True)
+        share = gain / np.where(total > 0, total, 1.0)
+        deepest = max([int(state["t"]["level"].max()), *[s["deepest"] for s in rest.values()]])
+        return {"model": pickle.dumps(t), "importance": share.sum(0).tolist(), "nodes": len(t["feature"]), "deepest": deepest, "rounds": state["rounds"]}
+
+    def pieces(self, state: dict, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per node of ``rest``: bins, labels and bootstrap counts of the rows of a block in it."""
+        code, t = binned(state["edges"], x), state["t"]
+        for tree in np.unique(t["tree"][state["rest"]]):
+            times = self.drawn(tree, x)
+            node = np.where(times > 0, place(t, x, np.array([tree]))[0], -1)
+            for n in state["rest"][t["tree"][state["rest"]] == tree]:
+                held = node == n
+                if held.any():
+                    yield int(n), code[held], y[held], times[held]
+
+    def below(self, state: dict, node: int, code: np.ndarray, y: np.ndarray, times: np.ndarray) -> dict:
+        tree, level = int(state["t"]["tree"][node]), int(state["t"]["level"][node])
+        return grown(code, y, times, state["weights"][tree], [self.seed, 2, self.first + tree, node], level, self.depth, self.min_leaf)
 
     def state_bytes(self, width: int) -> int:
         return 8 * CELLS
 
 
-def grow(packed: DataFrame, keys: Sequence[str], trees: int = 500, seed: int = 42, depth: int | None = None, min_leaf: int = 1) -> DataFrame:
-    """keys, _shard and the trees of each shard, for ``keyed.blocks`` of a training table with labels 0 and 1."""
-    shards = max(1, -(-trees // SHARD_TREES))
-    sizes = [trees * (i + 1) // shards - trees * i // shards for i in range(shards)]
-    out = None
-    for size in sorted(set(sizes)):  # at most two sizes
-        own = [i for i, s in enumerate(sizes) if s == size]
-        each = packed.withColumn("_shard", F.explode(F.lit(own))).withColumn("_key", F.concat_ws("#", F.col("_shard").cast("string"), "_key"))
-        each = each.repartition(4 * len(own), "_key") if len(own) > 1 else each
-        models = K.fit(each, [*keys, "_shard"], _Sharded(size, seed, depth, min_leaf))
-        out = models if out is None else out.unionByName(models)
-    return out.withColumn("_trees", F.lit(trees))
+class _Tops(Forest):
+    """The parts of the trees above the nodes of at most ``local`` rows."""
 
+    schema = "top binary"
 
-@dataclass
-class _Sharded(Forest):
-    """A forest whose seed also depends on the shard, which the first word of a key names."""
+    def model(self, state: dict) -> dict:
+        return {"top": pickle.dumps({k: state[k] for k in ("t", "rest", "weights", "edges", "gain", "rounds")})}
 
-    def named(self, key: str) -> "Forest":
-        return Forest(self.trees, self.seed * 100_003 + int(key.split("#")[0]), self.depth, self.min_leaf, self.bins)
+
+def _part(state: dict, a: int, b: int) -> dict:
+    """The state of trees ``a`` to ``b`` alone, as if they were the first ones."""
+    t = state["t"]
+    keep = np.flatnonzero((t["tree"] >= a) & (t["tree"] < b))
+    number = np.zeros(len(t["tree"]), np.int64)
+    number[keep] = np.arange(len(keep))
+    own = {k: t[k][keep] for k in ("feature", "threshold", "value", "level")}
+    own |= {"root": number[t["root"][a:b]], "left": number[t["left"][keep]], "tree": t["tree"][keep] - a}
+    rest = state["rest"][np.isin(state["rest"], keep)]
+    return state | {"t": own, "rest": number[rest], "weights": state["weights"][a:b], "gain": state["gain"][a:b]}
+
+
+def grow(packed: DataFrame, keys: Sequence[str], trees: int = 500, seed: int = 42, depth: int | None = None, min_leaf: int = 1) -> DataFrame:
+    """keys, _shard and the trees of each shard, for ``keyed.blocks`` of a training table with labels 0 and 1."""
+    keys = list(keys)
+    sizes = packed.groupBy("_key").agg(F.sum("n").alias("n"), F.max("_blocks").alias("b"))
+    facts = sizes.agg(F.max("n").alias("n"), F.count_if(F.col("b") == 1).alias("small"), F.count_if(F.col("b") > 1).alias("large")).first()
+    each = min(SHARD_TREES, max(1, SHARD_NODES // max(1, facts["n"] or 1)))
+    shards = max(1, -(-trees // each))
+    ends = [trees * i // shards for i in range(shards + 1)]
+    by = [*keys, "_shard"]
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "_shard int", Forest.schema])
+    names = [*by, *[c.split()[0] for c in Forest.schema.split(", ")]]
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(packed.sparkSession.createDataFrame([], schema).schema)
+
+    local = LOCAL_ROWS
+
+    def one(a: int, b: int) -> Forest:
+        return Forest(b - a, seed, depth, min_leaf, first=a, local=local)
+
+    def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in K._each(batches):
+            x, y, w = K._unpacked(row)
+            own = one(ends[row["_shard"]], ends[row["_shard"] + 1])
+            state = own.begin(x)
+            while not own.finished(state):
+                state = own.step(state, own.stats(state, x, y, w))
+            model = own.whole(state, {n: own.below(state, n, code, label, times) for n, code, label, times in own.pieces(state, x, y)})
+            yield pa.RecordBatch.from_pylist([{k: row[k] for k in by} | model], schema=arrow).select(names)
+
+    dealt = F.explode(F.lit(list(range(shards)))).alias("_shard")
+    spread = lambda n: min(TASKS, max(1, n))
+    parts = []
+    if facts["small"] or not facts["large"]:
+        rows = packed.where("_blocks = 1").select(*keys, "_key", "x", "y", "w", dealt)
+        parts.append(rows.repartition(spread(facts["small"] * shards), "_key", "_shard").mapInArrow(alone, schema))
+    if facts["large"]:
+        large = cut_lineage(packed.where("_blocks > 1").repartition(spread(4 * facts["large"] * -(-facts["n"] // K.BLOCK_ROWS)), "_key", "_block"))
+        tops = K.fit(large, keys, _Tops(trees, seed, depth, min_leaf, local=local)).select(K._key(keys).alias("_key"), "top")
+        parts.append(_rests(large, tops, keys, ends, one, schema, arrow, names, facts["large"] * trees))
+    models = cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    return models.withColumn("_trees", F.lit(trees))
+
+
+def _rests(large: DataFrame, tops: DataFrame, keys: list[str], ends: list[int], one, schema: str, arrow: pa.Schema, names: list[str], trees: int) -> DataFrame:
+    """The shards of keys of several blocks: rows go to the task of their node, and trees grown there to their shard."""
+    at = np.array(ends)
+    forest = one(0, ends[-1])
+    kinds = {f.name: f.dataType.simpleString() for f in large.schema.fields}
+    fields = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "_key string, _shard int, node int"])
+    by = [*keys, "_key", "_shard", "node"]
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in K._each(batches):
+            state = pickle.loads(row["top"])
+            x, y, _ = K._unpacked(row)
+            for node, code, label, times in forest.pieces(state, x, y):
+                tree = int(state["t"]["tree"][node])
+                head = (tree, int(state["t"]["level"][node]), state["weights"][tree])
+                made = {k: row[k] for k in keys} | {"_key": row["_key"], "_shard": int(np.searchsorted(at, tree, "right") - 1), "node": node, "head": pickle.dumps(head)}
+                made |= {"block": row["_block"], "code": code.tobytes(), "y": label.astype(np.uint8).tobytes(), "times": times.astype(np.uint8).tobytes()}
+                yield pa.RecordBatch.from_pylist([made], schema=piece).select(piece.names)
+
+    def below(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        tree, level, weights = pickle.loads(table["head"][0].as_py())
+        code, y, times = [np.concatenate([np.frombuffer(v.as_py(), np.uint8) for v in table[c]]) for c in ("code", "y", "times")]
+        node = table["node"][0].as_py()
+        sub = grown(code.reshape(len(y), -1), y, times.astype(float), weights, [forest.seed, 2, tree, node], level, forest.depth, forest.min_leaf)
+        return table.slice(0, 1).select(by).append_column("sub", pa.array([pickle.dumps(sub)], pa.binary()))
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        shard = table["_shard"][0].as_py()
+        a, b = ends[shard], ends[shard + 1]
+        subs, top = {}, None
+        for i in range(table.num_rows):
+            raw, node = table["sub"][i].as_py(), table["node"][i].as_py()
+            if node < 0:
+                top = pickle.loads(raw)
+            else:
+                subs[node] = pickle.loads(raw)
+        state = _part(top, a, b)
+        # rest holds the shard's nodes in the order of the whole forest
+        own = top["rest"][np.isin(top["t"]["tree"][top["rest"]], np.arange(a, b))]
+        model = one(a, b).whole(state, {int(n): subs[int(o)] for n, o in zip(state["rest"], own)})
+        made = {k: table[k][0].as_py() for k in [*keys, "_shard"]} | model
+        return pa.Table.from_pylist([made], schema=arrow).select(names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = large.sparkSession
+    full = f"{fields}, head binary, block int, code binary, y binary, times binary"
+    piece = to_arrow_schema(spark.createDataFrame([], full).schema)
+    dealt = large.join(F.broadcast(tops), "_key").select(*keys, "_key", "_block", "x", "y", "w", "top").mapInArrow(rows, full)
+    subs = cut_lineage(dealt.repartition(min(TASKS, max(8, trees)), *by).groupBy(*by).applyInArrow(below, f"{fields}, sub binary"))
+    heads = large.where("_block = 0").join(tops, "_key").select(*keys, "_key", F.explode(F.lit(list(range(len(ends) - 1)))).alias("_shard"), F.lit(-1).alias("node"), F.col("top").alias("sub"))
+    both = subs.unionByName(heads)
+    return both.repartition(min(TASKS, max(8, trees // 8)), *keys, "_key", "_shard").groupBy(*keys, "_key", "_shard").applyInArrow(whole, schema)
 
 
 def scored(df: DataFrame, models: DataFrame, keys: Sequence[str], x: str, ident: Sequence[str], out: str = "p", leaves: bool = False) -> DataFrame:
@@ -196,25 +431,34 @@ def scored(df: DataFrame, models: DataFrame, keys: Sequence[str], x: str, ident:
     """
     keys = list(keys)
     held = cut_lineage(K.row_blocks(df, keys, x, ident))
-    each, models = held.drop("_rows"), models.select(*keys, "_shard", "_trees", "model")
-    if keys:
-        pairs = K.by_key(each, models, keys)
-    else:
-        shards = [r[0] for r in models.select("_shard").collect()]  # one number per SHARD_TREES trees
-        pairs = each.withColumn("_shard", F.explode(F.lit(shards).cast("array<int>"))).join(models, "_shard")
+    pairs = models.select(K._key(keys).alias("_key"), "_shard", "_trees", "model")
+    facts = pairs.agg(F.count(F.lit(1)).alias("n"), F.max("_shard").alias("s")).first()
+    shards = list(range((facts["s"] or 0) + 1))
+    blocks = held.select("_key", F.explode(F.lit(shards)).alias("_shard"), "_block", "n", "x")
+    both = pairs.withColumns({"_block": F.lit(-1), "n": F.lit(0).cast("long"), "x": F.lit(None).cast("binary")}).unionByName(blocks, allowMissingColumns=True)
+    # A shard's trees come once, before the blocks that they place.
+    both = both.repartition(min(TASKS, max(1, facts["n"])), "_key", "_shard").sortWithinPartitions("_key", "_shard", "_block")
     kind = "array<int>" if leaves else "array<double>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by, trees = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                n, trees = row["n"][0].as_py(), pickle.loads(row["model"][0].as_py())
-                rows = np.frombuffer(row["x"][0].as_py()).reshape(n, -1)
-                node = place(trees, rows, np.arange(len(trees["root"])))
-                made = [node.T.astype(np.int32).ravel()] if leaves else [trees["value"][node].sum(0)]
-                yield pa.RecordBatch.from_arrays([row["_key"], row["_block"], row["_shard"], row["_trees"], pa.array(made, pa.list_(pa.int32() if leaves else pa.float64()))], ["_key", "_block", "_shard", "_trees", "v"])
-
-    parts = pairs.select("_key", "_block", "n", "x", "_shard", "_trees", "model").mapInArrow(run, f"_key string, _block int, _shard int, _trees int, v {kind}")
+                key = (row["_key"][0].as_py(), row["_shard"][0].as_py())
+                if row["_block"][0].as_py() < 0:
+                    held_by, trees, total = key, pickle.loads(row["model"][0].as_py()), row["_trees"]
+                elif key == held_by:
+                    rows = np.frombuffer(row["x"][0].as_py()).reshape(row["n"][0].as_py(), -1)
+                    if leaves:
+                        made = place(trees, rows, np.arange(len(trees["root"]))).T.astype(np.int32).ravel()
+                    else:
+                        made = np.zeros(len(rows))
+                        for t in range(len(trees["root"])):
+                            made += trees["value"][place(trees, rows, np.array([t]))[0]]
+                    yield pa.RecordBatch.from_arrays([row["_key"], row["_block"], row["_shard"], total, pa.array([made], pa.list_(pa.int32() if leaves else pa.float64()))], ["_key", "_block", "_shard", "_trees", "v"])
+
+    parts = both.select("_key", "_shard", "_block", "n", "x", "_trees", "model").mapInArrow(run, f"_key string, _block int, _shard int, _trees int, v {kind}")
     if leaves:
         # Shards side by side: each holds ``len(v) / n`` leaves a row.
         whole = parts.groupBy("_key", "_block").agg(F.array_sort(F.collect_list(F.struct("_shard", "v"))).alias("_s"))

@@ -35,9 +35,9 @@ CLASSIFIER_NAMES = {
     "mlp": ["mlp"],
 }
 MAX_ANCHORS = 2000
-LOOKUP_ROWS = 2_000_000  # of (tree, leaf, class), 16 bytes each in a task
+LOOKUP_ROWS = 200_000  # of (tree, leaf, class), 16 bytes each in a task; they pass through the driver
 TREE_STEP = 1 << 40
-SALTS = 16
+SALTS = 16  # into which the rows of a leaf are dealt, over all trees
 
 
 def classifier_name(name: str) -> str:
@@ -177,16 +177,19 @@ def class_proximity(df: DataFrame, ident: str, klass: str, leaves: str = "leaves
 
     The mean needs only the class counts of the row's leaves, so no pair of rows is formed. Counts are added up per task
     first. A table of at most ``limit`` (tree, leaf, class) entries then travels to the rows, which look their leaves up;
-    a larger one is met by the leaves in a salted join.
+    a larger one is met by the leaves in a join, salted where trees are few (a leaf's rows are at most one in as many
+    as there are trees).
     """
     sizes = df.groupBy(klass).agg(F.count(F.lit(1)).alias("_size"))
     counts = df.select(klass, F.posexplode(F.col(leaves).cast("array<long>")).alias("tree", "leaf")).groupBy("tree", "leaf", klass).agg(F.count(F.lit(1)).alias("_n"))
     shares = cut_lineage(counts.join(sizes, klass).select("tree", "leaf", klass, (F.col("_n") / F.col("_size")).alias("share")))
     if shares.count() <= limit:
         return _looked_up(df, shares, ident, klass, leaves)
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    trees = df.agg(F.max(F.size(leaves))).first()[0]
+    salts = max(1, SALTS // max(1, trees))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     entries = shares.groupBy("tree", "leaf").agg(F.collect_list(F.struct(klass, "share")).alias("_s")).select("*", salt)
-    long = df.select(ident, F.size(leaves).alias("_t"), F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int").alias("_salt"), F.posexplode(F.col(leaves).cast("array<long>")).alias("tree", "leaf"))
+    long = df.select(ident, F.size(leaves).alias("_t"), F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int").alias("_salt"), F.posexplode(F.col(leaves).cast("array<long>")).alias("tree", "leaf"))
     hits = long.join(entries, ["tree", "leaf", "_salt"]).select(ident, "_t", F.inline("_s"))
     return hits.groupBy(ident, klass).agg((F.sum("share") / F.max("_t")).alias("proximity"))
 
