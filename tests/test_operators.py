@@ -464,3 +464,34 @@ def test_array_percentile_and_trapezoid(spark):
     x = np.random.default_rng(14).normal(size=(2, 9))
     for row, v in zip(series(spark, x).select(A.percentile(F.col("ts"), 0.2), A.trapezoid(F.col("ts"), 1.5)).collect(), x):
         assert row[0] == pytest.approx(np.percentile(v, 20)) and row[1] == pytest.approx(np.trapezoid(v, dx=1.5))
+
+
+def test_cluster_means_do_not_depend_on_the_order_of_the_rows(spark):
+    """Sums of 0.1, 0.2, ... differ by order as doubles; equal means of two channels tie, and the first one wins."""
+    values = [0.1, 0.7, 0.2, 0.3, 0.6, 0.05, 0.15] * 3
+    rows = [(c, 90, 1, v, v, values[-1 - i], 0.0, 1.0, True) for c, own in enumerate((values, values[::-1], sorted(values))) for i, v in enumerate(own)]
+    names = "patient int, pct int, cid int, p double, p_nec double, p_enh double, p_mix double, dist double, edema boolean"
+    out = H.cluster_statistics(spark.createDataFrame(rows, names).coalesce(1), ["patient"], "p").collect()
+    assert {r["mean_prob"] for r in out} == {0.3} and {r["mean_p_enh"] for r in out} == {0.3}
+    assert {r["dominant_class"] for r in out} == {"necrosis"}
+    same = spark.createDataFrame([(0, 90, 1, 0.1, 0.0, 0.0, 0.0, None, True)] * 3, names)
+    assert H.cluster_statistics(H.in_units(same, ["p"]), ["patient"], "p").first()["mean_prob"] == 0.1
+
+
+def test_hotspot_sql_keeps_patients_without_a_core(spark, tmp_path):
+    """Patients of a few voxels: some have no core, and their hotspots no distance."""
+    import duckdb
+
+    from parity import compare
+    from voxelspark import catalog
+
+    path = str(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    own = "SELECT * FROM '/root/testdata/sf0.01/lineitem.parquet'"
+    few = f"SELECT * REPLACE ((100+l_orderkey//20)*3750+l_orderkey%20 AS l_orderkey) FROM ({own}) WHERE l_orderkey<2000"
+    con.sql(f"COPY ({few}) TO '{path}' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+    queries, sql = catalog.load()
+    name = "j8_cluster_core_distance"
+    assert compare(queries[name](spark, str(tmp_path)), con, sql[name]) is None
+    assert queries[name](spark, str(tmp_path)).where("min_dist_mm IS NULL").count() > 0

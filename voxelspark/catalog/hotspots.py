@@ -39,8 +39,31 @@ _HOT = {
 }
 
 
+# Probabilities in whole units and exact sums, so that no row order shows in a mean, a tie or a rank; thresholds as
+# lower + (upper - lower) * part, which is the value itself where both neighbours are equal.
+_UNITS = "floor({c}*1e12+0.5)"
+_MEAN = "CAST(SUM(CAST(" + _UNITS + " AS BIGINT)) AS DOUBLE)/(1e12*COUNT({c}))"
+_TIE = "floor(mean_{c}*1e9+0.5)"
+_EXACT = {
+    **_HOT,
+    "rg": "SELECT * REPLACE (" + ", ".join(f"{_UNITS.format(c=c)}/1e12 AS {c}" for c in ("p", *H.CHANNELS)) + ") FROM tm WHERE test_region",
+    "cut_": "SELECT patient, pct, v[CAST(floor(pos) AS BIGINT)+1]+(v[CAST(ceil(pos) AS BIGINT)+1]-v[CAST(floor(pos) AS BIGINT)+1])*(pos-floor(pos)) AS threshold FROM "
+    "(SELECT patient, pct, v, (len(v)-1)*(pct/100.0::DOUBLE) AS pos FROM (SELECT patient, list_sort(list(p)) AS v FROM rg GROUP BY 1), (SELECT unnest([90, 95]) AS pct))",
+    "cl": f"SELECT s.patient, s.pct, cid, COUNT(*) AS size_voxels, {_MEAN.format(c='p')} AS mean_prob, MAX(p) AS max_prob, MIN(dist) AS min_dist_mm, bool_or(edema) AS in_edema, bool_or(NOT edema) AS in_ring, "
+    + ", ".join(f"{_MEAN.format(c=c)} AS mean_{c}" for c in H.CHANNELS)
+    + " FROM s JOIN comp USING (patient, pct, flat_idx) JOIN ds USING (patient, pct, flat_idx) GROUP BY 1,2,3",
+    # a patient without a core keeps its hotspots, without a distance
+    "ds": _HOT["ds"].replace("FROM s JOIN cv", "FROM s LEFT JOIN cv"),
+    "ok": f"SELECT cl.*, bg_mean, bg_std, (mean_prob-bg_mean)/(bg_std/sqrt(size_voxels)) AS z, mean_prob*size_voxels/(COALESCE(min_dist_mm,0)+1) AS score FROM cl JOIN bg USING (patient, pct) "
+    f"WHERE size_voxels>={MIN_VOXELS} AND COALESCE(min_dist_mm>={MIN_DIST}, TRUE)",
+    "dc": "SELECT *, CASE WHEN {n}>={e} AND {n}>={m} THEN 'necrosis' WHEN {e}>={m} THEN 'enhancing' ELSE 'enhancing_plus_necrosis' END AS dominant_class FROM cl".format(
+        n=_TIE.format(c="p_nec"), e=_TIE.format(c="p_enh"), m=_TIE.format(c="p_mix")
+    ),
+}
+
+
 def _hq(name: str, cols: str, body: str, **extra: str):
-    return query(name, cols, recursive(fx.with_views(body, "vm", extra={**_HOT, **extra})))
+    return query(name, cols, recursive(fx.with_views(body, "vm", extra={**_EXACT, **extra})))
 
 
 def _region(spark, sf):
@@ -52,7 +75,7 @@ def _labelled(spark, sf):
 
 
 def _hot_voxels(vm):
-    region = vm.where("test_region")
+    region = H.in_units(vm.where("test_region"), ["p", *H.CHANNELS])
     cuts = cut_lineage(H.thresholds(H.value_order(region, KEYS, "p"), H.PERCENTILES))
     return H.labelled_hotspots(region, vm.where("core"), cuts, KEYS, GRID, SPACING, "p")
 
@@ -76,7 +99,7 @@ def dominant_channel(spark, sf):
     return H.cluster_statistics(_labelled(spark, sf), KEYS, "p")
 
 
-@_hq("a10_background_statistics", f"{BY} bg_mean:d6 bg_std:d6", "SELECT * FROM bg")
+@query("a10_background_statistics", f"{BY} bg_mean:d6 bg_std:d6", recursive(fx.with_views("SELECT * FROM bg", "vm", extra=_HOT)))
 def background(spark, sf):
     return H.thresholds(H.value_order(_region(spark, sf).where("test_region"), KEYS, "p"), H.PERCENTILES)
 

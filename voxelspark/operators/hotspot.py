@@ -24,10 +24,27 @@ INTRA_COHERENT = 0.30
 MULTIFOCAL_SPHERICITY = 0.35
 COMPACT_SPHERICITY = 0.40
 
+# Probabilities count in this part of one, so sums don't depend on the order of the rows; means tie
+# when they agree to ``TIE`` of one.
+UNIT, TIE = 1e12, 1e9
+
 # Channel column and its tissue name, in tie-breaking order.
 CHANNELS = {"p_nec": "necrosis", "p_enh": "enhancing", "p_mix": "enhancing_plus_necrosis"}
 
 
+def units(v: Column | str, scale: float = UNIT) -> Column:
+    return F.floor((F.col(v) if isinstance(v, str) else v) * scale + 0.5)
+
+
+def in_units(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Probabilities as whole numbers of units, again as a part of one."""
+    return rows.withColumns({c: units(c).cast("double") / UNIT for c in columns if c in rows.columns})
+
+
+def exact_mean(v: str) -> Column:
+    return F.sum(units(v).cast("decimal(20,0)")).cast("double") / (F.lit(UNIT) * F.count(v))
+
+
 def value_order(region: DataFrame, keys: Sequence[str], p: str) -> ValueTable:
     """The one order of a region's values from which thresholds, backgrounds and ranks are read."""
     v = F.col(p)
@@ -54,10 +71,10 @@ def thresholds(order: ValueTable, percentiles: Sequence[int]) -> DataFrame:
 
 def dominant_channel(means: dict[str, str]) -> Column:
     """Name of the channel with the largest mean; the first wins ties, ``unknown`` without any."""
-    best = F.greatest(*[F.col(m) for m in means])
+    best = F.greatest(*[units(m, TIE) for m in means])
     out = F.when(best.isNull(), "unknown")
     for m, name in means.items():
-        out = out.when(F.col(m) == best, name)
+        out = out.when(units(m, TIE) == best, name)
     return out
 
 
@@ -67,12 +84,12 @@ def cluster_statistics(rows: DataFrame, keys: Sequence[str], p: str, channels: d
     means = {f"mean_{c}": name for c, name in channels.items()}
     out = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("size_voxels"),
-        F.avg(p).alias("mean_prob"),
+        exact_mean(p).alias("mean_prob"),
         F.max(p).alias("max_prob"),
         F.min("dist").alias("min_dist_mm"),
         F.bool_or("edema").alias("in_edema"),
         F.bool_or(~F.col("edema")).alias("in_ring"),
-        *[F.avg(c).alias(f"mean_{c}") for c in channels],
+        *[exact_mean(c).alias(f"mean_{c}") for c in channels],
     )
     return out.withColumn("dominant_class", dominant_channel(means))
 
@@ -124,6 +141,7 @@ def detect_clusters(
     """
     keys = list(keys)
     by = [*keys, "pct"]
+    region = in_units(region, [p, *CHANNELS])
     order = value_order(region, keys, p)
     cuts = cut_lineage(thresholds(order, percentiles))
     clusters = cluster_statistics(labelled_hotspots(region, core, cuts, keys, grid, spacing, p), keys, p)
