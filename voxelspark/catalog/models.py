@@ -23,12 +23,13 @@ SGRID = Grid(5, 5, 5, fx.VX, fx.VY, fx.VZ)
 _BY_TARGET = "SELECT CAST(label<5 AS INT) AS target, COUNT(*) AS n, COUNT(*) AS in_range, true AS learnt FROM series GROUP BY 1"
 
 
-def samples(spark, sf):
-    """Normalised series as features, half of the labels as target, every fourth voxel for validation."""
+def samples(spark, sf, target=None):
+    """Normalised series as features, half of the labels as target unless given, every fourth voxel for validation."""
+    target = F.expr("CAST(label < 5 AS INT)") if target is None else target
     df = fx.series(spark, sf)
     return cut_lineage(
         df.select(
-            "patient", "flat_idx", F.expr("CAST(label < 5 AS INT)").alias("target"), F.expr("flat_idx % 4 = 0").alias("val"), array_to_vector(TS.ts_normalized(F.col("ts"))).alias("features")
+            "patient", "flat_idx", target.alias("target"), F.expr("flat_idx % 4 = 0").alias("val"), array_to_vector(TS.ts_normalized(F.col("ts"))).alias("features")
         )
     )
 
@@ -78,9 +79,18 @@ def importance(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
 
 
-@_fq("l5_calibrated_svm")
+@query(
+    "l5_calibrated_svm",
+    "target:i n:i in_range:i learnt:b",
+    fx.with_views("SELECT CAST(ts[4]+ts[12]>200 AS INT) AS target, COUNT(*) AS n, COUNT(*) AS in_range, true AS learnt FROM series GROUP BY 1", "series"),
+)
 def svm(spark, sf):
-    return _judged(_scored(spark, sf, "linear_svm"), 0.6)
+    """The machine finds a rule of two frames and tells it on voxels that it was not trained on.
+
+    On the table's labels, which have nothing to do with the series, only a small sample reaches any score above a half.
+    """
+    df = samples(spark, sf, (F.col("ts")[3] + F.col("ts")[11] > 200).cast("int"))
+    return _judged(L.train("linear_svm", df.where("NOT val")).predict(df), 0.85, "val")
 
 
 @query("l6_logistic_regression", "n:i in_range:i optimal:b", fx.with_views("SELECT COUNT(*) AS n, COUNT(*) AS in_range, true AS optimal FROM series WHERE flat_idx%4<>0", "series"))
