@@ -139,6 +139,18 @@ def test_waves_and_empty_tables(spark, monkeypatch):
     assert K.cluster_keys(table(spark, {}), KEYS, "z", ["id"], 3, "kmeans").count() == 0
 
 
+def test_kmeans_rests_however_many_rounds_it_takes():
+    """One cloud without clusters rests late; the kept start is a fixed point also beyond ``max_iter``."""
+    x = np.random.default_rng(0).normal(size=(600, 3))
+    m = K.KMeans(3, seed=1, starts=4, restarts=2, max_iter=2)
+    state = m.begin(x)
+    while not m.finished(state):
+        state = m.step(state, m.stats(state, x, np.zeros(600), np.ones(600)))
+    centres = np.array(m.model(state)["centres"])
+    label = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+    assert state["rounds"] > 3 and np.allclose(centres, [x[label == k].mean(0) for k in range(3)])
+
+
 # ---- forests and perceptrons ---------------------------------------------------------------
 
 

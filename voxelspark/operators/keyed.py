@@ -254,7 +254,7 @@ class Clusters(Method):
 
 
 class KMeans(Clusters):
-    """Lloyd rounds until every centre rests."""
+    """Lloyd rounds until every centre rests; after ``max_iter`` of them only the best start of each restart goes on."""
 
     schema = "centres array<array<double>>, cost double, quality double, rounds int"
 
@@ -289,7 +289,11 @@ class KMeans(Clusters):
             moving[run] = not np.allclose(new, c[run], rtol=1e-9, atol=1e-12)
             c[run], cost[run] = new, t[-1]
         state = state | {"c": c, "moving": moving, "cost": cost, "rounds": state["rounds"] + 1}
-        return self._ended(state, -cost) if not moving.any() or state["rounds"] >= self.max_iter else state
+        if state["rounds"] >= self.max_iter:  # from here on only the best start of each restart goes on, until it rests
+            near = [cost[r * self.starts : (r + 1) * self.starts] for r in range(self.restarts)]
+            ahead = [r * self.starts + int(np.argmin(v)) for r, v in enumerate(near)]
+            state["moving"] = moving & np.isin(np.arange(len(moving)), ahead)
+        return state if state["moving"].any() else self._ended(state, -cost)
 
     def model(self, state: dict) -> dict:
         b = state["best"]
