@@ -107,6 +107,36 @@ def test_a_crowd_costs_linear_comparisons(spark, monkeypatch):
     assert sum(compared) < 5 * 600
 
 
+@pytest.mark.parametrize("block", [512, 40])
+def test_near_copies_inside_a_crowd_of_texts_below_the_limit_are_found(spark, monkeypatch, block):
+    """Texts of one origin just below the limit meet each other; the one near copy that some of them have is still found."""
+    monkeypatch.setattr(near_copies, "BLOCK_SETS", block, raising=False)
+    rng = random.Random(8)
+    base = [f"c{rng.randrange(9000)}" for _ in range(600)]
+    texts, pairs = [], []
+    for i in range(150):
+        t = list(base)
+        for at in rng.sample(range(0, 600, 5), 9):
+            t[at] = f"x{rng.randrange(10**7)}"
+        texts.append(t)
+        if i % 3 == 0:
+            copy = list(t)
+            for at in rng.sample(range(0, 600, 5), 8):
+                copy[at] = f"y{rng.randrange(10**7)}"
+            pairs.append((len(texts) - 1, len(texts)))
+            texts.append(copy)
+    sets = dict(enumerate(windows(" ".join(t)) for t in texts))
+    want = near_groups(sets)
+    assert max(list(want.values()).count(g) for g in set(want.values())) < 10 and len(set(want.values())) < 155
+    got = {}
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    for r in near_copies.groups(docs).collect():
+        got.setdefault(r["root"], []).append(r["_id"])
+    label = {i: min(v) for v in got.values() for i in v}
+    assert all(want[a] == want[b] and label[a] == label[b] for a, b in pairs)
+    assert all(want[r] == want[i] for v in got.values() for r in v for i in v)
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
     text = " ".join(f"w{i}" for i in range(100))
     near = text + " end"

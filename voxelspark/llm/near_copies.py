@@ -7,10 +7,13 @@ their first bits. At Jaccard 0.8 one table finds 0.46 of the pairs and all seven
 A random pair meets with a chance of 1e-9, and the number of rows a set sends follows the logarithm of the number of
 sets only.
 
-In every table a set is compared with two sets at most: the least and the largest of those that come first at the
-variants it meets others at. So a pair that meets is compared unless one of both met more than two others, in all tables;
-a crowd, of near copies or of texts just below the limit, costs at most 14 comparisons a set. They are made in rounds:
-each set with its first candidate outside its group, then four, then the rest; sets linked meanwhile need none. Only pairs with a Jaccard similarity of ``JACCARD`` or more, counted on
+Sets are first compared with two others a table at most, the least and the largest of those that come first at the
+variants it meets others at, in rounds: each set with its first candidate outside its group, then four, then the rest;
+sets linked meanwhile need none. That joins nearly all groups at a cost in proportion to the sets. Then all other pairs
+that meet are compared: sets that meet, directly or through others, are a crowd, and in a crowd of several groups
+every two sets of different groups within ``RADIUS`` bits in a table are compared, block against block, so no task holds
+more than two blocks and no pair becomes a row. So a crowd of near copies costs little more than its size, and only a crowd of texts that
+are not copies, just below the limit, costs the square of it. Only pairs with a Jaccard similarity of ``JACCARD`` or more, counted on
 their windows, are linked; a group is a connected part of the links.
 
 Defined cases: texts below ``SHINGLE`` words are one window; null, empty and blank texts are one group; equal sets
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from voxelspark.operators.spatial import merge_graph
 
 from .common import broadcast_if_small, map_texts, parts_of, stored
-from .simhash import flips, keep_first, meetings
+from .simhash import flips, forest, keep_first, meetings
 
 BITS = 48
 TABLES = 7
@@ -41,6 +44,8 @@ JACCARD = 0.8
 SEED = 42
 SLICE_SETS = 250_000  # sets that a slice of the variants gets, about
 SLICE_VARIANTS = 200_000  # variants made at a time, about
+BLOCK_SETS = 512  # of a crowd, of about BLOCK_BYTES of windows at most
+BLOCK_BYTES = 8_000_000
 PRINTS = [f"f{i}" for i in range(TABLES)]
 TURNS = np.random.default_rng(SEED).integers(0, 2**63, TABLES * BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -87,8 +92,9 @@ def variants(fps: np.ndarray, prefix: int, t: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(values), np.concatenate(owners)
 
 
-def slice_heads(fps: np.ndarray, nodes: np.ndarray, prefix: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, least, largest): of the first nodes of all variants at which a node meets others in the slice, the least and the largest."""
+def slice_heads(fps: np.ndarray, nodes: np.ndarray, prefix: int, t: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(node, least, largest): of the first nodes of all variants at which a node meets others in the slice, the least and the largest;
+    and (node, least node of its part), a spanning forest of all meetings in the slice."""
     order = np.lexsort((nodes, fps))
     fps, nodes = fps[order], nodes[order]
     distinct, first, group = np.unique(fps, return_index=True, return_inverse=True)
@@ -113,14 +119,16 @@ def slice_heads(fps: np.ndarray, nodes: np.ndarray, prefix: int, t: int) -> tupl
     y, x = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
     starts = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1]))) if len(y) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(y)) - 1 if len(y) else starts
-    return np.concatenate([nodes[same], heads[y[starts]]]), np.concatenate([twin, heads[x[starts]]]), np.concatenate([twin, heads[x[ends]]])
+    label = forest(len(heads), x, y)
+    child = np.flatnonzero(label != np.arange(len(heads)))
+    first_two = np.concatenate([nodes[same], heads[y[starts]]]), np.concatenate([twin, heads[x[starts]]]), np.concatenate([twin, heads[x[ends]]])
+    return first_two, (np.concatenate([nodes[same], heads[child]]), np.concatenate([twin, heads[label[child]]]))
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """u, v: distinct pairs of nodes that meet; ``sets`` has node and the fingerprints of every distinct set.
+def met_sets(sets: DataFrame) -> DataFrame:
+    """k, v, low, high: two partners of v in table k; rows with k = -1 are a forest of all meetings, from v to low.
 
-    In every table a set is paired with the least and the largest of the sets that come first where it meets others: all
-    its partners where these are few, and at most two a table in a crowd.
+    ``sets`` has node and the fingerprints of every distinct set.
     """
     t = prefix_bits(sets.count())
     masks = np.array(flips(t, RADIUS // 2), np.int64)
@@ -136,14 +144,77 @@ def candidates(sets: DataFrame) -> DataFrame:
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         at = int(rows["slice"].iloc[0])
-        v, low, high = slice_heads(rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy(), at & (1 << t) - 1, t)
-        return pd.DataFrame({"k": np.full(len(v), at >> t, np.int32), "v": v, "low": low, "high": high})
+        (v, low, high), (child, root) = slice_heads(rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy(), at & (1 << t) - 1, t)
+        heads = pd.DataFrame({"k": np.full(len(v), at >> t, np.int32), "v": v, "low": low, "high": high})
+        return pd.concat([heads, pd.DataFrame({"k": np.full(len(child), -1, np.int32), "v": child, "low": root, "high": root})])
+
+    return sets.select("node", *PRINTS).mapInPandas(send, "slice int, fp long, node long").groupBy("slice").applyInPandas(meet, "k int, v long, low long, high long")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """u, v: distinct pairs of nodes that meet, those compared first.
 
-    met = sets.select("node", *PRINTS).mapInPandas(send, "slice int, fp long, node long").groupBy("slice").applyInPandas(meet, "k int, v long, low long, high long")
-    heads = met.groupBy("k", "v").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    In every table a set is paired with the least and the largest of the sets that come first where it meets others: all
+    its partners where these are few, and at most two a table in a crowd, whose other pairs are left to ``rest_links``.
+    """
+    heads = met.where("k >= 0").groupBy("k", "v").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return heads.select(F.explode(F.array("low", "high")).alias("u"), "v").distinct()
 
 
+def links_between(group: np.ndarray, fps: np.ndarray, windows: list[np.ndarray], left: np.ndarray, right: np.ndarray, jaccard: float) -> list[tuple[int, int]]:
+    """Links that join the groups of the sets ``left`` and ``right``: of all pairs of different groups within ``RADIUS`` bits
+    in a table, one per group and set that has a partner of the similarity."""
+    group, found = group.copy(), []
+    size = np.array([len(w) for w in windows])
+    flat = np.concatenate([windows[i] for i in right])
+    owner = np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for x in left:
+        near = (np.bitwise_count(fps[right] ^ fps[x]) <= RADIUS).any(1) & (group[right] != group[x])
+        if not near.any():
+            continue
+        start, end = np.searchsorted(flat, windows[x], "left"), np.searchsorted(flat, windows[x], "right")
+        n = end - start
+        both = np.bincount(owner[np.repeat(end - n.cumsum(), n) + np.arange(n.sum())], minlength=len(right))
+        good = right[near & (both >= jaccard * (size[x] + size[right] - both))]
+        for y in good:
+            if group[y] != group[x]:
+                found.append((int(x), int(y)))
+                group[group == group[y]] = group[x]
+    return found
+
+
+def rest_links(met: DataFrame, merged: DataFrame | None, sets: DataFrame, windows: DataFrame, jaccard: float) -> DataFrame:
+    """u, v: links between different groups of ``merged`` from all pairs that meet.
+
+    A crowd of two was compared already, and one of a single group needs nothing. Others are dealt into blocks; a task compares two of them.
+    """
+    crowds = merge_graph(met.where("k = -1").select(F.col("low").alias("u"), "v"), [])
+    if crowds is None:
+        return met.select(F.col("low").alias("u"), "v").limit(0)
+    named = crowds.withColumnRenamed("label", "crowd")
+    named = named.withColumn("group", F.col("node")) if merged is None else named.join(merged, "node", "left").select("node", "crowd", F.coalesce("label", "node").alias("group"))
+    named = stored(named.join(windows.select("node", F.length("windows").alias("bytes")), "node"), "crowds")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    open_ = named.groupBy("crowd").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n"), F.min("group").alias("a"), F.max("group").alias("b")).where("n > 2 AND a <> b")
+    rows = named.join(open_.select("crowd", "blocks"), "crowd").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.join(sets.select("node", *PRINTS), "node").join(windows, "node").select("node", "crowd", "group", "block", *PRINTS, "windows", other)
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        block, node = table["block"].to_numpy(), table["node"].to_numpy()
+        i, j = key[1].as_py(), key[2].as_py()
+        fps = np.stack([table[c].to_numpy() for c in PRINTS], 1).view(np.uint64)
+        held = [np.frombuffer(w, np.uint64) for w in table["windows"].to_pylist()]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = links_between(table["group"].to_numpy(), fps, held, left, right, jaccard) if len(left) and len(right) else []
+        return pa.table({"u": pa.array([node[min(p)] for p in found], pa.int64()), "v": pa.array([node[max(p)] for p in found], pa.int64())})
+
+    return rows.groupBy("crowd", "i", "j").applyInArrow(compare, "u long, v long")
+
+
 def once_per_task(texts: DataFrame) -> DataFrame:
     """``texts`` (node, text) without the copies that a task has passed on already."""
 
@@ -187,8 +258,8 @@ def verified(pairs: DataFrame, windows: DataFrame, jaccard: float) -> DataFrame:
     return joined.mapInArrow(near, "u long, v long")
 
 
-def linked(pairs: DataFrame, windows: DataFrame, jaccard: float) -> DataFrame | None:
-    """node and label (the least node of its group) of all sets with a link; None without links.
+def linked(pairs: DataFrame, windows: DataFrame, jaccard: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """The links, and node and label (the least node of its group) of all sets with a link; None without links.
 
     Round by round some open pairs of each set are compared; a pair is open while its sets are in different groups and
     it wasn't compared. The rounds end when no pair is open, so each pair is either compared or within a group.
@@ -206,7 +277,7 @@ def linked(pairs: DataFrame, windows: DataFrame, jaccard: float) -> DataFrame |
             rest = rest.join(name("u"), "u", "left").join(name("v"), "v", "left")
             rest = rest.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
         open_, most = stored(rest, "open"), 4 * most
-    return merged
+    return links, merged
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -227,12 +298,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: i
     """root, _id and _h of every row."""
     marks = stored(marked(docs, id_col, text, width), "marks")
     sets = stored(marks.groupBy("node").agg(F.min_by(F.struct("_h", *PRINTS), "_h").alias("_s")).select("node", "_s.*"), "sets")
-    pairs = stored(candidates(sets), "pairs")
-    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    met = stored(met_sets(sets), "met")
+    pairs = stored(candidates(met), "pairs")
+    used = met.where("k = -1").select(F.explode(F.array("low", "v")).alias("node")).distinct()
     wanted = stored(sets.join(used, "node", "left_semi").select("node", "_h"), "wanted")
     held = docs.select(F.xxhash64(text).alias("_h"), F.col(text).cast("string").alias("text")).join(broadcast_if_small(wanted), "_h")
     texts = once_per_task(held.select("node", "text")).groupBy("node").agg(F.any_value("text").alias("text"))
-    merged = linked(pairs, stored(window_sets(texts, width), "windows"), jaccard)
+    windows = stored(window_sets(texts, width), "windows")
+    links, merged = linked(pairs, windows, jaccard)
+    more = stored(rest_links(met, merged, sets, windows, jaccard), "more")
+    if not more.isEmpty():
+        merged = merge_graph(more if links is None else links.unionByName(more), [])
     rows = marks.select("node", "_id", "_h")
     if merged is None:
         return rows.select(F.col("node").alias("root"), "_id", "_h")
