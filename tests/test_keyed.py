@@ -334,3 +334,16 @@ def test_perceptron_equals_plain_training(spark, monkeypatch):
     monkeypatch.setattr(K, "BLOCK_ROWS", 150)
     several = K.fit(K.blocks(df, KEYS, "z", ["id"], "y"), KEYS, K.Perceptron(seed=5, batch=40, epochs=4, rate=0.01)).first()
     assert several["epochs"] == 4 and several["score"] > 0.4
+
+
+def test_a_perceptron_of_several_blocks_takes_a_round_an_epoch(spark, monkeypatch):
+    """The number of jobs follows the epochs, not the batches, and the rule is learnt from all blocks."""
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(1200, 4))
+    df = table(spark, {"a": (x, (x[:, 0] + x[:, 1] > 0).astype(int))})
+    monkeypatch.setattr(K, "BLOCK_ROWS", 300)
+    rounds = []
+    step = K.Perceptron.step
+    monkeypatch.setattr(K.Perceptron, "step", lambda self, state, total: rounds.append(1) or step(self, state, total))
+    row = K.fit(K.blocks(df, KEYS, "z", ["id"], "y"), KEYS, K.Perceptron(seed=5, batch=16, epochs=12, rate=0.01)).first()
+    assert row["epochs"] <= 12 and len(rounds) == row["epochs"] + 1 and row["score"] > 0.93

@@ -488,9 +488,10 @@ class SquaredHinge(Newton):
 class Perceptron(Method):
     """Rectified hidden layers and one logistic unit, by Adam on mini-batches, with early stopping.
 
-    Each class of a block leaves every tenth row aside. An epoch takes the other rows in a seeded order, ``batch`` rows
-    of every block per step, then counts the hits on the rows aside; ``patience`` epochs without a gain of ``tol`` end
-    the training, and the weights of the best epoch stay. The penalty is alpha / 2 |w|^2 per row of a batch.
+    Each class of a block leaves every tenth row aside. An epoch takes the other rows in a seeded order, ``batch`` rows per
+    step; then the hits on the rows aside are counted. ``patience`` epochs without a gain of ``tol`` end the training, and
+    the weights of the best epoch stay. The penalty is alpha / 2 |w|^2 per row of a batch. Every block takes the steps of
+    an epoch over its own rows, and weights and moments are averaged by rows, so a round is an epoch whatever the batch.
     """
 
     hidden: tuple[int, ...] = (32, 16)
@@ -513,7 +514,7 @@ class Perceptron(Method):
             p += [rng.uniform(-bound, bound, (a, b)), rng.uniform(-bound, bound, b)]
         zero = [np.zeros_like(v) for v in p]
         steps = max(1, round(0.9 * len(x) / self.batch))
-        return {"p": p, "m": zero, "v": zero, "t": 0, "steps": steps, "now": 0, "epoch": 0, "best": -np.inf, "kept": p, "at": 0, "idle": 0, "done": False}
+        return {"p": p, "m": zero, "v": zero, "t": 0, "steps": steps, "epoch": 0, "best": -np.inf, "kept": p, "at": 0, "idle": 0, "done": False}
 
     @staticmethod
     def aside(y: np.ndarray) -> np.ndarray:
@@ -530,44 +531,54 @@ class Perceptron(Method):
             layers.append(np.maximum(z, 0.0) if i + 2 < len(p) else 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
         return layers
 
-    def stats(self, state: dict, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-        aside = self.aside(y)
-        if state["now"] == state["steps"]:
-            hit = (self.forward(state["p"], x[aside])[-1][:, 0] > 0.5) == (y[aside] == 1)
-            return np.array([float(hit.sum()), float(aside.sum())])
-        rows = np.flatnonzero(~aside)
-        rows = np.array_split(np.random.default_rng([self.seed, state["epoch"]]).permutation(rows), state["steps"])[state["now"]]
-        layers, grads = self.forward(state["p"], x[rows]), []
-        delta = layers[-1] - y[rows, None]
-        for i in range(len(state["p"]) - 2, -1, -2):
+    def _gradients(self, p: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        layers, grads = self.forward(p, x), []
+        delta = layers[-1] - y[:, None]
+        for i in range(len(p) - 2, -1, -2):
             h = layers[i // 2]
             grads = [h.T @ delta, delta.sum(0), *grads]
-            delta = (delta @ state["p"][i].T) * (h > 0)
-        return np.concatenate([[float(len(rows))], *[g.ravel() for g in grads]])
+            delta = (delta @ p[i].T) * (h > 0)
+        return [(g + (self.alpha * old if i % 2 == 0 else 0.0)) / len(x) for i, (g, old) in enumerate(zip(grads, p))]
 
-    def step(self, state: dict, total: np.ndarray) -> dict:
-        if state["now"] == state["steps"]:
-            return self._judged(state, total)
-        n, at, t = max(total[0], 1.0), 1, state["t"] + 1
-        p, m, v = [], [], []
+    def stats(self, state: dict, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Hits and rows aside of the weights so far; then rows, and rows times weights and moments after one more epoch."""
+        aside, rows = self.aside(y), np.flatnonzero(~self.aside(y))
+        hit = (self.forward(state["p"], x[aside])[-1][:, 0] > 0.5) == (y[aside] == 1)
+        judged = [float(hit.sum()), float(aside.sum()), float(len(rows))]
+        p, m, v, t = state["p"], state["m"], state["v"], state["t"]
         b1, b2 = self.betas
-        rate = self.rate * np.sqrt(1 - b2**t) / (1 - b1**t)
-        for i, old in enumerate(state["p"]):
-            g = (total[at : at + old.size].reshape(old.shape) + (self.alpha * old if i % 2 == 0 else 0.0)) / n
-            at += old.size
-            m.append(b1 * state["m"][i] + (1 - b1) * g)
-            v.append(b2 * state["v"][i] + (1 - b2) * g * g)
-            p.append(old - rate * m[-1] / (np.sqrt(v[-1]) + 1e-8))
-        return state | {"p": p, "m": m, "v": v, "t": t, "now": state["now"] + 1}
+        if state["epoch"] < self.epochs:
+            for part in np.array_split(np.random.default_rng([self.seed, state["epoch"]]).permutation(rows), state["steps"]):
+                t += 1
+                if not len(part):
+                    continue
+                rate = self.rate * np.sqrt(1 - b2**t) / (1 - b1**t)
+                grads = self._gradients(p, x[part], y[part])
+                m = [b1 * o + (1 - b1) * g for o, g in zip(m, grads)]
+                v = [b2 * o + (1 - b2) * g * g for o, g in zip(v, grads)]
+                p = [o - rate * a / (np.sqrt(c) + 1e-8) for o, a, c in zip(p, m, v)]
+        return np.concatenate([judged, *[len(rows) * a.ravel() for a in (*p, *m, *v)]])
+
+    def step(self, state: dict, total: np.ndarray) -> dict:
+        if state["epoch"]:
+            state = self._judged(state, total)
+        if state["done"]:
+            return state
+        shapes, at, made = [v.shape for v in state["p"]] * 3, 3, []
+        for shape in shapes:
+            size = int(np.prod(shape))
+            made.append(total[at : at + size].reshape(shape) / max(total[2], 1.0))
+            at += size
+        n = len(state["p"])
+        return state | {"p": made[:n], "m": made[n : 2 * n], "v": made[2 * n :], "t": state["t"] + state["steps"], "epoch": state["epoch"] + 1}
 
     def _judged(self, state: dict, total: np.ndarray) -> dict:
         score = total[0] / total[1] if total[1] else 0.0
-        epoch = state["epoch"] + 1
         idle = 0 if score > state["best"] + self.tol else state["idle"] + 1
-        out = state | {"now": 0, "epoch": epoch, "idle": idle}
+        out = state | {"idle": idle}
         if score > state["best"]:
-            out |= {"best": score, "kept": state["p"], "at": epoch}
-        return out | {"done": epoch >= self.epochs or bool(total[1] and idle > self.patience)}
+            out |= {"best": score, "kept": state["p"], "at": state["epoch"]}
+        return out | {"done": state["epoch"] >= self.epochs or bool(total[1] and idle > self.patience)}
 
     def model(self, state: dict) -> dict:
         p = state["kept"]
