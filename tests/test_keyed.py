@@ -347,3 +347,24 @@ def test_a_perceptron_of_several_blocks_takes_a_round_an_epoch(spark, monkeypatc
     monkeypatch.setattr(K.Perceptron, "step", lambda self, state, total: rounds.append(1) or step(self, state, total))
     row = K.fit(K.blocks(df, KEYS, "z", ["id"], "y"), KEYS, K.Perceptron(seed=5, batch=16, epochs=12, rate=0.01)).first()
     assert row["epochs"] <= 12 and len(rounds) == row["epochs"] + 1 and row["score"] > 0.93
+
+
+def test_trees_grown_together_are_those_grown_alone(monkeypatch):
+    """All small nodes of a shard share the passes over a level; the trees are the same as one by one."""
+    x, y = noisy(8, 200)
+    m = FR.Forest(trees=12, seed=4, depth=7, min_leaf=2, local=10_000)
+    state = m.begin(x)
+    while not m.finished(state):
+        state = m.step(state, m.stats(state, x, y.astype(float), np.ones(200)))
+    alone = {n: m.below(state, n, code, label, times) for n, code, label, times in m.pieces(state, x, y.astype(float))}
+    passes = []
+    best = FR._best_splits
+    monkeypatch.setattr(FR, "_best_splits", lambda *a: passes.append(1) or best(*a))
+    together = m.below_all(state, m.pieces(state, x, y.astype(float)))
+    assert len(passes) <= 7 * 2 and alone.keys() == together.keys() and len(alone) == 12
+    for n, tree in alone.items():
+        assert tree["deepest"] == together[n]["deepest"] and all(np.array_equal(tree[k], together[n][k]) for k in ("feature", "bin", "left", "value", "gains"))
+    few = 200 * 4 * 3
+    monkeypatch.setattr(FR, "TOGETHER", few)
+    again = m.below_all(state, m.pieces(state, x, y.astype(float)))
+    assert all(np.array_equal(tree["value"], again[n]["value"]) for n, tree in alone.items())

@@ -32,6 +32,7 @@ LOCAL_ROWS = 100_000  # of a node whose rest a single task grows
 TASKS = 2_000
 CELLS = 1_000_000  # numbers of one round's histograms
 ROW_TREES = 4_000_000  # rows times trees that are placed at a time
+TOGETHER = 1_000_000  # bins of nodes that are grown together
 
 
 def place(trees: dict, x: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -62,15 +63,15 @@ def _sorted_by(slot: np.ndarray) -> np.ndarray:
     return np.sort((slot.astype(np.int64) << shift) | np.arange(len(slot))) & ((1 << shift) - 1)
 
 
-def _best_splits(code: np.ndarray, slot: np.ndarray, n: int, features: np.ndarray, ones: np.ndarray, zeros: np.ndarray, weights: np.ndarray, min_leaf: int):
-    """Best gain of each of ``n`` nodes (rows sorted by ``slot``) over its features, with feature, bin and counts below."""
+def _best_splits(code: np.ndarray, row: np.ndarray, slot: np.ndarray, n: int, features: np.ndarray, ones: np.ndarray, zeros: np.ndarray, weights: np.ndarray, min_leaf: int):
+    """Best gain of each of ``n`` nodes (rows ``row`` sorted by ``slot``) over its features, with feature, bin and counts below."""
     gain, f, b, below = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 2))
     whole = np.stack([np.bincount(slot, weights=v, minlength=n) for v in (zeros, ones)], 1)
     start = whole.cumsum(0) - whole
     purity = lambda h: (h * h).sum(1) / np.maximum(h.sum(1), 1e-300)
     base = purity(whole * weights)
     for j in range(features.shape[1]):
-        key = slot * 256 + code[np.arange(len(slot)), features[slot, j]]
+        key = slot * 256 + code[row, features[slot, j]]
         order = _sorted_by(key)
         key = key[order]
         at = np.flatnonzero((key[1:] != key[:-1]) & (key[1:] >> 8 == key[:-1] >> 8))  # between two bins of a node
@@ -79,7 +80,7 @@ def _best_splits(code: np.ndarray, slot: np.ndarray, n: int, features: np.ndarra
         own = key[at] >> 8
         under = np.stack([zeros[order].cumsum()[at], ones[order].cumsum()[at]], 1) - start[own]
         above = whole[own] - under
-        got = purity(under * weights) + purity(above * weights) - base[own]
+        got = purity(under * weights[own]) + purity(above * weights[own]) - base[own]
         got = np.where((under.sum(1) >= min_leaf) & (above.sum(1) >= min_leaf), got, -np.inf)
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         most = np.maximum.reduceat(got, first)
@@ -93,19 +94,43 @@ def _best_splits(code: np.ndarray, slot: np.ndarray, n: int, features: np.ndarra
 
 def grown(code: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarray, seed: Sequence[int], level: int = 0, depth: int | None = None, min_leaf: int = 1) -> dict:
     """The tree below one node, node 0, from the bins of its rows; every level is split at once. Cuts are numbers of bins."""
+    return grown_together([(code, y, times, weights, seed, level)], depth, min_leaf)[0]
+
+
+def grown_together(parts: Sequence[tuple], depth: int | None = None, min_leaf: int = 1) -> list[dict]:
+    """The trees below several nodes (bins, labels, counts, class weights, seed and level of each): a level of all of them at once."""
+    code = np.concatenate([p[0] for p in parts])
     d = code.shape[1]
     m = max(1, int(np.sqrt(d)))
-    rng = np.random.default_rng(list(seed))
+    rngs = [np.random.default_rng(list(p[4])) for p in parts]
+    begun = np.array([p[5] for p in parts])
+    class_weights = np.array([p[3] for p in parts], float)
+    y, times = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     zeros, ones = times * (y == 0.0), times * (y == 1.0)
-    share = lambda h: (h * weights)[:, 1] / np.maximum((h * weights).sum(1), 1e-300)
-    root = np.array([[zeros.sum(), ones.sum()]], float)
-    levels = [{"feature": np.full(1, -1), "bin": np.zeros(1, np.int64), "left": np.zeros(1, np.int64), "value": share(root)}]
-    made, gains, deepest = 1, np.zeros(d), level
-    row, slot = np.arange(len(y)), np.zeros(len(y), np.int64)
-    place_of = np.zeros(1 if (root > 0).all() and (depth is None or level < depth) else 0, np.int64)  # open nodes in the last level
+    slot = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+    row = np.arange(len(y))
+    share = lambda h, w: (h * w)[:, 1] / np.maximum((h * w).sum(1), 1e-300)
+
+    def leaves(sides: np.ndarray, tree: np.ndarray) -> dict:
+        return {"tree": tree, "feature": np.full(len(sides), -1), "bin": np.zeros(len(sides), np.int64), "left": np.zeros(len(sides), np.int64), "value": share(sides, class_weights[tree])}
+
+    def open_nodes(sides: np.ndarray, tree: np.ndarray, level: int) -> np.ndarray:
+        return np.flatnonzero((sides > 0).all(1) & (True if depth is None else begun[tree] + level < depth))
+
+    root = np.stack([np.bincount(slot, weights=v, minlength=len(parts)) for v in (zeros, ones)], 1)
+    levels = [leaves(root, np.arange(len(parts)))]
+    made, gains, level, deepest = len(parts), np.zeros((len(parts), d)), 0, begun.copy()
+    place_of = open_nodes(root, levels[0]["tree"], 0)  # open nodes in the last level
+    child = np.full(len(parts), -1)
+    child[place_of] = np.arange(len(place_of))
+    slot = child[slot]
+    row, slot = row[slot >= 0], slot[slot >= 0]
     while len(place_of):
         n, last = len(place_of), levels[-1]
-        order = rng.random((n, d)).argsort(1)
+        tree = last["tree"][place_of]
+        count = np.bincount(tree, minlength=len(parts))
+        order = np.concatenate([rngs[t].random((count[t], d)) for t in np.flatnonzero(count)]).argsort(1)
+        weights = class_weights[tree]
         gain, f, b, below, whole = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 2)), np.zeros((n, 2))
         asked = np.arange(n)
         for a in range(0, d, m):
@@ -113,22 +138,22 @@ def grown(code: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarra
             number[asked] = np.arange(len(asked))
             inside = number[slot] >= 0
             r, s = row[inside], number[slot[inside]]
-            gain[asked], f[asked], b[asked], below[asked], whole[asked] = _best_splits(code[r], s, len(asked), order[asked, a : a + m], ones[r], zeros[r], weights, min_leaf)
+            gain[asked], f[asked], b[asked], below[asked], whole[asked] = _best_splits(code, r, s, len(asked), order[asked, a : a + m], ones[r], zeros[r], weights[asked], min_leaf)
             asked = np.flatnonzero(~(gain > -1e-9))  # no feature of the subset splits the node: the next ones are asked
             if not len(asked):
                 break
         split = np.flatnonzero(gain > -1e-9)
         if not len(split):
             break
-        np.add.at(gains, f[split], np.maximum(gain[split], 0.0))
+        np.add.at(gains, (tree[split], f[split]), np.maximum(gain[split], 0.0))
         at = place_of[split]
         last["feature"][at], last["bin"][at] = f[split], b[split]
         last["left"][at] = made + 2 * np.arange(len(split))
         sides = np.stack([below[split], whole[split] - below[split]], 1).reshape(-1, 2)
-        levels.append({"feature": np.full(len(sides), -1), "bin": np.zeros(len(sides), np.int64), "left": np.zeros(len(sides), np.int64), "value": share(sides)})
+        levels.append(leaves(sides, np.repeat(tree[split], 2)))
         made, level = made + len(sides), level + 1
-        deepest = level
-        place_of = np.flatnonzero((sides > 0).all(1)) if depth is None or level < depth else np.zeros(0, np.int64)
+        deepest[tree[split]] = begun[tree[split]] + level
+        place_of = open_nodes(sides, levels[-1]["tree"], level)
         number, child = np.full(n, -1), np.full(len(sides), -1)
         number[split], child[place_of] = np.arange(len(split)), np.arange(len(place_of))
         inside = number[slot] >= 0
@@ -137,7 +162,14 @@ def grown(code: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarra
         row, slot = row[slot >= 0], slot[slot >= 0]
         again = _sorted_by(slot)
         row, slot = row[again], slot[again]
-    return {k: np.concatenate([v[k] for v in levels]) for k in levels[0]} | {"gains": gains, "deepest": deepest}
+    every = {k: np.concatenate([v[k] for v in levels]) for k in levels[0]}
+    order = every["tree"].argsort(kind="stable")  # tree by tree, each level by level
+    start = np.searchsorted(every["tree"][order], np.arange(len(parts) + 1))
+    rank = np.empty(made, np.int64)
+    rank[order] = np.arange(made) - start[every["tree"][order]]
+    every["left"] = np.where(every["feature"] >= 0, rank[every["left"]], 0)
+    names = ("feature", "bin", "left", "value")
+    return [{k: every[k][order[start[t] : start[t + 1]]] for k in names} | {"gains": gains[t], "deepest": int(deepest[t])} for t in range(len(parts))]
 
 
 def _joined(top: dict, rest: dict[int, dict], edges: np.ndarray) -> dict:
@@ -297,6 +329,19 @@ class Forest(K.Method):
         tree, level = int(state["t"]["tree"][node]), int(state["t"]["level"][node])
         return grown(code, y, times, state["weights"][tree], [self.seed, 2, self.first + tree, node], level, self.depth, self.min_leaf)
 
+    def below_all(self, state: dict, pieces: Iterable[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, dict]:
+        """``below`` of all ``pieces``; as many as ``TOGETHER`` bins hold grow together, so that small nodes share the work of a level."""
+        out, nodes, parts, cells = {}, [], [], 0
+        for node, code, label, times in pieces:
+            if parts and cells + code.size > TOGETHER:
+                out |= zip(nodes, grown_together(parts, self.depth, self.min_leaf))
+                nodes, parts, cells = [], [], 0
+            tree, level = int(state["t"]["tree"][node]), int(state["t"]["level"][node])
+            nodes.append(node)
+            parts.append((code, label, times, state["weights"][tree], [self.seed, 2, self.first + tree, node], level))
+            cells += code.size
+        return out | dict(zip(nodes, grown_together(parts, self.depth, self.min_leaf))) if parts else out
+
     def state_bytes(self, width: int) -> int:
         return 8 * CELLS
 
@@ -351,7 +396,7 @@ def grow(packed: DataFrame, keys: Sequence[str], trees: int = 500, seed: int = 4
             state = own.begin(x)
             while not own.finished(state):
                 state = own.step(state, own.stats(state, x, y, w))
-            model = own.whole(state, {n: own.below(state, n, code, label, times) for n, code, label, times in own.pieces(state, x, y)})
+            model = own.whole(state, own.below_all(state, own.pieces(state, x, y)))
             yield pa.RecordBatch.from_pylist([{k: row[k] for k in by} | model], schema=arrow).select(names)
 
     dealt = F.explode(F.lit(list(range(shards)))).alias("_shard")
