@@ -495,3 +495,59 @@ def test_hotspot_sql_keeps_patients_without_a_core(spark, tmp_path):
     name = "j8_cluster_core_distance"
     assert compare(queries[name](spark, str(tmp_path)), con, sql[name]) is None
     assert queries[name](spark, str(tmp_path)).where("min_dist_mm IS NULL").count() > 0
+
+
+# ---- work that follows the input ------------------------------------------------------------
+
+
+def _near(p, kind):
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    return {(p[0] + i, p[1] + j, p[2] + k) for i, j, k in steps if kind == 26 or abs(i) + abs(j) + abs(k) <= 1}
+
+
+def _counted(spark, df):
+    """``df`` behind a step that counts the rows it is asked for, and the counter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    return df.mapInPandas(passed, df.schema), seen
+
+
+def _made(plan) -> int:
+    """Rows that all generators of an executed plan made."""
+    own = plan.metrics().get("numOutputRows").get().value() if plan.nodeName() == "Generate" else 0
+    return own + sum(_made(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def _solid(spark, nx=70, ny=6, nz=6, at=-35):
+    points = [(x, y, z) for x in range(at, at + nx) for y in range(ny) for z in range(nz)]
+    return spark.createDataFrame([(1, *p) for p in points], "patient int, x int, y int, z int"), set(points)
+
+
+def test_words_of_lines_agree_with_brute_force(spark):
+    rng = np.random.default_rng(5)
+    solid, points = _solid(spark)
+    kept = {p for p in points if rng.random() < 0.93}
+    mask = spark.createDataFrame([(1, *p) for p in kept], solid.schema)
+    as_points = lambda d: {(r["x"], r["y"], r["z"]) for r in d.collect()}
+    for kind, erode in ((6, lambda m: S.erode(m, ["patient"], 1)), (26, lambda m: S.box_erode(m, ["patient"]))):
+        want = {p for p in kept if _near(p, kind) <= kept}
+        assert want and as_points(erode(mask)) == want
+    assert as_points(S.box_dilate(mask, ["patient"])) == set().union(*[_near(p, 26) for p in kept])
+
+
+def test_opening_makes_a_few_rows_per_line_not_26_per_voxel(spark):
+    df, points = _solid(spark)
+    df = df.withColumns({"brain": F.lit(True), "seg": F.lit(0), "pve": F.expr("CASE WHEN x <> 3 THEN 0.9D ELSE 0.1D END")})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = M.healthy_and_csf(df, ["patient"], "seg", "pve")
+        rows = out.collect()
+        assert _made(out._jdf.queryExecution().executedPlan()) < 3 * len(points)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(rows) == len(points) and all(r["csf"] == (r["x"] != 3) for r in rows)

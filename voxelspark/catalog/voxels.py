@@ -451,7 +451,7 @@ _OPEN = {
     **_OPEN,
 )
 def healthy_and_csf(spark, sf):
-    return M.healthy_and_csf(_vm(spark, sf), KEYS, "seg_a", "p_mix", threshold=0.3)
+    return M.healthy_and_csf(cut_lineage(_vm(spark, sf)), KEYS, "seg_a", "p_mix", threshold=0.3)
 
 
 _SEED_FLAGS = {

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .columns import with_stats
 from .grid import AXES
 from .ranking import exact_percentiles
-from .spatial import box_dilate, box_erode, l1_within
+from .spatial import box_dilated_words, eroded_words, l1_within, line_words, with_words
 
 # Parcellation label ids per tissue.
 GM_LABELS = [3, 8, 10, 11, 12, 13, 17, 18, 26, 28, 42, 47, 49, 50, 51, 52, 53, 54, 58, 60]
@@ -257,10 +257,9 @@ def healthy_and_csf(df: DataFrame, keys: Sequence[str], seg: str, csf_pve: str,
     """Healthy brain without segmented voxels, and CSF opened with a 3x3x3 cube inside it."""
     keys = list(keys)
     df = df.withColumn("healthy", F.col("brain") & ~is_true(F.col(seg) >= 0.5))
-    bright = df.where(F.col(csf_pve) > threshold).select(*keys, *AXES)
-    opened = box_dilate(box_erode(bright, keys), keys).withColumn("_csf", F.lit(True))
-    df = df.join(opened, [*keys, *AXES], "left")
-    return df.withColumn("csf", is_true(F.col("_csf")) & F.col("healthy")).drop("_csf")
+    bright = eroded_words(line_words(df, keys, {"_csf": F.col(csf_pve) > threshold}), keys, ["_csf"], 26)
+    df = with_words(df, box_dilated_words(bright, keys, ["_csf"]), keys, ["_csf"])
+    return df.withColumn("csf", F.col("_csf") & F.col("healthy")).drop("_csf")
 
 
 def tissue_table(df: DataFrame) -> DataFrame:

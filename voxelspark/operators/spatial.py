@@ -5,7 +5,8 @@ A voxel set is a DataFrame with ``keys`` and x, y, z; a missing row is backgroun
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,75 @@ from ..session import cut_lineage
 from .grid import AXES, Grid, offsets, shifted
 
 
+# ---- lines of bits -------------------------------------------------------------------------
+
+LINE = 32  # positions along x in one word, at bits 1 to LINE; bits 0 and LINE + 1 repeat the next positions of the adjacent words
+_OWN = ((1 << LINE) - 1) << 1
+
+
+def _any(names: Sequence[str], mask: int = -1) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(n).bitwiseAND(F.lit(mask)) != 0 for n in names])
+
+
+def line_words(voxels: DataFrame, keys: Sequence[str], flags: Mapping[str, Column]) -> DataFrame:
+    """keys, _c, y, z and one word per flag for every stretch of ``LINE`` positions along x that holds a flagged voxel."""
+    c, r = F.floor(F.col("x") / LINE), F.pmod(F.col("x"), F.lit(LINE)).cast("int")
+    own = F.struct(c.alias("c"), (r + 1).alias("bit"))
+    after, before = F.struct((c + 1).alias("c"), F.lit(0).alias("bit")), F.struct((c - 1).alias("c"), F.lit(LINE + 1).alias("bit"))
+    places = F.when(r == 0, F.array(own, before)).when(r == LINE - 1, F.array(own, after)).otherwise(F.array(own))
+    rows = voxels.select(*keys, "y", "z", places.alias("_p"), *[F.coalesce(f, F.lit(False)).alias(n) for n, f in flags.items()])
+    rows = rows.where(reduce(lambda a, b: a | b, [F.col(n) for n in flags])).withColumn("_p", F.explode("_p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_p.bit"))
+    words = [F.bit_or(F.when(F.col(n), bit).otherwise(F.lit(0).cast("long"))).alias(n) for n in flags]
+    return rows.groupBy(*keys, F.col("_p.c").alias("_c"), "y", "z").agg(*words).where(_any(list(flags), _OWN))
+
+
+def eroded_words(words: DataFrame, keys: Sequence[str], names: Sequence[str], kind: int) -> DataFrame:
+    """Words of the voxels whose 6 or 26 neighbours are all set: a line is compared with its 4 or 8 neighbour lines."""
+    near = sorted({(j, k) for _, j, k in offsets(kind)} | {(0, 0)})
+    steps = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(k).alias("k")) for j, k in near])).alias("_o")
+    middle = (F.col("_o.j") == 0) & (F.col("_o.k") == 0) if kind == 6 else F.lit(True)
+
+    def part(n: str) -> Column:
+        w = F.col(n)
+        inner = w.bitwiseAND(F.shiftleft(w, 1)).bitwiseAND(F.shiftright(w, 1))
+        return F.bit_and(F.when(middle, inner).otherwise(w).bitwiseAND(F.lit(_OWN))).alias(n)
+
+    rows = words.select(*keys, "_c", "y", "z", *names, steps).withColumns({"y": F.col("y") + F.col("_o.j"), "z": F.col("z") + F.col("_o.k")})
+    seen = rows.groupBy(*keys, "_c", "y", "z").agg(F.count(F.lit(1)).alias("_n"), *[part(n) for n in names])
+    return seen.where((F.col("_n") == len(near)) & _any(names)).drop("_n")
+
+
+def box_dilated_words(words: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Words of all positions within a 3x3x3 cube around a set voxel."""
+
+    def wide(n: str) -> Column:
+        w = F.col(n).bitwiseAND(F.lit(_OWN))
+        return w.bitwiseOR(F.shiftleft(w, 1)).bitwiseOR(F.shiftright(w, 1))
+
+    spread = words.select(*keys, "_c", "y", "z", *[wide(n).alias(n) for n in names])
+    bits = {0: lambda w: w.bitwiseAND(F.lit(_OWN)), -1: lambda w: F.shiftleft(w.bitwiseAND(F.lit(1)), LINE), 1: lambda w: F.shiftright(w.bitwiseAND(F.lit(2 << LINE)), LINE)}
+    parts = F.array(*[F.struct((F.col("_c") + d).alias("c"), *[take(F.col(n)).cast("long").alias(n) for n in names]) for d, take in bits.items()])
+    lines = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(k).alias("k")) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    rows = spread.select(*keys, "y", "z", F.explode(parts).alias("_p")).select(*keys, "y", "z", F.col("_p.c").alias("_c"), *[F.col(f"_p.{n}").alias(n) for n in names])
+    rows = rows.where(_any(names)).withColumn("_o", F.explode(lines)).withColumns({"y": F.col("y") + F.col("_o.j"), "z": F.col("z") + F.col("_o.k")})
+    return rows.groupBy(*keys, "_c", "y", "z").agg(*[F.bit_or(n).alias(n) for n in names])
+
+
+def with_words(df: DataFrame, words: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Boolean columns ``names``: whether the bit of each voxel is set; the join is by line, not by voxel."""
+    bit = F.pmod(F.col("x"), F.lit(LINE)).cast("int") + 1
+    rows = df.withColumn("_c", F.floor(F.col("x") / LINE)).join(words, [*keys, "_c", "y", "z"], "left")
+    return rows.select(*df.columns, *[F.coalesce(F.bit_get(F.col(n), bit) == 1, F.lit(False)).alias(n) for n in names])
+
+
+def word_voxels(words: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """keys, x, y, z of every set bit."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(LINE - 1)), lambda i: F.bit_get(F.col(name), i + 1) == 1)
+    rows = words.select(*keys, "_c", F.explode(held).alias("_x"), "y", "z")
+    return rows.select(*keys, (F.col("_c") * LINE + F.col("_x")).cast(words.schema["y"].dataType).alias("x"), "y", "z")
+
+
 # ---- city-block distance: dilation and erosion ---------------------------------------------
 
 
@@ -67,8 +137,7 @@ def erode(mask: DataFrame, keys: Sequence[str], n: int = 1) -> DataFrame:
     if n <= 0:
         return mask
     if n == 1:
-        counts = neighbour_counts(mask, keys, 6)
-        return counts.where("neighbours = 6").drop("neighbours")
+        return word_voxels(eroded_words(line_words(mask, keys, {"_w": F.lit(True)}), keys, ["_w"], 6), keys, "_w")
     near = l1_within(outer_border(mask, keys), keys, n)
     return mask.select(*keys, *AXES).join(near.drop("l1"), [*keys, *AXES], "left_anti")
 
@@ -98,11 +167,11 @@ def inner_border(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def box_erode(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return neighbour_counts(mask, keys, 26).where("neighbours = 26").drop("neighbours")
+    return word_voxels(eroded_words(line_words(mask, keys, {"_w": F.lit(True)}), keys, ["_w"], 26), keys, "_w")
 
 
 def box_dilate(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return shifted(mask.select(*keys, *AXES), [(0, 0, 0), *offsets(26)]).distinct()
+    return word_voxels(box_dilated_words(line_words(mask, keys, {"_w": F.lit(True)}), keys, ["_w"]), keys, "_w")
 
 
 def surface_area(mask: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
