@@ -551,3 +551,17 @@ def test_opening_makes_a_few_rows_per_line_not_26_per_voxel(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(rows) == len(points) and all(r["csf"] == (r["x"] != 3) for r in rows)
+
+
+def test_segmentation_masks_read_their_input_once(spark):
+    df, points = _solid(spark)
+    df, seen = _counted(spark, df.withColumns({"brain": F.lit(True), "s": F.expr("CASE WHEN x < 0 THEN 1 WHEN x < 20 THEN 2 ELSE 3 END")}))
+    part = {p: 1 if p[0] < 0 else 2 if p[0] < 20 else 3 for p in points}
+    for steps in (1, 2):
+        rows = T.segmentation_masks(df, ["patient"], "s", steps).collect()
+        assert len(rows) == len(points) and seen.value == steps * len(points)
+        for r in rows:
+            p = (r["x"], r["y"], r["z"])
+            inner = _near(p, 6) if steps == 1 else set().union(*[_near(q, 6) for q in _near(p, 6)])
+            held = all(part.get(q) == part[p] for q in inner)
+            assert [r["seed_necro"], r["seed_edema"], r["seed_enh"]] == [held and part[p] == k for k in (1, 2, 3)]

@@ -60,13 +60,17 @@ def segmentation_masks(df: DataFrame, keys: Sequence[str], seg: str, erosion: in
     """Region flags and eroded seeds of each tumour part."""
     keys = list(keys)
     df = M.region_flags(df, seg, healthy, csf)
-    for part in ("necro", "enh", "edema"):
-        if erosion <= 0:
-            df = df.withColumn(f"seed_{part}", F.col(part))
-            continue
+    seeds = {f"seed_{part}": F.col(part) for part in ("necro", "enh", "edema")}
+    if erosion <= 0:
+        return df.withColumns(seeds)
+    df = cut_lineage(df)
+    if erosion == 1:
+        return S.with_words(df, S.eroded_words(S.line_words(df, keys, seeds), keys, list(seeds), 6), keys, list(seeds))
+    out = df
+    for name, part in seeds.items():
         seed = S.erode(df.where(part), keys, erosion).select(*keys, *AXES, F.lit(True).alias("_s"))
-        df = df.join(seed, [*keys, *AXES], "left").withColumn(f"seed_{part}", M.is_true(F.col("_s"))).drop("_s")
-    return df
+        out = out.join(seed, [*keys, *AXES], "left").withColumn(name, M.is_true(F.col("_s"))).drop("_s")
+    return out
 
 
 def optional_labels(voxels: DataFrame, labels: DataFrame | None, keys: Sequence[str], value: str, out: str) -> DataFrame:
