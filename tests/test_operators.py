@@ -565,3 +565,19 @@ def test_segmentation_masks_read_their_input_once(spark):
             inner = _near(p, 6) if steps == 1 else set().union(*[_near(q, 6) for q in _near(p, 6)])
             held = all(part.get(q) == part[p] for q in inner)
             assert [r["seed_necro"], r["seed_edema"], r["seed_enh"]] == [held and part[p] == k for k in (1, 2, 3)]
+
+
+def test_signed_distance_reads_its_input_once(spark):
+    rng = np.random.default_rng(8)
+    points = sorted({tuple(int(v) for v in rng.integers(-40, 40, 3)) for _ in range(300)})
+    df = spark.createDataFrame([(1, *p) for p in points], "patient int, x int, y int, z int")
+    targets, asked = _counted(spark, df)
+    inside = [p for p in points if sum(v * v for v in p) < 900]
+    mask, held = _counted(spark, spark.createDataFrame([(1, *p) for p in inside], df.schema))
+    volume = G.Grid(200, 200, 200, 1.0, 1.0, 1.0)
+    rows = S.signed_distance(targets, mask, ["patient"], volume).collect()
+    assert (asked.value, held.value, len(rows)) == (len(points), len(inside), len(points))
+    for r in rows:
+        p = (r["x"], r["y"], r["z"])
+        if p not in set(inside):
+            assert abs(r["signed_dist"] - min(sum((a - b) ** 2 for a, b in zip(p, q)) for q in inside) ** 0.5) < 1e-9

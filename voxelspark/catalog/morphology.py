@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import grid as G, spatial as S
+from ..session import cut_lineage
 from .registry import query
 
 GRID = G.Grid(fx.NX, fx.NY, fx.NZ, fx.VX, fx.VY, fx.VZ)
@@ -151,7 +152,7 @@ def euclidean(spark, sf):
 )
 def signed(spark, sf):
     """Quarter-scaled signed distance to the tumour surface."""
-    vm = fx.vox_mask(spark, sf)
+    vm = cut_lineage(fx.vox_mask(spark, sf).select("patient", *"xyz", "brain", "seg_a"))
     return S.signed_distance(vm.where("brain"), vm.where(TUMOUR), KEYS, GRID, scale=0.25)
 
 

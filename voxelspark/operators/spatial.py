@@ -205,6 +205,7 @@ def sphericity(volume: Column, area: Column) -> Column:
 # ---- Euclidean distance --------------------------------------------------------------------
 
 CHUNK = 32
+NOWHERE = 1e30  # squared distance on a line without sources
 
 
 def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -269,8 +270,8 @@ def euclidean_distance(
     """Distance in mm from each target voxel to its nearest source voxel; NULL without sources.
 
     Exact and separable.  Lines along x are collected, then lines along y are combined for
-    chunks of 32 x values, then lines along z for chunks of 32 by 32 columns, so no task holds
-    more than one chunk by one axis length, however large the volume is.
+    chunks of 32 by 32 x and z values side by side, then lines along z for chunks of 32 by 32 columns,
+    so no task holds more than one chunk by one axis length, however large the volume is.
     """
     keys = list(keys)
     sx, sy, sz = spacing
@@ -278,7 +279,7 @@ def euclidean_distance(
     box = targets.groupBy(*keys).agg(*[f(a).alias(f"_{n}{a}") for a in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
     lines = sources.groupBy(*keys, "y", "z").agg(F.collect_set("x").alias("xs")).join(box, keys)
     first, last = (F.floor(F.col(c) / CHUNK).cast("int") for c in ("_lox", "_hix"))
-    lines = lines.withColumn("_cx", F.explode(F.sequence(first, last)))
+    lines = lines.withColumns({"_cx": F.explode(F.sequence(first, last)), "_cz": F.floor(F.col("z") / CHUNK).cast("int")})
 
     key_fields = _key_fields(targets, keys)
     plane = T.StructType(
@@ -286,22 +287,27 @@ def euclidean_distance(
             *key_fields,
             T.StructField("_cx", T.IntegerType()),
             T.StructField("_cy", T.IntegerType()),
-            T.StructField("z", T.IntegerType()),
+            *[T.StructField(c, T.IntegerType()) for c in ("z", "_x0", "_y0", "_nx")],
             T.StructField("g", T.ArrayType(T.DoubleType())),
         ]
     )
 
     def along_y(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        cx, lo, hi = int(first["_cx"]), int(first["_loy"]) // CHUNK, int(first["_hiy"]) // CHUNK
-        xs = np.arange(cx * CHUNK, (cx + 1) * CHUNK)
-        on_line = np.stack([(sx * nearest_on_line(np.asarray(s), xs)) ** 2 for s in pdf["xs"]])
-        ys = np.arange(lo * CHUNK, (hi + 1) * CHUNK)
-        g = lower_envelope(on_line, pdf["y"].to_numpy(), ys, sy).reshape(hi - lo + 1, -1)
-        rows = [[first[k] for k in keys] + [cx, lo + i, int(first["z"]), part] for i, part in enumerate(g)]
+        cx, lo, hi = int(first["_cx"]), int(first["_loy"]), int(first["_hiy"])
+        xs = np.arange(max(cx * CHUNK, int(first["_lox"])), min((cx + 1) * CHUNK - 1, int(first["_hix"])) + 1)
+        ys = np.arange(lo, hi + 1)
+        levels, level = np.unique(pdf["z"], return_inverse=True)
+        places, place = np.unique(pdf["y"], return_inverse=True)
+        on_line = np.full((len(places), len(levels), len(xs)), NOWHERE)
+        on_line[place, level] = np.stack([(sx * nearest_on_line(np.asarray(s), xs)) ** 2 for s in pdf["xs"]])
+        g, rows = lower_envelope(on_line, places, ys, sy), []
+        for c in range(lo // CHUNK, hi // CHUNK + 1):
+            part = g[ys // CHUNK == c]
+            rows += [[first[k] for k in keys] + [cx, c, int(z), int(xs[0]), max(c * CHUNK, lo), len(xs), part[:, i].ravel()] for i, z in enumerate(levels)]
         return pd.DataFrame(rows, columns=plane.fieldNames())
 
-    planes = lines.groupBy(*keys, "_cx", "z").applyInPandas(along_y, plane)
+    planes = lines.groupBy(*keys, "_cx", "_cz").applyInPandas(along_y, plane)
     tiles = targets.withColumns({f"_c{a}": F.floor(F.col(a) / CHUNK).cast("int") for a in ("x", "y")})
     result = T.StructType([*key_fields, *[T.StructField(a, T.IntegerType()) for a in AXES], T.StructField(out, T.DoubleType())])
 
@@ -314,7 +320,8 @@ def euclidean_distance(
             return res
         g = np.stack(left["g"].to_numpy())
         z0 = left["z"].to_numpy()
-        cell = (right["y"].to_numpy() % CHUNK) * CHUNK + right["x"].to_numpy() % CHUNK
+        x0, y0, nx = (int(left[c].iloc[0]) for c in ("_x0", "_y0", "_nx"))
+        cell = (right["y"].to_numpy() - y0) * nx + right["x"].to_numpy() - x0
         z = right["z"].to_numpy()
         used, column = np.unique(cell, return_inverse=True)
         levels, level = np.unique(z, return_inverse=True)
@@ -330,9 +337,11 @@ def signed_distance(
 ) -> DataFrame:
     """Unit-spacing distance to the set, positive outside and negative inside."""
     keys = list(keys)
-    own = mask.select(*keys, *AXES)
-    outside = targets.join(own, [*keys, *AXES], "left_anti")
-    inside = targets.join(own, [*keys, *AXES], "left_semi")
+    asked = targets.select(*keys, *AXES, F.lit(True).alias("_asked"), F.lit(False).alias("_set"))
+    held = mask.select(*keys, *AXES, F.lit(False).alias("_asked"), F.lit(True).alias("_set"))
+    both = cut_lineage(asked.unionByName(held).groupBy(*keys, *AXES).agg(F.bool_or("_asked").alias("_asked"), F.bool_or("_set").alias("_set")))
+    own = both.where("_set").select(*keys, *AXES)
+    outside, inside = both.where("_asked AND NOT _set"), both.where("_asked AND _set")
     border = outer_border(own, keys).where(grid.inside())
     far = euclidean_distance(outside, own, keys, (1.0, 1.0, 1.0), out)
     near = euclidean_distance(inside, border, keys, (1.0, 1.0, 1.0), out).withColumn(out, -F.col(out))
