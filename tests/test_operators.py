@@ -581,3 +581,10 @@ def test_signed_distance_reads_its_input_once(spark):
         p = (r["x"], r["y"], r["z"])
         if p not in set(inside):
             assert abs(r["signed_dist"] - min(sum((a - b) ** 2 for a, b in zip(p, q)) for q in inside) ** 0.5) < 1e-9
+
+
+def test_partitioned_writer_makes_files_by_folder_not_by_task(spark, tmp_path):
+    df = spark.range(800).selectExpr("CAST(id % 5 AS INT) AS patient", "id").repartition(8)
+    sinks.write_partitioned(df, str(tmp_path / "labels"), ["patient"])
+    assert len(list((tmp_path / "labels").glob("patient=*/*.parquet"))) == 5
+    assert spark.read.parquet(str(tmp_path / "labels")).count() == 800

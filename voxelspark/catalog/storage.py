@@ -223,7 +223,7 @@ def run_summary(spark, sf):
 def cluster_outputs(spark, sf):
     """Label map written beside a one-row settings table that is appended to."""
     path = _folder(spark, "clusters")
-    labels = _vm(spark, sf).select("patient", "flat_idx", F.expr(f"CASE WHEN {TUMOUR} THEN flat_idx%4+1 ELSE 0 END").alias("label"))
+    labels = cut_lineage(_vm(spark, sf).select("patient", "flat_idx", F.expr(f"CASE WHEN {TUMOUR} THEN flat_idx%4+1 ELSE 0 END").alias("label")))
     sinks.write_partitioned(labels, f"{path}/labels", ["patient"])
     settings = labels.groupBy("patient").agg(F.count(F.lit(1)).alias("n_vox"), F.lit("bold").alias("mode"))
     settings.write.mode("append").parquet(f"{path}/settings")

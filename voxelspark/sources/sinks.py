@@ -20,8 +20,12 @@ MIN_VOXELS_PER_LABEL = 50
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite") -> None:
-    """Parquet with one folder per value of ``by``; rows of a folder may come from many tasks."""
-    df.write.mode(mode).partitionBy(*by).parquet(path)
+    """Parquet with one folder per value of ``by``.
+
+    The rows of a folder meet first, so the number of files follows the folders, not folders times tasks. Adaptive
+    execution splits a large folder over several tasks.
+    """
+    df.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def summary_rows(df: DataFrame) -> DataFrame:
