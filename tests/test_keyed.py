@@ -368,3 +368,33 @@ def test_trees_grown_together_are_those_grown_alone(monkeypatch):
     monkeypatch.setattr(FR, "TOGETHER", few)
     again = m.below_all(state, m.pieces(state, x, y.astype(float)))
     assert all(np.array_equal(tree["value"], again[n]["value"]) for n, tree in alone.items())
+
+
+def test_kmeans_makes_many_rounds_of_a_job_and_the_same_ones(spark):
+    x = np.random.default_rng(3).random((6000, 2))
+    parts = np.array_split(x, 7)
+    for max_iter in (300, 9):
+        method = K.KMeans(5, seed=1, starts=2, restarts=2, max_iter=max_iter)
+        plain, jumping, jobs = method.begin(x), method.begin(x), 0
+        while not plain["done"]:
+            plain = method.step(plain, sum(method.stats(plain, p, None, None) for p in parts))
+        while not jumping["done"]:
+            jumping = jumping | {"room": 8_000, "blocks": len(parts)}
+            made = [method.parts(jumping, p, None, None) for p in parts]
+            assert all(len(raw) < 4 * 8_000 / len(parts) + 2_000 for _, raw in made)
+            jumping, jobs = method.leap(jumping, sum(m for m, _ in made), [raw for _, raw in made]), jobs + 1
+        assert jumping["rounds"] == plain["rounds"] > 1.5 * jobs and jumping["best"] == plain["best"]
+        assert np.allclose(jumping["c"], plain["c"], rtol=1e-9) and np.allclose(jumping["cost"], plain["cost"], rtol=1e-9)
+
+
+def test_kmeans_jobs_are_fewer_than_rounds(spark):
+    x = np.random.default_rng(4).random((4000, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>")
+    packed = K.blocks(df, [], "x", ["id"], block_rows=500)
+    spark.sparkContext.setJobGroup("rounds", "k-means")
+    try:
+        model = K.fit(packed, [], K.KMeans(4, starts=1)).first()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert model["rounds"] > 20 and jobs < model["rounds"]

@@ -28,6 +28,7 @@ from .ranking import value_prefix
 
 BLOCK_ROWS = 20_000
 STATE_BYTES = 64_000_000
+KEPT_BYTES = 4_000_000  # rows that blocks send to the driver in a round, over all keys; four times as many at most
 SAMPLE = 2_000  # rows of a block from which a start is drawn
 REG_COVAR = 1e-6  # fixed value: added to the diagonal of every covariance
 
@@ -146,19 +147,21 @@ def _rounds(large: DataFrame, keys: list[str], method: "Method", schema: str) ->
 
     started = large.where("_block = 0").mapInArrow(begin, "_key string, state binary").collect()
     states = {r["_key"]: pickle.loads(r["state"]) for r in started}
-    names = {r["_key"]: {k: r[k] for k in keys} for r in large.where("_block = 0").select("_key", *keys).collect()}
+    first = large.where("_block = 0").select("_key", "_blocks", *keys).collect()
+    names, counts = {r["_key"]: {k: r[k] for k in keys} for r in first}, {r["_key"]: r["_blocks"] for r in first}
     while running := {k: s for k, s in states.items() if not method.finished(s)}:
+        running = {k: s | {"room": KEPT_BYTES // len(running), "blocks": counts[k]} for k, s in running.items()}
         sent = spark.sparkContext.broadcast(running)
 
         def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _each(batches):
                 if row["_key"] in sent.value:
-                    total = method.named(row["_key"]).stats(sent.value[row["_key"]], *_unpacked(row))
-                    yield pa.RecordBatch.from_pydict({"_key": [row["_key"]], "stats": pa.array([total], pa.list_(pa.float64()))})
+                    total, kept = method.named(row["_key"]).parts(sent.value[row["_key"]], *_unpacked(row))
+                    yield pa.RecordBatch.from_pydict({"_key": [row["_key"]], "stats": pa.array([total], pa.list_(pa.float64())), "kept": pa.array([kept], pa.binary())})
 
-        sums = large.mapInArrow(add, "_key string, stats array<double>").groupBy("_key").agg(A.vector_sum(F.col("stats")).alias("s"))
+        sums = large.mapInArrow(add, "_key string, stats array<double>, kept binary").groupBy("_key").agg(A.vector_sum(F.col("stats")).alias("s"), F.collect_list("kept").alias("kept"))
         for r in sums.collect():
-            states[r["_key"]] = method.named(r["_key"]).step(states[r["_key"]], np.array(r["s"]))
+            states[r["_key"]] = method.named(r["_key"]).leap(running[r["_key"]], np.array(r["s"]), r["kept"])
         sent.unpersist()
     return cut_lineage(spark.createDataFrame([names[k] | method.model(s) for k, s in states.items()], schema))
 
@@ -178,6 +181,14 @@ class Method:
 
     def step(self, state: dict, total: np.ndarray) -> dict: ...
 
+    def parts(self, state: dict, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """What a block of a large key sends in a round: sums, and what isn't summed (not above ``room``)."""
+        return self.stats(state, x, y, w), b""
+
+    def leap(self, state: dict, total: np.ndarray, kept: list[bytes]) -> dict:
+        """The state after a round of a large key, or after several where the parts suffice for them."""
+        return self.step(state, total)
+
     def finished(self, state: dict) -> bool:
         return state["done"]
 
@@ -254,19 +265,84 @@ class Clusters(Method):
 
 
 class KMeans(Clusters):
-    """Lloyd rounds until every centre rests; after ``max_iter`` of them only the best start of each restart goes on."""
+    """Lloyd rounds until every centre rests; after ``max_iter`` of them only the best start of each restart goes on.
+
+    One job of a large key makes many rounds. A row whose nearest centre leads by more than ``2 reach`` keeps it as long as
+    no centre is farther than ``reach`` from where it stood, so such rows are sent as sums and only the others as rows;
+    from both the driver goes on until a centre leaves its reach. The next reach follows from the counts of leads below
+    ``BINS`` bounds, so that the rows fit into ``room``. The rounds are the same as those of one job each.
+    """
 
+    BINS = 30
     schema = "centres array<array<double>>, cost double, quality double, rounds int"
 
     def __init__(self, k: int, seed: int = 42, starts: int = 10, restarts: int = 1, max_iter: int = 300):
         super().__init__(k, seed, starts, restarts, max_iter)
 
     def begin(self, x: np.ndarray) -> dict:
-        return {"c": np.array([spread_start(x, self.k, s) for s in self.seeds]), "moving": np.ones(len(self.seeds), bool), "cost": np.zeros(len(self.seeds)), "rounds": 0, "done": False, "finalists": None}
+        return {"c": np.array([spread_start(x, self.k, s) for s in self.seeds]), "moving": np.ones(len(self.seeds), bool), "cost": np.zeros(len(self.seeds)), "rounds": 0, "done": False, "finalists": None} | {
+            "at": np.zeros(len(self.seeds), int), "limit": self.max_iter, "reach": np.zeros(len(self.seeds))
+        }
 
     def _labels(self, state: dict, run: int, x: np.ndarray) -> np.ndarray:
         return _distances(x, state["c"][run]).argmin(1)
 
+    @staticmethod
+    def _active(state: dict) -> np.ndarray:
+        return np.flatnonzero(state["moving"] & (state["at"] < state["limit"]))
+
+    def _bounds(self, c: np.ndarray) -> np.ndarray:
+        return np.ptp(c, axis=0).max() * 0.5 ** np.arange(self.BINS)
+
+    def parts(self, state: dict, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, bytes]:
+        if state["finalists"] is not None:
+            return self._judged(state, x), b""
+        out, kept, runs = [], [], self._active(state)
+        room = 4 * state["room"] // (8 * x.shape[1] * len(runs) * state["blocks"])
+        for run in runs:
+            c, reach = state["c"][run], state["reach"][run]
+            d = _distances(x, c)
+            label = d.argmin(1)
+            two = np.sqrt(np.partition(d, 1, axis=1)[:, :2]) if self.k > 1 else np.array([[0.0, np.inf]] * len(x))
+            lead = two[:, 1] - two[:, 0]
+            loose = (lead <= 2 * reach * (1 + 1e-9)) & (reach > 0)
+            if loose.sum() > room:
+                reach, loose = 0.0, np.zeros(len(x), bool)
+            off, one = x - c[label], np.zeros((len(x), self.k))
+            one[np.arange(len(x)), label] = ~loose
+            out += [one.sum(0), (one.T @ off).ravel(), one.T @ (off * off).sum(1), np.searchsorted(np.sort(lead), self._bounds(c), "right").astype(float)]
+            kept.append((reach, x[loose]))
+        return np.concatenate(out), pickle.dumps(kept)
+
+    def leap(self, state: dict, total: np.ndarray, kept: list[bytes]) -> dict:
+        if state["finalists"] is not None:
+            return self._chosen(state, total)
+        state = state | {n: state[n].copy() for n in ("c", "moving", "cost", "at", "reach")}
+        runs, sent, d = self._active(state), [pickle.loads(b) for b in kept], state["c"].shape[2]
+        for i, (run, t) in enumerate(zip(runs, total.reshape(len(runs), -1))):
+            n0, off, far, below = np.split(t, [self.k, self.k + self.k * d, 2 * self.k + self.k * d])
+            off, c0, reach, loose = off.reshape(self.k, d), state["c"][run].copy(), min(p[i][0] for p in sent), np.concatenate([p[i][1] for p in sent])
+            while state["moving"][run] and state["at"][run] < state["limit"]:
+                c = state["c"][run].copy()
+                gap = c - c0
+                if not np.sqrt((gap * gap).sum(1)).max() <= reach:
+                    break
+                near = _distances(loose, c)
+                label = near.argmin(1)
+                one = np.eye(self.k)[label]
+                n = n0 + one.sum(0)
+                new = np.where(n[:, None] > 0, c0 + (off + one.T @ (loose - c0[label])) / np.maximum(n, 1.0)[:, None], c)
+                cost = (far - 2 * (gap * off).sum(1) + n0 * (gap * gap).sum(1)).sum() + near[np.arange(len(loose)), label].sum()
+                state["c"][run], state["cost"][run] = new, cost
+                state["moving"][run], state["at"][run] = not np.allclose(new, c, rtol=1e-9, atol=1e-12), state["at"][run] + 1
+            fits = np.flatnonzero(below * 8 * d * len(runs) <= state["room"])
+            state["reach"][run] = self._bounds(c0)[fits[0]] / 2 if len(fits) else 0.0
+        state["rounds"] = int(state["at"].max())
+        if state["moving"].any() and not len(self._active(state)):  # from here on only the best start of each restart goes on
+            ahead = [r * self.starts + int(np.argmin(state["cost"][r * self.starts : (r + 1) * self.starts])) for r in range(self.restarts)]
+            state |= {"moving": state["moving"] & np.isin(np.arange(len(self.seeds)), ahead), "limit": np.inf}
+        return state if state["moving"].any() else self._ended(state, -state["cost"])
+
     def stats(self, state: dict, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
         if state["finalists"] is not None:
             return self._judged(state, x)
