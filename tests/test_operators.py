@@ -588,3 +588,26 @@ def test_partitioned_writer_makes_files_by_folder_not_by_task(spark, tmp_path):
     sinks.write_partitioned(df, str(tmp_path / "labels"), ["patient"])
     assert len(list((tmp_path / "labels").glob("patient=*/*.parquet"))) == 5
     assert spark.read.parquet(str(tmp_path / "labels")).count() == 800
+
+
+def test_euclidean_silhouette_compares_each_pair_of_blocks_once_in_its_own_task(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, int(c) if c else None, *(rng.normal(3.0 * (c == 3), 1, 2).tolist())) for i, c in enumerate([9, *rng.integers(0, 4, 149)])]
+    df = spark.createDataFrame(rows, "id int, k int, a double, b double")
+    compared = spark.sparkContext.accumulator(0)
+    plain = L.distance_sums
+
+    def seen(a, b):
+        compared.add(len(a) * len(b))
+        return plain(a, b)
+
+    monkeypatch.setattr(L, "distance_sums", seen)
+    got = {r["id"]: r["silhouette"] for r in L.euclidean_silhouette(df, ["a", "b"], "k", "id", block_rows=10).collect()}
+    assert len(got) == len(rows)
+    assert 0.3 * len(rows) ** 2 < compared.value < 0.65 * len(rows) ** 2
+    v, k = np.array([r[2:] for r in rows]), [r[1] for r in rows]
+    d = np.sqrt(((v[:, None] - v) ** 2).sum(2))
+    for i, c in enumerate(k):
+        mean = {o: d[i, [p == o for p in k]].sum() / max(1, k.count(o) - (o == c)) for o in set(k)}
+        b = min(m for o, m in mean.items() if o != c)
+        assert got[i] == pytest.approx(0.0 if k.count(c) == 1 else (b - mean[c]) / max(b, mean[c]))

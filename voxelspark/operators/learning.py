@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import (
     LogisticRegression,
 )
@@ -37,6 +38,8 @@ CLASSIFIER_NAMES = {
 MAX_ANCHORS = 2000
 LOOKUP_ROWS = 200_000  # of (tree, leaf, class), 16 bytes each in a task; they pass through the driver
 TREE_STEP = 1 << 40
+GROUPS = 24  # of blocks whose pairs are compared, where there are as many blocks
+GROUP_VALUES = 1_000_000  # in the blocks of a group
 SALTS = 16  # into which the rows of a leaf are dealt, over all trees
 
 
@@ -333,12 +336,32 @@ def silhouette(df: DataFrame, cols: Sequence[str], cluster: str, ident: str) ->
     return rows.select(ident, cluster, value.alias("silhouette"))
 
 
+def distance_sums(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the Euclidean distances of each row of ``a`` to all of ``b``, and of each row of ``b`` to all of ``a``."""
+    step = max(1, 65_536 // len(b))  # half a megabyte at a time stays in the cache
+    rows, columns, bt = np.empty(len(a)), np.zeros(len(b)), np.ascontiguousarray(b.T)
+    total, part = np.empty((2, step, len(b)))
+    for i in range(0, len(a), step):
+        own = a[i : i + step]
+        d, e = total[: len(own)], part[: len(own)]
+        d[:] = 0.0
+        for j, line in enumerate(bt):
+            np.subtract(own[:, j, None], line, out=e)
+            np.multiply(e, e, out=e)
+            np.add(d, e, out=d)
+        np.sqrt(d, out=d)
+        rows[i : i + step] = d.sum(1)
+        columns += d.sum(0)
+    return rows, columns
+
+
 def euclidean_silhouette(df: DataFrame, cols: Sequence[str], cluster: str, ident: str, block_rows: int = 2_000) -> DataFrame:
     """Silhouette of every row with Euclidean distances, from exact distance sums.
 
     Rows are packed into blocks of one cluster each. The mean distance of a row to a cluster lies between the distance
     to its centre and the root of the mean squared distance; a cluster whose lower bound is above the least upper bound
-    of every row of a block can't be the nearest one and is skipped. Every other pair of blocks is one small task.
+    of every row of a block can't be the nearest one and is skipped. Blocks are dealt into groups, a task compares the
+    blocks of two groups, and the distances of two blocks are added up for the rows of both at once.
     """
     kind = df.schema[cluster].dataType
     rows = df.select(F.col(ident).alias("_id"), F.col(cluster).alias("_c"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
@@ -366,21 +389,33 @@ def euclidean_silhouette(df: DataFrame, cols: Sequence[str], cluster: str, ident
     nulls = F.lit(names.index(None) if None in names else None).cast("int")
     index = F.when(F.col("_c").isNull(), nulls).otherwise(F.element_at(number, F.col("_c"))) if number is not None else nulls
     packed = cut_lineage(packed.withColumn("_i", index.cast("int")))
-    asked = packed.select("_i", "_block", "x", F.explode(wanted("x", "_i")).alias("_j"))
-    other = packed.select(F.col("_i").alias("_j"), F.col("x").alias("_y"))
-
-    @F.pandas_udf("array<double>")
-    def sums(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y):
-            a, b = np.frombuffer(a).reshape(-1, len(cols)), np.frombuffer(b).reshape(-1, len(cols))
-            total = np.empty(len(a))
-            for i in range(0, len(a), 256):
-                total[i : i + 256] = np.sqrt(((a[i : i + 256, None] - b) ** 2).sum(2)).sum(1)
-            out.append(total)
-        return pd.Series(out)
-
-    pairs = asked.join(other, "_j").select("_i", "_block", "_j", sums("x", "_y").alias("_s"))
+    groups = int(max(1, min(packed.count(), GROUPS), -(-size.sum() * len(cols) // GROUP_VALUES)))
+    group = F.pmod(F.xxhash64("_i", "_block"), F.lit(groups)).cast("int").alias("_g")
+    asked = packed.select("_i", "_block", "x", wanted("x", "_i").alias("_w"), group)
+    cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda h: F.struct(F.least("_g", h).alias("_lo"), F.greatest("_g", h).alias("_hi"))))
+    dealt = asked.select("*", cells.alias("_cell")).select("_i", "_block", "x", "_w", "_g", "_cell._lo", "_cell._hi")
+
+    def compared(table: pa.Table) -> pa.Table:
+        rows, sums = table.to_pylist(), {}
+        for r in rows:
+            r["x"] = np.frombuffer(r["x"]).reshape(-1, len(cols))
+        for i, r in enumerate(rows):
+            for s in rows[i:]:
+                if r["_lo"] < r["_hi"] and r["_g"] == s["_g"]:
+                    continue  # two blocks of one group meet in the group's own cell
+                there, back = s["_i"] in r["_w"], s is not r and r["_i"] in s["_w"]
+                if there or back:
+                    first, second = distance_sums(r["x"], s["x"])
+                    for wants, own, other, part in ((there, r, s, first), (back, s, r, second)):
+                        if wants:
+                            at = (own["_i"], own["_block"], other["_i"])
+                            sums[at] = sums[at] + part if at in sums else part
+        names = ("_i", "_block", "_j")
+        made = {n: pa.array([at[k] for at in sums], pa.int32()) for k, n in enumerate(names)}
+        return pa.table(made | {"_s": pa.array(list(sums.values()), pa.list_(pa.float64()))})
+
+    cells = groups * (groups + 1) // 2  # a partition each, which adaptive execution leaves as they are
+    pairs = dealt.repartition(cells, "_lo", "_hi").groupBy("_lo", "_hi").applyInArrow(compared, "_i int, _block int, _j int, _s array<double>")
     total = pairs.groupBy("_i", "_block", "_j").agg(A.vector_sum(F.col("_s")).alias("_s"))
     count = F.element_at(F.array(*[F.lit(v) for v in size]), F.col("_j") + 1)
     own = F.col("_i") == F.col("_j")
