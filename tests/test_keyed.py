@@ -398,3 +398,12 @@ def test_kmeans_jobs_are_fewer_than_rounds(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert model["rounds"] > 20 and jobs < model["rounds"]
+
+
+def test_machines_of_a_table_of_pairs_of_copies_have_all_folds(spark):
+    x = np.random.default_rng(6).normal(size=(60, 2))
+    rows = [(v.tolist(), int(v[0] > 0)) for v in x for _ in range(2)]
+    df = spark.createDataFrame(rows, "x array<double>, target int")
+    models = K.svm_models(df, [], "x", ["x"], "target", folds=2)
+    assert len(models.first()["_parts"]) == 2
+    assert K.svm_scored(df, models, [], "x").where("(p > 0.5) = (target = 1)").count() > 110

@@ -797,12 +797,12 @@ def _margin(x: str, w: Column) -> Column:
 def svm_models(train: DataFrame, keys: Sequence[str], x: str, ident: Sequence[str], label: str = "target", folds: int = 3, c: float = 1.0) -> DataFrame:
     """keys and _parts: a machine and its calibration for each fold.
 
-    Rows are dealt into calibration folds within key and class. For every fold a machine is fitted on the others and a
+    Rows are dealt into calibration folds within key and class, copies of a row into one fold. For every fold a machine is fitted on the others and a
     sigmoid, with smoothed targets, on the fold's own margins.
     """
     keys = list(keys)
     counts = train.withColumn("_h", F.xxhash64(F.lit("calibration"), *ident))
-    ranks = value_prefix(counts, [*keys, label], "_h", {"n": F.count(F.lit(1))})
+    ranks = value_prefix(counts, [*keys, label], "_h", {"n": F.max(F.lit(1))})
     fold = (F.col("n_before") % folds).cast("int").alias("_f")
     dealt = cut_lineage(counts.join(ranks.select(*keys, label, "_h", fold), [*keys, label, "_h"]).drop("_h"))
     each = dealt.withColumn("_held", F.explode(F.lit(list(range(folds))))).where("_held <> _f")

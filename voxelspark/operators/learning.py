@@ -110,7 +110,7 @@ def train_logistic(df: DataFrame, c: float = 1.0, max_iter: int = 2000) -> Fitte
 def stratified_folds(df: DataFrame, folds: int, ident: str, target: str = "target", out: str = "_f") -> DataFrame:
     """Fold number by seeded order within each class, so every fold holds all classes that have as many rows."""
     df = cut_lineage(df.withColumn("_h", F.xxhash64(F.lit("calibration"), ident)))
-    ranks = value_prefix(df, [target], "_h", {"n": F.count(F.lit(1))})
+    ranks = value_prefix(df, [target], "_h", {"n": F.max(F.lit(1))})
     fold = (F.col("n_before") % folds).cast("int").alias(out)
     return df.join(ranks.select(target, "_h", fold), [target, "_h"]).drop("_h")
 
