@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as A
 from ..session import cut_lineage
-from . import forests as FR, keyed as K
+from . import forests as FR, keyed as K, leave_out as LO
 from .columns import standardise
 from .ranking import value_prefix
 from .sampling import without_group
@@ -157,9 +157,13 @@ def compare_classifiers(
 def leave_one_out_forest(df: DataFrame, group: str, label: str, seed: int = 42, trees: int = 300, depth: int | None = None) -> DataFrame:
     """Probability of each row from the forest trained on all other groups; the forests of all groups grow together.
 
-    Groups whose training rows hold a single class give no rows.
+    Groups whose training rows hold a single class give no rows. Trees share what the groups have in common
+    (``leave_out``); above ``leave_out.TASK_ROWS`` labelled rows each group has a table of its own.
     """
     df = cut_lineage(with_array(df))
+    shared = LO.scored(df, group, "_x", label, trees, seed, depth)
+    if shared is not None:
+        return shared.drop("_x")
     rows = without_group(df.where(F.col(label) != -1), group, df, "_held")
     fit_for = rows.groupBy("_held").agg(F.count_distinct(label).alias("_c")).where("_c > 1").select("_held")
     packed = K.blocks(rows.join(fit_for, "_held", "left_semi"), ["_held"], "_x", [group, "_x"], label)
