@@ -317,7 +317,7 @@ def scored(df: DataFrame, group: str, x: str, label: str, trees: int, seed: int
     every = train.unionByName(held, allowMissingColumns=True).unionByName(test.select("_fold", (F.col("_block") + 1).alias("_block"), "code", "g"), allowMissingColumns=True)
     every = every.withColumn("_shard", F.explode(F.lit(list(range(shards))))).repartition(folds * shards, "_fold", "_shard").sortWithinPartitions("_fold", "_shard", "_block")
     parts = every.mapInArrow(run, "_fold int, _block int, _shard int, v array<double>")
-    # added one by one: a sum by way of means may end above the number of trees
+    # added one by one, so that a sum of shares is never above the number of trees
     sums = parts.groupBy("_fold", "_block").agg(F.sort_array(F.collect_list(F.struct("_shard", "v"))).alias("_s"))
     total = F.aggregate(F.slice("_s", 2, shards), F.col("_s")[0]["v"], lambda v, s: F.zip_with(v, s["v"], lambda p, q: p + q))
     sums = sums.select("_fold", "_block", F.transform(total, lambda v: v / trees).alias("_v"))
