@@ -15,7 +15,7 @@ from ..session import cut_lineage
 from .hotspots import MIN_DIST, MIN_VOXELS
 from .morphology import GRID, KEYS, SPACING
 from .registry import query
-from .splits import _POOL, pools
+from .splits import _POOL, pools_of
 from .timeseries import _VQ, auto_labels
 from .voxels import masks_table
 
@@ -443,7 +443,7 @@ def full_experiment(spark, sf):
     masks = cut_lineage(masks_table(spark, sf))
     voxels = masks.where("brain").select("patient", *"xyz", "flat_idx", "p_nec", "p_enh", "p_mix", F.col("n").cast("double").alias("n"))
     run = PX.detector("Probability ")
-    ensemble, ranked = run(voxels, ["p_nec", "p_enh", "p_mix", "n"], pools(spark, sf), masks, KEYS, GRID, SPACING, block_mm=8.0, buffer_mm=2.0, min_voxels=MIN_VOXELS, min_dist_mm=MIN_DIST)
+    ensemble, ranked = run(voxels, ["p_nec", "p_enh", "p_mix", "n"], pools_of(masks), masks, KEYS, GRID, SPACING, block_mm=8.0, buffer_mm=2.0, min_voxels=MIN_VOXELS, min_dist_mm=MIN_DIST)
     order = W.partitionBy("patient", "pct").orderBy("rank")
     falls = F.coalesce(F.col("score") > F.lag("score").over(order), F.lit(False)) | (F.col("rank") != F.row_number().over(order))
     breaks = ranked.withColumn("_x", falls).groupBy("patient").agg(F.count_if("_x").alias("rank_breaks"))

@@ -20,7 +20,11 @@ _POOL = {
 
 def pools(spark, sf):
     """Tumour core against healthy training voxels."""
-    df = masks_table(spark, sf).where("core OR healthy_train")
+    return pools_of(masks_table(spark, sf))
+
+
+def pools_of(masks):
+    df = masks.where("core OR healthy_train")
     out = df.select("patient", "flat_idx", *G.AXES, F.col("core").cast("int").alias("target"), "healthy_train_gm", "healthy_train_wm")
     return cut_lineage(out.withColumnsRenamed({"healthy_train_gm": "gm", "healthy_train_wm": "wm"}))
 

@@ -7,6 +7,9 @@ rows of every smaller node meet in one task, as bytes of their bins, and that ta
 one block needs no rounds. Trees are dealt into shards of bounded size. Every tree has its own bootstrap counts and class
 weights, those that balance the classes of its bootstrap sample. A node looks at a random subset of the features, and at
 the next ones if none of them splits it.
+
+A key of few training cells needs no table of trees: ``whole_forest`` grows all of its trees at once and keeps their
+leaves, boxes of bins, which then count the leaves that a row lies in, 64 of them in a word.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ TASKS = 2_000
 CELLS = 1_000_000  # numbers of one round's histograms
 ROW_TREES = 4_000_000  # rows times trees that are placed at a time
 TOGETHER = 1_000_000  # bins of nodes that are grown together
+BOX_CELLS = 16_000  # training rows times features up to which boxes are quicker than walks down the trees
+BOX_WORDS = 65_536  # words times rows that are met at a time
 
 
 def place(trees: dict, x: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -521,6 +526,182 @@ def importances(models: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return models.groupBy(*keys).agg(A.vector_sum(F.col("importance")).alias("_i"), F.max("_trees").alias("_t")).select(*keys, F.transform("_i", lambda v: v / F.col("_t")).alias("importance"))
 
 
+# ---- forests of few rows -------------------------------------------------------------------
+
+
+class _Orders:
+    """The features in the order in which the nodes of each tree look at them; the same for all keys of a task."""
+
+    kept: dict[tuple, "_Orders"] = {}
+
+    def __init__(self, seed: int, first: int, last: int, d: int):
+        self.seed, self.trees, self.d = seed, range(first, last), d
+        self.table = np.zeros((len(self.trees), 0, d), np.int64)
+
+    @classmethod
+    def of(cls, *key: int) -> "_Orders":
+        if key not in cls.kept:
+            cls.kept.clear()
+            cls.kept[key] = cls(*key)
+        return cls.kept[key]
+
+    def taken(self, tree: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The order of the node ``number`` of each tree."""
+        if len(number) and number.max() >= self.table.shape[1]:
+            n = max(64, 2 * int(number.max()))
+            self.table = np.stack([np.random.default_rng([self.seed, 2, t, t]).random((n, self.d)).argsort(1) for t in self.trees])
+        return self.table[tree, number]
+
+
+def _packed_splits(flat: np.ndarray, base: np.ndarray, slot: np.ndarray, load: np.ndarray, features: np.ndarray, whole: np.ndarray, weights: np.ndarray, min_leaf: int):
+    """``_best_splits`` of nodes with counts ``whole``; a row's count and label are the last nine bits of what is sorted."""
+    n, m = features.shape
+    keys = np.empty((m, len(slot)), np.int64)
+    for j in range(m):
+        keys[j] = ((slot * m + j) << 8 | flat[base + features[:, j][slot]]) << 9 | load
+    keys = keys.ravel()
+    keys.sort()
+    part = keys >> 9
+    times = keys >> 1 & 255
+    total = (times | times * (keys & 1) << 32).cumsum()  # rows, and ones in the upper half
+    at = np.flatnonzero((part[1:] != part[:-1]) & (part[1:] >> 8 == part[:-1] >> 8))  # between two bins of a node
+    gain, f, b, below = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 2))
+    if not len(at):
+        return gain, f, b, below
+    part = part[at]
+    asked = part >> 8
+    own = asked // m
+    held = whole.sum(1).astype(np.int64) | whole[:, 1].astype(np.int64) << 32
+    start = (held.cumsum() - held)[:, None] * m + held[:, None] * np.arange(m)
+    under = total[at] - start.ravel()[asked]
+    u1 = (under >> 32).astype(float)
+    u0 = (under & 0xFFFFFFFF) - u1
+    a0, a1 = whole[:, 0][own] - u0, whole[:, 1][own] - u1
+    w0, w1 = weights[:, 0][own], weights[:, 1][own]
+    purity = lambda zeros, ones: (zeros * zeros + ones * ones) / np.maximum(zeros + ones, 1e-300)
+    got = purity(u0 * w0, u1 * w1) + purity(a0 * w0, a1 * w1) - purity(*(whole * weights).T)[own]
+    if min_leaf > 1:
+        got[(u0 + u1 < min_leaf) | (a0 + a1 < min_leaf)] = -np.inf
+    new = np.r_[True, own[1:] != own[:-1]]
+    most = np.maximum.reduceat(got, np.flatnonzero(new))
+    hit = np.flatnonzero(got == most[new.cumsum() - 1])
+    hit = hit[np.r_[True, own[hit[1:]] != own[hit[:-1]]]]
+    node = own[hit]
+    gain[node], f[node], b[node] = got[hit], features[node, asked[hit] - node * m], part[hit] & 255
+    below[node, 0], below[node, 1] = u0[hit], u1[hit]
+    return gain, f, b, below
+
+
+def leaf_boxes(code: np.ndarray, y: np.ndarray, times: np.ndarray, orders: _Orders, depth: int | None = None, min_leaf: int = 1) -> list[np.ndarray]:
+    """Tree, lowest and highest bins, and class-1 share of the leaves of the trees with bootstrap counts ``times``."""
+    trees, d = len(times), code.shape[1]
+    m = max(1, int(np.sqrt(d)))
+    flat, one = code.astype(np.int64).ravel(), y.astype(np.int64)
+    whole = np.stack([times @ (1 - one), times @ one], 1).astype(float)
+    class_weights = whole.sum(1, keepdims=True) / (2 * np.maximum(whole, 1))
+    tree, low, high = np.arange(trees), np.zeros((trees, d), np.uint8), np.full((trees, d), 255, np.uint8)
+    slot, row = np.nonzero(times)
+    base, load = row * d, times[slot, row] << 1 | one[row]
+    taken, leaves, level = np.zeros(trees, np.int64), [], 0
+
+    def ended(at: np.ndarray) -> None:
+        h = whole[at] * class_weights[tree[at]]
+        leaves.append((tree[at], low[at], high[at], h[:, 1] / np.maximum(h.sum(1), 1e-300)))
+
+    while len(tree):
+        going = (whole > 0).all(1) & (depth is None or level < depth)
+        ended(~going)
+        inside = going[slot]
+        slot, base, load = (going.cumsum() - 1)[slot[inside]], base[inside], load[inside]
+        tree, low, high, whole = tree[going], low[going], high[going], whole[going]
+        n, weights = len(tree), class_weights[tree]
+        count = np.bincount(tree, minlength=trees)
+        features = orders.taken(tree, taken[tree] + np.arange(n) - (count.cumsum() - count)[tree])
+        taken += count
+        gain, f, b, below = _packed_splits(flat, base, slot, load, features[:, :m], whole, weights, min_leaf)
+        for a in range(m, d, m):  # nodes that no feature of the subset splits ask the next ones
+            asked = ~(gain > -1e-9)
+            if not asked.any():
+                break
+            inside = asked[slot]
+            got = _packed_splits(flat, base[inside], (asked.cumsum() - 1)[slot[inside]], load[inside], features[asked, a : a + m], whole[asked], weights[asked], min_leaf)
+            for old, new in zip((gain, f, b, below), got):
+                old[asked] = new
+        split = gain > -1e-9
+        ended(~split)
+        inside = split[slot]
+        slot, base, load = slot[inside], base[inside], load[inside]
+        slot = 2 * (split.cumsum() - 1)[slot] + (flat[base + f[slot]] > b[slot])
+        f, b, below = f[split], b[split], below[split]
+        whole = np.stack([below, whole[split] - below], 1).reshape(-1, 2)
+        tree, low, high = tree[split].repeat(2), low[split].repeat(2, 0), high[split].repeat(2, 0)
+        left = 2 * np.arange(len(f))
+        high[left, f], low[left + 1, f] = b, b + 1
+        level += 1
+    return [np.concatenate(v) for v in zip(*leaves)]
+
+
+def _box_words(word: np.ndarray, bit: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(features, words, bins): the bits of the boxes that hold a bin of a feature."""
+    d, words = low.shape[1], int(word.max()) + 1
+    out = np.zeros((d, words * (BINS + 1)), np.uint64)
+    bit, at = np.uint64(1) << bit.astype(np.uint64), word * (BINS + 1)
+    for f in range(d):
+        np.add.at(out[f], at + low[:, f], bit)
+        np.subtract.at(out[f], at + np.minimum(high[:, f].astype(np.int64) + 1, BINS), bit)
+    return out.reshape(d, words, -1).cumsum(2, dtype=np.uint64)
+
+
+def box_sums(leaves: Sequence[np.ndarray], code: np.ndarray) -> np.ndarray:
+    """For each row of bins the sum of the shares of the leaves that it lies in, one of each tree."""
+    tree, low, high, share = leaves
+    out, code = np.zeros(len(code)), np.ascontiguousarray(code.T).astype(np.intp)
+
+    def met(words: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        step = min(2_048, max(1, out.size))
+        each = max(1, BOX_WORDS // step)
+        for i in range(0, out.size, step):
+            rows = slice(i, i + step)
+            for w in range(0, words.shape[1], each):
+                own = slice(w, w + each)
+                v = words[0, own].take(code[0, rows], 1)
+                for f in range(1, len(words)):
+                    v &= words[f, own].take(code[f, rows], 1)
+                yield rows, own, v
+
+    pure = np.flatnonzero(share == 1.0)
+    if len(pure):  # a leaf of ones counts one: the leaves of all trees share words
+        number = np.arange(len(pure))
+        for rows, _, v in met(_box_words(number // 64, number % 64, low[pure], high[pure])):
+            out[rows] += np.bitwise_count(v).sum(0, dtype=np.int64)
+    mixed = np.flatnonzero((share > 0.0) & (share < 1.0))
+    if len(mixed):  # of a word of one tree at most one bit is met: its place tells the leaf
+        mixed = mixed[tree[mixed].argsort(kind="stable")]
+        t = tree[mixed]
+        begun = np.r_[True, t[1:] != t[:-1]]
+        place_in = np.arange(len(t)) - np.flatnonzero(begun)[begun.cumsum() - 1]
+        word, bit = (place_in % 64 == 0).cumsum() - 1, place_in % 64
+        shares = np.zeros((word[-1] + 1, 65))
+        shares[word, bit + 1] = share[mixed]
+        for rows, own, v in met(_box_words(word, bit, low[mixed], high[mixed])):
+            at = np.maximum((v.astype(float).view(np.int64) >> 52) - 1022, 0)  # 0 without a bit, else its place and one
+            out[rows] += np.take_along_axis(shares[own], at, 1).sum(0)
+    return out
+
+
+def whole_forest(x: np.ndarray, y: np.ndarray, rows: np.ndarray, trees: int = 500, seed: int = 42, depth: int | None = None, min_leaf: int = 1) -> np.ndarray:
+    """Class-1 probability of ``rows`` by the forest on ``x`` and ``y``, with the trees of a ``Forest``."""
+    m = Forest(trees, seed, depth, min_leaf)
+    edges = m.begin(x)["edges"]
+    code, out, each = binned(edges, x), np.zeros(len(rows)), max(1, TOGETHER // max(1, x.size))
+    at = binned(edges, rows)
+    for a in range(0, trees, each):
+        b = min(trees, a + each)
+        times = np.stack([m.drawn(t, x) for t in range(a, b)])
+        out += box_sums(leaf_boxes(code, y, times, _Orders.of(seed, a, b, x.shape[1]), depth, min_leaf), at)
+    return out / trees
+
+
 def forest_keys(train: DataFrame, df: DataFrame, keys: Sequence[str], x: str, ident: Sequence[str], label: str = "target", trees: int = 500, seed: int = 42, depth: int | None = None, min_leaf: int = 1, out: str = "p") -> DataFrame:
     """Class-1 probability of every row of ``df`` by its own key's forest on ``train``."""
     models = grow(K.blocks(train, keys, x, ident, label), keys, trees, seed, depth, min_leaf)

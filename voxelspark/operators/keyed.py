@@ -102,6 +102,14 @@ def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def settled(method: "Method", x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict:
+    """The last state of a fit whose rows are all here."""
+    state = method.begin(x)
+    while not method.finished(state):
+        state = method.step(state, method.stats(state, x, y, w))
+    return state
+
+
 def fit(packed: DataFrame, keys: Sequence[str], method: "Method") -> DataFrame:
     """keys and the fitted model of each key, by ``blocks``."""
     keys = list(keys)
@@ -111,12 +119,8 @@ def fit(packed: DataFrame, keys: Sequence[str], method: "Method") -> DataFrame:
 
     def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            x, y, w = _unpacked(row)
             own = method.named(row["_key"])
-            state = own.begin(x)
-            while not own.finished(state):
-                state = own.step(state, own.stats(state, x, y, w))
-            model = own.model(state)
+            model = own.model(settled(own, *_unpacked(row)))
             yield pa.RecordBatch.from_pylist([{k: row[k] for k in keys} | model], schema=arrow).select(names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -842,3 +846,42 @@ def balanced_weight(df: DataFrame, keys: Sequence[str], label: str, out: str = "
     totals = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("_c")))).alias("_by"), F.sum("_c").alias("_n"))
     own = by_key(df, totals, keys)
     return own.withColumn(out, F.col("_n") / (F.size("_by") * F.element_at("_by", F.col(label)))).drop("_by", "_n")
+
+
+# ---- keys of few rows ----------------------------------------------------------------------
+
+
+def class_balance(y: np.ndarray) -> np.ndarray:
+    """``balanced_weight`` of rows in memory."""
+    _, kind, n = np.unique(y, return_inverse=True, return_counts=True)
+    return (len(y) / (len(n) * n))[kind]
+
+
+def whole_logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Class-1 probability of ``rows`` by the balanced regression on ``x`` and ``y``, as by ``logistic_keys``."""
+    method = Logistic(2, binary=True)
+    state = settled(method, x, y, class_balance(y))
+    return method._probabilities(state["b"], state["present"], np.concatenate([rows, np.ones((len(rows), 1))], 1))[:, 1]
+
+
+def whole_svm(x: np.ndarray, y: np.ndarray, dealt: np.ndarray, rows: np.ndarray, folds: int = 3, c: float = 1.0) -> np.ndarray:
+    """Class-1 probability of ``rows`` by the machines of ``svm_models``; ``dealt`` is the hash that deals rows into folds.
+
+    A half, if the rows are too few for a machine and rows that it has not seen.
+    """
+    fold, total, made = np.empty(len(y), np.int64), np.zeros(len(rows)), 0
+    for k in np.unique(y):
+        fold[y == k] = np.unique(dealt[y == k], return_inverse=True)[1] % folds
+    margin = lambda v, b: v @ b[:-1] + b[-1]
+    for f in range(folds):
+        held = fold == f
+        if held.all() or not held.any():
+            continue
+        b = settled(SquaredHinge(c), x[~held], y[~held], class_balance(y[~held]))["b"][0]
+        own, ones = y[held], (y[held] == 1).sum()
+        goal = np.where(own == 1, (ones + 1.0) / (ones + 2.0), 1.0 / (len(own) - ones + 2.0))
+        side, m = np.repeat([1.0, 0.0], len(own)), np.tile(margin(x[held], b), 2)[:, None]
+        s = settled(Logistic(2, 1e12, binary=True), m, side, np.concatenate([goal, 1.0 - goal]))["b"][0]
+        z = margin(rows, b) * s[0] + s[1]
+        total, made = total + 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700))), made + 1
+    return total / made if made else np.full(len(rows), 0.5)
