@@ -56,6 +56,11 @@ def attach_wide(df: DataFrame, row: DataFrame, keys: Sequence[str], limit: int =
     return out
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` by ``by`` in as many tasks as the session shuffles into: adaptive execution would merge groups by their bytes, however long they take."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def zmap(df: DataFrame, keys: Sequence[str], value: str, mask: Column, out: str) -> DataFrame:
     """(v - mean) / (sd + 1e-6) with mean and sd over the masked rows, applied to every row."""
     inside = F.when(mask, F.col(value))

@@ -35,6 +35,7 @@ LOCAL_ROWS = 100_000  # of a node whose rest a single task grows
 TASKS = 2_000
 CELLS = 1_000_000  # numbers of one round's histograms
 ROW_TREES = 4_000_000  # rows times trees that are placed at a time
+CODE_BITS = (BINS - 1).bit_length()
 TOGETHER = 1_000_000  # bins of nodes that are grown together
 BOX_CELLS = 16_000  # training rows times features up to which boxes are quicker than walks down the trees
 BOX_WORDS = 65_536  # words times rows that are met at a time
@@ -553,41 +554,49 @@ class _Orders:
         return self.table[tree, number]
 
 
-def _packed_splits(flat: np.ndarray, base: np.ndarray, slot: np.ndarray, load: np.ndarray, features: np.ndarray, whole: np.ndarray, weights: np.ndarray, min_leaf: int):
-    """``_best_splits`` of nodes with counts ``whole``; a row's count and label are the last nine bits of what is sorted."""
+def _packed_splits(flat: np.ndarray, base: np.ndarray, slot: np.ndarray, load: np.ndarray, held: np.ndarray, features: np.ndarray, whole: np.ndarray, weights: np.ndarray, min_leaf: int):
+    """``_best_splits`` of nodes with counts ``whole``. A row's ``load`` is the last part of what is sorted, and ``held`` tells
+    what it holds: its count, and in the upper half its count of ones."""
     n, m = features.shape
-    keys = np.empty((m, len(slot)), np.int64)
+    few, low = (m - 1).bit_length(), (len(held) - 1).bit_length()
+    shift, kind = low + CODE_BITS, np.uint32 if (n << few + low + CODE_BITS) < 1 << 32 else np.int64
+    keys, head, wanted = np.empty((m, len(slot)), kind), (slot << few + shift) | load, np.ascontiguousarray(features.T)
     for j in range(m):
-        keys[j] = ((slot * m + j) << 8 | flat[base + features[:, j][slot]]) << 9 | load
+        keys[j] = head + (flat.take(base + wanted[j].take(slot)) << low) + (j << shift)
     keys = keys.ravel()
     keys.sort()
-    part = keys >> 9
-    times = keys >> 1 & 255
-    total = (times | times * (keys & 1) << 32).cumsum()  # rows, and ones in the upper half
-    at = np.flatnonzero((part[1:] != part[:-1]) & (part[1:] >> 8 == part[:-1] >> 8))  # between two bins of a node
+    total = held.take(keys & kind(len(held) - 1)).cumsum()
+    keys >>= low
+    step = keys[1:] ^ keys[:-1]
+    at = np.flatnonzero((step > 0) & (step < 1 << CODE_BITS))  # between two bins of a node
     gain, f, b, below = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 2))
     if not len(at):
         return gain, f, b, below
-    part = part[at]
-    asked = part >> 8
-    own = asked // m
-    held = whole.sum(1).astype(np.int64) | whole[:, 1].astype(np.int64) << 32
-    start = (held.cumsum() - held)[:, None] * m + held[:, None] * np.arange(m)
-    under = total[at] - start.ravel()[asked]
-    u1 = (under >> 32).astype(float)
-    u0 = (under & 0xFFFFFFFF) - u1
-    a0, a1 = whole[:, 0][own] - u0, whole[:, 1][own] - u1
-    w0, w1 = weights[:, 0][own], weights[:, 1][own]
+    part = keys.take(at)
+    asked = (part >> CODE_BITS).astype(np.int64)
+    own = asked >> few
+    sizes = whole.sum(1).astype(np.int64) | whole[:, 1].astype(np.int64) << 32
+    start = ((sizes.cumsum() - sizes) * m)[:, None] + sizes[:, None] * np.arange(1 << few)
+    under = total.take(at) - start.ravel().take(asked)
+    u1 = under >> 32
+    u0 = ((under & 0xFFFFFFFF) - u1).astype(float)
+    u1 = u1.astype(float)
+    w0, w1 = np.ascontiguousarray(weights.T).take(own, 1)
+    a0, a1 = np.ascontiguousarray(whole.T).take(own, 1)
+    a0 -= u0
+    a1 -= u1
     purity = lambda zeros, ones: (zeros * zeros + ones * ones) / np.maximum(zeros + ones, 1e-300)
-    got = purity(u0 * w0, u1 * w1) + purity(a0 * w0, a1 * w1) - purity(*(whole * weights).T)[own]
+    got = purity(u0 * w0, u1 * w1) + purity(a0 * w0, a1 * w1) - purity(*(whole * weights).T).take(own)
     if min_leaf > 1:
         got[(u0 + u1 < min_leaf) | (a0 + a1 < min_leaf)] = -np.inf
-    new = np.r_[True, own[1:] != own[:-1]]
-    most = np.maximum.reduceat(got, np.flatnonzero(new))
-    hit = np.flatnonzero(got == most[new.cumsum() - 1])
-    hit = hit[np.r_[True, own[hit[1:]] != own[hit[:-1]]]]
-    node = own[hit]
-    gain[node], f[node], b[node] = got[hit], features[node, asked[hit] - node * m], part[hit] & 255
+    new = np.flatnonzero(own[1:] != own[:-1]) + 1
+    first = np.r_[0, new]
+    most = np.maximum.reduceat(got, first)
+    hit = np.flatnonzero(got == most.repeat(np.diff(np.r_[first, len(own)])))
+    node = own.take(hit)
+    once = np.r_[0, np.flatnonzero(node[1:] != node[:-1]) + 1]
+    hit, node = hit[once], node[once]
+    gain[node], f[node], b[node] = got[hit], features[node, asked[hit] & (1 << few) - 1], part[hit] & kind((1 << CODE_BITS) - 1)
     below[node, 0], below[node, 1] = u0[hit], u1[hit]
     return gain, f, b, below
 
@@ -600,8 +609,11 @@ def leaf_boxes(code: np.ndarray, y: np.ndarray, times: np.ndarray, orders: _Orde
     whole = np.stack([times @ (1 - one), times @ one], 1).astype(float)
     class_weights = whole.sum(1, keepdims=True) / (2 * np.maximum(whole, 1))
     tree, low, high = np.arange(trees), np.zeros((trees, d), np.uint8), np.full((trees, d), 255, np.uint8)
-    slot, row = np.nonzero(times)
-    base, load = row * d, times[slot, row] << 1 | one[row]
+    at = np.flatnonzero(times)
+    slot, row = np.divmod(at, len(one))
+    base, load = row * d, times.ravel()[at] << 1 | one[row]
+    held = np.arange(1 << int(load.max(initial=1)).bit_length())
+    held = held >> 1 | (held >> 1) * (held & 1) << 32
     taken, leaves, level = np.zeros(trees, np.int64), [], 0
 
     def ended(at: np.ndarray) -> None:
@@ -611,27 +623,28 @@ def leaf_boxes(code: np.ndarray, y: np.ndarray, times: np.ndarray, orders: _Orde
     while len(tree):
         going = (whole > 0).all(1) & (depth is None or level < depth)
         ended(~going)
-        inside = going[slot]
-        slot, base, load = (going.cumsum() - 1)[slot[inside]], base[inside], load[inside]
+        inside = np.flatnonzero(going.take(slot))
+        slot, base, load = (going.cumsum() - 1).take(slot.take(inside)), base.take(inside), load.take(inside)
         tree, low, high, whole = tree[going], low[going], high[going], whole[going]
         n, weights = len(tree), class_weights[tree]
         count = np.bincount(tree, minlength=trees)
         features = orders.taken(tree, taken[tree] + np.arange(n) - (count.cumsum() - count)[tree])
         taken += count
-        gain, f, b, below = _packed_splits(flat, base, slot, load, features[:, :m], whole, weights, min_leaf)
+        gain, f, b, below = _packed_splits(flat, base, slot, load, held, features[:, :m], whole, weights, min_leaf)
         for a in range(m, d, m):  # nodes that no feature of the subset splits ask the next ones
             asked = ~(gain > -1e-9)
             if not asked.any():
                 break
-            inside = asked[slot]
-            got = _packed_splits(flat, base[inside], (asked.cumsum() - 1)[slot[inside]], load[inside], features[asked, a : a + m], whole[asked], weights[asked], min_leaf)
+            inside = np.flatnonzero(asked.take(slot))
+            got = _packed_splits(flat, base.take(inside), (asked.cumsum() - 1).take(slot.take(inside)), load.take(inside), held, features[asked, a : a + m], whole[asked], weights[asked], min_leaf)
             for old, new in zip((gain, f, b, below), got):
                 old[asked] = new
         split = gain > -1e-9
         ended(~split)
-        inside = split[slot]
-        slot, base, load = slot[inside], base[inside], load[inside]
-        slot = 2 * (split.cumsum() - 1)[slot] + (flat[base + f[slot]] > b[slot])
+        if not split.all():
+            inside = np.flatnonzero(split.take(slot))
+            slot, base, load = slot.take(inside), base.take(inside), load.take(inside)
+        slot = 2 * (split.cumsum() - 1).take(slot) + (flat.take(base + f.take(slot)) > b.take(slot))
         f, b, below = f[split], b[split], below[split]
         whole = np.stack([below, whole[split] - below], 1).reshape(-1, 2)
         tree, low, high = tree[split].repeat(2), low[split].repeat(2, 0), high[split].repeat(2, 0)

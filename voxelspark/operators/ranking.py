@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -18,6 +19,7 @@ from ..session import cut_lineage
 
 ROWS_PER_RANGE = 2_000_000
 MIN_RANGES, MAX_RANGES = 8, 4096
+SORTED_ROWS = 100_000  # of a group that one task may order
 SUBRANGES = 4096  # of each range, where a table needs more than MAX_RANGES
 _BEFORE = (W.unboundedPreceding, -1)
 
@@ -208,15 +210,20 @@ def _slice_offsets(rows: DataFrame, by: Sequence[str], piece: str) -> DataFrame:
     return counts.select(*by, piece, "_ch_c", F.coalesce(F.sum("_ch_c").over(before), F.lit(0)).alias("_ch_o"))
 
 
-def choose(df: DataFrame, groups: Sequence[str], ident: str, n: Column | int, seed: Column | int = 42) -> DataFrame:
+def choose(df: DataFrame, groups: Sequence[str], ident: str, n: Column | int, seed: Column | int = 42, largest: int | None = None) -> DataFrame:
     """Exactly ``n`` rows per group in the order of a seeded hash of ``ident``.
 
     The hash is uniform, so its hex digits cut each group into even slices.  Slice counts
     decide which of 256 slices are taken whole; the one that is cut is divided by two more
     digits, so a group of any size is ordered in pieces of 1/65536.  ``n`` may be a column
-    that is constant within a group.
+    that is constant within a group.  Groups known to have at most ``largest`` rows, no more than SORTED_ROWS, are
+    ordered whole.
     """
     groups = list(groups)
+    if groups and largest is not None and largest <= SORTED_ROWS:
+        named = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*groups, ident)])
+        rows = df.where(named).withColumns({"_ch_n": n if isinstance(n, Column) else F.lit(n), "_ch_h": seeded_key(seed, F.col(ident))})
+        return rows.withColumn("_ch_r", F.row_number().over(W.partitionBy(*groups).orderBy("_ch_h", ident))).where("_ch_r <= _ch_n").select(*df.columns)
     rows = df.withColumn("_ch_n", (n if isinstance(n, Column) else F.lit(n)).cast("long"))
     rows = rows.withColumn("_ch_h", seeded_key(seed, F.col(ident)))
     rows = rows.withColumns({"_ch_s": F.substring("_ch_h", 1, 2), "_ch_s2": F.substring("_ch_h", 3, 2)})

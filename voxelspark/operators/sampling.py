@@ -87,14 +87,15 @@ def _finish(
     """Balance the training and validation pools of the keys in which all four pools exist."""
     role, y = F.col("role"), F.col("target")
     counts = [F.count_if((role == r) & (y == c)).alias(f"_{r}{c}") for r in ("train", "val") for c in (1, 0)]
-    feasible = roles.groupBy(*keys).agg(*counts).where("_train1 > 0 AND _train0 > 0 AND _val1 > 0 AND _val0 > 0")
+    feasible = cut_lineage(roles.groupBy(*keys).agg(*counts).where("_train1 > 0 AND _train0 > 0 AND _val1 > 0 AND _val0 > 0"))
     rows = roles.join(feasible, list(keys)).where("role IS NOT NULL")
     names = [c.strip("`") for c in roles.columns]
     if gm_fraction is None:
         n_train = F.least("_train1", "_train0")
         n_train = n_train if n_per_class is None else F.least(n_train, F.lit(int(n_per_class)))
         quota = F.when(role == "train", n_train).otherwise(F.least("_val1", "_val0"))
-        return choose(rows.withColumn("_q", quota), [*keys, "role", "target"], IDX, F.col("_q"), seed).select(*names)
+        largest = feasible.agg(F.max(F.greatest("_train1", "_train0", "_val1", "_val0"))).first()[0] or 0
+        return choose(rows.withColumn("_q", quota), [*keys, "role", "target"], IDX, F.col("_q"), seed, largest).select(*names)
     train = balanced(rows.where(role == "train").select(*names), keys, n_per_class, seed, gm_fraction)
     val = balanced(rows.where(role == "val").select(*names), keys, None, seed)
     return train.select(*names).unionByName(val.select(*names))
@@ -108,8 +109,9 @@ def voxel_random(pools: DataFrame, keys: Sequence[str], n_per_class: int | None,
 def validation_cells(cells: DataFrame, keys: Sequence[str], seed: int | Column, fraction: float) -> DataFrame:
     """Seeded validation cells among the cells shared by both classes (at least two needed)."""
     n = F.least(F.greatest(F.lit(1), F.bround(F.col("_c") * F.lit(fraction)).cast("long")), F.col("_c") - 1)
-    cells = with_stats(cells, keys, [F.count(F.lit(1)).alias("_c")]).where("_c >= 2").withColumn("_k", n)
-    return choose(cells, keys, "cell", F.col("_k"), seed).select(*keys, "cell", F.lit(True).alias("is_val"))
+    cells = cut_lineage(with_stats(cells, keys, [F.count(F.lit(1)).alias("_c")]).where("_c >= 2").withColumn("_k", n))
+    largest = cells.agg(F.max("_c")).first()[0] or 0
+    return choose(cells, keys, "cell", F.col("_k"), seed, largest).select(*keys, "cell", F.lit(True).alias("is_val"))
 
 
 def grid_block(
@@ -189,16 +191,22 @@ def grid_ladder(
     buffer_mm: float,
     seed: int | Column = 42,
     fraction: float = 0.10,
+    copies: str | None = None,
 ) -> DataFrame:
     """First feasible block and buffer size per key, all candidates judged in one grouped pass.
 
     Cells depend on the block only, so voxels are repeated per block (at most six times) and
-    every buffer is a conditional count of the same pass.
+    every buffer is a conditional count of the same pass.  ``copies`` is the key that numbers copies
+    of the same voxels from 0 on, if there is one: the cells of the first are counted for all of them.
     """
     keys = list(keys)
+    drawn = pools.select(*keys, _seed_text(seed).alias("_seed")).distinct()
+    own = [k for k in keys if k != copies]
+    if copies is not None:
+        pools = pools.where(F.col(copies) == 0)
     blocks, buffers = _candidates(block_mm, BLOCK_MM), _candidates(buffer_mm, BUFFER_MM)
     rungs = F.array(*[F.struct(F.lit(i).alias("b"), F.lit(float(v)).alias("block_mm")) for i, v in enumerate(blocks)])
-    rows = pools.select(*keys, *AXES, "target", _seed_text(seed).alias("_seed"), F.inline(rungs))
+    rows = pools.select(*own, *AXES, "target", *([] if copies else [_seed_text(seed).alias("_seed")]), F.inline(rungs))
     steps = mm_to_steps("block_mm", 0.0, spacing)[:3]
     rows = rows.withColumn("cell", cell_key(steps))
     counts = _class_counts()
@@ -207,7 +215,8 @@ def grid_ladder(
         core = in_cell_core(sizes[:3], sizes[3:])
         counts += [F.count_if(core & (F.col("target") == c)).alias(f"_v{c}_{j}") for c in (1, 0)]
     by = [*keys, "_seed", "b", "block_mm"]
-    cells = cut_lineage(rows.groupBy(*by, "cell").agg(*counts))
+    cells = rows.groupBy(*[c for c in by if c in rows.columns], "cell").agg(*counts)
+    cells = cut_lineage(cells if copies is None else drawn.join(cells, own) if own else drawn.crossJoin(cells))
     chosen = validation_cells(cells.where("_n_pos > 0 AND _n_neg > 0").select(*by, "cell"), by, F.col("_seed"), fraction)
     cells = cells.join(chosen, [*by, "cell"], "left")
     train = F.col("is_val").isNull()
@@ -238,17 +247,19 @@ def adaptive_split(
     n_per_class: int | None = 20000,
     gm_fraction: float | None = None,
     min_step_vox: int = 0,
+    copies: str | None = None,
 ) -> DataFrame:
     """Blocked split with the first feasible rung per key, else cube holdout by its own ladder.
 
     Adds ``mode``, ``block_mm`` and ``buffer_mm``.  A key that cannot be split keeps one row without role
     or voxel whose mode says why: ``empty_class`` or ``infeasible``.  ``min_step_vox`` thins the pools first.
+    ``copies`` as in ``grid_ladder``.
     """
     keys = list(keys)
     if min_step_vox > 1:
-        pools = thin(pools, keys, min_step_vox, seed)
+        pools, copies = thin(pools, keys, min_step_vox, seed), None
     whole = cut_lineage(with_stats(pools, keys, _class_counts()))
-    split = _adaptive_rows(whole.where("_n_pos > 0 AND _n_neg > 0").drop("_n_pos", "_n_neg"), keys, grid, spacing, block_mm, buffer_mm, seed, fraction, half_width, n_per_class, gm_fraction)
+    split = _adaptive_rows(whole.where("_n_pos > 0 AND _n_neg > 0").drop("_n_pos", "_n_neg"), keys, grid, spacing, block_mm, buffer_mm, seed, fraction, half_width, n_per_class, gm_fraction, copies)
     split = cut_lineage(split)
     reason = F.when(F.max(F.least("_n_pos", "_n_neg")) > 0, "infeasible").otherwise("empty_class")
     failed = whole.groupBy(*keys).agg(reason.alias("mode")).join(split.select(*keys).distinct(), keys, "left_anti")
@@ -257,10 +268,10 @@ def adaptive_split(
 
 def _adaptive_rows(
     pools: DataFrame, keys: list[str], grid: Grid, spacing: Sequence[float], block_mm: float, buffer_mm: float, seed: int | Column, fraction: float, half_width: int,
-    n_per_class: int | None, gm_fraction: float | None,
+    n_per_class: int | None, gm_fraction: float | None, copies: str | None = None,
 ) -> DataFrame:
     """Rows of the keys that some rung can split."""
-    rungs = cut_lineage(grid_ladder(pools, keys, spacing, block_mm, buffer_mm, seed, fraction))
+    rungs = cut_lineage(grid_ladder(pools, keys, spacing, block_mm, buffer_mm, seed, fraction, copies))
     blocked = grid_block(pools.join(rungs, keys), keys, spacing, "block_mm", "buffer_mm", seed, fraction, n_per_class, gm_fraction)
     result = blocked.withColumn("mode", F.lit("grid_block"))
     open_ = pools.join(rungs, keys, "left_anti")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import cut_lineage
+from .columns import spread
 from .grid import AXES, Grid, offsets, shifted
 
 
@@ -307,7 +308,7 @@ def euclidean_distance(
             rows += [[first[k] for k in keys] + [cx, c, int(z), int(xs[0]), max(c * CHUNK, lo), len(xs), part[:, i].ravel()] for i, z in enumerate(levels)]
         return pd.DataFrame(rows, columns=plane.fieldNames())
 
-    planes = lines.groupBy(*keys, "_cx", "_cz").applyInPandas(along_y, plane)
+    planes = spread(lines, *keys, "_cx", "_cz").groupBy(*keys, "_cx", "_cz").applyInPandas(along_y, plane)
     tiles = targets.withColumns({f"_c{a}": F.floor(F.col(a) / CHUNK).cast("int") for a in ("x", "y")})
     result = T.StructType([*key_fields, *[T.StructField(a, T.IntegerType()) for a in AXES], T.StructField(out, T.DoubleType())])
 
@@ -329,7 +330,7 @@ def euclidean_distance(
         return res
 
     by = [*keys, "_cx", "_cy"]
-    return planes.groupBy(*by).cogroup(tiles.groupBy(*by)).applyInPandas(along_z, result)
+    return spread(planes, *by).groupBy(*by).cogroup(spread(tiles, *by).groupBy(*by)).applyInPandas(along_z, result)
 
 
 def signed_distance(
@@ -406,7 +407,8 @@ def connected_components(
         pdf[out] = pdf["flat_idx"].to_numpy()[root]
         return pdf[schema.fieldNames()]
 
-    local = cells.groupBy(*keys, "_bx", "_by", "_bz").applyInPandas(label_block, schema)
+    by = [*keys, "_bx", "_by", "_bz"]
+    local = spread(cells, *by).groupBy(*by).applyInPandas(label_block, schema)
     local = cut_lineage(local)
 
     on_face = F.lit(False)

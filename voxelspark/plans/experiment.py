@@ -37,7 +37,7 @@ def _splits(
     """Training and validation voxels of every key and fold."""
     by = [*keys, "fold"]
     split = P.adaptive_split(
-        P.with_folds(pools, folds, seed), by, grid, spacing, block_mm, buffer_mm, F.col("fold_seed"), n_per_class=n_per_class, gm_fraction=gm_fraction
+        P.with_folds(pools, folds, seed), by, grid, spacing, block_mm, buffer_mm, F.col("fold_seed"), n_per_class=n_per_class, gm_fraction=gm_fraction, copies="fold"
     )
     return cut_lineage(split.where("role IS NOT NULL").select(*by, "flat_idx", "role", "target"))
 
