@@ -18,6 +18,8 @@ from ..session import cut_lineage
 
 CLASSIFIERS = {"rf": "p_rf", "svm": "p_svm", "lr": "p_lr"}
 TASK_VOXELS = 100_000  # of a volume whose models a single task fits and applies
+TASK_KEYS = 8  # such volumes a task, about, where there are more of them than ``SPREAD``
+SPREAD = 200
 
 
 @dataclass(frozen=True)
@@ -91,7 +93,7 @@ def _few_rows(voxels: DataFrame, features: Sequence[str], split: DataFrame, keys
     left = voxels.select(*keys, *AXES, "flat_idx", *x)
     dealt = F.xxhash64(F.lit("calibration"), "flat_idx").alias("_c")  # the order of rows and their folds are those of ``keyed``
     right = split.select(*keys, "fold", F.col("flat_idx").alias("_i"), "role", "target", F.xxhash64("flat_idx").alias("_h"), dealt)
-    width, size, named = len(features), min(FR.TASKS, max(1, n)), list(CLASSIFIERS.values())
+    width, size, named = len(features), min(FR.TASKS, max(1, min(n, SPREAD), n // TASK_KEYS)), list(CLASSIFIERS.values())
     head = [*keys, "flat_idx"] if ensemble else [*keys, *AXES, "flat_idx"]
     heads = ", ".join(f"{c} {kinds[c]}" for c in head)
     if ensemble:
