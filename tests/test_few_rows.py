@@ -103,6 +103,17 @@ def test_keys_of_both_kinds_meet_in_one_table(cohort, monkeypatch):
     assert scores.count() == 3 * split.where("role = 'val'").count()
 
 
+def test_no_split_gives_no_maps_and_few_splits_no_fewer_tasks(spark, cohort, monkeypatch):
+    voxels, split = cohort
+    monkeypatch.setattr(X, "_splits", lambda *a: split.where("false"))
+    given = (voxels, FEATURES, None, KEYS, GRID, SPACING)
+    none = X.ensemble_maps(*given)
+    assert none.count() == 0 and none.columns == ["patient", "clf", "flat_idx", "p_mean", "p_std", "n_folds"]
+    assert all(d.count() == 0 for d in X.fold_probabilities(*given))
+    one = X._few_rows(voxels, FEATURES, split.where("patient = 1"), KEYS, 1, X.Fits(trees=3), ensemble=True)
+    assert one.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions")) and {r["patient"] for r in one.collect()} == {1}
+
+
 def test_maps_of_few_rows_take_no_job_for_a_model(spark, cohort):
     """Splits apart, the maps of all keys, folds and classifiers are a handful of jobs; they were dozens, and trees were written and read."""
     voxels, split = cohort

@@ -90,10 +90,12 @@ def _few_rows(voxels: DataFrame, features: Sequence[str], split: DataFrame, keys
     """
     kinds = {f.name: f.dataType.simpleString() for f in [*split.schema.fields, *voxels.schema.fields]}
     x = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)]
-    left = voxels.select(*keys, *AXES, "flat_idx", *x)
+    left = voxels.where(F.lit(n > 0)).select(*keys, *AXES, "flat_idx", *x)
     dealt = F.xxhash64(F.lit("calibration"), "flat_idx").alias("_c")  # the order of rows and their folds are those of ``keyed``
     right = split.select(*keys, "fold", F.col("flat_idx").alias("_i"), "role", "target", F.xxhash64("flat_idx").alias("_h"), dealt)
-    width, size, named = len(features), min(FR.TASKS, max(1, min(n, SPREAD), n // TASK_KEYS)), list(CLASSIFIERS.values())
+    width, named = len(features), list(CLASSIFIERS.values())
+    # Voxels of keys without a split come too, so there are at least as many tasks as in any shuffle.
+    size = max(int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(FR.TASKS, max(min(n, SPREAD), n // TASK_KEYS)))
     head = [*keys, "flat_idx"] if ensemble else [*keys, *AXES, "flat_idx"]
     heads = ", ".join(f"{c} {kinds[c]}" for c in head)
     if ensemble:
